@@ -1,12 +1,15 @@
 """Queries of the training-data operators, and their SQL where SQL can say it."""
 
-from . import chat, line_dedup, mixing, quality, secrets
+from . import chat, line_dedup, mixing, packing, quality, secrets, token_counts, topk
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_preference_format": chat.op3_preference_format,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_maxscore_topk": topk.op8_maxscore_topk,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op3_preference_format": chat.OP3_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op3_preference_format": chat.OP3_SQL, "op8_maxscore_topk": topk.OP8_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
