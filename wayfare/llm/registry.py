@@ -1,10 +1,11 @@
 """Queries of the training-data operators, and their SQL where SQL can say it."""
 
-from . import chat, line_dedup, mixing, packing, quality, secrets, token_counts, topk
+from . import chat, line_dedup, mixing, packing, quality, secrets, simhash, token_counts, topk
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_preference_format": chat.op3_preference_format,
+    "op4_simhash_golay": simhash.op4_simhash_golay,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_secret_scan": secrets.op7_secret_scan,
