@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and their SQL where SQL can say it."""
 
-from . import chat, line_dedup, mixing, packing, quality, secrets, simhash, token_counts, topk
+from . import chat, katz, line_dedup, mixing, packing, quality, secrets, simhash, token_counts, topk
 
 QUERIES = {
+    "op1_katz_backoff": katz.op1_katz_backoff,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_preference_format": chat.op3_preference_format,
     "op4_simhash_golay": simhash.op4_simhash_golay,
