@@ -1 +1,158 @@
-"""Queries."""
+"""Queries over evaluation, experiments, the gate, drift and monitoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wayfare.operators import drift, evaluate
+from wayfare.operators import retrieval as R
+from wayfare.plans.cleaning import SPLIT
+from wayfare.plans.features import POP_SQL, pop_scores, splits
+from wayfare.plans.registry import query
+from wayfare.plans.retrieval import CF_SQL, cf
+from wayfare.sources.tables import BEHAVIOUR_SQL as A
+from wayfare.sources.tables import behaviour
+
+_IDEAL = "[" + ", ".join(repr(sum(1 / __import__("math").log2(i + 1) for i in range(1, m + 1))) for m in range(1, 21)) + "]"
+
+
+def _metrics_sql(recs: str, name: str) -> str:
+    """CTEs that end in `name`: per-user metrics of recs (user_id, rank, item_id) against tt."""
+    per_k = ", ".join(
+        f"coalesce(h{k}, 0) / {k}.0::double AS precision_{k}, coalesce(h{k}, 0)::double / n_rel AS recall_{k}, (CASE WHEN h{k} > 0 THEN 1 ELSE 0 END)::double AS hit_rate_{k}, coalesce(g{k}, 0) / ({_IDEAL}[least({k}, n_rel)])::double AS ndcg_{k}, coalesce(a{k}, 0) / least({k}, n_rel)::double AS map_{k}"
+        for k in evaluate.KS
+    )
+    aggs = ", ".join(f"count(*) FILTER (hit AND pos <= {k}) AS h{k}, sum(1 / log2(pos + 1)) FILTER (hit AND pos <= {k}) AS g{k}, sum(cum / pos) FILTER (hit AND pos <= {k}) AS a{k}" for k in evaluate.KS)
+    return f"""{name}_h AS (SELECT user_id, rank AS pos, (user_id, item_id) IN (SELECT user_id, item_id FROM tt) AS hit, sum(((user_id, item_id) IN (SELECT user_id, item_id FROM tt))::int) OVER (PARTITION BY user_id ORDER BY rank) AS cum FROM {recs}),
+{name}_a AS (SELECT user_id, min(pos) FILTER (hit) AS first_hit, {aggs} FROM {name}_h GROUP BY 1),
+{name} AS (SELECT t.user_id, coalesce(1.0::double / first_hit, 0) AS mrr, {per_k} FROM (SELECT user_id, count(*) AS n_rel FROM tt GROUP BY 1) t LEFT JOIN {name}_a USING (user_id))"""
+
+
+TRUTH_SQL = "hist AS (SELECT DISTINCT user_id, item_id FROM tr), tt AS (SELECT DISTINCT user_id, item_id FROM te EXCEPT SELECT user_id, item_id FROM hist)"
+RECS_SQL = f"""{CF_SQL}, {POP_SQL}, {TRUTH_SQL},
+pr AS (SELECT * FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT DISTINCT user_id FROM tr), pop WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM hist)) WHERE rank <= 20),
+cr AS (SELECT * FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cf WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM hist)) WHERE rank <= 20)"""
+_NAMES = ["mrr"] + [f"{m}_{k}" for k in evaluate.KS for m in ("precision", "recall", "hit_rate", "ndcg", "map")]
+_ROUNDED = ", ".join(f"round({c} + 1e-9::double, 6) AS {c}" for c in _NAMES)
+
+
+def recommendations(spark, d):
+    """(train, test, popularity lists, CF lists) of unseen items."""
+    _, train, test = splits(spark, d)
+    pop = train.select("user_id").distinct().join(pop_scores(train))
+    return train, test, R.top_k(R.without_seen(pop, train), 20), R.top_k(R.without_seen(cf(train), train), 20)
+
+
+def _nudge(df):
+    return df.select("user_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in _NAMES])
+
+
+@query("ev9_novel_truth", f"WITH {SPLIT}, {TRUTH_SQL} SELECT * FROM tt")
+def truth(spark, d):
+    _, train, test = splits(spark, d)
+    return evaluate.novel_truth(test, train)
+
+
+@query("ev1_user_metrics", f"WITH {SPLIT}, {RECS_SQL}, {_metrics_sql('cr', 'mc')} SELECT user_id, {_ROUNDED} FROM mc")
+def user_metrics(spark, d):
+    train, test, _, c = recommendations(spark, d)
+    return _nudge(evaluate.user_metrics(c, evaluate.novel_truth(test, train)))
+
+
+@query("ev14_model_table", f"""WITH {SPLIT}, {RECS_SQL}, {_metrics_sql('pr', 'mp')}, {_metrics_sql('cr', 'mc')}, z AS (SELECT 'popularity' AS model, * FROM mp UNION ALL SELECT 'item_cf', * FROM mc)
+SELECT model, count(*) AS users, {', '.join(f'round(avg({c}) + 1e-9::double, 6) AS {c}' for c in _NAMES)} FROM z GROUP BY 1""")
+def model_table(spark, d):
+    train, test, p, c = recommendations(spark, d)
+    t = evaluate.novel_truth(test, train)
+    z = evaluate.user_metrics(p, t).withColumn("model", F.lit("popularity")).unionByName(evaluate.user_metrics(c, t).withColumn("model", F.lit("item_cf")))
+    return z.groupBy("model").agg(F.count(F.lit(1)).alias("users"), *[F.round(F.avg(n) + 1e-9, 6).alias(n) for n in _NAMES])
+
+
+@query("ag17_beyond_accuracy", f"""WITH {SPLIT}, {RECS_SQL}, ct AS (SELECT range::int AS item_id FROM range(110)), c AS (SELECT item_id, count(*) AS n FROM cr GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n, item_id) AS i FROM c),
+l AS (SELECT user_id, count(DISTINCT item_id % 6)::double / count(*) AS d, count(*) AS k FROM cr GROUP BY 1), q0 AS (SELECT ct.item_id, count(tr.item_id) AS n FROM ct LEFT JOIN tr USING (item_id) GROUP BY 1),
+pk AS (SELECT item_id, (row_number() OVER (ORDER BY n DESC, item_id) - 1) / (count(*) OVER () - 1)::double AS r FROM q0), ru AS (SELECT user_id, avg(r) AS r FROM cr JOIN pk USING (item_id) GROUP BY 1)
+SELECT round((SELECT count(*) FROM c) / 110.0::double, 6) AS coverage, (SELECT count(*) FROM c) AS distinct_items, (SELECT round(2.0::double * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0::double) / count(*), 6) FROM o) AS gini,
+  (SELECT round(avg(d), 6) FROM l WHERE k >= 2) AS diversity, (SELECT round(avg(r), 6) FROM ru) AS popularity_rank""")
+def beyond(spark, d):
+    train, _, _, c = recommendations(spark, d)
+    catalogue = spark.range(110).select(F.col("id").cast("int").alias("item_id"))
+    categories = catalogue.select("item_id", (F.col("item_id") % 6).alias("category_id"))
+    return evaluate.beyond_accuracy(c, catalogue, categories, train.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("ev12_candidate_recall", f"WITH {SPLIT}, {RECS_SQL} SELECT user_id, round(count(cr.item_id) / count(*), 6) AS recall FROM tt LEFT JOIN cr USING (user_id, item_id) GROUP BY 1")
+def candidate_recall(spark, d):
+    train, test, _, c = recommendations(spark, d)
+    return evaluate.list_recall(c, evaluate.novel_truth(test, train)).withColumn("recall", F.round("recall", 6))
+
+
+@query("ev10_user_sample", f"WITH {A} SELECT user_id FROM (SELECT DISTINCT user_id FROM a) ORDER BY md5('42|' || user_id), user_id LIMIT 25")
+def sample(spark, d):
+    return evaluate.sample_users(behaviour(spark, d), 25, 42)
+
+
+def _pairs(spark, d):
+    train, test, p, c = recommendations(spark, d)
+    t = evaluate.novel_truth(test, train)
+    return evaluate.paired(evaluate.user_metrics(p, t), evaluate.user_metrics(c, t), "ndcg_10")
+
+
+@query("ab4_lift", f"""WITH {SPLIT}, {RECS_SQL}, {_metrics_sql('pr', 'mp')}, {_metrics_sql('cr', 'mc')}, z AS (SELECT mp.ndcg_10 AS c, mc.ndcg_10 AS t FROM mp JOIN mc USING (user_id))
+SELECT count(*) AS users, round(avg(c), 6) AS control, round(avg(t), 6) AS treatment, round(avg(t) - avg(c), 6) AS absolute, coalesce(round((avg(t) - avg(c)) / nullif(avg(c), 0), 6), 0) AS relative FROM z""")
+def lift(spark, d):
+    return evaluate.lift(_pairs(spark, d))
+
+
+@query("ab3_bootstrap")
+def bootstrap(spark, d):
+    from wayfare.sources.tables import checkpointed
+
+    return evaluate.bootstrap(checkpointed(_pairs(spark, d), "pairs"))
+
+
+_GATE_ROWS = [("ndcg", 0.0215, 0.0210), ("coverage", 0.307, 0.45), ("gini", 0.615, None), ("latency", 20.0, None), ("cold", 0.010, 0.012)]
+
+
+@query("gt1_promotion_gate", """SELECT unnest(['primary', 'coverage_floor', 'coverage_change', 'gini', 'latency', 'cold_start']) AS check_name, unnest(['pass', 'pass', 'fail', 'pass', 'pass', 'fail']) AS verdict,
+  unnest([round((0.0215 - 0.0210)::double / 0.0210, 6), 0.307, round((0.307 - 0.45)::double / 0.45, 6), 0.615, 20.0, round((0.010 - 0.012)::double / 0.012, 6)]::double[]) AS value, unnest([-0.02, 0.05, -0.25, 0.95, 150.0, -0.1]::double[]) AS threshold, false AS promoted""")
+def gate(spark, d):
+    return evaluate.promotion_gate(spark.createDataFrame(_GATE_ROWS, "metric string, candidate double, incumbent double")).withColumn("value", F.round("value", 6))
+
+
+_FEATURES = {"price": "price_at_event", "item": "item_id::double", "hour": "hour(ts)::double", "kind": "event_type::double", "constant": "1.0::double"}
+
+
+@query("dr6_drift_report", f"""WITH {SPLIT}, x AS (
+  {' UNION ALL '.join(f"SELECT '{f}' AS feature, {e} AS x, 0 AS side FROM tr UNION ALL SELECT '{f}', {e}, 1 FROM te" for f, e in _FEATURES.items())}),
+st AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) FILTER (side = 0))) AS q, avg(x) FILTER (side = 0) AS reference_mean, avg(x) FILTER (side = 1) AS current_mean,
+  count(*) FILTER (side = 0) AS reference_n, count(*) FILTER (side = 1) AS current_n FROM x GROUP BY 1),
+inn AS (SELECT *, q[2:greatest(len(q) - 1, 1)] AS i0 FROM st), ii AS (SELECT *, CASE WHEN len(q) < 3 THEN [] ELSE i0 END AS i FROM inn),
+bn AS (SELECT ii.feature, len(list_filter(i, lambda e: e <= x.x)) AS bin, count(*) FILTER (side = 0) AS r, count(*) FILTER (side = 1) AS c FROM x JOIN ii USING (feature) GROUP BY 1, 2),
+ev AS (SELECT feature, reference_n, current_n, unnest(range(len(i) + 1)) AS bin FROM ii),
+pp AS (SELECT feature, greatest(coalesce(r, 0) / reference_n, 1e-6::double) AS e, greatest(coalesce(c, 0) / current_n, 1e-6::double) AS a FROM ev LEFT JOIN bn USING (feature, bin)),
+ps AS (SELECT feature, sum((a - e) * ln(a / e)) AS psi, sum(e * log2(e / ((e + a) / 2))) / 2 + sum(a * log2(a / ((e + a) / 2))) / 2 AS js FROM pp GROUP BY 1),
+cd AS (SELECT feature, x, sum(count(*) FILTER (side = 0)) OVER w AS cr, sum(count(*) FILTER (side = 1)) OVER w AS cc FROM x GROUP BY feature, x WINDOW w AS (PARTITION BY feature ORDER BY x)),
+ks AS (SELECT feature, max(abs(cr / reference_n - cc / current_n)) AS ks FROM cd JOIN st USING (feature) GROUP BY 1)
+SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks, round(js, 6) AS js, round(reference_mean, 6) AS reference_mean, round(current_mean, 6) AS current_mean, reference_n, current_n,
+  CASE WHEN psi >= 0.25 THEN 'major' WHEN psi >= 0.1 THEN 'minor' ELSE 'stable' END AS severity FROM st JOIN ps USING (feature) JOIN ks USING (feature)""")
+def drift_report(spark, d):
+    _, train, test = splits(spark, d)
+    f = lambda df: df.select(F.col("price_at_event").alias("price"), F.col("item_id").alias("item"), F.hour("ts").alias("hour"), F.col("event_type").alias("kind"), F.lit(1.0).alias("constant"))
+    return drift.detect_drift(f(train), f(test), list(_FEATURES))
+
+
+_BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0]
+
+
+@query("mn1_histogram", f"""WITH {A}, b AS (SELECT unnest([5.0::double, 10.0::double, 25.0::double, 50.0::double, 100.0::double, 'inf'::double]) AS upper)
+SELECT event_type, upper, count(*) FILTER (price_at_event <= upper) AS cumulative FROM a, b GROUP BY 1, 2""")
+def histogram(spark, d):
+    return drift.histogram(behaviour(spark, d), "event_type", "price_at_event", _BOUNDS)
+
+
+@query("ag22_histogram_percentiles", f"""WITH {A}, b AS (SELECT unnest([5.0::double, 10.0::double, 25.0::double, 50.0::double, 100.0::double, 'inf'::double]) AS upper), h AS (SELECT event_type, upper, count(*) FILTER (price_at_event <= upper) AS c FROM a, b GROUP BY 1, 2),
+l AS (SELECT *, coalesce(lag(upper) OVER w, 0) AS low, coalesce(lag(c) OVER w, 0) AS below, max(c) OVER (PARTITION BY event_type) AS total FROM h WINDOW w AS (PARTITION BY event_type ORDER BY upper)),
+f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY upper) AS n FROM l WHERE c >= 0.9::double * total)
+SELECT event_type, round(CASE WHEN isinf(upper) THEN low WHEN c <= below THEN upper ELSE low + (0.9::double * total - below) / (c - below) * (upper - low) END, 6) AS estimate FROM f WHERE n = 1""")
+def percentiles(spark, d):
+    return drift.histogram_percentile(drift.histogram(behaviour(spark, d), "event_type", "price_at_event", _BOUNDS), "event_type", 0.9)

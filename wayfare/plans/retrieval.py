@@ -1 +1,311 @@
-"""Queries."""
+"""Queries over retrieval, fusion, ranking, reranking and serving."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from wayfare.operators import asof, evaluate, ingest, neural, popularity, ranking
+from wayfare.operators import retrieval as R
+from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
+from wayfare.plans.features import POP_SQL, TREND_SQL, pop_scores, splits, trend_scores
+from wayfare.plans.registry import query
+from wayfare.sources.tables import table
+
+MATRIX_SQL = f"mx AS (SELECT user_id, item_id, sum({WEIGHT_SQL}) AS w FROM tr WHERE {WEIGHT_SQL} >= 1 GROUP BY 1, 2)"
+SIM_SQL = f"""{MATRIX_SQL}, nm AS (SELECT item_id, sqrt(sum(w * w)) AS norm, count(*) AS degree FROM mx GROUP BY 1),
+sm AS (SELECT item_i, item_j, round(dot / (a.norm * b.norm) / pow(b.degree::double, 0.5::double), 9) AS sim FROM
+  (SELECT x.item_id AS item_i, y.item_id AS item_j, sum(x.w * y.w) AS dot FROM mx x JOIN mx y ON x.user_id = y.user_id AND x.item_id <> y.item_id GROUP BY 1, 2) d JOIN nm a ON a.item_id = item_i JOIN nm b ON b.item_id = item_j),
+sim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_i ORDER BY sim DESC, item_j) AS rank FROM sm WHERE sim >= 0.0001) WHERE rank <= 200)"""
+CF_SQL = f"{SIM_SQL}, cf AS (SELECT user_id, item_j AS item_id, round(sum(w * sim), 6) AS score FROM mx JOIN sim ON item_i = item_id GROUP BY 1, 2)"
+TOP = 30
+SOURCES = ["item_cf", "popularity", "trending"]
+RANKED_SQL = f"""{CF_SQL}, {POP_SQL}, {TREND_SQL}, us AS (SELECT DISTINCT user_id FROM tr),
+rk AS (SELECT * FROM (SELECT user_id, 'item_cf' AS source, 1 AS s, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cf
+  UNION ALL SELECT user_id, 'popularity', 2, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) FROM pop, us
+  UNION ALL SELECT user_id, 'trending', 3, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) FROM trend, us) WHERE rank <= {TOP}),
+hist AS (SELECT DISTINCT user_id, item_id FROM tr)"""
+FUSED_SQL = f"""{RANKED_SQL}, fx AS (SELECT user_id, item_id, round(sum(1.0::double / (60 + rank)), 9) AS fused, count(*) AS n_sources, min(s * 1000 + rank) AS f FROM rk WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM hist) GROUP BY 1, 2),
+fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY fused DESC, f, item_id) AS position FROM fx) WHERE position <= 25)"""
+
+
+def similarity(train):
+    m = R.user_item(train)
+    return m, R.item_similarity(m)
+
+
+def cf(train):
+    m, s = similarity(train)
+    return R.cf_scores(m, s).withColumn("score", F.round("score", 6))
+
+
+def ranked_sources(train):
+    """(user_id, source, item_id, score, rank): per-user lists; the two global lists are short and cross all users."""
+    users = train.select("user_id").distinct()
+    out = R.top_k(cf(train), TOP).withColumn("source", F.lit("item_cf"))
+    for name, scores in (("popularity", pop_scores(train)), ("trending", trend_scores(train))):
+        best = popularity.top_items(scores, TOP)
+        out = out.unionByName(R.top_k(users.join(best), TOP).withColumn("source", F.lit(name)))
+    return out
+
+
+def fused(train):
+    return R.fuse(ranked_sources(train), SOURCES, train.select("user_id", "item_id").distinct(), 25)
+
+
+@query("ag8_user_item_matrix", f"WITH {SPLIT}, {MATRIX_SQL} SELECT user_id, item_id, round(w, 6) AS w FROM mx")
+def matrix(spark, d):
+    return R.user_item(splits(spark, d)[1]).withColumn("w", F.round("w", 6))
+
+
+@query("md4_item_similarity", f"WITH {SPLIT}, {SIM_SQL} SELECT item_i, item_j, sim FROM sim")
+def md4(spark, d):
+    return similarity(splits(spark, d)[1])[1].select("item_i", "item_j", "sim")
+
+
+@query("tk4_similar_items", f"WITH {SPLIT}, {SIM_SQL} SELECT item_j, round(sim, 6) AS sim, rank FROM sim WHERE item_i = 7 AND rank <= 10")
+def similar(spark, d):
+    s = similarity(splits(spark, d)[1])[1]
+    return s.where("item_i = 7 AND rank <= 10").select("item_j", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("md5_cf_topk", f"""WITH {SPLIT}, {CF_SQL}, hist AS (SELECT DISTINCT user_id, item_id FROM tr),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cf WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM hist)) SELECT user_id, item_id, score, rank FROM r WHERE rank <= 10""")
+def md5(spark, d):
+    train = splits(spark, d)[1]
+    return R.top_k(R.without_seen(cf(train), train), 10).select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("tk2_source_lists", f"WITH {SPLIT}, {RANKED_SQL} SELECT user_id, source, item_id, score, rank FROM rk")
+def lists(spark, d):
+    return ranked_sources(splits(spark, d)[1]).select("user_id", "source", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("fu1_rank_fusion", f"WITH {SPLIT}, {FUSED_SQL} SELECT user_id, item_id, fused, n_sources, position FROM fu")
+def fu1(spark, d):
+    return fused(splits(spark, d)[1]).select("user_id", "item_id", "fused", "n_sources", F.col("position").cast("long").alias("position"))
+
+
+@query("fu2_source_scores", f"WITH {SPLIT}, {RANKED_SQL} SELECT user_id, item_id, {', '.join(f'max(score) FILTER (source = {s!r}) AS {s}' for s in SOURCES)} FROM rk GROUP BY 1, 2")
+def fu2(spark, d):
+    return R.source_scores(ranked_sources(splits(spark, d)[1]), SOURCES)
+
+
+@query("sv12_source_overlap", f"WITH {SPLIT}, {FUSED_SQL} SELECT sum(n_sources)::bigint AS proposed, count(*) AS distinct_candidates, (sum(n_sources) - count(*))::bigint AS overlap FROM fu")
+def overlap(spark, d):
+    return R.source_overlap(fused(splits(spark, d)[1]))
+
+
+_SESSIONS = [(0, 3), (0, 17), (1, 42), (1, 43), (1, 44), (2, 99)]
+_SESSION_VALUES = ", ".join(map(str, _SESSIONS))
+
+
+@query("sv5_session_affinity", f"""WITH {SPLIT}, {SIM_SQL}, ss(session, item_id) AS (VALUES {_SESSION_VALUES}) SELECT session::int AS session, item_j AS item_id, round(sum(sim), 6) AS score FROM ss JOIN sim ON item_i = ss.item_id GROUP BY 1, 2""")
+def affinity(spark, d):
+    s = similarity(splits(spark, d)[1])[1]
+    return R.session_affinity(spark.createDataFrame(_SESSIONS, "session int, item_id int"), s).withColumn("score", F.round("score", 6))
+
+
+@query("sv4_cold_start", f"""WITH {SPLIT}, {SIM_SQL}, {POP_SQL}, ss(session, item_id) AS (VALUES {_SESSION_VALUES}), af AS (SELECT session, item_j AS item_id, round(sum(sim), 6) AS score FROM ss JOIN sim ON item_i = ss.item_id GROUP BY 1, 2),
+pp AS (SELECT item_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS pop FROM pop),
+z AS (SELECT s.session, pp.item_id, pop, coalesce(af.score, 0) AS a FROM (SELECT DISTINCT session FROM ss) s CROSS JOIN pp LEFT JOIN af ON af.session = s.session AND af.item_id = pp.item_id),
+y AS (SELECT session, item_id, round(0.7::double * CASE WHEN max(a) OVER w > min(a) OVER w THEN (a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w) ELSE 0 END + 0.3::double * pop, 9) AS score FROM z WINDOW w AS (PARTITION BY session)),
+r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, item_id) AS rank FROM y WHERE (session, item_id) NOT IN (SELECT session, item_id FROM ss))
+SELECT session::int AS session, item_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def cold(spark, d):
+    train = splits(spark, d)[1]
+    items = spark.createDataFrame(_SESSIONS, "session int, item_id int")
+    aff = R.session_affinity(items, similarity(train)[1]).withColumn("score", F.round("score", 6))
+    out = R.cold_start(aff, pop_scores(train), items, 10)
+    return out.select("session", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("sv1_recommend_all", f"""WITH {SPLIT}, {FUSED_SQL}, z AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id % 8 ORDER BY position) AS m FROM fu)
+SELECT * FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY position) AS position FROM z WHERE m <= 2) WHERE position <= 10""")
+def recommend_all(spark, d):
+    """Every user's list: retrieve, fuse, leave out what was seen, at most two items of a merchant."""
+    f = fused(splits(spark, d)[1]).withColumn("merchant_id", (F.col("item_id") % 8).cast("int"))
+    items = f.select("user_id", "item_id", "merchant_id", F.lit(None).cast("int").alias("category_id"), (-F.col("position")).cast("double").alias("final"))
+    return ranking.diversify(items, 10).where("NOT relaxed").select("user_id", "item_id", F.col("position").cast("long").alias("position"))
+
+
+_FEATURES = ["fused", "n_sources", "item_cf", "popularity", "trending", "item_event_count", "user_event_count"]
+
+
+def dataset(spark, d):
+    _, train, test = splits(spark, d)
+    cand = fused(train).join(R.source_scores(ranked_sources(train), SOURCES), ["user_id", "item_id"])
+    cand = cand.join(asof.item_state(train).select("item_id", F.col("events").alias("item_event_count")), "item_id", "left")
+    cand = cand.join(asof.user_state(train).select("user_id", F.col("events").alias("user_event_count")), "user_id", "left")
+    return ranking.ranking_dataset(cand, evaluate.novel_truth(test, train), _FEATURES)
+
+
+@query("rk2_ranking_dataset", f"""WITH {SPLIT}, {FUSED_SQL}, tt AS (SELECT DISTINCT user_id, item_id FROM te EXCEPT SELECT user_id, item_id FROM hist),
+sc AS (SELECT user_id, item_id, {', '.join(f'max(score) FILTER (source = {s!r}) AS {s}' for s in SOURCES)} FROM rk GROUP BY 1, 2),
+z AS (SELECT fu.user_id, fu.item_id, fused, n_sources, item_cf, popularity, trending, (SELECT count(*) FROM tr WHERE tr.item_id = fu.item_id) AS item_event_count, (SELECT count(*) FROM tr WHERE tr.user_id = fu.user_id) AS user_event_count,
+  (CASE WHEN (fu.user_id, fu.item_id) IN (SELECT user_id, item_id FROM tt) THEN 1 ELSE 0 END)::int AS label FROM fu JOIN sc USING (user_id, item_id))
+SELECT * FROM z QUALIFY sum(label) OVER (PARTITION BY user_id) > 0""")
+def rk2(spark, d):
+    return dataset(spark, d)
+
+
+@query("rk3_pairwise_ranker")
+def rk3(spark, d):
+    from wayfare.sources.tables import checkpointed
+
+    data = checkpointed(dataset(spark, d), "ranking")
+    return ranking.linear_rank(data, ranking.fit_pairwise(ranking.pairwise(data, _FEATURES, "fused"), _FEATURES), 10).select("user_id", "item_id", "label", "score", "rank")
+
+
+@query("rk4_explanations")
+def rk4(spark, d):
+    data = dataset(spark, d)
+    w = {"fused": 30.0, "item_cf": 0.2, "popularity": 0.001}
+    reasons = ranking.explain_linear(ranking.linear_rank(data, w, 5), data, w, 2)
+    return reasons.select("user_id", "item_id", F.posexplode("reasons").alias("place", "r")).select("user_id", "item_id", "place", "r.feature", F.round("r.value", 6).alias("value"))
+
+
+def _shelf(spark, d):
+    p = table(spark, d, "part").where("p_partkey < 400")
+    return p.select((F.col("p_partkey") % 8).alias("user_id"), F.col("p_partkey").alias("item_id"), F.round(F.col("p_retailprice") / 1000 + (F.col("p_partkey") * 37 % 101) / 100, 4).alias("score"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_partkey") % 5).cast("int").alias("merchant_id"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_size") % 4).cast("int").alias("category_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") % 9 != 0).alias("is_available"), F.when(F.col("p_partkey") % 6 != 0, (F.col("p_partkey") % 60).cast("double")).alias("delivery_minutes"), (F.col("p_partkey") % 10 == 0).alias("is_sponsored"), ((F.col("p_partkey") % 100) / 100).alias("popularity_rank"))
+
+
+SHELF_SQL = """sh AS (SELECT p_partkey % 8 AS user_id, p_partkey AS item_id, round(p_retailprice / 1000 + (p_partkey * 37 % 101) / 100, 4) AS score, (CASE WHEN p_partkey % 11 <> 0 THEN p_partkey % 5 END)::int AS merchant_id,
+  (CASE WHEN p_partkey % 13 <> 0 THEN p_size % 4 END)::int AS category_id, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 9 <> 0 END AS is_available, CASE WHEN p_partkey % 6 <> 0 THEN (p_partkey % 60)::double END AS delivery_minutes,
+  p_partkey % 10 = 0 AS is_sponsored, (p_partkey % 100) / 100 AS popularity_rank FROM part WHERE p_partkey < 400),
+kp AS (SELECT *, CASE WHEN NOT coalesce(is_available, true) THEN 'unavailable' WHEN delivery_minutes > 45 THEN 'delivery_time' END AS reason FROM sh),
+aj AS (SELECT *, round(score + CASE WHEN is_sponsored THEN 0.1 ELSE 0 END - 0.2 * (1 - popularity_rank), 6) AS final FROM kp WHERE reason IS NULL)"""
+
+
+@query("rr1_hard_filters", f"WITH {SHELF_SQL} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM kp GROUP BY 1")
+def rr1(spark, d):
+    return ranking.hard_filters(_shelf(spark, d), 45).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _adjusted(spark, d):
+    kept = ranking.hard_filters(_shelf(spark, d), 45).where("reason IS NULL")
+    return ranking.adjust(kept, 0.1, 0.2).withColumn("final", F.round("final", 6))
+
+
+@query("rr2_adjustments", f"WITH {SHELF_SQL} SELECT item_id, final, (CASE WHEN is_sponsored THEN 1 ELSE 0 END + CASE WHEN popularity_rank <> 1 THEN 1 ELSE 0 END)::int AS n_adjustments FROM aj")
+def rr2(spark, d):
+    return _adjusted(spark, d).select("item_id", "final", F.size("adjustments").alias("n_adjustments"))
+
+
+@query("rr3_diversity", f"""WITH RECURSIVE {SHELF_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, item_id) AS i FROM aj),
+g AS (SELECT user_id, 0::bigint AS i, []::int[] AS ms, []::int[] AS cs, []::bigint[] AS ids FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT o.user_id, o.i, CASE WHEN f THEN list_append(ms, o.merchant_id) ELSE ms END, CASE WHEN f THEN list_append(cs, o.category_id) ELSE cs END, CASE WHEN f THEN list_append(ids, o.item_id) ELSE ids END
+  FROM (SELECT g.*, o.i AS ni, o.item_id, o.merchant_id, o.category_id, len(ids) < 15 AND (o.merchant_id IS NULL OR len(list_filter(ms, lambda x: x = o.merchant_id)) < 2) AND (o.category_id IS NULL OR len(list_filter(cs, lambda x: x = o.category_id)) < 3) AS f
+        FROM g JOIN o ON o.user_id = g.user_id AND o.i = g.i + 1) o_),
+e AS (SELECT user_id, arg_max(ids, i) AS ids FROM g GROUP BY 1),
+c AS (SELECT user_id, unnest(ids) AS item_id, generate_subscripts(ids, 1) AS position FROM e),
+l AS (SELECT o.user_id, o.item_id, len(e.ids) + row_number() OVER (PARTITION BY o.user_id ORDER BY o.i) AS position FROM o JOIN e ON e.user_id = o.user_id WHERE NOT list_contains(e.ids, o.item_id))
+SELECT user_id, position::int AS position, item_id, false AS relaxed FROM c UNION ALL SELECT user_id, position::int, item_id, true FROM l WHERE position <= 15""".replace("SELECT o.user_id, o.i, CASE WHEN f THEN list_append(ms, o.merchant_id) ELSE ms END, CASE WHEN f THEN list_append(cs, o.category_id) ELSE cs END, CASE WHEN f THEN list_append(ids, o.item_id) ELSE ids END", "SELECT o_.user_id, o_.ni, CASE WHEN f THEN list_append(ms, o_.merchant_id) ELSE ms END, CASE WHEN f THEN list_append(cs, o_.category_id) ELSE cs END, CASE WHEN f THEN list_append(ids, o_.item_id) ELSE ids END"))
+def rr3(spark, d):
+    return ranking.diversify(_adjusted(spark, d), 15)
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+_COS_SQL = """v AS (SELECT vec_id AS id, [x::double / sqrt(list_sum([y::double * y::double FOR y IN embedding])) FOR x IN embedding] AS e FROM embeddings),
+tk AS (SELECT * FROM (SELECT q.id AS query, v.id, round(list_inner_product(q.e, v.e), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_inner_product(q.e, v.e), 6) DESC, v.id) AS rank FROM v q JOIN v ON q.id < 10 AND q.id <> v.id) WHERE rank <= 10)"""
+
+
+@query("vx2_cosine_topk", f"WITH {_COS_SQL} SELECT query, id, score, rank::int AS rank FROM tk")
+def vx2(spark, d):
+    v = _vectors(spark, d)
+    return R.cosine_topk(v.where("id < 10"), v, 10)
+
+
+@query("tk6_lsh_recall")
+def lsh(spark, d):
+    v = _vectors(spark, d)
+    q = v.where("id < 10")
+    return evaluate.overlap_at_k(R.lsh_topk(q, v, 10), R.cosine_topk(q, v, 10), 10)
+
+
+@query("vx1_vector_checks", "SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS wrong_size, count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS not_finite FROM embeddings")
+def vx1(spark, d):
+    return R.bad_vectors(_vectors(spark, d), 64)
+
+
+@query("vx4_stratified_sample", """WITH g AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS a, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::varchar), vec_id) AS r FROM embeddings)
+SELECT vec_id AS id, label FROM g WHERE r <= greatest(1, round(100 * n / a))""")
+def vx4(spark, d):
+    return R.stratified(_vectors(spark, d), "label", "id", 100).select("id", "label")
+
+
+@query("vx5_pca_sphere")
+def vx5(spark, d):
+    p = R.pca_sphere(_vectors(spark, d))
+    return p.select("id", *[F.round(F.abs(F.col("u")[i]), 6).alias(f"u{i}") for i in range(3)])
+
+
+@query("vx8_barycentre", f"""WITH {_COS_SQL}, p AS (SELECT *, exp((score - max(score) OVER (PARTITION BY query)) / 0.05::double) AS w FROM tk)
+SELECT query, round(sum(w * (id % 7)) / sum(w), 5) AS x, round(sum(w * (id % 11)) / sum(w), 5) AS y, round(sum(w * (id % 13)) / sum(w), 5) AS z FROM p GROUP BY 1""")
+def vx8(spark, d):
+    v = _vectors(spark, d)
+    places = v.select("id", *[(F.col("id") % m).cast("double").alias(c) for c, m in (("x", 7), ("y", 11), ("z", 13))])
+    return R.barycentre(R.cosine_topk(v.where("id < 10"), v, 10), places).select("query", *[F.round(c, 5).alias(c) for c in "xyz"])
+
+
+@query("ag21_log_sampling", f"WITH {SPLIT}, c AS (SELECT i.range::int AS item_id, (SELECT count(*) FROM tr WHERE tr.item_id = i.range) AS n FROM range(110) i) SELECT item_id, round(ln((n + 1) / sum(n + 1) OVER ()), 6) AS logq FROM c")
+def logq(spark, d):
+    train = splits(spark, d)[1]
+    counts = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return R.log_sampling(counts, spark.range(110).select(F.col("id").cast("int").alias("item_id"))).withColumn("logq", F.round("logq", 6))
+
+
+@query("set_operations", f"""WITH {SPLIT}, x AS (SELECT DISTINCT user_id, item_id FROM tr), y AS (SELECT DISTINCT user_id, item_id FROM te)
+SELECT (SELECT count(*) FROM (FROM x UNION FROM y)) AS either, (SELECT count(*) FROM (FROM x INTERSECT FROM y)) AS both_sides, (SELECT count(*) FROM (FROM y EXCEPT FROM x)) AS only_test""")
+def sets(spark, d):
+    _, train, test = splits(spark, d)
+    x, y = train.select("user_id", "item_id"), test.select("user_id", "item_id")
+    n = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+    return n(x.union(y).distinct(), "either").join(n(x.intersect(y), "both_sides")).join(n(y.subtract(x), "only_test"))
+
+
+@query("md6_als_topk")
+def als(spark, d):
+    return R.als_topk(R.als(R.user_item(splits(spark, d)[1])), 10)
+
+
+def _indexed(train):
+    users = ingest.dense_ids(train, "user_id", 4).withColumnRenamed("index", "user_index")
+    items = ingest.dense_ids(train, "item_id", 4)
+    return users, items
+
+
+@query("md7_negatives")
+def md7(spark, d):
+    train = splits(spark, d)[1]
+    return R.negatives(R.user_item(train), _indexed(train)[1], 2)
+
+
+@query("md6_bpr_topk")
+def bpr(spark, d):
+    train = splits(spark, d)[1]
+    users, items = _indexed(train)
+    triples = R.negatives(R.user_item(train), items, 4)
+    i = items.select("item_id", F.col("index").alias("positive"))
+    n = items.select(F.col("item_id").alias("negative_item"), F.col("index").alias("negative"))
+    data = triples.withColumnRenamed("negative", "negative_item").join(users, "user_id").join(i, "item_id").join(n, "negative_item").select(F.col("user_index").alias("user"), "positive", "negative")
+    u, v, b = neural.fit_bpr(data, users.count(), items.count())
+    return neural.factor_topk(spark, u, v, b, users, 10)
+
+
+@query("md8_two_tower_topk")
+def two_tower(spark, d):
+    train = splits(spark, d)[1]
+    users, items = _indexed(train)
+    us = asof.user_state(train).join(users, "user_id").orderBy("user_index").select(F.log1p("events"), F.log1p("purchases"), F.log1p("distinct_items"), F.coalesce("avg_price", F.lit(0.0))).toPandas().to_numpy(float)
+    it = asof.item_state(train).join(items, "item_id").orderBy("index").select(F.log1p("events"), F.log1p("purchases"), F.log1p("distinct_users")).toPandas().to_numpy(float)
+    scale = lambda x: (x - x.mean(0)) / np.maximum(x.std(0), 1e-9)
+    xu, xi = scale(us), scale(it)
+    pairs = R.user_item(train).join(users, "user_id").join(items, "item_id").orderBy(F.xxhash64("user_id", "item_id")).limit(neural.FIT_PAIRS).select("user_index", "index").toPandas().to_numpy()
+    n = np.bincount(pairs[:, 1], minlength=len(xi)) + 1.0
+    model = neural.TwoTower(len(xu), len(xi), xu.shape[1], xi.shape[1])
+    model.fit(pairs[:, 0], pairs[:, 1], xu, xi, np.log(n / n.sum()))
+    return neural.factor_topk(spark, model.encode("u", np.arange(len(xu)), xu), model.encode("i", np.arange(len(xi)), xi), np.zeros(len(xi)), users, 10)

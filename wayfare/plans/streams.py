@@ -1 +1,73 @@
-"""Queries."""
+"""Queries that run as streams over the events until all are read, and return what the sink then holds."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wayfare.plans.registry import query
+from wayfare.sources.tables import BEHAVIOUR_SQL as A
+from wayfare.sources.tables import behaviour, checkpointed
+from wayfare.streaming import events as S
+
+
+def _run(spark: SparkSession, d: str, build, files: int = 4, mode: str = "update") -> DataFrame:
+    """Write the events as a few files in time order, stream them through build(), append each batch to a table."""
+    df = behaviour(spark, d).select("event_id", "ts", "user_id", "item_id", "event_type", "price_at_event")
+    where = f"{checkpoint_dir(spark)}/wayfare/stream-{uuid.uuid4().hex}"
+    df.repartitionByRange(files, "ts").write.parquet(f"{where}/in")
+    out = build(S.read_stream(spark, f"{where}/in", 1))
+    schema = out.schema
+
+    def write(batch: DataFrame, nr: int) -> None:
+        batch.withColumn("batch", F.lit(nr)).write.mode("append").parquet(f"{where}/out")
+
+    q = out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{where}/out")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = "/tmp/wayfare-shared"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+@query("st1_running_state", f"WITH {A} SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 9) AS purchases, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM a GROUP BY 1")
+def running_state(spark, d):
+    out = _run(spark, d, S.running_user_state)
+    return out.groupBy("user_id").agg(F.max("events").alias("events"), F.max("purchases").alias("purchases"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+
+@query("st2_accepted_events", f"""WITH {A} SELECT CASE WHEN user_id >= 140 THEN 'unknown_user' WHEN item_id >= 95 THEN 'unknown_item' ELSE 'accepted' END AS reason, count(*) AS n FROM a GROUP BY 1""")
+def accepted(spark, d):
+    users = spark.range(140).select(F.col("id").alias("user_id"))
+    items = spark.range(95).select(F.col("id").cast("int").alias("item_id"))
+    out = _run(spark, d, lambda e: S.accept(e, users, items).select("event_id", "reason"), mode="append")
+    return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# A last batch without rows moves the watermark to one hour before the last event; what ends by then has been written.
+@query("st3_closed_sessions", f"""WITH {A}, l AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM a),
+m AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l)
+SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 30 MINUTE AS ended_at, count(*) AS n_events FROM m GROUP BY user_id, g HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM a) - INTERVAL 1 HOUR""")
+def closed(spark, d):
+    return _run(spark, d, S.closed_sessions, mode="append").drop("batch")
+
+
+@query("st4_windowed_counts", f"""WITH {A}, w AS (SELECT date_trunc('day', ts) - to_days(range::int) AS b, event_type FROM a, range(7))
+SELECT b::timestamp AS start, b::timestamp + INTERVAL 7 DAY AS "end", event_type, count(*) AS n FROM w GROUP BY 1, 2, 3 HAVING b::timestamp + INTERVAL 7 DAY <= (SELECT max(ts) FROM a) - INTERVAL 1 HOUR""")
+def windowed(spark, d):
+    return _run(spark, d, lambda e: S.windowed_counts(e, "7 days", "1 day", "1 hour"), mode="append").drop("batch")
+
+
+@query("st5_merged_history", f"WITH {A} SELECT DISTINCT user_id, item_id FROM a")
+def history(spark, d):
+    e = behaviour(spark, d)
+    old = checkpointed(e.where("event_id % 2 = 0"), "history")
+    return S.merge_history(e.where("event_id % 2 = 1"), old)
