@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.functions.distributed import row_numbers
 from wayfare.functions.expr import relative_change
 
 KS = (5, 10, 20)
@@ -52,14 +53,14 @@ def beyond_accuracy(recommended: DataFrame, catalogue: DataFrame, categories: Da
     catalogue: (item_id); categories: (item_id, category_id); popularity: (item_id, n), items without count 0.
     """
     counts = recommended.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    i = F.row_number().over(Window.orderBy("n", "item_id"))  # one row for each recommended item
-    g = counts.withColumn("i", i).agg(F.count(F.lit(1)).alias("distinct_items"), (2 * F.sum(F.col("i") * F.col("n")) / (F.count(F.lit(1)) * F.sum("n")) - (F.count(F.lit(1)) + 1) / F.count(F.lit(1))).alias("gini"))
+    g = row_numbers(counts, ["n", "item_id"], "i").agg(F.count(F.lit(1)).alias("distinct_items"), (2 * F.sum(F.col("i") * F.col("n")) / (F.count(F.lit(1)) * F.sum("n")) - (F.count(F.lit(1)) + 1) / F.count(F.lit(1))).alias("gini"))
     size = catalogue.select("item_id").distinct().agg(F.count(F.lit(1)).alias("catalogue"))
     lists = recommended.join(categories, "item_id", "left").groupBy("user_id").agg((F.countDistinct("category_id") / F.count(F.lit(1))).alias("d"), F.count(F.lit(1)).alias("c"))
     diversity = lists.agg(F.avg(F.when(F.col("c") >= 2, F.col("d"))).alias("diversity"))
     pop = catalogue.select("item_id").distinct().join(popularity, "item_id", "left").fillna(0, ["n"])
-    rank = (F.row_number().over(Window.orderBy(F.desc("n"), "item_id")) - 1) / F.greatest(F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) - 1, F.lit(1))
-    ranks = recommended.join(pop.withColumn("r", rank).select("item_id", "r"), "item_id").groupBy("user_id").agg(F.avg("r").alias("r")).agg(F.avg("r").alias("popularity_rank"))
+    places = row_numbers(pop, [F.desc("n"), F.asc("item_id")], "p").join(F.broadcast(size))
+    places = places.select("item_id", ((F.col("p") - 1) / F.greatest(F.col("catalogue") - 1, F.lit(1))).alias("r"))
+    ranks = recommended.join(places, "item_id").groupBy("user_id").agg(F.avg("r").alias("r")).agg(F.avg("r").alias("popularity_rank"))
     return g.join(size).join(diversity).join(ranks).select(F.round(F.col("distinct_items") / F.col("catalogue"), 6).alias("coverage"), "distinct_items", F.round("gini", 6).alias("gini"), F.round("diversity", 6).alias("diversity"), F.round("popularity_rank", 6).alias("popularity_rank"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.functions.distributed import row_numbers
 from wayfare.functions.expr import DAY
 from wayfare.sources.tables import checkpointed
 
@@ -42,17 +43,10 @@ def cap_presets(events: DataFrame, users: int, items: int) -> DataFrame:
     return kept.join(top(kept, "item_id", items), "item_id", "left_semi")
 
 
-def dense_ids(events: DataFrame, column: str, buckets: int = 64) -> DataFrame:
-    """(column, index): 0-based dense codes of the distinct values in their order.
-
-    Values are range-partitioned and numbered within each part; parts are shifted by the counts before them, so no
-    task orders all values.
-    """
-    ids = checkpointed(events.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(buckets, column).withColumn("_p", F.spark_partition_id()), "ids")
-    sizes = ids.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))  # one row for each part
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
-    return ids.join(shift, "_p").select(column, (F.col("_s") + rank).alias("index"))
+def dense_ids(events: DataFrame, column: str) -> DataFrame:
+    """(column, index): 0-based dense codes of the distinct values in their order."""
+    ids = events.select(column).where(F.col(column).isNotNull()).distinct()
+    return row_numbers(ids, [column], "_n").select(column, (F.col("_n") - 1).alias("index"))
 
 
 def latest_value(changes: DataFrame, key: str, value: str, ts: str = "ts") -> DataFrame:

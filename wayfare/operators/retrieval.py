@@ -84,8 +84,10 @@ def cold_start(affinity: DataFrame, popularity: DataFrame, session_items: DataFr
 
     affinity: (session, item_id, score); popularity: (item_id, score), joined as a broadcast only under Spark's size limit.
     """
-    whole, own = Window.partitionBy(F.lit(1)), Window.partitionBy("session")
-    pop = popularity.withColumn("pop", unit_scale("score", whole)).select("item_id", "pop")
+    own = Window.partitionBy("session")
+    ends = popularity.agg(F.min("score").alias("_l"), F.max("score").alias("_h"))
+    scaled = F.when(F.col("_h") > F.col("_l"), (F.col("score") - F.col("_l")) / (F.col("_h") - F.col("_l"))).otherwise(F.lit(0.0))
+    pop = popularity.join(F.broadcast(ends)).select("item_id", scaled.alias("pop"))
     every = session_items.select("session").distinct().join(pop)
     both = every.join(affinity.withColumnRenamed("score", "aff"), ["session", "item_id"], "left").fillna(0.0, ["aff"]).withColumn("_a", unit_scale("aff", own))
     scored = both.select("session", "item_id", F.round(share * F.col("_a") + (1 - share) * F.col("pop"), 9).alias("score"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.functions.distributed import running_sum
+
 GAP_MINUTES, MAX_EVENTS = 30, 500
 TRAIN, VALIDATION = 0.70, 0.15
 
@@ -21,8 +23,7 @@ def sessionize(events: DataFrame, gap_minutes: int = GAP_MINUTES, max_events: in
     out = out.withColumn("_part", part)
     out = out.withColumn("session_nr", F.dense_rank().over(Window.partitionBy("user_id").orderBy("_s", "_part")) - 1).drop("_new", "_s", "_part")
     counts = out.groupBy("user_id").agg((F.max("session_nr") + 1).alias("_n"))
-    # One narrow row per user is ordered here.
-    base = counts.select("user_id", (F.sum("_n").over(Window.orderBy("user_id")) - F.col("_n")).alias("_base"))
+    base = running_sum(counts, ["user_id"], F.col("_n"), "_upto").select("user_id", (F.col("_upto") - F.col("_n")).alias("_base"))
     return out.join(base, "user_id").withColumn("session_id", F.col("_base") + F.col("session_nr")).drop("_base")
 
 

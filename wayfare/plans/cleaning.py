@@ -53,7 +53,7 @@ def price_bins(spark, d):
 
 @query("prj5_factorize", "SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) AS code FROM (SELECT DISTINCT p_brand FROM part)")
 def factorize(spark, d):
-    ids = ingest.dense_ids(table(spark, d, "part"), "p_brand", 8)
+    ids = ingest.dense_ids(table(spark, d, "part"), "p_brand")
     return ids.select("p_brand", (F.col("index") + 1).alias("code"))
 
 
@@ -108,7 +108,7 @@ def capped(spark, d):
 
 @query("idx1_dense_ids", "SELECT o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS index FROM (SELECT DISTINCT o_custkey FROM orders)")
 def dense(spark, d):
-    return ingest.dense_ids(table(spark, d, "orders"), "o_custkey", 8)
+    return ingest.dense_ids(table(spark, d, "orders"), "o_custkey")
 
 
 @query("hie1_category_roots", """WITH RECURSIVE t AS (SELECT n_nationkey AS category_id, 100 + n_regionkey AS parent_id FROM nation UNION ALL SELECT 100 + r_regionkey, CASE WHEN r_regionkey > 2 THEN 200 END FROM region),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfare.functions import expr as X
+from wayfare.functions.distributed import row_numbers
 from wayfare.operators import asof, evaluate, popularity, sessions
 from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
 from wayfare.plans.registry import query
@@ -135,15 +135,14 @@ def numbers(spark, d):
     from wayfare.operators.ingest import dense_ids
 
     key = F.struct("ts", "event_id").alias("key")
-    return dense_ids(behaviour(spark, d).select(key), "key", 8).select("key.event_id", F.col("index").alias("nr"))
+    return dense_ids(behaviour(spark, d).select(key), "key").select("key.event_id", F.col("index").alias("nr"))
 
 
 @query("wn10_history_ladder", f"""WITH {SPLIT}, h AS (SELECT user_id, count(DISTINCT item_id) AS history_items FROM tr GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY history_items DESC, user_id) - 1 AS rank, count(*) OVER () AS n FROM h)
 SELECT user_id, history_items, round(100.0::double * (1 - rank / greatest(n - 1, 1)), 1) AS percentile FROM r WHERE rank % greatest(1, n // 8) = 0 AND rank // greatest(1, n // 8) < 8""")
 def ladder(spark, d):
-    from pyspark.sql import Window
-
     h = splits(spark, d)[1].groupBy("user_id").agg(F.countDistinct("item_id").alias("history_items"))
-    r = h.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("history_items"), "user_id")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    r = row_numbers(h, [F.desc("history_items"), F.asc("user_id")], "rank").withColumn("rank", F.col("rank") - 1)
+    r = r.join(F.broadcast(h.agg(F.count(F.lit(1)).alias("n"))))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / 8))
     return r.where((F.col("rank") % step == 0) & (F.floor(F.col("rank") / step) < 8)).select("user_id", "history_items", F.round(100.0 * (1 - F.col("rank") / F.greatest(F.col("n") - 1, F.lit(1))), 1).alias("percentile"))

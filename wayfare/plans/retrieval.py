@@ -273,8 +273,8 @@ def als(spark, d):
 
 
 def _indexed(train):
-    users = ingest.dense_ids(train, "user_id", 4).withColumnRenamed("index", "user_index")
-    items = ingest.dense_ids(train, "item_id", 4)
+    users = ingest.dense_ids(train, "user_id").withColumnRenamed("index", "user_index")
+    items = ingest.dense_ids(train, "item_id")
     return users, items
 
 
