@@ -32,7 +32,7 @@ def test_twin(spark, con, name):
     assert rows((r.asDict() for r in got.collect()), cols) == rows(want, cols)
 
 
-@pytest.mark.parametrize("name", ["aug6_merchants", "aug8_item_prices", "rk3_pairwise_ranker", "md6_bpr_topk", "tk6_lsh_recall", "ab3_bootstrap"])
+@pytest.mark.parametrize("name", ["aug6_merchants", "aug8_item_prices", "rk3_pairwise_ranker", "md6_bpr_topk", "tk6_lsh_recall", "ab3_bootstrap", "job_experiment"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

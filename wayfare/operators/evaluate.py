@@ -87,6 +87,12 @@ def sample_users(users: DataFrame, n: int, seed: int) -> DataFrame:
     return users.select("user_id").distinct().orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("user_id").cast("string"))), "user_id").limit(n)
 
 
+def shared_users(control: DataFrame, treatment: DataFrame, truth: DataFrame) -> DataFrame:
+    """(user_id): users with truth to whom both variants recommend something."""
+    users = truth.select("user_id").distinct()
+    return users.join(control, "user_id", "left_semi").join(treatment, "user_id", "left_semi")
+
+
 def paired(control: DataFrame, treatment: DataFrame, metric: str) -> DataFrame:
     """(user_id, diff) over users measured in both."""
     c, t = control.select("user_id", F.col(metric).alias("c")), treatment.select("user_id", F.col(metric).alias("t"))

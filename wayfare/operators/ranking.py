@@ -53,6 +53,18 @@ def linear_rank(dataset: DataFrame, coefficients: dict[str, float], k: int) -> D
     return dataset.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def rank_candidates(candidates: DataFrame, coefficients: dict[str, float] | None, k: int) -> DataFrame:
+    """The k best candidates of each user by a linear ranker, or by their fused score while there is none."""
+    return linear_rank(candidates, coefficients or {"fused": 1.0}, k)
+
+
+def importance(dataset: DataFrame, coefficients: dict[str, float]) -> DataFrame:
+    """(feature, importance): each feature's share of the score's spread, |w| times its standard deviation."""
+    spread = dataset.agg(*[(abs(w) * F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))).alias(c) for c, w in coefficients.items()])
+    whole = Window.partitionBy(F.lit(1))  # a row for each feature
+    return spread.unpivot([], list(coefficients), "feature", "v").select("feature", (F.col("v") / F.sum("v").over(whole)).alias("importance"))
+
+
 def explain_linear(ranked: DataFrame, background: DataFrame, coefficients: dict[str, float], top: int) -> DataFrame:
     """(user_id, item_id, reasons): the `top` contributions w * (x - mean), the exact Shapley values of a linear score."""
     means = background.agg(*[F.coalesce(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), F.lit(0.0)).alias(f"_m_{c}") for c in coefficients])
@@ -68,11 +80,14 @@ def hard_filters(items: DataFrame, max_minutes: float) -> DataFrame:
 
 
 def adjust(items: DataFrame, sponsored: float = 0.0, popularity: float = 0.0) -> DataFrame:
-    """items with final and adjustments: boosts are added to, never put in place of, the model's score; zeros are unrecorded."""
+    """items with final and adjustments: boosts are added to, never put in place of, the model's score; zeros are unrecorded.
+
+    final is rounded to 9 places, so that sums in another order tie alike.
+    """
     boost = F.when(F.coalesce("is_sponsored", F.lit(False)), F.lit(sponsored)).otherwise(F.lit(0.0))
     penalty = F.when(F.col("popularity_rank").isNotNull(), -popularity * (1 - F.col("popularity_rank"))).otherwise(F.lit(0.0))
     deltas = F.map_filter(F.create_map(F.lit("sponsored"), boost, F.lit("popularity"), penalty), lambda _, v: v != 0)
-    return items.withColumn("adjustments", deltas).withColumn("final", F.col("score") + F.aggregate(F.map_values("adjustments"), F.lit(0.0), lambda a, x: a + x))
+    return items.withColumn("adjustments", deltas).withColumn("final", F.round(F.col("score") + F.aggregate(F.map_values("adjustments"), F.lit(0.0), lambda a, x: a + x), 9))
 
 
 def diversify(items: DataFrame, k: int, merchant_cap: int = MERCHANT_CAP, category_cap: int = CATEGORY_CAP, group: str = "user_id") -> DataFrame:

@@ -54,6 +54,12 @@ def top_k(scores: DataFrame, k: int, by: str = "user_id") -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def recommend(scores: DataFrame, k: int, exclude: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """Each user's k best items: of the candidates only, if given, and without excluded (user_id, item_id) pairs."""
+    rows = scores if candidates is None else scores.join(candidates.select("item_id"), "item_id", "left_semi")
+    return top_k(rows if exclude is None else without_seen(rows, exclude), k)
+
+
 def fuse(ranked: DataFrame, sources: list[str], exclude: DataFrame | None = None, cap: int = CANDIDATES, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of (user_id, source, item_id, rank, score): (user_id, item_id, fused, n_sources, sources, position).
 
@@ -69,6 +75,12 @@ def fuse(ranked: DataFrame, sources: list[str], exclude: DataFrame | None = None
     return fused.withColumn("position", place).where(F.col("position") <= cap).drop("_first")
 
 
+def fuse_scores(scored: DataFrame, sources: list[str], k: int = RRF_K) -> DataFrame:
+    """Rank fusion of (user_id, source, item_id, score): ranks follow from the scores, nothing is excluded or cut."""
+    rank = F.row_number().over(Window.partitionBy("user_id", "source").orderBy(F.desc("score"), "item_id"))
+    return fuse(scored.withColumn("rank", rank), sources, None, 2**31 - 1, k)
+
+
 def source_scores(ranked: DataFrame, sources: list[str]) -> DataFrame:
     """One column of scores for each source, null where it did not propose the item."""
     return ranked.groupBy("user_id", "item_id").agg(*[F.max(F.when(F.col("source") == s, F.col("score"))).alias(s) for s in sources])

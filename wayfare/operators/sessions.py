@@ -28,7 +28,9 @@ def sessionize(events: DataFrame, gap_minutes: int = GAP_MINUTES, max_events: in
 
 
 def session_table(events: DataFrame) -> DataFrame:
-    return events.groupBy("session_id").agg(F.min("user_id").alias("user_id"), F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("n_events"), F.min_by("region_id", F.struct("ts", "event_id")).alias("device"))
+    """A row for each session; device is the first event's, or its region where events carry no device."""
+    device = "device" if "device" in events.columns else "region_id"
+    return events.groupBy("session_id").agg(F.min("user_id").alias("user_id"), F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("n_events"), F.min_by(device, F.struct("ts", "event_id")).alias("device"))
 
 
 def repeat_purchases(events: DataFrame) -> DataFrame:

@@ -119,11 +119,12 @@ def gate(spark, d):
     return evaluate.promotion_gate(spark.createDataFrame(_GATE_ROWS, "metric string, candidate double, incumbent double")).withColumn("value", F.round("value", 6))
 
 
-_FEATURES = {"price": "price_at_event", "item": "item_id::double", "hour": "hour(ts)::double", "kind": "event_type::double", "constant": "1.0::double"}
+DRIFT_FEATURES = {"price": "price_at_event", "item": "item_id::double", "hour": "hour(ts)::double", "kind": "event_type::double", "constant": "1.0::double"}
 
 
-@query("dr6_drift_report", f"""WITH {SPLIT}, x AS (
-  {' UNION ALL '.join(f"SELECT '{f}' AS feature, {e} AS x, 0 AS side FROM tr UNION ALL SELECT '{f}', {e}, 1 FROM te" for f, e in _FEATURES.items())}),
+def drift_sql(reference: str = "tr", current: str = "te", extra: str = "") -> str:
+    return f"""WITH {SPLIT}{extra}, x AS (
+  {' UNION ALL '.join(f"SELECT '{f}' AS feature, {e} AS x, 0 AS side FROM {reference} UNION ALL SELECT '{f}', {e}, 1 FROM {current}" for f, e in DRIFT_FEATURES.items())}),
 st AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) FILTER (side = 0))) AS q, avg(x) FILTER (side = 0) AS reference_mean, avg(x) FILTER (side = 1) AS current_mean,
   count(*) FILTER (side = 0) AS reference_n, count(*) FILTER (side = 1) AS current_n FROM x GROUP BY 1),
 inn AS (SELECT *, q[2:greatest(len(q) - 1, 1)] AS i0 FROM st), ii AS (SELECT *, CASE WHEN len(q) < 3 THEN [] ELSE i0 END AS i FROM inn),
@@ -134,11 +135,17 @@ ps AS (SELECT feature, sum((a - e) * ln(a / e)) AS psi, sum(e * log2(e / ((e + a
 cd AS (SELECT feature, x, sum(count(*) FILTER (side = 0)) OVER w AS cr, sum(count(*) FILTER (side = 1)) OVER w AS cc FROM x GROUP BY feature, x WINDOW w AS (PARTITION BY feature ORDER BY x)),
 ks AS (SELECT feature, max(abs(cr / reference_n - cc / current_n)) AS ks FROM cd JOIN st USING (feature) GROUP BY 1)
 SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks, round(js, 6) AS js, round(reference_mean, 6) AS reference_mean, round(current_mean, 6) AS current_mean, reference_n, current_n,
-  CASE WHEN psi >= 0.25 THEN 'major' WHEN psi >= 0.1 THEN 'minor' ELSE 'stable' END AS severity FROM st JOIN ps USING (feature) JOIN ks USING (feature)""")
+  CASE WHEN psi >= 0.25 THEN 'major' WHEN psi >= 0.1 THEN 'minor' ELSE 'stable' END AS severity FROM st JOIN ps USING (feature) JOIN ks USING (feature)"""
+
+
+def drift_features(df):
+    return df.select(F.col("price_at_event").alias("price"), F.col("item_id").alias("item"), F.hour("ts").alias("hour"), F.col("event_type").alias("kind"), F.lit(1.0).alias("constant"))
+
+
+@query("dr6_drift_report", drift_sql())
 def drift_report(spark, d):
     _, train, test = splits(spark, d)
-    f = lambda df: df.select(F.col("price_at_event").alias("price"), F.col("item_id").alias("item"), F.hour("ts").alias("hour"), F.col("event_type").alias("kind"), F.lit(1.0).alias("constant"))
-    return drift.detect_drift(f(train), f(test), list(_FEATURES))
+    return drift.detect_drift(drift_features(train), drift_features(test), list(DRIFT_FEATURES))
 
 
 _BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0]

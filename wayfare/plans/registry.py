@@ -18,5 +18,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _part in ("cleaning", "features", "retrieval", "quality", "streams", "extras"):
+for _part in ("cleaning", "features", "retrieval", "quality", "streams", "extras", "more"):
     importlib.import_module(f"wayfare.plans.{_part}")
