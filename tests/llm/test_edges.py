@@ -60,6 +60,8 @@ def test_line_dedup_edges(spark):
     assert got[20].text == "header\nother" and got[21].text is None and got[21].n_lines == 0 and got[22].text == ""
     assert got[23].text == "" and got[30].text == "copy one\ncopy two" and got[40].n_dropped == 1 and got[3].kept is None
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+    dealt = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows), broadcast_lines=0).collect()}
+    assert dealt == got
 
 
 def test_preferences_edges(spark):
