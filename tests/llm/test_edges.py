@@ -64,6 +64,13 @@ def test_line_dedup_edges(spark):
     assert dealt == got
 
 
+def test_bounded_fit_sample(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("double")).alias("features"))
+    want = [r.features for r in rows.orderBy(F.xxhash64("doc_id", "features")).limit(200).collect()]
+    assert quality.smallest_hashes(rows.unionByName(rows).repartition(7), 200).tolist() == want
+    assert len(quality.smallest_hashes(rows.limit(50), 200)) == 50 and len(quality.smallest_hashes(rows.limit(0), 200)) == 0
+
+
 def test_preferences_edges(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "short"), (2, 0, "user", "hi"), (2, 1, "assistant", "a longer answer"), (2, 1, "assistant", "a longer answer"),

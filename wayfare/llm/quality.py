@@ -1,16 +1,20 @@
-"""Quality rules: an isolation forest over rule statistics, its threshold calibrated on labelled rows."""
+"""Quality rules: an isolation forest over rule statistics, its threshold calibrated on labelled rows.
+
+A statistic counts by how much it leaves its rule's range, so that ordinary texts lie together at zero and the
+forest's random splits part those that break a rule, however varied ordinary texts are.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, table
 
 #: The forest is fitted on at most this many rows; trees see SUBSAMPLE of them each.
-FIT_ROWS, TREES, SUBSAMPLE, SEED = 20_000, 100, 256, 7
+FIT_ROWS, TREES, SUBSAMPLE, SEED = 4096, 100, 256, 7
 #: Of the labelled good rows at most this share may be rejected.
 LOSS = 0.005
 #: Scores are counted in so many bins when the threshold is calibrated.
@@ -19,7 +23,14 @@ BINS = 2048
 DEFAULT_THRESHOLD = 0.75
 WINDOW = 5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = ("log_words", "word_len", "symbols", "dup_lines", "repeats", "upper", "digits", "exclaim", "distinct", "top_word", "line_words", "pipes", "sticky")
+#: Each statistic's range: characters a word, shares of symbols, repeated lines, capitals, digits and exclamation marks,
+#: distinct words over words ** 0.85, share of the commonest word, log of words a line, shares of bars and of doubled words.
+RANGES = {
+    "word_len": (3.0, 10.0), "symbols": (0.0, 0.1), "dup_lines": (0.0, 0.5), "upper": (0.0, 0.3), "digits": (0.0, 0.35), "exclaim": (0.0, 0.2),
+    "distinct": (0.5, np.inf), "top_word": (0.0, 0.3), "line_words": (0.0, 8.0), "pipes": (0.0, 0.1), "sticky": (0.0, 0.2),
+}
+FEATURES = tuple(RANGES)
+_LOW, _HIGH = np.array(list(RANGES.values())).T
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 _UPPER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
@@ -27,7 +38,7 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 def text_statistics(text: str | None) -> tuple[list[int], list[float]]:
-    """The base counts and the features of one text."""
+    """The base counts and the statistics (in the order of FEATURES) of one text."""
     text = text or ""
     raw = text.encode()
     words = raw.split()  # bytes split at exactly the six white-space characters
@@ -53,10 +64,20 @@ def text_statistics(text: str | None) -> tuple[list[int], list[float]]:
     d = max(n, 1)
     size = max(len(raw), 1)
     upper, digits = size - len(raw.translate(None, _UPPER)), size - len(raw.translate(None, _DIGIT))
-    features = [np.log1p(n), chars / d, symbols / d, dup / max(len(lines), 1), repeat / d, upper / size, digits / size, text.count("!") / d, len(ids) / d**0.85, top / d, np.log1p(n / max(len(lines), 1)), text.count("|") / d, sticky / d]
+    features = [chars / d, symbols / d, dup / max(len(lines), 1), upper / size, digits / size, text.count("!") / d, len(ids) / d**0.85, top / d, np.log1p(n / max(len(lines), 1)), text.count("|") / d, sticky / d]
     return [n, chars, symbols, dup, repeat], [float(x) for x in features]
 
 
+def excess(x: np.ndarray) -> np.ndarray:
+    """By how much statistics leave their ranges."""
+    x = x.reshape(-1, len(FEATURES))
+    return np.maximum(x - _HIGH, 0) + np.maximum(_LOW - x, 0)
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """docs (without text) with the base counts and an array of features; null and blank texts have no words."""
     keep = [c for c in docs.columns if c != "text" and c not in BASE and c != "features"]
@@ -70,7 +91,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 base.append(b)
                 features.append(f)
             counts = np.array(base, np.int64).reshape(-1, len(BASE))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(features) * len(FEATURES) + 1, len(FEATURES), dtype=np.int32)), pa.array(np.array(features, np.float64).reshape(-1)))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(features) * len(FEATURES) + 1, len(FEATURES), dtype=np.int32)), pa.array(excess(np.array(features, np.float64)).reshape(-1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(counts[:, i]) for i in range(len(BASE))], flat], [*keep, *BASE, "features"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields], *[f"{c} long" for c in BASE], "features array<double>"])
@@ -120,15 +141,28 @@ class IsolationForest:
 
 
 def fit_forest(stats: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS) -> IsolationForest | None:
-    """A forest of the labelled good rows (without any: of all rows) with the smallest hashes, fit_rows at most."""
-    rows = stats.select("doc_id", "features")
+    """A forest of the labelled rows (of all rows where few are labelled) that pass the base and have the smallest hashes, fit_rows at most."""
+    rows = stats.where(~base_failed()).select("doc_id", "features")
     if labels is not None:
-        good = labels.where("quality = 1").select("doc_id").distinct()
-        chosen = rows.join(good, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", "features")).limit(fit_rows).collect()
+        labelled = labels.where("quality IS NOT NULL").select("doc_id").distinct()
+        chosen = smallest_hashes(rows.join(labelled, "doc_id", "left_semi"), fit_rows)
         if len(chosen) >= SUBSAMPLE // 4:
-            return IsolationForest(np.array([r.features for r in chosen]))
-    chosen = rows.orderBy(F.xxhash64("doc_id", "features")).limit(fit_rows).collect()
-    return IsolationForest(np.array([r.features for r in chosen])) if chosen else None
+            return IsolationForest(chosen)
+    chosen = smallest_hashes(rows, fit_rows)
+    return IsolationForest(chosen) if len(chosen) else None
+
+
+def smallest_hashes(rows: DataFrame, n: int) -> np.ndarray:
+    """Features of the n distinct rows with the smallest hashes.
+
+    A limit on the hash leaves about 1.5 n rows of all tasks together to be sent, whatever the number of tasks.
+    """
+    hashed = rows.select(F.xxhash64("doc_id", "features").alias("h"), "features")
+    distinct = hashed.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    if distinct > 1.5 * n:
+        hashed = hashed.where(F.col("h") < int(-(2**63) + 2**64 * (1.5 * n / distinct)))
+    chosen = hashed.groupBy("h").agg(F.first("features").alias("features")).collect()
+    return np.array([r.features for r in sorted(chosen, key=lambda r: r.h)[:n]])
 
 
 def scored(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
@@ -147,13 +181,13 @@ def scored(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
 def calibrate(rated: DataFrame, labels: DataFrame | None, loss: float = LOSS) -> float:
     """The threshold with the best balance of labelled rows, among those that reject at most `loss` of the good ones.
 
-    Labelled rows are counted by quality and score bin, so the driver gets 2 * BINS numbers whatever the size.
+    Only rows that pass the base count; among equal thresholds the middle one is taken.  Labelled rows are counted by quality and score bin, so the driver gets 2 * BINS numbers whatever the size.
     """
     if labels is None:
         return DEFAULT_THRESHOLD
     own = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     at = F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).cast("int")
-    counts = rated.join(own, "doc_id").groupBy(at.alias("at"), (F.col("quality") == 1).alias("good")).count().collect()
+    counts = rated.where(~base_failed()).join(own, "doc_id").groupBy(at.alias("at"), (F.col("quality") == 1).alias("good")).count().collect()
     table_ = np.zeros((2, BINS))
     for r in counts:
         table_[int(r["good"]), r["at"]] += r["count"]
@@ -161,7 +195,8 @@ def calibrate(rated: DataFrame, labels: DataFrame | None, loss: float = LOSS) ->
         return DEFAULT_THRESHOLD
     above = table_[:, ::-1].cumsum(1)[:, ::-1] / table_.sum(1, keepdims=True)  # share at or above a bin's lower edge
     gain = np.where(above[1] <= loss, above[0] - above[1], -1.0)
-    return float(np.argmax(gain)) / BINS if gain.max() > 0 else 1.0
+    best = np.flatnonzero(gain == gain.max())
+    return float(best[0] + best[-1]) / 2 / BINS if gain.max() > 0 else 1.0
 
 
 def rate(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -174,7 +209,7 @@ def rate(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     forest = fit_forest(stats, labels)
     rated = scored(stats, forest)
     threshold = calibrate(rated, labels)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = base_failed()
     return rated.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < threshold)).drop("features")
 
 
@@ -193,7 +228,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
             base = np.array([x[0] for x in both]).reshape(-1, len(BASE))
             good = (base[:, 0] >= 10) & (100 * base[:, 4] <= 20 * base[:, 0])
             if forest is not None and len(both):
-                good &= forest.score(np.array([x[1] for x in both])) < threshold
+                good &= forest.score(excess(np.array([x[1] for x in both]))) < threshold
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
