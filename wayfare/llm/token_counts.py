@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 from .encode import VOCABULARY, encoder
 
 #: Lengths are summed in spans of this many, so that no task walks over all lengths.
@@ -15,7 +15,10 @@ SPAN = 1024
 
 
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(length, docs): documents by encoded length; null texts count as empty, with length 0."""
+    """(length, docs): documents by encoded length; null texts count as empty, with length 0.
+
+    It is written once: what follows reads it several times, and texts are encoded once.
+    """
 
     def run(batches):
         ids = encoder(vocabulary).ids
@@ -24,7 +27,8 @@ def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
             length, n = np.unique(lengths, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n)], ["length", "docs"])
 
-    return docs.select("text").mapInArrow(run, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    counts = docs.select("text").mapInArrow(run, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    return staged(counts, "length-histogram")
 
 
 def suffix_table(histogram: DataFrame) -> DataFrame:
