@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import line_dedup, mixing, packing, quality, simhash
+from wayfare.llm import jaccard, line_dedup, mixing, packing, quality
 from wayfare.llm.common import staged, table
 
 
@@ -21,8 +21,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality rules", quality_rules), ("line dedup", drop_lines), ("near dedup", near_dedup), ("mix sources", mix_sources), ("pack sequences", pack_sequences)]
 
-#: The forest, the fingerprints and the token ids can't be said in SQL; tests hold run() against a brute-force version.
+#: The forest, the shingle sets and the token ids can't be said in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

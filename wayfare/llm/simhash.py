@@ -236,17 +236,22 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataF
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of docs for each group: the one whose doc_id names it.
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs for each group of (doc_id, component_id): the one whose doc_id names it.
 
     Of repeated doc_ids one row stays; rows without doc_id name no group and stay as they are.
     """
-    groups = staged(near_groups(docs.where("doc_id IS NOT NULL"), size, bits).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")), "groups")
+    groups = staged(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")), "groups")
     once = docs.join(groups.where("doc_id = component_id AND n = 1").select("doc_id"), "doc_id", "left_semi")
     again = docs.join(staged(groups.where("doc_id = component_id AND n > 1").select("doc_id"), "repeated"), "doc_id", "left_semi")
     return once.unionByName(again.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
+def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of docs for each group of op4's links."""
+    return keep_first(docs, near_groups(docs.where("doc_id IS NOT NULL"), size, bits))
+
+
 def op4_simhash_golay(spark, sf_dir):
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
