@@ -1,6 +1,7 @@
 """Byte-level BPE encoding inside tasks.
 
-Ids are those of the `tokenizers` library with the same vocabulary.  Texts are cut where the vocabulary's
+Ids are those of the `tokenizers` library with the same vocabulary: in its default setting with `added`, where the
+literal of an added token is that token; else as with encode_special_tokens, where it is text like any other.  Texts are cut where the vocabulary's
 pre-tokenizer cuts in any context (before a space or a line end between two words), and chunks are cached per
 worker, so most of a text costs a dictionary lookup.
 """
@@ -8,6 +9,8 @@ worker, so most of a text costs a dictionary lookup.
 from __future__ import annotations
 
 import base64
+import json
+import re
 from array import array
 from functools import cache
 
@@ -17,7 +20,7 @@ CACHED = 400_000
 
 
 class Encoder:
-    def __init__(self, vocabulary: str = VOCABULARY):
+    def __init__(self, vocabulary: str = VOCABULARY, added: bool = False):
         import public_tokenizers
         import tiktoken
 
@@ -25,6 +28,11 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.added: dict[str, bytes] = {}
+        if added:
+            with open(public_tokenizers.path(vocabulary.replace(".tiktoken", ".json")), encoding="utf-8") as f:
+                self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in json.load(f)["added_tokens"]}
+        self.literal = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -48,6 +56,12 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as unsigned little-endian 32-bit numbers."""
+        if any(t in text for t in self.added):
+            return b"".join([self.added.get(part) or self.plain(part) for part in self.literal.split(text)])
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         chunks = self.chunks(text)
         known = self.known
         try:
@@ -62,6 +76,6 @@ class Encoder:
 
 
 @cache
-def encoder(vocabulary: str = VOCABULARY) -> Encoder:
-    """One for each worker process and vocabulary."""
-    return Encoder(vocabulary)
+def encoder(vocabulary: str = VOCABULARY, added: bool = False) -> Encoder:
+    """One for each worker process, vocabulary and way with added tokens."""
+    return Encoder(vocabulary, added)

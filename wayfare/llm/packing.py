@@ -23,7 +23,7 @@ CAPACITY = 1024
 END = 2
 
 
-def cut(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
+def cut(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, block, seq): the pieces; seq counts a block's pieces of one length.
 
     Null texts count as empty and give one piece that holds the end id only.  The first piece of a document that
@@ -34,7 +34,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: s
 
     def run(batches):
         block, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        ids = encoder(vocabulary).ids
+        ids = encoder(vocabulary, added).ids
         for batch in batches:
             at, piece, start, length, crc, seq = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
@@ -121,13 +121,13 @@ def _places(groups: list) -> dict[int, np.ndarray]:
     return {length: np.array(x, np.int64) for length, x in rows.items()}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
     Repeated rows and equal ids are packed each for itself; null ids stay null; an empty table gives no pieces.
     Columns of docs other than doc_id and text are not read.
     """
-    pieces = staged(cut(docs, capacity, end, vocabulary), "pieces")
+    pieces = staged(cut(docs, capacity, end, vocabulary, added), "pieces")
     counts = staged(pieces.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     places = _places(plan(histogram, capacity))
@@ -153,4 +153,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary:
 
 
 def op5_best_fit_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=True)

@@ -14,14 +14,14 @@ from .encode import VOCABULARY, encoder
 SPAN = 1024
 
 
-def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
     """(length, docs): documents by encoded length; null texts count as empty, with length 0.
 
     It is written once: what follows reads it several times, and texts are encoded once.
     """
 
     def run(batches):
-        ids = encoder(vocabulary).ids
+        ids = encoder(vocabulary, added).ids
         for batch in batches:
             lengths = np.array([len(ids(x.as_py() or "")) // 4 for x in batch.column(0)], np.int64)
             length, n = np.unique(lengths, return_counts=True)
@@ -59,4 +59,4 @@ def at_limits(suffixes: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def op6_token_counts(spark, sf_dir):
-    return suffix_table(length_histogram(table(spark, sf_dir, "documents")))
+    return suffix_table(length_histogram(table(spark, sf_dir, "documents"), added=True))
