@@ -72,3 +72,36 @@ def test_edges(spark):
     assert P.near_dedup(spark, spark.createDataFrame([], schema), SF).count() == 0
     rows = [(None, "a b"), (None, "a b"), (4, "a b"), (4, "a b"), (9, "A  B")]
     assert sorted(r.doc_id or 0 for r in P.near_dedup(spark, spark.createDataFrame(rows, schema), SF).collect()) == [0, 0, 4]
+
+
+def test_loose_groups_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 20)  # one bucket meets itself in several tasks
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.choice(200, int(rng.integers(2, 9)), replace=False):
+            copy[at] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(copy[: int(rng.integers(150, 200))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, SF).collect()) == sorted(set(brute(texts)))
+
+
+def test_shared_elements():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 50, 4000, 6000, 6000)]
+    for n in (6, 2):
+        got = J.shared_elements(sets, n)
+        want = [[len(np.intersect1d(a, b)) for b in (sets[n:] or sets)] for a in sets[:n]]
+        for i, row in enumerate(want):
+            assert [x for j, x in enumerate(row) if n < 6 or i != j] == [x for j, x in enumerate(got[i].tolist()) if n < 6 or i != j]
+
+
+def test_repeated_ids_and_rows_keep_every_text(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one, "x", None, 1), (1, two, "x", None, 1), (2, three, None, "x", 1), (2, three, None, "x", 1), (2, three, "x", None, 1), (3, two, "y", "y", 1), (7, None, "e", "e", 1), (7, "", None, None, 2), (None, one, "z", "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string, text_hash string, root long")
+    got = sorted(((r.doc_id or 0), r.text or "") for r in P.near_dedup(spark, docs, SF).collect())
+    assert got == [(0, one), (1, one), (1, two), (2, three), (7, "")]
+    assert P.near_dedup(spark, docs, SF).columns == docs.columns

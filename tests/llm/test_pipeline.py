@@ -5,8 +5,8 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline as P
-from tests.llm.test_simhash import brute
-from wayfare.llm import packing, simhash
+from tests.llm.test_jaccard import brute
+from wayfare.llm import packing
 from wayfare.llm.encode import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -34,14 +34,14 @@ def test_stages_and_run(spark):
 
     single = P.near_dedup(spark, lined, SF)
     order = sorted(rows)
-    roots = brute([simhash.fingerprint(rows[i].text) for i in order])
+    roots = brute([rows[i].text for i in order])
     assert sorted(r.doc_id for r in single.collect()) == sorted({order[j] for j in roots})
 
     mixed = P.mix_sources(spark, single, SF)
     times = Counter(r.doc_id for r in mixed.collect())
     assert set(times) <= set(r.doc_id for r in single.collect()) and max(times.values()) == 2 and mixed.columns == docs.columns
 
-    e = Encoder()
+    e = Encoder(added=True)
     text = {r.doc_id: r.text for r in single.collect()}
     out = P.run(spark, SF).collect()
     tokens = Counter()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 # Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Up to this many row keys (16 bytes each) are broadcast.
+BROADCAST_KEYS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; where none is configured, a temporary one in local mode alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "/tmp/wayfare-shared"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="wayfare-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
@@ -46,3 +51,37 @@ def word_count(text: Column) -> Column:
     blank = F.lit("")
     edge = F.when(parts[0] == blank, 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == blank), 1).otherwise(0)
     return (F.size(parts) - edge).cast("long")
+
+
+def row_key(df: DataFrame) -> tuple[Column, Column]:
+    """A 128-bit hash of all columns of a row, nulls told apart; columns of maps are not hashed."""
+    cols = [df[f"`{f.name}`"] for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    cols += [c.isNull() for c in cols]
+    return F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """doc_id, text and the key (k1, k2) of each row."""
+    k1, k2 = row_key(df)
+    return df.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
+
+
+def chosen_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one row for each root of groups (doc_id, k1, k2, root), and those of its rows that have no doc_id.
+
+    The row with the smallest (doc_id, k1, k2) stays.  The keys of what goes are counted: up to BROADCAST_KEYS of them
+    are broadcast, so that texts are not shuffled.
+    """
+    best = groups.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("best"))
+    stays = F.max(F.struct("doc_id", "k1", "k2") == F.col("best")).alias("_stays")
+    rows = groups.join(best, "root").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n"), stays)
+    gone = staged(rows.where("NOT _stays OR _n > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_stays"), "gone")
+    n, again = gone.agg(F.count(F.lit(1)), F.count(F.when(F.col("_stays"), 1))).first()
+    near = F.broadcast if n <= BROADCAST_KEYS else lambda x: x
+    k1, k2 = row_key(docs)
+    same = docs["doc_id"].isNotNull() & (k1 == F.col("_k1")) & (k2 == F.col("_k2"))
+    out = docs.join(near(gone), same, "left_anti")
+    if again:  # equal rows: one of them stays
+        few = docs.join(near(gone.where("_stays")), same, "left_semi")
+        out = out.unionByName(few.groupBy(*row_key(few)).agg(F.first(F.struct(*few.columns)).alias("_row")).select("_row.*"))
+    return out

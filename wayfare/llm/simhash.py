@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, table
+from .common import chosen_rows, keyed, partitions, staged, table
 
 SHINGLE, BITS, SEED = 4, 4, 42
 WIDTHS = (21, 21, 22)
@@ -26,33 +26,45 @@ SMALL = 16
 TASK_ROWS = 2_000_000
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    words = (text or "").encode().lower().split()  # bytes: A-Z alone are lowered, six characters alone are space
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of each run of `size` words, repeats included; fewer words are one run, no words none."""
+    digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1])).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=False)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: A-Z alone are lowered, six characters alone are space
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    return majority(shingle_hashes(split_words(text), size))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long; null texts have no words."""
-    kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
+    """docs' other columns with fp, the 64 bits of the text's fingerprint as a signed long; null texts have no words."""
+    kept = docs.drop("text")
+    names = kept.columns
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(len(names))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(fps)], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return docs.select(*names, "text").mapInArrow(run, f"{schema}, fp long")
 
 
 def golay_words() -> np.ndarray:
@@ -126,19 +138,20 @@ def _near(a: np.ndarray, b, bits: int) -> np.ndarray:
 
 
 def walk(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Edges of a forest over all links among fps: from each found fingerprint to the not yet found ones near it.
+    """Links of a forest that spans all links among fps: from each found fingerprint to the not yet found ones near it.
 
     A tight group is nearly all found from its first members, so this costs far less than all pairs.
     """
     edges = []
     left = np.unique(fps)
     while len(left):
-        root, todo, left = left[0], [left[0]], left[1:]
+        todo, left = [left[0]], left[1:]
         while todo and len(left):
-            hit = _near(left, todo.pop(), bits)
+            at = todo.pop()
+            hit = _near(left, at, bits)
             new, left = left[hit], left[~hit]
-            edges += [(int(root), int(x)) for x in new]  # linked through the walk, so the root may stand for it
-            todo += new.tolist()
+            edges += [(int(at), int(x)) for x in new]
+            todo += list(new)
     return edges
 
 
@@ -219,37 +232,35 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def near_prints(own: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, root): a name for the group of each fingerprint; own: distinct (fp, ...)."""
+    group = staged(components(candidate_links(own.select("fp"), bits)), "components")
+    return own.join(group, own["fp"] == group["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, its own included.
 
     Texts without words have fingerprint 0 and link like any other; rows without doc_id link others but cannot
     name a component (null if none can); repeated rows and ids are kept.  An empty table gives no rows.
     """
-    prints = staged(fingerprints(docs, size), "fingerprints")
-    own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    own = staged(own, "distinct-fingerprints")
-    group = staged(components(candidate_links(own.select("fp"), bits)), "components")
-    named = own.join(group, own["fp"] == group["node"])
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = group.join(least, "root").select("node", "component_id")
-    named = own.join(linked, own["fp"] == linked["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id"))
+    prints = staged(fingerprints(docs.select("doc_id", "text"), size), "fingerprints")
+    own = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = staged(near_prints(own, bits), "fingerprint-groups")
+    named = own.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(named, "root").select(F.col("fp").alias("f"), "component_id")
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of docs for each group of (doc_id, component_id): the one whose doc_id names it.
+def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of docs for each group of op4's links: the one with the smallest doc_id, then the smallest hash.
 
-    Of repeated doc_ids one row stays; rows without doc_id name no group and stay as they are.
+    Rows are known by hashes of all their columns, so different texts under one doc_id are decided each for itself.
+    Rows without doc_id stay as they are.
     """
-    groups = staged(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")), "groups")
-    once = docs.join(groups.where("doc_id = component_id AND n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(staged(groups.where("doc_id = component_id AND n > 1").select("doc_id"), "repeated"), "doc_id", "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
-
-
-def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of docs for each group of op4's links."""
-    return keep_first(docs, near_groups(docs.where("doc_id IS NOT NULL"), size, bits))
+    prints = staged(fingerprints(keyed(docs.where("doc_id IS NOT NULL")), size), "fingerprints")
+    roots = staged(near_prints(staged(prints.select("fp").distinct(), "distinct-fingerprints"), bits), "fingerprint-groups")
+    return chosen_rows(docs, staged(prints.join(roots, "fp").select("doc_id", "k1", "k2", "root"), "grouped-rows"))
 
 
 def op4_simhash_golay(spark, sf_dir):
