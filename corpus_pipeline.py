@@ -21,7 +21,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Pairs come from op4's fingerprints and Golay keys, on five words, and from MinHash bands for what 4 bits can't reach.
+    """
     return jaccard.keep_one(docs)
 
 
