@@ -157,3 +157,51 @@ def test_labels_agree_with_verdicts(spark):
     by = {(r.quality, r.kept): r["count"] for r in rated.groupBy("quality", "kept").count().collect()}
     assert by.get((0, True), 0) <= 0.05 * (by.get((0, True), 0) + by[0, False]) and by[1, True] >= 0.95 * (by[1, True] + by[1, False])
     assert rated.where(F.col("base_failed") & F.col("kept")).count() == 0
+
+
+def test_topk_of_huge_and_empty_vectors(spark):
+    rows = [(0, [3e9, 1.0]), (50, [1e30, -2.0]), (1, [-3e9, 5.0]), (2, []), (3, [1e17, 1e17]), (4, [0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    hold = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for i, q in ints:
+        if i % 50 == 0:
+            scores = sorted((-hold(sum(a * b for a, b in zip(q, v, strict=False))), j) for j, v in ints if j != i)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+    empty = spark.createDataFrame([(0, []), (50, []), (7, [])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(empty).collect()) == [(0, 1, 7, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 7, 0)]
+
+
+def test_topk_over_many_shards_and_rounds(spark, monkeypatch):
+    for name, value in (("SEED_ROWS", 16), ("SHARD_BYTES", 4000), ("BLOCK_BYTES", 400), ("ROUND", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(600, 12)), 2)
+    x[300:] = x[:300] * 0.5 + x[rng.integers(0, 300, 300)]
+    x[400:450] = x[400]
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    m = np.floor(256 * x)
+    want = []
+    for i in range(0, 600, 50):
+        s = m @ m[i]
+        want += [(i, n + 1, int(j), int(s[j])) for n, j in enumerate([j for j in np.lexsort((np.arange(600), -s)) if j != i][:5])]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+
+
+def test_max_score_with_a_score_to_beat():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 24)) * 60
+    x = np.floor(centres[rng.integers(0, 8, 3000)] + rng.normal(size=(3000, 24)) * 12)
+    shard = topk.Shard(x)
+    for q in x[:40]:
+        full = x @ q
+        for least in (np.sort(full)[-5], np.sort(full)[-200], full.max() + 1, -np.inf):
+            alive, score = topk.max_score(shard, q, 5, np.array([], int), least)
+            assert (score == full[alive]).all()
+            need = max(least, np.sort(full)[-5])
+            assert set(np.flatnonzero(full >= need).tolist()) <= set(alive.tolist())
+    walked = shard.postings(3, 10.0, True)
+    assert sorted(walked.tolist()) == np.flatnonzero(x[:, 3] >= 10).tolist()
+    assert sorted(shard.postings(3, 10.0, False).tolist()) == np.flatnonzero(x[:, 3] <= 10).tolist()
