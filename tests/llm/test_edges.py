@@ -151,6 +151,76 @@ def test_quality_counts_and_verdicts(spark):
     assert 250 < alone <= 331
 
 
+def naive_path(forest, tree, row, at=1, depth=0):
+    """Steps to a row's leaf, and what an unbuilt subtree of its rows would add."""
+    f = forest.feature[tree, at]
+    if f < 0:
+        return forest.path[tree, at]
+    return naive_path(forest, tree, row, 2 * at + int(row[f] >= forest.split[tree, at]), depth + 1)
+
+
+def test_path_lengths_and_score():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(300, len(quality.FEATURES))) * (rng.random(len(quality.FEATURES)) > 0.3)
+    forest = quality.IsolationForest(rows, trees=20, subsample=64)
+    c = lambda n: 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def grow(tree, x, rng, depth=0, at=1):  # what each leaf holds, by the definition
+        f = forest.feature[tree, at]
+        if f < 0:
+            assert depth == forest.depth or len(x) <= 1 or (x == x[0]).all()
+            assert forest.path[tree, at] == pytest.approx(depth + c(len(x)))
+            return
+        low, high = x[:, f].min(), x[:, f].max()
+        assert low < high and low <= forest.split[tree, at] <= high
+        grow(tree, x[x[:, f] < forest.split[tree, at]], rng, depth + 1, 2 * at)
+        grow(tree, x[x[:, f] >= forest.split[tree, at]], rng, depth + 1, 2 * at + 1)
+
+    draw = np.random.default_rng(quality.SEED)
+    own = draw.choice(len(rows), 64, replace=False)
+    grow(0, rows[own], draw)
+    got = forest.score(rows)
+    want = [2 ** (-np.mean([naive_path(forest, t, r) for t in range(20)]) / c(64)) for r in rows]
+    assert got == pytest.approx(want)
+    odd = np.vstack([np.zeros((99, len(quality.FEATURES))), np.full((1, len(quality.FEATURES)), 9.0)])
+    alone = quality.IsolationForest(odd).score(odd)
+    assert alone[-1] > alone[0] + 0.2
+
+
+def test_threshold_against_all_thresholds(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, 50, 0, float(x)) for i, x in enumerate(np.concatenate([rng.beta(4, 8, 900), rng.beta(8, 5, 100)]))]
+    rows += [(5000 + i, 5, 0, 0.01) for i in range(50)]  # fail the base: not counted
+    label = [(i, int(i < 900)) for i in range(1000)] + [(5000 + i, 0) for i in range(50)]
+    rated = spark.createDataFrame(rows, "doc_id long, n_words long, n_repeat_words long, anomaly double")
+    labels = spark.createDataFrame(label, "doc_id long, quality int")
+    for loss in (0.005, 0.05, 1.0):
+        found = quality.calibrate(rated, labels, loss=loss)
+        good, bad = (np.array([int(r[3] * quality.BINS) for r in rows[a:b]]) for a, b in ((0, 900), (900, 1000)))
+        gains = {t: np.mean(bad >= t) - np.mean(good >= t) for t in range(quality.BINS) if np.mean(good >= t) <= loss}
+        best = [t for t, g in gains.items() if g == max(gains.values())]
+        assert found == (best[0] + best[-1]) / 2 / quality.BINS
+    assert quality.calibrate(rated, labels.where("quality = 1")) == float("inf") == quality.calibrate(rated, None)
+
+
+def test_few_labels_and_clashing_names(spark):
+    good = [(i, "plain words that say nothing odd at all in this line " + str(i)) for i in range(40)]
+    bad = [(100 + i, " ".join(f"w{j}$$ {i}{j}&&" for j in range(20))) for i in range(6)]
+    names = "doc_id long, text string, anomaly string, features string, _anomaly string, i long, at long, rows long, cut string, part long, epochs long, rest long, _drop string, _host string, size string, taken string, source string"
+    frame = spark.createDataFrame([(i, t, "a", "f", "_a", 1, 2, 3, "c", 4, 5, 6, "d", "h", "s", "t", "src") for i, t in good + bad], names)
+    labels = spark.createDataFrame([(i, 1) for i in range(9)] + [(100, 0), (101, 0)], "doc_id long, quality int")
+    kept = quality.keep_good(frame, labels)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == set(range(40))
+    assert quality.keep_good(frame, labels.limit(0)).count() == 46 == quality.keep_good(frame, None).count()
+    rated = quality.rate(frame, labels)
+    assert rated.columns.count("anomaly") == 1 and {r.doc_id for r in rated.where("kept").collect()} == set(range(40))
+    assert line_dedup.dedup_lines(frame).count() == 46 and line_dedup.dedup_lines(frame, broadcast_lines=-1).select("_drop", "_host").distinct().collect() == [("d", "h")]
+    mixed = mixing.mix(frame)
+    assert mixed.select("rows", "cut", "part", "epochs", "rest").distinct().collect() == [(3, "c", 4, 5, 6)] and mixed.schema["size"].dataType.simpleString() == "bigint"
+    taken = mixing.repeat_mixed(frame)
+    assert taken.columns == frame.columns and taken.select("size", "taken").distinct().collect() == [("s", "t")]
+
+
 def test_labels_agree_with_verdicts(spark):
     d = "/root/testdata/sf0.01"
     rated = quality.op10_quality_rules(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")

@@ -41,6 +41,15 @@ def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(type(df.schema)(fields)).parquet(path)
 
 
+def unstaged(*tables: DataFrame) -> None:
+    """Remove tables that staged() wrote and that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -85,3 +94,11 @@ def chosen_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
         few = docs.join(near(gone.where("_stays")), same, "left_semi")
         out = out.unionByName(few.groupBy(*row_key(few)).agg(F.first(F.struct(*few.columns)).alias("_row")).select("_row.*"))
     return out
+
+
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column of df begins with: helper columns with it clash with none."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -16,7 +16,7 @@ from functools import cache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Chunks that a worker keeps; it starts afresh when there are more.
-CACHED = 400_000
+CACHED = 200_000
 
 
 class Encoder:

@@ -7,6 +7,9 @@ ROWS minima with probability 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8 and more abov
 In each bucket all texts are first compared with its least one.  Where that leaves several components, the bucket's
 texts are compared in blocks inside tasks, by products of incidence matrices: only links of a spanning forest leave
 a task, never pairs, and a large bucket is dealt over block pairs.
+
+Sets hold 32 bits of each shingle's hash: of 1,000 shingles two fall together once in 10^4 texts, of 100,000 about one
+pair, which moves a similarity by 10^-5.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import chosen_rows, keyed, staged
+from .common import BROADCAST_KEYS, chosen_rows, keyed, staged, unstaged
 from .simhash import SEED, components, majority, shingle_hashes, split_words
 
 SHINGLE, LEAST = 5, 0.8
@@ -62,7 +65,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     whole.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
                     prints.append(majority(every))
                     keys.append(band_keys(distinct).view(np.int64))
-                    sets.append(distinct.tobytes())
+                    sets.append(np.unique(distinct.astype(np.uint32)).tobytes())
                 longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, prints)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *longs, pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], [*names, "text_hash", "fp", "keys", "hashes"])
 
@@ -75,7 +78,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
 
     def run(batches):
         for batch in batches:
-            a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(i)] for i in (2, 3))
+            a, b = ([np.frombuffer(x.as_py(), np.uint32) for x in batch.column(i)] for i in (2, 3))
             ok = pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
 
@@ -134,7 +137,7 @@ def links_in_blocks(rows: DataFrame, least: float = LEAST) -> DataFrame:
         u = v = np.zeros(0, np.int64)
         if n == len(ids) and got.column("lo")[0].as_py() == got.column("hi")[0].as_py() or 0 < n < len(ids):
             sets = got.column("hashes").take(pa.array(order)).to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in sets]
+            sets = [np.frombuffer(x, np.uint32) for x in sets]
             size = np.array([len(x) for x in sets], np.float64)
             both = shared_elements(sets, n)
             other = slice(n if n < len(ids) else 0, None)
@@ -164,19 +167,21 @@ def near_texts(prints: DataFrame, least: float = LEAST) -> DataFrame:
     stars = buckets.where("text_hash > u").select("u", F.col("text_hash").alias("v"))
     proposed = staged(alike.unionByName(linked).unionByName(stars).distinct(), "proposed-pairs")
 
-    members = proposed.select(F.explode(F.array("u", "v")).alias("text_hash")).distinct()
-    sets = prints.join(members, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", "hashes", (F.octet_length("hashes") / 8).cast("long").alias("size"))
+    members = staged(proposed.select(F.explode(F.array("u", "v")).alias("text_hash")).distinct(), "members")
+    near = F.broadcast if members.count() <= BROADCAST_KEYS else lambda x: x  # so that only the sets of members are shuffled
+    sets = prints.join(near(members), "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", "hashes", (F.octet_length("hashes") / 4).cast("long").alias("size"))
     sets = staged(sets, "shingle-sets")
     links = staged(verified(proposed, sets, least), "links")
     group = staged(components(links), "components")
 
     rooted = buckets.join(group, buckets["text_hash"] == group["node"], "left").select("key", "text_hash", F.coalesce("root", "text_hash").alias("root"))
     loose = rooted.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l < h").select("key")
-    rooted = staged(rooted.join(loose, "key", "left_semi"), "loose-buckets")
-    blocks = rooted.join(sets.select("text_hash", "size"), "text_hash").groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
-    rest = staged(links_in_blocks(rooted.join(blocks, "key").join(sets, "text_hash"), least), "links-in-blocks")
-    group = components(links.unionByName(rest))
-    return staged(group.select(F.col("node").alias("text_hash"), "root"), "near-texts")
+    open_rows = staged(rooted.join(loose, "key", "left_semi"), "loose-buckets")
+    blocks = open_rows.join(sets.select("text_hash", "size"), "text_hash").groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    rest = staged(links_in_blocks(open_rows.join(blocks, "key").join(sets, "text_hash"), least), "links-in-blocks")
+    out = staged(components(links.unionByName(rest)).select(F.col("node").alias("text_hash"), "root"), "near-texts")
+    unstaged(own, named, buckets, proposed, members, sets, links, group, open_rows, rest)
+    return out
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -202,5 +207,6 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> Data
     prints = staged(sketches(rows.select("doc_id", "k1", "k2", "text"), size), "sketches")
     group = near_texts(prints, least)
     ranked = prints.select("doc_id", "k1", "k2", "text_hash").join(group, "text_hash", "left")
-    ranked = ranked.select("doc_id", "k1", "k2", F.coalesce("root", "text_hash").alias("root"))
-    return chosen_rows(docs, staged(ranked, "grouped-rows"))
+    ranked = staged(ranked.select("doc_id", "k1", "k2", F.coalesce("root", "text_hash").alias("root")), "grouped-rows")
+    unstaged(prints, group)
+    return chosen_rows(docs, ranked)

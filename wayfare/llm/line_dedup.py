@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import free_prefix, partitions, staged, table
 
 RATIO = 0.05
 MIN_PAGES = 3
-#: Up to this many boilerplate lines of all hosts together (16 bytes each) are broadcast; beyond, hosts are dealt over SALTS keys.
-BROADCAST_LINES, SALTS = 200_000, 64
+#: Up to this many boilerplate lines of all hosts together (16 bytes each) are broadcast; beyond, hosts are dealt over LEAST_SALTS keys or more.
+BROADCAST_LINES, LEAST_SALTS = 200_000, 64
 TRIM = " \t\n\x0b\f\r"
 
 
@@ -35,32 +35,50 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return often.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "line")
 
 
+def line_lists(lines: DataFrame) -> DataFrame:
+    """(host, slots): each host's lines as an array of short arrays; a line is in the slot that its hash names."""
+    lists = lines.groupBy("host").agg(F.collect_list("line").alias("all"))
+    n = F.size("all")
+    placed = F.transform("all", lambda x: F.struct(F.pmod(x["a"], n).alias("slot"), x.alias("line")))
+    own = lambda slot: F.transform(F.filter("placed", lambda x: x["slot"] == slot), lambda x: x["line"])
+    return lists.withColumn("placed", placed).select("host", F.transform(F.sequence(F.lit(0), n - 1), own).alias("slots"))
+
+
 def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """docs with text without its host's boilerplate lines, n_lines and n_dropped.
 
     Blank lines are never boilerplate and stay.  Null texts stay null with 0 lines; null hosts form one host; a
     document whose lines are all boilerplate keeps an empty text.  Repeated rows count as one page and are
-    treated alike.  A host has at most (lines per page / ratio) boilerplate lines, which bounds the list that
+    treated alike.  Columns of docs with the names of the added ones are replaced, others are kept whatever their
+    names.  A host has at most (lines per page / ratio) boilerplate lines, which bounds the list that
     is joined to its pages.  All lists together are counted: few lines are broadcast, so no text is shuffled; many
     are joined by host and salt, so that the pages of a large host meet copies of its list in several tasks.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    p = free_prefix(docs)
     lines = staged(boilerplate(docs.select(F.col(host).alias("host"), "text"), ratio, min_pages), "boilerplate")
-    lists = lines.groupBy("host").agg(F.collect_set("line").alias("_drop")).withColumnRenamed("host", "_host")
+    lists = line_lists(lines).toDF(f"{p}host", f"{p}slots")
+    same = docs[host].eqNullSafe(lists[f"{p}host"])
     if lines.count() <= broadcast_lines:
-        rows = docs.join(F.broadcast(lists), docs[host].eqNullSafe(lists["_host"]), "left")
+        rows = docs.join(F.broadcast(lists), same, "left")
     else:
-        lists = lists.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
-        rows = salted.join(lists, salted[host].eqNullSafe(lists["_host"]) & (F.col("_salt") == F.col("_to")), "left")
+        salts = max(LEAST_SALTS, partitions(docs.sparkSession))
+        lists = lists.withColumn(f"{p}to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = docs.withColumn(f"{p}salt", F.pmod(F.xxhash64("text"), F.lit(salts)).cast("int"))
+        rows = salted.join(lists, same & (F.col(f"{p}salt") == F.col(f"{p}to")), "left")
     split = F.split("text", "\n", -1)
-    key = lambda x: F.struct(F.xxhash64(_trimmed(x)).alias("a"), F.xxhash64(F.lit(1), _trimmed(x)).alias("b"))
-    kept = F.when(F.col("_drop").isNull(), split).otherwise(F.filter(split, lambda x: (_trimmed(x) == "") | ~F.array_contains("_drop", key(x))))
-    rows = rows.withColumn("_kept", kept)
-    n_lines, left = F.coalesce(F.size(split), F.lit(0)), F.coalesce(F.size("_kept"), F.lit(0))
+    slots = F.col(f"{p}slots")
+
+    def known(x):
+        line = F.struct(F.xxhash64(_trimmed(x)).alias("a"), F.xxhash64(F.lit(1), _trimmed(x)).alias("b"))
+        return F.array_contains(F.get(slots, F.pmod(line["a"], F.size(slots)).cast("int")), line)
+
+    kept = F.when(slots.isNull(), split).otherwise(F.filter(split, lambda x: (_trimmed(x) == "") | ~known(x)))
+    rows = rows.withColumn(f"{p}kept", kept)
+    n_lines, left = F.coalesce(F.size(split), F.lit(0)), F.coalesce(F.size(f"{p}kept"), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long")
     left = F.when(F.col("text").isNull(), 0).otherwise(left).cast("long")
-    text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
+    text = F.when(F.col("text").isNotNull(), F.array_join(f"{p}kept", "\n"))
     return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), (n_lines - left).alias("n_dropped"))
 
 

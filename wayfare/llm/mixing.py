@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table, word_count
+from .common import free_prefix, staged, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
+ADDED = ("size", "source_size", "target", "taken")
 #: Rows of the largest source that one key range holds on average, and the fewest ranges.
 RANGE_ROWS, LEAST_RANGES = 50_000, 1024
 
@@ -46,14 +47,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     return per.select("source", "rows", "source_size", F.round(target, 6).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, target and taken (words of the row that the mix takes, repeats counted).
-
-    Null and blank texts have size 0 and take 0; null sources form one source.  Rows that are equal in doc_id and
-    text share a key; at the cut they share what is left evenly.  An empty table gives an empty result.
-    Columns of docs with the names of the added ones are replaced.
-    """
-    docs = docs.drop("size", "source_size", "target", "taken")
+def _mixed(docs: DataFrame, prefix: str, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
+    """docs with size, source_size, target and taken, named with the prefix."""
     sizes = staged(docs.select("source", _key(docs, seed).alias("key"), word_count(F.col("text")).alias("size")), "mix-sizes")
     plan = staged(source_targets(sizes, weights, share, max_epochs), "mix-targets")
     largest = plan.agg(F.max("rows")).first()[0] or 0
@@ -76,18 +71,41 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
     cut = cut.select("s", F.col("key").alias("cut"), ((F.col("rest") - F.col("upto") + F.col("words")) / F.col("same")).cast("long").alias("part"))
     plan = staged(plan.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan")
 
-    rows = docs.withColumn("_key", _key(docs, seed)).withColumn("size", word_count(F.col("text")))
-    plan = plan.withColumnRenamed("source", "_source")
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]), "left")
-    last = F.when(F.col("cut").isNull() | (F.col("_key") > F.col("cut")), F.lit(0)).when(F.col("_key") < F.col("cut"), F.col("size"))
-    last = last.otherwise(F.least("part", "size"))
-    return rows.withColumn("taken", (F.col("epochs") * F.col("size") + last).cast("long")).select(*docs.columns, "size", "source_size", "target", "taken")
+    own = lambda c: F.col(prefix + c)
+    plan = plan.select(*[F.col(c).alias(prefix + c) for c in plan.columns])
+    rows = docs.withColumn(f"{prefix}key", _key(docs, seed)).withColumn(f"{prefix}size", word_count(F.col("text")))
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan[f"{prefix}source"]), "left")
+    last = F.when(own("cut").isNull() | (own("key") > own("cut")), F.lit(0)).when(own("key") < own("cut"), own("size"))
+    last = last.otherwise(F.least(own("part"), own("size")))
+    rows = rows.withColumn(f"{prefix}taken", (own("epochs") * own("size") + last).cast("long"))
+    return rows.select(*docs.columns, *[f"{prefix}{c}" for c in ADDED])
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
+    """docs with size, source_size, target and taken (words of the row that the mix takes, repeats counted).
+
+    Null and blank texts have size 0 and take 0; null sources form one source.  Rows that are equal in doc_id and
+    text share a key; at the cut they share what is left evenly.  An empty table gives an empty result.
+    Columns of docs with the names of the added ones are replaced, others are kept whatever their names.
+    """
+    docs = docs.drop(*ADDED)
+    prefix = free_prefix(docs)
+    rows = _mixed(docs, prefix, weights, share, max_epochs, seed)
+    return rows.select(*docs.columns, *[F.col(prefix + c).alias(c) for c in ADDED])
 
 
-def repeat_whole(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def repeat_whole(mixed: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
     """The mix as documents: a row appears as often as its words are taken, rounded to whole documents."""
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
+    size, taken = F.col(f"{prefix}size"), F.col(f"{prefix}taken")
+    times = F.when(size > 0, F.round(taken / size)).otherwise(0).cast("int")
+    n = f"{free_prefix(mixed)}n"
+    return mixed.withColumn(n, F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
+
+
+def repeat_mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with docs' columns, whatever their names; blank texts go."""
+    prefix = free_prefix(docs)
+    return repeat_whole(_mixed(docs, prefix), docs.columns, prefix)
 
 
 def op2_mix_sources(spark, sf_dir):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import free_prefix, staged, table
 
 #: The forest is fitted on at most this many rows; trees see SUBSAMPLE of them each.
 FIT_ROWS, TREES, SUBSAMPLE, SEED = 4096, 100, 256, 7
@@ -19,8 +19,6 @@ FIT_ROWS, TREES, SUBSAMPLE, SEED = 4096, 100, 256, 7
 LOSS = 0.005
 #: Scores are counted in so many bins when the threshold is calibrated.
 BINS = 2048
-#: Without labelled rows of both kinds.
-DEFAULT_THRESHOLD = 0.75
 WINDOW = 5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Each statistic's range: characters a word, shares of symbols, repeated lines, capitals, digits and exclamation marks,
@@ -74,28 +72,24 @@ def excess(x: np.ndarray) -> np.ndarray:
     return np.maximum(x - _HIGH, 0) + np.maximum(_LOW - x, 0)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    words = F.col(f"{prefix}n_words")
+    return (words < 10) | (100 * F.col(f"{prefix}n_repeat_words") > 20 * words)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs (without text) with the base counts and an array of features; null and blank texts have no words."""
-    keep = [c for c in docs.columns if c != "text" and c not in BASE and c != "features"]
-    kept = docs.select(*keep).schema
+    """(doc_id, base counts, features): features are the excesses of a text's statistics; null and blank texts have no words."""
+    kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            base, features = [], []
-            for text in batch.column(len(keep)):
-                b, f = text_statistics(text.as_py())
-                base.append(b)
-                features.append(f)
-            counts = np.array(base, np.int64).reshape(-1, len(BASE))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(features) * len(FEATURES) + 1, len(FEATURES), dtype=np.int32)), pa.array(excess(np.array(features, np.float64)).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(counts[:, i]) for i in range(len(BASE))], flat], [*keep, *BASE, "features"])
+            both = [text_statistics(x.as_py()) for x in batch.column(1)]
+            counts = np.array([x[0] for x in both], np.int64).reshape(-1, len(BASE))
+            flat = excess(np.array([x[1] for x in both], np.float64))
+            ends = pa.array(np.arange(0, flat.size + 1, len(FEATURES), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(counts[:, i]) for i in range(len(BASE))], pa.ListArray.from_arrays(ends, pa.array(flat.reshape(-1)))], ["doc_id", *BASE, "features"])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields], *[f"{c} long" for c in BASE], "features array<double>"])
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{c} long" for c in BASE], "features array<double>"]))
 
 
 class IsolationForest:
@@ -140,15 +134,13 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.path) / max(self._average(self.psi), 1e-9))
 
 
-def fit_forest(stats: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS) -> IsolationForest | None:
-    """A forest of the labelled rows (of all rows where few are labelled) that pass the base and have the smallest hashes, fit_rows at most."""
-    rows = stats.where(~base_failed()).select("doc_id", "features")
-    if labels is not None:
-        labelled = labels.where("quality IS NOT NULL").select("doc_id").distinct()
-        chosen = smallest_hashes(rows.join(labelled, "doc_id", "left_semi"), fit_rows)
-        if len(chosen) >= SUBSAMPLE // 4:
-            return IsolationForest(chosen)
-    chosen = smallest_hashes(rows, fit_rows)
+def fit_forest(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS) -> IsolationForest | None:
+    """A forest of labelled rows that pass the base: of the fit_rows labelled ids with the smallest hashes; None without any."""
+    if labels is None:
+        return None
+    ids = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # fit_rows ids at most
+    chosen = smallest_hashes(statistics(some).where(~base_failed()).select("doc_id", "features"), fit_rows)
     return IsolationForest(chosen) if len(chosen) else None
 
 
@@ -165,73 +157,72 @@ def smallest_hashes(rows: DataFrame, n: int) -> np.ndarray:
     return np.array([r.features for r in sorted(chosen, key=lambda r: r.h)[:n]])
 
 
-def scored(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
-    if forest is None:
-        return stats.withColumn("anomaly", F.lit(0.0))
+def scored(docs: DataFrame, forest: IsolationForest | None, prefix: str = "", text: bool = False) -> DataFrame:
+    """docs (with or without text) with the base counts and anomaly, named with the prefix; anomaly is 0 without a forest."""
+    names = [c for c in docs.columns if text or c != "text"]
+    at = names.index("text") if text else len(names)
 
     def run(batches):
         for batch in batches:
-            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield batch.append_column("anomaly", pa.array(forest.score(x)))
+            both = [text_statistics(x.as_py()) for x in batch.column(at)]
+            counts = np.array([x[0] for x in both], np.int64).reshape(-1, len(BASE))
+            features = excess(np.array([x[1] for x in both], np.float64))
+            anomaly = np.zeros(len(both)) if forest is None else forest.score(features)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(counts[:, i]) for i in range(len(BASE))], pa.array(anomaly)], [*names, *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields)
-    return stats.mapInArrow(run, f"{schema}, anomaly double")
+    added = [prefix + c for c in (*BASE, "anomaly")]
+    kept = docs.select(*[f"`{c}`" for c in names]).schema
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields], *[f"{c} long" for c in added[:-1]], f"{added[-1]} double"])
+    return docs.select(*[f"`{c}`" for c in names], *([] if text else ["text"])).mapInArrow(run, schema)
 
 
-def calibrate(rated: DataFrame, labels: DataFrame | None, loss: float = LOSS) -> float:
+def calibrate(rated: DataFrame, labels: DataFrame | None, prefix: str = "", loss: float = LOSS) -> float:
     """The threshold with the best balance of labelled rows, among those that reject at most `loss` of the good ones.
 
-    Only rows that pass the base count; among equal thresholds the middle one is taken.  Labelled rows are counted by quality and score bin, so the driver gets 2 * BINS numbers whatever the size.
+    Only rows that pass the base count; among equal thresholds the middle one is taken.  Without labelled rows of both
+    kinds nothing but the base rejects.  Labelled rows are counted by quality and score bin, so the driver gets
+    2 * BINS numbers whatever the size.
     """
     if labels is None:
-        return DEFAULT_THRESHOLD
-    own = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    at = F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).cast("int")
-    counts = rated.where(~base_failed()).join(own, "doc_id").groupBy(at.alias("at"), (F.col("quality") == 1).alias("good")).count().collect()
+        return float("inf")
+    own = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("i")).agg(F.min("quality").alias("q"))
+    at = F.least(F.floor(F.col(f"{prefix}anomaly") * BINS), F.lit(BINS - 1)).cast("int")
+    rows = rated.where(~base_failed(prefix)).select("doc_id", at.alias("at"))
+    counts = rows.join(own, F.col("doc_id") == F.col("i")).groupBy("at", (F.col("q") == 1).alias("good")).agg(F.count(F.lit(1)).alias("n")).collect()
     table_ = np.zeros((2, BINS))
     for r in counts:
-        table_[int(r["good"]), r["at"]] += r["count"]
+        table_[int(r["good"]), r["at"]] += r["n"]
     if not table_.sum(1).all():
-        return DEFAULT_THRESHOLD
+        return float("inf")
     above = table_[:, ::-1].cumsum(1)[:, ::-1] / table_.sum(1, keepdims=True)  # share at or above a bin's lower edge
     gain = np.where(above[1] <= loss, above[0] - above[1], -1.0)
     best = np.flatnonzero(gain == gain.max())
-    return float(best[0] + best[-1]) / 2 / BINS if gain.max() > 0 else 1.0
+    return float(best[0] + best[-1]) / 2 / BINS if gain.max() > 0 else float("inf")
 
 
 def rate(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """docs without text, with the base counts, anomaly, base_failed and kept, one row for each row.
 
     Null texts have no words and so fail the base; null ids are rated but never labelled; repeated rows are rated
-    alike; a doc_id with several labels counts as its worst.  An empty table gives an empty result.
+    alike; a doc_id with several labels counts as its worst.  An empty table gives an empty result; an empty or
+    missing table of labels leaves the base rules alone.  Columns of docs with the names of the added ones are
+    replaced, others are kept whatever their names.
     """
-    stats = staged(statistics(docs), "quality-statistics")
-    forest = fit_forest(stats, labels)
-    rated = scored(stats, forest)
+    docs = docs.drop(*BASE, "anomaly", "base_failed", "kept")
+    rated = staged(scored(docs, fit_forest(docs, labels)), "quality-scores")
     threshold = calibrate(rated, labels)
-    failed = base_failed()
-    return rated.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < threshold)).drop("features")
+    return rated.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & (F.col("anomaly") < threshold))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of docs that rate() keeps, unchanged.
+    """The rows of docs that rate() keeps, unchanged, whatever the names of their columns.
 
-    Forest and threshold are of fixed size, so each task rates and filters its own rows and no text is shuffled.
+    Rows are written once with their scores, so each text is rated once; what is kept is then a filter without a shuffle.
     """
-    stats = staged(statistics(docs.select("doc_id", "text")), "quality-statistics")
-    forest = fit_forest(stats, labels)
-    threshold = calibrate(scored(stats, forest), labels)
-
-    def run(batches):
-        for batch in batches:
-            both = [text_statistics(x.as_py()) for x in batch.column("text")]
-            base = np.array([x[0] for x in both]).reshape(-1, len(BASE))
-            good = (base[:, 0] >= 10) & (100 * base[:, 4] <= 20 * base[:, 0])
-            if forest is not None and len(both):
-                good &= forest.score(excess(np.array([x[1] for x in both]))) < threshold
-            yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+    prefix = free_prefix(docs)
+    rated = staged(scored(docs, fit_forest(docs, labels), prefix, text=True), "quality-scores")
+    threshold = calibrate(rated, labels, prefix)
+    return rated.where(~base_failed(prefix) & (F.col(f"{prefix}anomaly") < threshold)).select(*docs.columns)
 
 
 def op10_quality_rules(spark, sf_dir):

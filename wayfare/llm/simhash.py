@@ -2,10 +2,11 @@
 
 Documents get 64-bit fingerprints from their word shingles.  Two fingerprints link at 4 or fewer differing bits.
 Candidates come from the perfect binary Golay code: a 23-bit word decodes to the codewords within 4 bits of it
-(one or six), and two words that differ in at most 2 bits always share one of them.  A fingerprint is three
-segments of 21, 21 and 22 bits; by the pigeonhole principle a pair with at most 4 errors either agrees in one
-segment and differs by at most 2 in another, or differs by 1 or 2 in each.  So keys are (exact segment, codeword of
-another segment) and (codewords of all three), and no linked pair is missed.
+(one or six), and two words that differ in at most 2 bits always share one of them.  A fingerprint is segments of 23,
+23 and 18 bits.  By the pigeonhole principle a pair with at most 4 errors either differs by at most 2 in both long
+segments, or by at most 1 in one long segment and the short one together.  So keys are (codewords of both long
+segments), (codeword of a long segment, the short one) and (a long segment, either half of the short one): 43 on
+average, and no linked pair is missed.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen_rows, keyed, partitions, staged, table
+from .common import chosen_rows, keyed, partitions, staged, table, unstaged
 
 SHINGLE, BITS, SEED = 4, 4, 42
-WIDTHS = (21, 21, 22)
+WIDTHS = (23, 23, 9, 9)
 #: Groups of one key up to this size are compared pair by pair; larger ones are walked from fingerprint to fingerprint.
 SMALL = 16
 #: Key rows that one task reads, on average.
 TASK_ROWS = 2_000_000
+#: Keys of a fingerprint, on average.
+KEYS = 43
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -111,8 +114,10 @@ def keys(fps: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for w in WIDTHS:
         segments.append((fps >> np.uint64(shift)) & np.uint64((1 << w) - 1))
         shift += w
-    codes = [fuzzy(s.astype(np.uint32), errors) for s in segments]
+    a, b, low, high = segments
+    codes = [fuzzy(s.astype(np.uint32), errors) for s in (a, b)]
     several = [c[:, 1] != c[:, 0] for c in codes]
+    short = low | high << np.uint64(9)
     places, found = [], []
     every = np.arange(len(fps))
 
@@ -120,16 +125,15 @@ def keys(fps: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places.append(every[ok])
         found.append(np.uint64(tag << 56) | key[ok])
 
-    for i in range(3):
-        for j in range(3):
-            if i != j:
-                for a in range(6):
-                    add(1 + 3 * i + j, segments[i] << np.uint64(12) | codes[j][:, a], several[j] | (a == 0))
-    for a in range(6):
-        for b in range(6):
-            for c in range(6):
-                ok = (several[0] | (a == 0)) & (several[1] | (b == 0)) & (several[2] | (c == 0))
-                add(10, codes[0][:, a] << np.uint64(24) | codes[1][:, b] << np.uint64(12) | codes[2][:, c], ok)
+    for i in range(6):
+        one = [several[s] | (i == 0) for s in (0, 1)]
+        for j in range(6):
+            add(1, codes[0][:, i] << np.uint64(12) | codes[1][:, j], one[0] & (several[1] | (j == 0)))
+        for s in (0, 1):
+            add(2 + s, codes[s][:, i] << np.uint64(18) | short, one[s])
+    for s, segment in enumerate((a, b)):
+        for half, part in enumerate((low, high)):
+            add(4 + 2 * s + half, segment << np.uint64(9) | part, np.ones(len(fps), bool))
     return np.concatenate(places), np.concatenate(found)
 
 
@@ -197,7 +201,7 @@ def candidate_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
 
     n = fps.count()
-    tasks = max(partitions(fps.sparkSession), n * 190 // TASK_ROWS)
+    tasks = max(partitions(fps.sparkSession), n * KEYS // TASK_ROWS)
     spread = fps.repartition(max(4, min(tasks, n // 2000)))  # expand small inputs in parallel
     rows = spread.mapInArrow(expand, "key long, fp long").repartition(tasks, "key")
     return rows.mapInArrow(match, "u long, v long").distinct()
@@ -223,7 +227,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     state = None
     while True:
-        edges = staged(star(star(edges, True), False), "stars")
+        before, edges = edges, staged(star(star(edges, True), False), "stars")
+        unstaged(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if now[0] == now[3] and now == state or now[0] == 0:
             break
