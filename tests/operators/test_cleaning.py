@@ -1,4 +1,5 @@
 import datetime as dt
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -75,9 +76,11 @@ def test_attributes_follow_their_weights(spark):
     assert all(abs(share[i] - w) < 0.02 for i, w in enumerate(augment.DEVICE_WEIGHTS))
     roots = spark.createDataFrame([(1, 50), (2, 30), (3, 30), (4, 10)], "root int, n long")
     assert {r.root: r.vertical for r in augment.root_verticals(roots, [0.5, 0.5]).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
-    u = np.array([0.01, 0.5, 0.99])
-    x = augment.beta72_quantile(u)
+    u = np.array([1e-9, 1e-6, 0.01, 0.07, 0.08, 0.5, 0.9, 0.99, 1 - 1e-9])
+    both = spark.createDataFrame([(float(x),) for x in u], "u double").select("u", augment.beta72_quantile(F.col("u")).alias("x"), augment.normal_quantile(F.col("u")).alias("z")).orderBy("u").collect()
+    x = np.array([r.x for r in both])
     assert np.allclose(8 * x**7 - 7 * x**8, u)
+    assert np.allclose([r.z for r in both], [NormalDist().inv_cdf(v) for v in u], rtol=1e-12, atol=1e-12)
     prices = augment.item_prices(spark.range(3000).select(F.col("id").alias("item_id"), (F.col("id") % 6).cast("int").alias("vertical")))
     med = {r.vertical: r.m for r in prices.groupBy("vertical").agg(F.median("price").alias("m")).collect()}
     assert abs(med[0] - np.exp(2.5)) < 1.5 and abs(med[2] - np.exp(1.6)) < 1

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.operators import asof, drift, evaluate, neural, ranking
+from wayfare.operators import asof, drift, evaluate, neural, ranking, vectors
 from wayfare.operators import retrieval as R
 from wayfare.streaming import events as S
 
@@ -119,23 +119,118 @@ def test_drift_identities(spark):
     assert {r.s: r.estimate for r in drift.histogram_percentile(h, "s", 0.5).collect()} == {"a": 1.5, "b": 2.0, "z": None}
 
 
-def test_neural_models_learn(spark):
-    rng = np.random.default_rng(2)
-    rows = [(int(u), int(i)) for u in range(40) for i in rng.choice(np.arange(20) + 20 * (u % 2), 8, replace=False)]
-    liked = set(rows)
-    triples = spark.createDataFrame([(u, i, int(n)) for u, i in rows for n in rng.integers(0, 40, 3) if (u, int(n)) not in liked], "user long, positive long, negative long")
-    u, v, b = neural.fit_bpr(triples, 40, 40, dim=8, epochs=30)
-    s = u @ v.T + b
-    assert np.mean([s[a, :20].mean() > s[a, 20:].mean() if a % 2 == 0 else s[a, 20:].mean() > s[a, :20].mean() for a in range(40)]) > 0.9
-    top = neural.factor_topk(spark, u, v, b, spark.range(40).withColumnRenamed("id", "user_index"), 5)
-    assert top.count() == 200
-    pairs = np.array(rows)
-    t = neural.TwoTower(40, 40, 1, 1, dim=8)
-    losses = t.fit(pairs[:, 0], pairs[:, 1], np.zeros((40, 1)), np.zeros((40, 1)), np.full(40, -np.log(40)), epochs=20, batch=64)
-    assert losses[-1] < losses[0] and np.allclose(np.linalg.norm(t.encode("u", np.arange(40), np.zeros((40, 1))), axis=1), 1)
+def likes(seed=2):
+    """Users like the half of 40 items that has their parity."""
+    rng = np.random.default_rng(seed)
+    return [(int(u), int(i)) for u in range(40) for i in rng.choice(np.arange(20) + 20 * (u % 2), 8, replace=False)]
+
+
+@pytest.mark.parametrize("group", [200_000, 80])
+def test_bpr_learns_in_blocks(spark, monkeypatch, group):
+    monkeypatch.setattr(neural, "GROUP_PAIRS", group)
+    users, items = neural.fit_bpr(spark.createDataFrame(likes(), "user_id long, item_id long"), dim=8, epochs=3, passes=8)
+    top = neural.factor_topk(users, items, 5).collect()
+    assert len(top) == 200 and {r["rank"] for r in top} == {1, 2, 3, 4, 5}
+    assert np.mean([(r.item_id >= 20) == (r.user_id % 2 == 1) for r in top]) > 0.9
+
+
+@pytest.mark.parametrize("group", [200_000, 80])
+def test_two_towers_learn(spark, monkeypatch, group):
+    monkeypatch.setattr(neural, "GROUP_PAIRS", group)
+    pairs = spark.createDataFrame([(u, i, [float(u % 2)]) for u, i in likes()], "user_id long, item_id long, x array<double>")
+    items = spark.createDataFrame([(i, [float(i % 3), float(-np.log(40))]) for i in range(40)], "item_id long, x array<double>")
+    user_f, item_f, towers, w = neural.fit_two_tower(pairs, items, dim=8, hidden=16, epochs=3, passes=6, batch=64)
+    cut = towers[0].size
+    users = neural.encode(user_f.join(pairs.select(F.col("user_id").alias("id"), "x").distinct(), "id"), towers[0], w[:cut])
+    found = neural.encode(item_f.withColumn("x", F.slice("x", 1, 1)), towers[1], w[cut:])
+    assert all(abs(np.linalg.norm(r.embedding) - 1) < 1e-9 for r in found.collect())
+    top = neural.factor_topk(users, found, 5).collect()
+    assert len(top) == 200 and np.mean([(r.item_id >= 20) == (r.user_id % 2 == 1) for r in top]) > 0.9
+
+
+def test_in_batch_loss_and_gradients():
     q = np.eye(3)
     loss, p = neural.in_batch_loss(q, q, np.array([0, 0, 1]), np.zeros(3))
     assert p[0, 1] == 0 and loss < 1e-3
+    _, p = neural.in_batch_loss(q, q, np.array([0, 1, 2]), np.zeros(3), known=np.array([[1, 0, 1], [0, 1, 0], [0, 0, 1]], bool))
+    assert p[0, 2] == 0 and p[0, 0] > 0
+    rng = np.random.default_rng(1)
+    t = neural.Tower(5, 4, 3)
+    w, f, x, d = t.start(rng), rng.normal(size=(6, 3)), rng.normal(size=(6, 2)), rng.normal(size=(6, 3))
+    _, seen = t.encode(w, f, x)
+    dw, di = t.gradient(w, seen, d)
+    value = lambda w, f: (t.encode(w, f, x)[0] * d).sum()
+    for j in range(0, len(w), 5):
+        e = np.zeros(len(w))
+        e[j] = 1e-6
+        assert (value(w + e, f) - value(w - e, f)) / 2e-6 == pytest.approx(dw[j], abs=1e-4)
+    e = np.zeros_like(f)
+    e[2, 1] = 1e-6
+    assert (value(w, f + e) - value(w, f - e)) / 2e-6 == pytest.approx(di[2, 1], abs=1e-4)
+
+
+def clustered(n=1200, d=16, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(20, d))[rng.integers(0, 20, n)] + rng.normal(size=(n, d)) * 0.4
+    x[50] = x[51]
+    return x
+
+
+def test_exact_search_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(vectors, "ROUND", 2)
+    x = clustered(400)
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16)], "id long, embedding array<double>").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for few in (df.where("id % 100 = 0"), df):
+        asked = [r.id for r in few.collect() if r.id < 400]
+        want = set()
+        for i in asked:
+            s = np.round(unit @ unit[i], 6)
+            s[i] = -np.inf
+            want |= {(i, int(j), n + 1) for n, j in enumerate(np.lexsort((np.arange(400), -s))[:5])}
+        got = vectors.cosine_topk(few, df, 5).collect()
+        assert {(r.query, r.id, r["rank"]) for r in got} == want
+    assert vectors.cosine_topk(df.limit(0), df, 5).count() == 0
+
+
+def test_index_recall_and_version(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 40)
+    x = clustered()
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "id long, embedding array<double>")
+    vectors.build_index(df, str(tmp_path / "index"))
+    index = vectors.load_index(spark, str(tmp_path / "index"))
+    assert index[1].count() == 1200 and index[0].agg(F.max("shards")).first()[0] > 1
+    asked = df.where("id % 100 = 0")
+    found, exact = vectors.search_index(index, asked, 10), vectors.cosine_topk(asked, df, 10)
+    assert found.groupBy("query").count().where("count = 10").count() == 12
+    assert evaluate.overlap_at_k(found, exact, 10).agg(F.avg("recall")).first()[0] >= 0.9
+    assert index[0].first().probe < index[0].count()
+    index[0].withColumn("version", F.lit("0")).write.parquet(str(tmp_path / "old/lists"))
+    index[1].write.parquet(str(tmp_path / "old/vectors"))
+    with pytest.raises(ValueError, match="version"):
+        vectors.load_index(spark, str(tmp_path / "old"))
+
+
+def test_recall_on_the_embeddings(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    row = vectors.benchmark(df, df.where("id % 100 = 0"), str(tmp_path / "index")).first()
+    assert row.recall >= 0.9 and row.vectors == 500 and row.queries == 5 and row.build_s > 0
+
+
+def test_similarity_of_heavy_users(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(u, int(i), float(rng.integers(1, 9))) for u in range(12) for i in rng.choice(60, 50 if u == 0 else 8, replace=False)]
+    m = spark.createDataFrame(rows, "user_id long, item_id int, w double")
+    whole = {(r.item_i, r.item_j): r.sim for r in R.item_similarity(m).collect()}
+    monkeypatch.setattr(R, "HEAVY", 7)
+    dealt = {(r.item_i, r.item_j): r.sim for r in R.item_similarity(m).collect()}
+    assert dealt == pytest.approx(whole) and dealt.keys() == whole.keys()
+    w = {(u, i): x for u, i, x in rows}
+    items = sorted({i for _, i, _ in rows})
+    col = {i: np.array([w.get((u, i), 0.0) for u in range(12)]) for i in items}
+    want = {(i, j): round(s, 9) for i in items for j in items if i != j and (s := col[i] @ col[j] / np.linalg.norm(col[i]) / np.linalg.norm(col[j]) / (col[j] > 0).sum() ** 0.5) >= 1e-4}
+    assert whole == pytest.approx(want, abs=2e-9)
 
 
 def test_late_events_do_not_move_state_back(spark, tmp_path):

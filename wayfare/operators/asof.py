@@ -31,15 +31,15 @@ def asof_features(events: DataFrame, tie: str = "event_id") -> DataFrame:
     n, zero = F.count(F.lit(1)), F.lit(0)
     conv = lambda w: F.coalesce(F.sum("_c").over(w), zero)
     days = lambda x: (F.col("_t") - x) / DAY
-    for who, key, partner in (("user", "user_id", "items"), ("item", "item_id", "users")):
-        w = past(key)
-        e = e.withColumns(
-            {
-                f"{who}_event_count": n.over(w), f"{who}_purchase_count": conv(w), f"{who}_distinct_{partner}": F.coalesce(F.sum("_first").over(w), zero),
-                f"{who}_days_since_last": days(F.max("_t").over(w)), f"{who}_{'tenure_days' if who == 'user' else 'age_days'}": days(F.min("_t").over(w)),
-            }
-            | ({"user_avg_interaction_price": F.avg("_p").over(w), "user_avg_order_value": F.avg(F.when(F.col("_c") == 1, F.col("_p"))).over(w)} if who == "user" else {})
-        )
+    w = past("user_id")
+    e = e.withColumns(
+        {
+            "user_event_count": n.over(w), "user_purchase_count": conv(w), "user_distinct_items": F.coalesce(F.sum("_first").over(w), zero), "user_days_since_last": days(F.max("_t").over(w)), "user_tenure_days": days(F.min("_t").over(w)),
+            "user_avg_interaction_price": F.avg("_p").over(w), "user_avg_order_value": F.avg(F.when(F.col("_c") == 1, F.col("_p"))).over(w),
+        }
+    )
+    e = item_past(e)
+    for who in ("user", "item"):
         e = e.withColumn(f"{who}_conversion_rate", F.when(F.col(f"{who}_event_count") > 0, F.col(f"{who}_purchase_count") / F.col(f"{who}_event_count")))
     w = past("user_id", "item_id")
     e = e.withColumns({"ui_prior_events": n.over(w), "ui_prior_purchases": conv(w), "ui_days_since_last": days(F.max("_t").over(w))})
@@ -49,6 +49,28 @@ def asof_features(events: DataFrame, tie: str = "event_id") -> DataFrame:
     return e.withColumn("price_ratio_to_user_avg", ratio).select(*keep, *FEATURES)
 
 
+def item_past(e: DataFrame) -> DataFrame:
+    """e with what was known of each row's item: totals of its earlier days, and a frame within its day.
+
+    So no task holds a popular item's whole history: a day's rows are one frame, and the days' totals another.
+    """
+    e = e.withColumn("_day", F.floor(F.col("_t") / DAY))
+    before = Window.partitionBy("item_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    sums = e.groupBy("item_id", "_day").agg(F.count(F.lit(1)).alias("_n"), F.sum("_c").alias("_b"), F.sum("_first").alias("_f"), F.max("_t").alias("_l"), F.min("_t").alias("_o"))
+    sums = sums.select("item_id", "_day", *[f(c).over(before).alias(c) for c, f in (("_n", F.sum), ("_b", F.sum), ("_f", F.sum), ("_l", F.max), ("_o", F.min))])
+    own = Window.partitionBy("item_id", "_day").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    e = e.join(sums, ["item_id", "_day"])
+    plus = lambda c, x: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(x.over(own), F.lit(0))
+    age = lambda x: (F.col("_t") - x) / DAY
+    e = e.withColumns(
+        {
+            "item_event_count": plus("_n", F.count(F.lit(1))), "item_purchase_count": plus("_b", F.sum("_c")), "item_distinct_users": plus("_f", F.sum("_first")),
+            "item_days_since_last": age(F.coalesce(F.max("_t").over(own), "_l")), "item_age_days": age(F.coalesce("_o", F.min("_t").over(own))),
+        }
+    )
+    return e.drop("_day", "_n", "_b", "_f", "_l", "_o")
+
+
 def user_state(events: DataFrame) -> DataFrame:
     """The state after the last event of each user, as plain aggregates."""
     price = F.when(F.col("price_at_event") > 0, F.col("price_at_event"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.expr import inverse_cdf, with_uniform, zipf
@@ -62,35 +62,47 @@ def item_merchants(items: DataFrame, merchant_table: DataFrame) -> DataFrame:
     return df.join(m.drop("_n"), ["vertical", "_i"]).select("item_id", "vertical", "merchant_id")
 
 
-def _normal_quantile(u: np.ndarray) -> np.ndarray:
-    from statistics import NormalDist
+# Coefficients of Wichura's AS 241 (PPND16), lowest power first: numerators and denominators of the
+# centre, of the tails, and of the far tails.
+QUANTILE = {
+    "a": [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3],
+    "b": [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3],
+    "c": [1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4],
+    "d": [1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9],
+    "e": [6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7],
+    "f": [1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15],
+}
+LEAST_UNIFORM, HALVINGS = 1e-9, 50
 
-    return np.array([NormalDist().inv_cdf(x) for x in u])
 
+def _polynomial(coefficients: list[float], x: Column) -> Column:
+    out = F.lit(coefficients[-1])
+    for c in coefficients[-2::-1]:
+        out = out * x + F.lit(c)
+    return out
 
-def beta72_quantile(u: np.ndarray) -> np.ndarray:
-    """Beta(7, 2) has the distribution function 8x^7 - 7x^8; inverted by bisection."""
-    low, high = np.zeros_like(u), np.ones_like(u)
-    for _ in range(60):
-        mid = (low + high) / 2
-        below = 8 * mid**7 - 7 * mid**8 < u
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
+
+def normal_quantile(u: Column) -> Column:
+    """The standard normal's quantile of u in (0, 1), to about 16 digits."""
+    ratio = lambda top, bottom, x: _polynomial(QUANTILE[top], x) / _polynomial(QUANTILE[bottom], x)
+    q = u - 0.5
+    r = F.sqrt(-F.log(F.least(u, 1 - u)))
+    tail = F.when(r <= 5.0, ratio("c", "d", r - 1.6)).otherwise(ratio("e", "f", r - 5.0))
+    return F.when(F.abs(q) <= 0.425, q * ratio("a", "b", F.lit(0.180625) - q * q)).otherwise(F.signum(q) * tail)
+
+
+def beta72_quantile(u: Column) -> Column:
+    """Beta(7, 2) has the distribution function 8x^7 - 7x^8; inverted binary digit by digit."""
+    steps = F.array(*[F.lit(2.0**-i) for i in range(1, HALVINGS + 1)])
+    below = lambda x: 8 * F.pow(x, F.lit(7.0)) - 7 * F.pow(x, F.lit(8.0)) < u
+    return F.aggregate(steps, F.lit(0.0), lambda x, s: F.when(below(x + s), x + s).otherwise(x))
 
 
 def item_prices(items: DataFrame, seed: int = SEED) -> DataFrame:
     """(item_id, vertical, price, base_rating): log-normal prices by vertical and Beta(7, 2) ratings, from hashed uniforms."""
     df = with_uniform(items.select("item_id", "vertical"), "item_id", seed, F.lit(SALTS["price"]) + F.col("vertical"), "_p")
     df = with_uniform(df, "item_id", seed, SALTS["rating"], "_r")
-
-    @F.pandas_udf("double")
-    def normal(u: pd.Series) -> pd.Series:
-        return pd.Series(_normal_quantile(np.clip(u.to_numpy(), 1e-9, 1 - 1e-9)))
-
-    @F.pandas_udf("double")
-    def rating(u: pd.Series) -> pd.Series:
-        return pd.Series((beta72_quantile(np.clip(u.to_numpy(), 1e-9, 1 - 1e-9)) * 5).round(2))
-
+    inside = lambda c: F.greatest(F.least(F.col(c), F.lit(1 - LEAST_UNIFORM)), F.lit(LEAST_UNIFORM))
     mu, sigma = (F.element_at(F.array(*[F.lit(p[i]) for p in PRICES.values()]), F.col("vertical") + 1) for i in (0, 1))
-    price = F.round(F.greatest(F.exp(mu + sigma * normal("_p")), F.lit(MIN_PRICE)), 2)
-    return df.select("item_id", "vertical", price.alias("price"), rating("_r").alias("base_rating"))
+    price = F.round(F.greatest(F.exp(mu + sigma * normal_quantile(inside("_p"))), F.lit(MIN_PRICE)), 2)
+    return df.select("item_id", "vertical", price.alias("price"), F.round(beta72_quantile(inside("_r")) * 5, 2).alias("base_rating"))

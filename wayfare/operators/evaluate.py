@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,20 +106,45 @@ def lift(pairs: DataFrame) -> DataFrame:
     return one.select("users", *[F.round(c, 6).alias(c) for c in ("control", "treatment")], F.round(F.col("treatment") - F.col("control"), 6).alias("absolute"), F.when(F.col("control") != 0, F.round((F.col("treatment") - F.col("control")) / F.col("control"), 6)).otherwise(0.0).alias("relative"))
 
 
+# The distribution function of Poisson(1).
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020]
+
+
+def resampled(pairs: DataFrame, samples: int, seed: int) -> DataFrame:
+    """(sample, n, total): for each resample how many draws there were and the sum of their differences.
+
+    Each user enters each resample a hashed Poisson(1) number of times; a task adds up its users' draws, so it sends
+    `samples` rows whatever the number of users.
+    """
+
+    def run(batches):
+        every = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        n, total = np.zeros(samples, np.int64), np.zeros(samples)
+        for batch in batches:
+            h, diff = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for i in range(0, len(h), 500):
+                x = h[i : i + 500, None] + every[None, :]
+                x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                times = np.searchsorted(POISSON, (x ^ x >> np.uint64(31)) / 2.0**64, "right")
+                n += times.sum(0)
+                total += diff[i : i + 500] @ times
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), pa.array(n), pa.array(total)], ["sample", "n", "total"])
+
+    hashed = pairs.where("diff IS NOT NULL").select(F.xxhash64(F.lit(seed), "user_id").alias("h"), F.col("diff").cast("double").alias("diff"))
+    sums = hashed.mapInArrow(run, "sample long, n long, total double")
+    return sums.groupBy("sample").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def bootstrap(pairs: DataFrame, samples: int = 2000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """(lower, upper, p_value) of the mean difference under resampling of users.
 
-    Poisson bootstrap: each user enters each resample a hashed Poisson(1) number of times, so resampling is one aggregation
-    and needs no collected vector.  The p-value is doubled, corrected by one and at most 1; no users give (0, 0, 1).
+    A Poisson bootstrap, so resampling needs no collected vector.  The p-value is doubled, corrected by one and at
+    most 1; no users give (0, 0, 1).
     """
-    # The distribution function of Poisson(1).
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020]
-    u = F.pmod(F.xxhash64(F.lit(seed), "user_id", "_s"), F.lit(2**31)) / float(2**31)
-    times = F.size(F.filter(F.array(*map(F.lit, cdf)), lambda e: e <= u))
-    draws = pairs.select("user_id", "diff", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_s")).withColumn("_n", times)
-    means = draws.groupBy("_s").agg((F.sum(F.col("_n") * F.col("diff")) / F.greatest(F.sum("_n"), F.lit(1))).alias("m"))
+    means = resampled(pairs, samples, seed).select((F.col("total") / F.greatest("n", F.lit(1))).alias("m"))
     half = (1 - confidence) / 2
-    observed = pairs.agg(F.avg("diff").alias("o"))
+    observed = pairs.agg(F.avg("diff").alias("o")).where("o IS NOT NULL")
     one = means.join(F.broadcast(observed)).groupBy("o").agg(F.percentile("m", half).alias("lower"), F.percentile("m", 1 - half).alias("upper"), F.count_if(F.col("m") <= 0).alias("_low"), F.count_if(F.col("m") >= 0).alias("_high"))
     p = F.least(F.lit(1.0), 2.0 * (F.when(F.col("o") >= 0, F.col("_low")).otherwise(F.col("_high")) + 1) / (samples + 1))
     full = one.select("lower", "upper", p.alias("p_value"))

@@ -1,36 +1,118 @@
-"""BPR factorisation and a two-tower encoder, trained in NumPy on bounded batches of Spark rows."""
+"""BPR factorisation and a two-tower encoder, trained by distributed stochastic gradient descent over blocks.
+
+Users and items are hashed into equally many blocks.  In each of as many rounds, user block u meets item block
+(u + round) mod blocks in one task, with the pairs between the two: no two tasks touch the same row, so steps need no
+locks, and an epoch has seen every pair.  Rows and pairs travel as tables; the driver holds the towers' dense weights
+only, whose size does not depend on the data.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs that a fit sees at most; scoring covers all rows.
-FIT_PAIRS = 200_000
+from wayfare.operators.vectors import inner_topk
+from wayfare.sources.tables import checkpointed
 
+#: Pairs that meet in a task, on average.
+GROUP_PAIRS = 200_000
+USER, ITEM, PAIR, WEIGHTS = range(4)
+ROW = "kind int, id long, other long, f array<double>, x array<double>"
 
-def _batch(pairs: DataFrame, columns: list[str], limit: int = FIT_PAIRS) -> np.ndarray:
-    rows = pairs.select(*columns).orderBy(F.xxhash64(*columns)).limit(limit).toPandas()
-    return rows.to_numpy()
 
+def start_rows(rows: DataFrame, kind: int, size: int, seed: int) -> DataFrame:
+    """(kind, id, other, f, x) of rows (id[, x]) with hashed small factors."""
+    draw = lambda j: (F.pmod(F.xxhash64(F.lit(seed + kind), F.col("id"), j), F.lit(2**31)) / float(2**31) - 0.5) * 0.35
+    x = F.col("x") if "x" in rows.columns else F.array().cast("array<double>")
+    return rows.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("other"), F.transform(F.sequence(F.lit(1), F.lit(size)), draw).alias("f"), x.alias("x"))
 
-def fit_bpr(triples: DataFrame, users: int, items: int, dim: int = 32, epochs: int = 20, rate: float = 0.05, decay: float = 1e-4, seed: int = 42):
-    """Bayesian personalised ranking on (user, positive, negative) index triples: (user factors, item factors, item bias)."""
-    data = _batch(triples, ["user", "positive", "negative"]).astype(np.int64)
-    rng = np.random.default_rng(seed)
-    u, v, b = rng.normal(0, 0.1, (users, dim)), rng.normal(0, 0.1, (items, dim)), np.zeros(items)
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(data)), max(1, len(data) // 1024)):
-            a, p, n = data[part].T
-            g = 1 / (1 + np.exp((u[a] * (v[p] - v[n])).sum(1) + b[p] - b[n]))
-            du, dv = g[:, None] * (v[p] - v[n]) - decay * u[a], g[:, None] * u[a]
-            np.add.at(u, a, rate * du)
-            np.add.at(v, p, rate * (dv - decay * v[p]))
-            np.add.at(v, n, rate * (-dv - decay * v[n]))
-            np.add.at(b, p, rate * g)
-            np.add.at(b, n, -rate * g)
-    return u, v, b
+
+def _trainer(step: Callable, weights: np.ndarray | None, seed: int):
+    """One task's share of a round, as a function of the rows that meet."""
+    def run(got: pa.Table) -> pa.Table:
+        kind = got.column("kind").to_numpy()
+        part = {k: got.filter(pa.array(kind == k)).sort_by([("id", "ascending"), ("other", "ascending")]) for k in (USER, ITEM, PAIR)}
+        stack = lambda t, c: np.array(t.column(c).to_pylist(), float).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0))
+        side = {k: {"ids": part[k].column("id").to_numpy(), "f": stack(part[k], "f"), "x": stack(part[k], "x")} for k in (USER, ITEM)}
+        p = part[PAIR]
+        both = {"u": np.searchsorted(side[USER]["ids"], p.column("id").to_numpy()), "i": np.searchsorted(side[ITEM]["ids"], p.column("other").to_numpy()), "x": stack(p, "x")}
+        new = weights
+        if p.num_rows:
+            side[USER]["f"], side[ITEM]["f"], new = step(side[USER], side[ITEM], both, weights, seed)
+        out = [pa.table({"kind": pa.array([k] * part[k].num_rows, pa.int32()), "id": part[k].column("id"), "other": part[k].column("other"), "f": pa.array(list(side[k]["f"]), pa.list_(pa.float64())), "x": part[k].column("x")}) for k in (USER, ITEM)]
+        if new is not None and p.num_rows:
+            out.append(pa.table({"kind": pa.array([WEIGHTS], pa.int32()), "id": pa.array([p.num_rows], pa.int64()), "other": pa.array([0], pa.int64()), "f": pa.array([new], pa.list_(pa.float64())), "x": pa.array([[]], pa.list_(pa.float64()))}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def train_blocks(state: DataFrame, pairs: DataFrame, step: Callable, epochs: int, weights: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray | None]:
+    """The state, and the dense weights, after so many epochs; state: ROW of users and items, pairs: (id, other[, x]).
+
+    step(users, items, pairs, weights, seed) trains one task's share, with tables of columns ids, f, x, and returns
+    the new factors of both and the new weights; the tasks' weights are averaged after each round.
+    """
+    x = F.col("x") if "x" in pairs.columns else F.array().cast("array<double>")
+    rows = checkpointed(pairs.select(F.lit(PAIR).alias("kind"), F.col("id").cast("long").alias("id"), F.col("other").cast("long").alias("other"), F.array().cast("array<double>").alias("f"), x.alias("x")), "pairs")
+    n = max(1, math.ceil(math.sqrt(rows.count() / GROUP_PAIRS)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    state = checkpointed(state, "factors")
+    for turn in range(epochs * n):
+        shift = turn % n
+        own = state.withColumn("g", F.when(F.col("kind") == USER, block("id")).otherwise(F.pmod(block("id") - F.lit(shift), F.lit(n))))
+        meet = rows.withColumn("g", block("id")).where(block("other") == F.pmod(F.col("g") + F.lit(shift), F.lit(n)))
+
+        out = checkpointed(own.unionByName(meet).groupBy("g").applyInArrow(_trainer(step, weights, turn), ROW), "factors")
+        state = out.where(F.col("kind").isin(USER, ITEM))
+        if weights is not None and (found := out.where(F.col("kind") == WEIGHTS).select("id", "f").collect()):  # a row for each task
+            weights = np.average([r.f for r in found], axis=0, weights=[r.id for r in found])
+    return state, weights
+
+
+def factors(state: DataFrame, kind: int) -> DataFrame:
+    return state.where(F.col("kind") == kind).select("id", F.col("f").alias("embedding"), "x")
+
+
+def bpr_step(rate: float, decay: float, negatives: int, passes: int) -> Callable:
+    def step(users, items, pairs, weights, seed):
+        rng = np.random.default_rng(seed)
+        f, g, n = users["f"].copy(), items["f"].copy(), len(items["ids"])
+        known = np.unique(pairs["u"] * n + pairs["i"])
+        for _ in range(passes):
+            a, p = np.repeat(pairs["u"], negatives), np.repeat(pairs["i"], negatives)
+            q = rng.integers(0, n, len(a))
+            fresh = ~np.isin(a * n + q, known)
+            a, p, q = a[fresh], p[fresh], q[fresh]
+            for part in np.array_split(rng.permutation(len(a)), max(1, len(a) // 1024)):
+                u, i, j = a[part], p[part], q[part]
+                w = 1 / (1 + np.exp((f[u] * (g[i] - g[j])).sum(1)))[:, None]
+                du, di, dj = w * (g[i] - g[j]) - decay * f[u], w * f[u] - decay * g[i], -w * f[u] - decay * g[j]
+                du[:, -1] = 0  # the users' last place is 1, so the items' is a bias
+                np.add.at(f, u, rate * du)
+                np.add.at(g, i, rate * di)
+                np.add.at(g, j, rate * dj)
+        return f, g, weights
+
+    return step
+
+
+def fit_bpr(pairs: DataFrame, dim: int = 32, epochs: int = 5, passes: int = 4, rate: float = 0.05, decay: float = 1e-4, negatives: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Bayesian personalised ranking of pairs (user_id, item_id): (id, embedding) of users and of items, last place the bias.
+
+    Negatives are drawn uniformly from the items of the pair's block; known pairs are rejected.
+    """
+    pairs = pairs.select(F.col("user_id").alias("id"), F.col("item_id").alias("other")).distinct()
+    users, items = start_rows(pairs.select("id").distinct(), USER, dim + 1, seed), start_rows(pairs.select(F.col("other").alias("id")).distinct(), ITEM, dim + 1, seed)
+    users = users.withColumn("f", F.concat(F.slice("f", 1, dim), F.array(F.lit(1.0))))
+    items = items.withColumn("f", F.concat(F.slice("f", 1, dim), F.array(F.lit(0.0))))
+    state, _ = train_blocks(users.unionByName(items), pairs, bpr_step(rate, decay, negatives, passes), epochs)
+    return factors(state, USER).drop("x"), factors(state, ITEM).drop("x")
 
 
 def in_batch_loss(q: np.ndarray, c: np.ndarray, items: np.ndarray, logq: np.ndarray, temperature: float = 0.05, known: np.ndarray | None = None):
@@ -50,53 +132,97 @@ def in_batch_loss(q: np.ndarray, c: np.ndarray, items: np.ndarray, logq: np.ndar
     return float(-np.log(np.maximum(np.diag(p), 1e-12)).mean()), p
 
 
-class TwoTower:
-    """Linear towers of standardised features and an id embedding, L2-normalised outputs."""
+class Tower:
+    """An id embedding and features (numbers, and one place for each category) through one hidden layer, to length 1."""
+
+    def __init__(self, inputs: int, hidden: int, dim: int):
+        self.shapes = [(inputs, hidden), (hidden,), (hidden, dim), (dim,)]
+        self.size = sum(int(np.prod(s)) for s in self.shapes)
+
+    def start(self, rng) -> np.ndarray:
+        return np.concatenate([(rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 else np.zeros(s)).reshape(-1) for s in self.shapes])
+
+    def parts(self, flat: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum([0] + [int(np.prod(s)) for s in self.shapes])
+        return [flat[a:b].reshape(s) for a, b, s in zip(ends[:-1], ends[1:], self.shapes, strict=True)]
+
+    def encode(self, flat: np.ndarray, f: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+        w1, b1, w2, b2 = self.parts(flat)
+        inputs = np.hstack([f, x])
+        hidden = np.maximum(inputs @ w1 + b1, 0)
+        raw = hidden @ w2 + b2
+        norm = np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
+        return raw / norm, (inputs, hidden, raw / norm, norm)
+
+    def gradient(self, flat: np.ndarray, seen: tuple, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the weights and of the inputs, for the gradient d of the outputs."""
+        inputs, hidden, out, norm = seen
+        w1, _, w2, _ = self.parts(flat)
+        d = (d - out * (d * out).sum(1, keepdims=True)) / norm
+        back = (d @ w2.T) * (hidden > 0)
+        return np.concatenate([(inputs.T @ back).reshape(-1), back.sum(0), (hidden.T @ d).reshape(-1), d.sum(0)]), back @ w1.T
 
-    def __init__(self, users: int, items: int, user_dim: int, item_dim: int, dim: int = 16, seed: int = 42):
+
+def tower_step(towers: tuple[Tower, Tower], rate: float, temperature: float, batch: int, passes: int, clip: float = 5.0) -> Callable:
+    """Adagrad on the in-batch softmax; an item's x ends with the log of its sampling odds."""
+
+    def step(users, items, pairs, weights, seed):
         rng = np.random.default_rng(seed)
-        self.p = {"eu": rng.normal(0, 0.1, (users, dim)), "ei": rng.normal(0, 0.1, (items, dim)), "wu": rng.normal(0, 0.1, (user_dim, dim)), "wi": rng.normal(0, 0.1, (item_dim, dim))}
-
-    def encode(self, side: str, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-        raw = self.p["e" + side][ids] + x @ self.p["w" + side]
-        return raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
-
-    def fit(self, user: np.ndarray, item: np.ndarray, xu: np.ndarray, xi: np.ndarray, logq: np.ndarray, epochs: int = 15, batch: int = 256, rate: float = 0.5, temperature: float = 0.1, seed: int = 1) -> list[float]:
-        rng, losses = np.random.default_rng(seed), []
-        for _ in range(epochs):
-            total = 0.0
-            for part in np.array_split(rng.permutation(len(user)), max(1, len(user) // batch)):
-                u, i = user[part], item[part]
-                raw = {s: self.p["e" + s][ids] + x[ids] @ self.p["w" + s] for s, ids, x in (("u", u, xu), ("i", i, xi))}
-                norm = {s: np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-9) for s, r in raw.items()}
-                out = {s: raw[s] / norm[s] for s in raw}
-                loss, p = in_batch_loss(out["u"], out["i"], i, logq[i], temperature)
-                total += loss * len(part)
-                g = (p - np.eye(len(part))) / temperature / len(part)
-                for s, ids, x, grad in (("u", u, xu, g @ out["i"]), ("i", i, xi, g.T @ out["u"])):
-                    d = (grad - out[s] * (grad * out[s]).sum(1, keepdims=True)) / norm[s]
-                    np.add.at(self.p["e" + s], ids, -rate * d)
-                    self.p["w" + s] -= rate * x[ids].T @ d
-            losses.append(total / len(user))
-        return losses
-
-
-def factor_topk(spark, user_factors: np.ndarray, item_factors: np.ndarray, bias: np.ndarray, users: DataFrame, k: int) -> DataFrame:
-    """(user_index, item_index, score, rank) of all users: Arrow batches of users against the item factors.
-
-    The item factors travel with the tasks; they are as large as the catalogue times the dimension, and refused above 256 MB.
+        f, g, w = users["f"].copy(), items["f"].copy(), weights.copy()
+        cut, n = towers[0].size, len(items["ids"])
+        known = np.unique(pairs["u"] * n + pairs["i"])
+        seen_w, seen_f, seen_g = np.full(len(w), 1e-2), np.full(f.shape, 1e-2), np.full(g.shape, 1e-2)
+        for _ in range(passes):
+            for part in np.array_split(rng.permutation(len(pairs["u"])), max(1, len(pairs["u"]) // batch)):
+                u, i = pairs["u"][part], pairs["i"][part]
+                q, back_q = towers[0].encode(w[:cut], f[u], pairs["x"][part])
+                c, back_c = towers[1].encode(w[cut:], g[i], items["x"][i, :-1])
+                _, p = in_batch_loss(q, c, i, items["x"][i, -1], temperature, np.isin(u[:, None] * n + i[None, :], known))
+                d = (p - np.eye(len(part))) / temperature / len(part)
+                (dw_u, di_u), (dw_i, di_i) = towers[0].gradient(w[:cut], back_q, d @ c), towers[1].gradient(w[cut:], back_c, d.T @ q)
+                dw, df, dg = np.concatenate([dw_u, dw_i]), np.zeros_like(f), np.zeros_like(g)
+                np.add.at(df, u, di_u[:, : f.shape[1]])
+                np.add.at(dg, i, di_i[:, : g.shape[1]])
+                scale = min(1.0, clip / max(1e-12, float(np.sqrt((dw**2).sum() + (df**2).sum() + (dg**2).sum()))))
+                for x, dx, seen in ((w, dw, seen_w), (f, df, seen_f), (g, dg, seen_g)):
+                    dx *= scale
+                    seen += dx**2
+                    x -= rate * dx / np.sqrt(seen)
+        return f, g, w
+
+    return step
+
+
+def fit_two_tower(pairs: DataFrame, items: DataFrame, dim: int = 16, hidden: int = 32, epochs: int = 4, passes: int = 3, rate: float = 0.05, temperature: float = 0.1, batch: int = 256, seed: int = 42):
+    """(user embeddings, item embeddings, towers, weights) from pairs (user_id, item_id, x) and items (item_id, x).
+
+    A pair's x is what was known of the user before it; an item's x are its features, then the log of its sampling
+    odds.  Known positives of a user count as no negatives.
     """
-    import pyarrow as pa
+    pairs = pairs.select(F.col("user_id").alias("id"), F.col("item_id").alias("other"), "x")
+    sizes = [int(df.agg(F.max(F.size("x"))).first()[0] or 0) for df in (pairs, items)]
+    towers = (Tower(dim + sizes[0], hidden, dim), Tower(dim + max(0, sizes[1] - 1), hidden, dim))
+    rng = np.random.default_rng(seed)
+    weights = np.concatenate([t.start(rng) for t in towers])
+    users = start_rows(pairs.select("id").distinct(), USER, dim, seed)
+    state = users.unionByName(start_rows(items.select(F.col("item_id").alias("id"), "x"), ITEM, dim, seed))
+    state, weights = train_blocks(state, pairs, tower_step(towers, rate, temperature, batch, passes), epochs, weights)
+    return factors(state, USER).drop("x"), factors(state, ITEM), towers, weights
 
-    if item_factors.nbytes > 256_000_000:
-        raise ValueError("item factors are too large to send; use als_topk")
+
+def encode(rows: DataFrame, tower: Tower, weights: np.ndarray) -> DataFrame:
+    """(id, embedding) of rows (id, embedding, x): what a tower makes of them."""
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            s = user_factors[ids] @ item_factors.T + bias
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            n = top.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(top.reshape(-1)), pa.array(np.take_along_axis(s, top, 1).reshape(-1)), pa.array(np.tile(np.arange(1, n + 1), len(ids)))], ["user_index", "item_index", "score", "rank"])
+            if b.num_rows:
+                f, x = (np.array(b.column(i).to_pylist(), float).reshape(b.num_rows, -1) for i in (1, 2))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(tower.encode(weights, f, x)[0]), pa.list_(pa.float64()))], ["id", "embedding"])
+
+    return rows.select("id", "embedding", "x").mapInArrow(run, "id long, embedding array<double>")
+
 
-    return users.select(F.col("user_index").cast("long")).mapInArrow(run, "user_index long, item_index long, score double, rank long")
+def factor_topk(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(user_id, item_id, score, rank): each user's k best items; both sides (id, embedding).  Users without a vector get no rows."""
+    found = inner_topk(users, items, k, digits=9, others=False)
+    return found.select(F.col("query").alias("user_id"), F.col("id").alias("item_id"), "score", "rank")

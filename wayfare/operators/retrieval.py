@@ -9,6 +9,8 @@ from wayfare.functions.expr import dot, unit_scale, weight
 
 NEIGHBOURS, LEAST_SIMILARITY, POPULARITY_POWER, MIN_WEIGHT = 200, 1e-4, 0.5, 1.0
 RRF_K, CANDIDATES = 60, 600
+#: Items of a user that are paired in one task.
+HEAVY = 1000
 
 
 def user_item(train: DataFrame, min_weight: float = MIN_WEIGHT) -> DataFrame:
@@ -20,12 +22,17 @@ def user_item(train: DataFrame, min_weight: float = MIN_WEIGHT) -> DataFrame:
 def item_similarity(matrix: DataFrame, neighbours: int = NEIGHBOURS, least: float = LEAST_SIMILARITY, power: float = POPULARITY_POWER) -> DataFrame:
     """(item_i, item_j, sim, rank): cosine of item columns over users, divided by the popularity of j to a power.
 
-    Item norms and degrees ride along on the matrix, so the pair sums need no further join; pairs are summed before the
-    shuffle as far as a task sees both of them.
+    Each pair is made once and mirrored after it is summed; users with more than HEAVY items are dealt over blocks of
+    their items, so that no task pairs a long history alone.
     """
     items = matrix.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count(F.lit(1)).alias("degree"))
-    l, r = matrix.select("user_id", F.col("item_id").alias("item_i"), F.col("w").alias("wi")), matrix.select("user_id", F.col("item_id").alias("item_j"), F.col("w").alias("wj"))
-    pairs = l.join(r, "user_id").where("item_i <> item_j").groupBy("item_i", "item_j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
+    users = matrix.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("n"))
+    rows = matrix.join(users, "user_id")
+    l = rows.select("user_id", F.pmod(F.xxhash64("item_id"), "n").cast("int").alias("b"), F.col("item_id").alias("item_i"), F.col("w").alias("wi"))
+    r = rows.select("user_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"), F.col("item_id").alias("item_j"), F.col("w").alias("wj"))
+    half = l.join(r, ["user_id", "b"]).where("item_i < item_j").groupBy("item_i", "item_j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
+    both = F.array(F.struct("item_i", "item_j"), F.struct(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j")))
+    pairs = half.select(F.explode(both).alias("p"), "dot").select("p.item_i", "p.item_j", "dot")
     a, b = items.select(F.col("item_id").alias("item_i"), F.col("norm").alias("ni")), items.select(F.col("item_id").alias("item_j"), F.col("norm").alias("nj"), "degree")
     sim = F.col("dot") / (F.col("ni") * F.col("nj")) / F.pow(F.col("degree").cast("double"), F.lit(power))
     rows = pairs.join(a, "item_i").join(b, "item_j").select("item_i", "item_j", F.round(sim, 9).alias("sim")).where(F.col("sim") >= least)
@@ -106,33 +113,6 @@ def cold_start(affinity: DataFrame, popularity: DataFrame, session_items: DataFr
     return top_k(scored.join(session_items, ["session", "item_id"], "left_anti"), k, "session")
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k: (query, id, score, rank); both sides (id, embedding).
-
-    Queries are a stated, small set; they are joined to all vectors and Spark picks the side to send by size.
-    """
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(F.col(c), F.col(c))))
-    q = queries.select(F.col("id").alias("query"), unit("embedding").alias("a"))
-    v = vectors.select("id", unit("embedding").alias("b"))
-    scored = q.join(v, F.col("query") != F.col("id")).select("query", "id", F.round(dot(F.col("a"), F.col("b")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, radius: float = 1.2, bucket: float = 0.9, tables: int = 12) -> DataFrame:
-    """Approximate top-k by random projections of unit vectors, for which L2 order is cosine order: (query, id, score, rank)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = F.transform("embedding", lambda x: x.cast("double") / F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    v, q = (df.select("id", array_to_vector(unit).alias("v")) for df in (vectors, queries))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=11).fit(v)
-    pairs = model.approxSimilarityJoin(q, v, radius, "d").where("datasetA.id <> datasetB.id")
-    rows = pairs.select(F.col("datasetA.id").alias("query"), F.col("datasetB.id").alias("id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def bad_vectors(vectors: DataFrame, size: int) -> DataFrame:
     """(rows, wrong_size, not_finite) of an embeddings table."""
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -184,13 +164,13 @@ def als_topk(model, k: int) -> DataFrame:
 
 
 def negatives(positives: DataFrame, items: DataFrame, per: int, seed: int = 42) -> DataFrame:
-    """(user_id, item_id, negative): `per` hashed uniform draws for each positive, known pairs rejected.
+    """(user_id, item_id, negative): `per` uniform draws from MD5 for each positive, known pairs rejected.
 
     items: (item_id, index) with dense indices from 0.
     """
     n = items.agg(F.count(F.lit(1)).alias("_n"))
     draws = positives.select("user_id", "item_id").join(F.broadcast(n)).withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(per))))
-    draws = draws.withColumn("index", F.pmod(F.xxhash64(F.lit(seed), "user_id", "item_id", "_d"), F.col("_n")))
+    draws = draws.withColumn("index", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "user_id", "item_id", "_d")), 1, 15), 16, 10).cast("long") % F.col("_n"))
     drawn = draws.join(items.select(F.col("item_id").alias("negative"), "index"), "index").select("user_id", "item_id", "negative")
     return drawn.join(positives.select("user_id", F.col("item_id").alias("negative")), ["user_id", "negative"], "left_anti").select("user_id", "item_id", "negative")
 

@@ -245,12 +245,38 @@ def merchants_of(spark, d):
     return augment.item_merchants(items, m)
 
 
-@query("aug5_root_verticals")
+_SHARES = ", ".join(f"{w / sum(augment.VERTICAL_WEIGHTS.values())!r}::double * t" for w in augment.VERTICAL_WEIGHTS.values())
+
+
+@query("aug5_root_verticals", f"""WITH RECURSIVE s AS (SELECT length(p_type)::int AS root, count(*) AS n FROM part GROUP BY 1), o AS (SELECT root, n, row_number() OVER (ORDER BY n DESC, root) AS i FROM s),
+g AS (SELECT 0::bigint AS i, [{_SHARES}] AS owed, NULL::int AS root, NULL::int AS vertical FROM (SELECT sum(n)::double AS t FROM s)
+  UNION ALL SELECT o.i, list_transform(owed, lambda v, k: CASE WHEN k = list_position(owed, list_max(owed)) THEN v - o.n ELSE v END), o.root, (list_position(owed, list_max(owed)) - 1)::int FROM g JOIN o ON o.i = g.i + 1)
+SELECT root, vertical FROM g WHERE i > 0""")
 def verticals(spark, d):
     return augment.root_verticals(table(spark, d, "part").groupBy(F.length("p_type").alias("root")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("aug8_item_prices")
+def _ratio(top: str, bottom: str, x: str) -> str:
+    """SQL of a ratio of polynomials."""
+    def poly(c):
+        out = f"{c[-1]!r}::double"
+        for v in c[-2::-1]:
+            out = f"({out} * {x} + {v!r}::double)"
+        return out
+
+    return f"{poly(augment.QUANTILE[top])} / {poly(augment.QUANTILE[bottom])}"
+
+
+_STEPS = "[0.0::double, " + ", ".join(f"{2.0**-i!r}::double" for i in range(1, augment.HALVINGS + 1)) + "]"
+_PRICE = "[" + ", ".join(f"{m}::double" for m, _ in augment.PRICES.values()) + "][vertical + 1] + [" + ", ".join(f"{s}::double" for _, s in augment.PRICES.values()) + "][vertical + 1]"
+
+
+@query("aug8_item_prices", f"""WITH i AS (SELECT p_partkey AS item_id, (p_partkey % 6)::int AS vertical FROM part),
+u AS (SELECT *, greatest(least({_u('item_id', 42, str(0x5EED0004) + ' + vertical')}, {1 - 1e-9!r}::double), 1e-9::double) AS p, greatest(least({_u('item_id', 42, str(0x5EED0006))}, {1 - 1e-9!r}::double), 1e-9::double) AS w FROM i),
+t AS (SELECT *, p - 0.5::double AS q, sqrt(-ln(least(p, 1 - p))) AS r FROM u),
+z AS (SELECT *, CASE WHEN abs(q) <= 0.425::double THEN q * {_ratio('a', 'b', '(0.180625::double - q * q)')} ELSE sign(q) * CASE WHEN r <= 5 THEN {_ratio('c', 'd', '(r - 1.6::double)')} ELSE {_ratio('e', 'f', '(r - 5.0::double)')} END END AS z FROM t)
+SELECT item_id, vertical, round(greatest(exp({_PRICE} * z), {augment.MIN_PRICE}::double), 2) AS price,
+  round(list_reduce({_STEPS}, lambda x, s: CASE WHEN 8 * pow(x + s, 7) - 7 * pow(x + s, 8) < w THEN x + s ELSE x END) * 5, 2) AS base_rating FROM z""")
 def prices(spark, d):
     return augment.item_prices(table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % 6).cast("int").alias("vertical")))
 

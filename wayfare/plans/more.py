@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfare.operators import asof, drift, evaluate, ranking
@@ -15,13 +13,8 @@ from wayfare.plans.features import _ASOF, _rounded, splits
 from wayfare.plans.quality import DRIFT_FEATURES, RECS_SQL, drift_features, drift_sql, recommendations
 from wayfare.plans.registry import ORACLES, query
 from wayfare.plans.retrieval import _FEATURES, CF_SQL, FUSED_SQL, RANKED_SQL, SOURCES, _shelf, cf, dataset, fused, ranked_sources
-from wayfare.plans.streams import checkpoint_dir
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
-from wayfare.sources.tables import behaviour, code_map, read_category_tree, read_events, read_features, read_item_properties, table, write_features
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/wayfare/{name}-{uuid.uuid4().hex}"
+from wayfare.sources.tables import behaviour, code_map, read_category_tree, read_events, read_features, read_item_properties, scratch, table, write_features
 
 
 @query("src1_csv_events", f"WITH {A} SELECT date_trunc('millisecond', ts) AS ts, user_id, item_id::bigint AS item_id, event_type, CASE WHEN event_type = 9 THEN event_id END AS transaction_id FROM a WHERE event_type IN (3, 6, 9)")
@@ -29,7 +22,7 @@ def csv_events(spark, d):
     e = behaviour(spark, d).where("event_type IN (3, 6, 9)")
     name = code_map({3: "view", 6: "addtocart", 9: "transaction"})[F.col("event_type")]
     raw = e.select(F.unix_millis("ts").alias("timestamp"), F.col("user_id").alias("visitorid"), name.alias("event"), F.col("item_id").cast("long").alias("itemid"), F.when(F.col("event_type") == 9, F.col("event_id").cast("double")).alias("transactionid"))
-    path = _scratch(spark, "csv-events")
+    path = scratch(spark, "csv-events")
     raw.write.option("header", True).csv(path)
     return read_events(spark, path)
 
@@ -40,7 +33,7 @@ _PROPERTY = "CASE l_linenumber % 3 WHEN 0 THEN 'categoryid' WHEN 1 THEN 'availab
 @query("src2_csv_properties", f"SELECT * FROM (SELECT l_shipdate AS ts, l_partkey AS item_id, {_PROPERTY} AS property, l_linenumber::varchar AS value FROM lineitem) WHERE property IN ('categoryid', 'available')")
 def csv_properties(spark, d):
     rows = table(spark, d, "lineitem").select(F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("timestamp"), F.col("l_partkey").alias("itemid"), F.expr(_PROPERTY).alias("property"), F.col("l_linenumber").cast("string").alias("value"))
-    paths = [_scratch(spark, f"csv-properties-{part}") for part in (0, 1)]
+    paths = [scratch(spark, f"csv-properties-{part}") for part in (0, 1)]
     for part, path in enumerate(paths):
         rows.where(F.col("value").cast("int") % 2 == part).write.option("header", True).csv(path)
     return read_item_properties(spark, *paths)
@@ -48,14 +41,14 @@ def csv_properties(spark, d):
 
 @query("src3_csv_tree", "SELECT n_nationkey AS category_id, CASE WHEN n_regionkey > 0 THEN n_regionkey + 100 END AS parent_id FROM nation")
 def csv_tree(spark, d):
-    path = _scratch(spark, "csv-tree")
+    path = scratch(spark, "csv-tree")
     table(spark, d, "nation").select(F.col("n_nationkey").alias("categoryid"), F.when(F.col("n_regionkey") > 0, (F.col("n_regionkey") + 100).cast("double")).alias("parentid")).write.option("header", True).csv(path)
     return read_category_tree(spark, path)
 
 
 @query("snk2_feature_sink", f"WITH {SPLIT} SELECT split, count(*) AS rows, count(DISTINCT user_id) AS users FROM s GROUP BY 1")
 def feature_sink(spark, d):
-    path = _scratch(spark, "features")
+    path = scratch(spark, "features")
     write_features(asof.asof_features(splits(spark, d)[0]), path, "1")
     back = read_features(spark, path, "1", ["user_id", *asof.FEATURES])
     return back.groupBy(F.col("split").cast("string").alias("split")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("users"))
@@ -108,10 +101,10 @@ def fuse_scores(spark, d):
 
 
 @query("tk1_recommend", f"""WITH {SPLIT}, {CF_SQL}, hist AS (SELECT DISTINCT user_id, item_id FROM tr),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cf WHERE item_id % 2 = 0 AND (user_id, item_id) NOT IN (SELECT user_id, item_id FROM hist)) SELECT user_id, item_id, score, rank FROM r WHERE rank <= 10""")
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cf WHERE item_id IN (SELECT item_id FROM tr WHERE event_type = 9) AND (user_id, item_id) NOT IN (SELECT user_id, item_id FROM hist)) SELECT user_id, item_id, score, rank FROM r WHERE rank <= 10""")
 def recommend(spark, d):
     train = splits(spark, d)[1]
-    candidates = spark.range(0, 110, 2).select(F.col("id").cast("int").alias("item_id"))
+    candidates = train.where("event_type = 9").select("item_id").distinct()
     return R.recommend(cf(train), 10, train, candidates).select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -173,13 +166,13 @@ def _build(spark, d, out):
 
 @query("job_build_dataset", _job_sql())
 def job_build(spark, d):
-    return _build(spark, d, _scratch(spark, "dataset"))
+    return _build(spark, d, scratch(spark, "dataset"))
 
 
 @query("job_experiment")
 def job_experiment(spark, d):
     """All jobs in turn: tables, features, baselines, drift, and an experiment of two baselines."""
-    out = _scratch(spark, "dataset")
+    out = scratch(spark, "dataset")
     _build(spark, d, out)
     jobs.build_features(spark, out)
     jobs.train_baselines(spark, out)

@@ -68,14 +68,14 @@ def model_table(spark, d):
     return z.groupBy("model").agg(F.count(F.lit(1)).alias("users"), *[F.round(F.avg(n) + 1e-9, 6).alias(n) for n in _NAMES])
 
 
-@query("ag17_beyond_accuracy", f"""WITH {SPLIT}, {RECS_SQL}, ct AS (SELECT range::int AS item_id FROM range(110)), c AS (SELECT item_id, count(*) AS n FROM cr GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n, item_id) AS i FROM c),
+@query("ag17_beyond_accuracy", f"""WITH {SPLIT}, {RECS_SQL}, ct AS (SELECT DISTINCT item_id FROM a), c AS (SELECT item_id, count(*) AS n FROM cr GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n, item_id) AS i FROM c),
 l AS (SELECT user_id, count(DISTINCT item_id % 6)::double / count(*) AS d, count(*) AS k FROM cr GROUP BY 1), q0 AS (SELECT ct.item_id, count(tr.item_id) AS n FROM ct LEFT JOIN tr USING (item_id) GROUP BY 1),
 pk AS (SELECT item_id, (row_number() OVER (ORDER BY n DESC, item_id) - 1) / (count(*) OVER () - 1)::double AS r FROM q0), ru AS (SELECT user_id, avg(r) AS r FROM cr JOIN pk USING (item_id) GROUP BY 1)
-SELECT round((SELECT count(*) FROM c) / 110.0::double, 6) AS coverage, (SELECT count(*) FROM c) AS distinct_items, (SELECT round(2.0::double * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0::double) / count(*), 6) FROM o) AS gini,
+SELECT round((SELECT count(*) FROM c) / (SELECT count(*) FROM ct)::double, 6) AS coverage, (SELECT count(*) FROM c) AS distinct_items, (SELECT round(2.0::double * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0::double) / count(*), 6) FROM o) AS gini,
   (SELECT round(avg(d), 6) FROM l WHERE k >= 2) AS diversity, (SELECT round(avg(r), 6) FROM ru) AS popularity_rank""")
 def beyond(spark, d):
     train, _, _, c = recommendations(spark, d)
-    catalogue = spark.range(110).select(F.col("id").cast("int").alias("item_id"))
+    catalogue = behaviour(spark, d).select("item_id").distinct()
     categories = catalogue.select("item_id", (F.col("item_id") % 6).alias("category_id"))
     return evaluate.beyond_accuracy(c, catalogue, categories, train.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from wayfare.operators import asof, evaluate, ingest, neural, popularity, ranking
+from wayfare.operators import asof, evaluate, ingest, neural, popularity, ranking, vectors
 from wayfare.operators import retrieval as R
 from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
 from wayfare.plans.features import POP_SQL, TREND_SQL, pop_scores, splits, trend_scores
 from wayfare.plans.registry import query
-from wayfare.sources.tables import table
+from wayfare.sources.tables import behaviour, checkpointed, scratch, table
 
 MATRIX_SQL = f"mx AS (SELECT user_id, item_id, sum({WEIGHT_SQL}) AS w FROM tr WHERE {WEIGHT_SQL} >= 1 GROUP BY 1, 2)"
 SIM_SQL = f"""{MATRIX_SQL}, nm AS (SELECT item_id, sqrt(sum(w * w)) AS norm, count(*) AS degree FROM mx GROUP BY 1),
@@ -63,10 +62,10 @@ def md4(spark, d):
     return similarity(splits(spark, d)[1])[1].select("item_i", "item_j", "sim")
 
 
-@query("tk4_similar_items", f"WITH {SPLIT}, {SIM_SQL} SELECT item_j, round(sim, 6) AS sim, rank FROM sim WHERE item_i = 7 AND rank <= 10")
+@query("tk4_similar_items", f"WITH {SPLIT}, {SIM_SQL} SELECT item_i, item_j, round(sim, 6) AS sim, rank FROM sim WHERE rank <= 10")
 def similar(spark, d):
     s = similarity(splits(spark, d)[1])[1]
-    return s.where("item_i = 7 AND rank <= 10").select("item_j", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+    return s.where("rank <= 10").select("item_i", "item_j", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("md5_cf_topk", f"""WITH {SPLIT}, {CF_SQL}, hist AS (SELECT DISTINCT user_id, item_id FROM tr),
@@ -151,8 +150,6 @@ def rk2(spark, d):
 
 @query("rk3_pairwise_ranker")
 def rk3(spark, d):
-    from wayfare.sources.tables import checkpointed
-
     data = checkpointed(dataset(spark, d), "ranking")
     return ranking.linear_rank(data, ranking.fit_pairwise(ranking.pairwise(data, _FEATURES, "fused"), _FEATURES), 10).select("user_id", "item_id", "label", "score", "rank")
 
@@ -166,13 +163,13 @@ def rk4(spark, d):
 
 
 def _shelf(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 400")
-    return p.select((F.col("p_partkey") % 8).alias("user_id"), F.col("p_partkey").alias("item_id"), F.round(F.col("p_retailprice") / 1000 + (F.col("p_partkey") * 37 % 101) / 100, 4).alias("score"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_partkey") % 5).cast("int").alias("merchant_id"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_size") % 4).cast("int").alias("category_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") % 9 != 0).alias("is_available"), F.when(F.col("p_partkey") % 6 != 0, (F.col("p_partkey") % 60).cast("double")).alias("delivery_minutes"), (F.col("p_partkey") % 10 == 0).alias("is_sponsored"), ((F.col("p_partkey") % 100) / 100).alias("popularity_rank"))
+    p = table(spark, d, "part")
+    return p.select(F.floor(F.col("p_partkey") / 50).alias("user_id"), F.col("p_partkey").alias("item_id"), F.round(F.col("p_retailprice") / 1000 + (F.col("p_partkey") * 37 % 101) / 100, 4).alias("score"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_partkey") % 5).cast("int").alias("merchant_id"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_size") % 4).cast("int").alias("category_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") % 9 != 0).alias("is_available"), F.when(F.col("p_partkey") % 6 != 0, (F.col("p_partkey") % 60).cast("double")).alias("delivery_minutes"), (F.col("p_partkey") % 10 == 0).alias("is_sponsored"), ((F.col("p_partkey") % 100) / 100).alias("popularity_rank"))
 
 
-SHELF_SQL = """sh AS (SELECT p_partkey % 8 AS user_id, p_partkey AS item_id, round(p_retailprice / 1000 + (p_partkey * 37 % 101) / 100, 4) AS score, (CASE WHEN p_partkey % 11 <> 0 THEN p_partkey % 5 END)::int AS merchant_id,
+SHELF_SQL = """sh AS (SELECT p_partkey // 50 AS user_id, p_partkey AS item_id, round(p_retailprice / 1000 + (p_partkey * 37 % 101) / 100, 4) AS score, (CASE WHEN p_partkey % 11 <> 0 THEN p_partkey % 5 END)::int AS merchant_id,
   (CASE WHEN p_partkey % 13 <> 0 THEN p_size % 4 END)::int AS category_id, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 9 <> 0 END AS is_available, CASE WHEN p_partkey % 6 <> 0 THEN (p_partkey % 60)::double END AS delivery_minutes,
-  p_partkey % 10 = 0 AS is_sponsored, (p_partkey % 100) / 100 AS popularity_rank FROM part WHERE p_partkey < 400),
+  p_partkey % 10 = 0 AS is_sponsored, (p_partkey % 100) / 100 AS popularity_rank FROM part),
 kp AS (SELECT *, CASE WHEN NOT coalesce(is_available, true) THEN 'unavailable' WHEN delivery_minutes > 45 THEN 'delivery_time' END AS reason FROM sh),
 aj AS (SELECT *, round(score + CASE WHEN is_sponsored THEN 0.1 ELSE 0 END - 0.2 * (1 - popularity_rank), 6) AS final FROM kp WHERE reason IS NULL)"""
 
@@ -210,20 +207,42 @@ def _vectors(spark, d):
 
 
 _COS_SQL = """v AS (SELECT vec_id AS id, [x::double / sqrt(list_sum([y::double * y::double FOR y IN embedding])) FOR x IN embedding] AS e FROM embeddings),
-tk AS (SELECT * FROM (SELECT q.id AS query, v.id, round(list_inner_product(q.e, v.e), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_inner_product(q.e, v.e), 6) DESC, v.id) AS rank FROM v q JOIN v ON q.id < 10 AND q.id <> v.id) WHERE rank <= 10)"""
+tk AS (SELECT * FROM (SELECT q.id AS query, v.id, round(list_inner_product(q.e, v.e), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_inner_product(q.e, v.e), 6) DESC, v.id) AS rank FROM v q JOIN v ON q.id % 100 = 0 AND q.id <> v.id) WHERE rank <= 10)"""
+
+
+def _asked(v):
+    """The query set of searches."""
+    return v.where("id % 100 = 0")
 
 
 @query("vx2_cosine_topk", f"WITH {_COS_SQL} SELECT query, id, score, rank::int AS rank FROM tk")
 def vx2(spark, d):
     v = _vectors(spark, d)
-    return R.cosine_topk(v.where("id < 10"), v, 10)
+    return vectors.cosine_topk(_asked(v), v, 10)
+
 
+def _index(spark, v):
+    path = scratch(spark, "index")
+    vectors.build_index(v, path)
+    return vectors.load_index(spark, path)
 
-@query("tk6_lsh_recall")
-def lsh(spark, d):
+
+@query("tk6_index_topk")
+def index_topk(spark, d):
     v = _vectors(spark, d)
-    q = v.where("id < 10")
-    return evaluate.overlap_at_k(R.lsh_topk(q, v, 10), R.cosine_topk(q, v, 10), 10)
+    return vectors.search_index(_index(spark, v), _asked(v), 10)
+
+
+@query("ev13_index_recall")
+def index_recall(spark, d):
+    v = _vectors(spark, d)
+    return evaluate.overlap_at_k(vectors.search_index(_index(spark, v), _asked(v), 10), vectors.cosine_topk(_asked(v), v, 10), 10)
+
+
+@query("vx3_index_benchmark")
+def index_benchmark(spark, d):
+    v = _vectors(spark, d)
+    return vectors.benchmark(v, _asked(v), scratch(spark, "index"))
 
 
 @query("vx1_vector_checks", "SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS wrong_size, count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS not_finite FROM embeddings")
@@ -248,14 +267,14 @@ SELECT query, round(sum(w * (id % 7)) / sum(w), 5) AS x, round(sum(w * (id % 11)
 def vx8(spark, d):
     v = _vectors(spark, d)
     places = v.select("id", *[(F.col("id") % m).cast("double").alias(c) for c, m in (("x", 7), ("y", 11), ("z", 13))])
-    return R.barycentre(R.cosine_topk(v.where("id < 10"), v, 10), places).select("query", *[F.round(c, 5).alias(c) for c in "xyz"])
+    return R.barycentre(vectors.cosine_topk(_asked(v), v, 10), places).select("query", *[F.round(c, 5).alias(c) for c in "xyz"])
 
 
-@query("ag21_log_sampling", f"WITH {SPLIT}, c AS (SELECT i.range::int AS item_id, (SELECT count(*) FROM tr WHERE tr.item_id = i.range) AS n FROM range(110) i) SELECT item_id, round(ln((n + 1) / sum(n + 1) OVER ()), 6) AS logq FROM c")
+@query("ag21_log_sampling", f"WITH {SPLIT}, c AS (SELECT item_id, (SELECT count(*) FROM tr WHERE tr.item_id = i.item_id) AS n FROM (SELECT DISTINCT item_id FROM a) i) SELECT item_id, round(ln((n + 1) / sum(n + 1) OVER ()), 6) AS logq FROM c")
 def logq(spark, d):
     train = splits(spark, d)[1]
     counts = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return R.log_sampling(counts, spark.range(110).select(F.col("id").cast("int").alias("item_id"))).withColumn("logq", F.round("logq", 6))
+    return R.log_sampling(counts, behaviour(spark, d).select("item_id")).withColumn("logq", F.round("logq", 6))
 
 
 @query("set_operations", f"""WITH {SPLIT}, x AS (SELECT DISTINCT user_id, item_id FROM tr), y AS (SELECT DISTINCT user_id, item_id FROM te)
@@ -278,7 +297,9 @@ def _indexed(train):
     return users, items
 
 
-@query("md7_negatives")
+@query("md7_negatives", f"""WITH {SPLIT}, {MATRIX_SQL}, it AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM (SELECT DISTINCT item_id FROM tr)),
+dr AS (SELECT user_id, item_id, ('0x' || substr(md5(concat_ws('|', '42', user_id, item_id, d)), 1, 15))::bigint % (SELECT count(*) FROM it) AS i FROM mx, unnest([1, 2]) u(d))
+SELECT user_id, dr.item_id, it.item_id AS negative FROM dr JOIN it USING (i) WHERE (user_id, it.item_id) NOT IN (SELECT user_id, item_id FROM mx)""")
 def md7(spark, d):
     train = splits(spark, d)[1]
     return R.negatives(R.user_item(train), _indexed(train)[1], 2)
@@ -286,26 +307,61 @@ def md7(spark, d):
 
 @query("md6_bpr_topk")
 def bpr(spark, d):
-    train = splits(spark, d)[1]
-    users, items = _indexed(train)
-    triples = R.negatives(R.user_item(train), items, 4)
-    i = items.select("item_id", F.col("index").alias("positive"))
-    n = items.select(F.col("item_id").alias("negative_item"), F.col("index").alias("negative"))
-    data = triples.withColumnRenamed("negative", "negative_item").join(users, "user_id").join(i, "item_id").join(n, "negative_item").select(F.col("user_index").alias("user"), "positive", "negative")
-    u, v, b = neural.fit_bpr(data, users.count(), items.count())
-    return neural.factor_topk(spark, u, v, b, users, 10)
+    users, items = neural.fit_bpr(R.user_item(splits(spark, d)[1]))
+    return neural.factor_topk(users, items, 10)
+
+
+_USER_FEATURES = ("user_event_count", "user_purchase_count", "user_conversion_rate", "user_avg_interaction_price")
+
+
+def _scaled(df, columns, stats):
+    """Columns less their mean, over their deviation; stats: one row of both."""
+    return [(F.coalesce(F.col(c).cast("double"), F.lit(stats[f"{c}_m"])) - stats[f"{c}_m"]) / max(stats[f"{c}_s"], 1e-9) for c in columns]
+
+
+def _stats(df, columns):
+    one = df.agg(*[f(c).alias(f"{c}_{s}") for c in columns for f, s in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
+    return {k: v or 0.0 for k, v in one.asDict().items()}
+
+
+def _one_hot(column, n):
+    return [(F.col(column) == i).cast("double") for i in range(n)]
+
+
+def two_towers(train):
+    """(users, items): encoded vectors of everybody and everything seen in training.
+
+    Pairs carry what was known of their user before them; users and items are encoded as the window leaves them.
+    """
+    before = asof.asof_features(train).where(F.col("event_type").isin(6, 9))
+    stats = _stats(before, _USER_FEATURES)
+    regions, verticals, merchants = train.agg(*[F.max(c) + 1 for c in ("region_id", "vertical", "merchant_id")]).first()
+    user_x = lambda df: F.array(*_scaled(df, _USER_FEATURES, stats), *_one_hot("region_id", regions))
+    pairs = checkpointed(before.select("user_id", "item_id", user_x(before).alias("x")), "tower-pairs")
+    kinds = train.groupBy("item_id").agg(F.max("vertical").alias("vertical"), F.max("merchant_id").alias("merchant_id"))
+    seen = asof.item_state(train).join(kinds, "item_id").select("item_id", "vertical", "merchant_id", *[F.log1p(c).alias(c) for c in ("events", "purchases", "distinct_users")])
+    counts = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    seen = checkpointed(seen.join(R.log_sampling(counts, seen), "item_id"), "tower-items")
+    numbers = ("events", "purchases", "distinct_users")
+    item_stats = _stats(seen, numbers)
+    items = seen.select("item_id", F.array(*_scaled(seen, numbers, item_stats), *_one_hot("vertical", verticals), *_one_hot("merchant_id", merchants), F.col("logq")).alias("x"))
+    user_f, item_f, towers, weights = neural.fit_two_tower(pairs, items)
+    cut = towers[0].size
+    last = asof.user_state(train).join(train.groupBy("user_id").agg(F.max("region_id").alias("region_id")), "user_id")
+    last = last.select(F.col("user_id").alias("id"), "region_id", F.col("events").alias("user_event_count"), F.col("purchases").alias("user_purchase_count"), (F.col("purchases") / F.col("events")).alias("user_conversion_rate"), F.col("avg_price").alias("user_avg_interaction_price"))
+    users = neural.encode(user_f.join(last.select("id", user_x(last).alias("x")), "id"), towers[0], weights[:cut])
+    return users, neural.encode(item_f.withColumn("x", F.slice("x", F.lit(1), F.size("x") - 1)), towers[1], weights[cut:])
 
 
 @query("md8_two_tower_topk")
 def two_tower(spark, d):
+    return neural.factor_topk(*two_towers(splits(spark, d)[1]), 10)
+
+
+@query("sv2_four_sources")
+def four_sources(spark, d):
+    """Fusion with the towers' lists; users that the towers have no vector for are served by the other sources."""
     train = splits(spark, d)[1]
-    users, items = _indexed(train)
-    us = asof.user_state(train).join(users, "user_id").orderBy("user_index").select(F.log1p("events"), F.log1p("purchases"), F.log1p("distinct_items"), F.coalesce("avg_price", F.lit(0.0))).toPandas().to_numpy(float)
-    it = asof.item_state(train).join(items, "item_id").orderBy("index").select(F.log1p("events"), F.log1p("purchases"), F.log1p("distinct_users")).toPandas().to_numpy(float)
-    scale = lambda x: (x - x.mean(0)) / np.maximum(x.std(0), 1e-9)
-    xu, xi = scale(us), scale(it)
-    pairs = R.user_item(train).join(users, "user_id").join(items, "item_id").orderBy(F.xxhash64("user_id", "item_id")).limit(neural.FIT_PAIRS).select("user_index", "index").toPandas().to_numpy()
-    n = np.bincount(pairs[:, 1], minlength=len(xi)) + 1.0
-    model = neural.TwoTower(len(xu), len(xi), xu.shape[1], xi.shape[1])
-    model.fit(pairs[:, 0], pairs[:, 1], xu, xi, np.log(n / n.sum()))
-    return neural.factor_topk(spark, model.encode("u", np.arange(len(xu)), xu), model.encode("i", np.arange(len(xi)), xi), np.zeros(len(xi)), users, 10)
+    lists = neural.factor_topk(*two_towers(train), TOP).select("user_id", F.lit("two_tower").alias("source"), F.col("item_id").cast("int").alias("item_id"), "score", "rank")
+    ranked = ranked_sources(train).select("user_id", "source", "item_id", "score", "rank").unionByName(lists)
+    return R.fuse(ranked, [*SOURCES, "two_tower"], train.select("user_id", "item_id").distinct(), 25).select("user_id", "item_id", "fused", "n_sources", "position")

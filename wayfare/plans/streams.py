@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfare.plans.cleaning import SPLIT
+from wayfare.plans.features import splits
 from wayfare.plans.registry import query
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
-from wayfare.sources.tables import behaviour, checkpointed
+from wayfare.sources.tables import behaviour, checkpointed, scratch
 from wayfare.streaming import events as S
 
 
+#: Files of a time range, which make a batch.
+EACH = 4
+
+
 def _run(spark: SparkSession, d: str, build, files: int = 4, mode: str = "update") -> DataFrame:
     """Write the events as a few files, one time range after the other, stream them through build(), append each batch to a table."""
     df = behaviour(spark, d).select("event_id", "ts", "user_id", "item_id", "event_type", "price_at_event")
-    where = f"{checkpoint_dir(spark)}/wayfare/stream-{uuid.uuid4().hex}"
+    where = scratch(spark, "stream")
     us = F.unix_micros("ts")
     first, last = df.agg(F.min(us), F.max(us)).first()
     part = F.least(F.floor((us - first) * files / max(1, last - first)), F.lit(files - 1))
     for nr in range(files):  # files are read in the order of their age
-        df.where(part == nr).coalesce(1).write.mode("append").parquet(f"{where}/in")
-    out = build(S.read_stream(spark, f"{where}/in", 1))
+        df.where(part == nr).repartition(EACH).write.mode("append").parquet(f"{where}/in")
+    out = build(S.read_stream(spark, f"{where}/in", EACH))
     schema = out.schema
 
     def write(batch: DataFrame, nr: int) -> None:
@@ -34,24 +38,17 @@ def _run(spark: SparkSession, d: str, build, files: int = 4, mode: str = "update
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{where}/out")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/wayfare-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 @query("st1_running_state", f"WITH {A} SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 9) AS purchases, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM a GROUP BY 1")
 def running_state(spark, d):
     out = _run(spark, d, S.running_user_state)
     return out.groupBy("user_id").agg(F.max("events").alias("events"), F.max("purchases").alias("purchases"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
 
 
-@query("st2_accepted_events", f"""WITH {A} SELECT CASE WHEN user_id >= 140 THEN 'unknown_user' WHEN item_id >= 95 THEN 'unknown_item' ELSE 'accepted' END AS reason, count(*) AS n FROM a GROUP BY 1""")
+@query("st2_accepted_events", f"""WITH {SPLIT} SELECT CASE WHEN user_id NOT IN (SELECT user_id FROM tr) THEN 'unknown_user' WHEN item_id NOT IN (SELECT item_id FROM tr) THEN 'unknown_item' ELSE 'accepted' END AS reason, count(*) AS n FROM a GROUP BY 1""")
 def accepted(spark, d):
-    users = spark.range(140).select(F.col("id").alias("user_id"))
-    items = spark.range(95).select(F.col("id").cast("int").alias("item_id"))
+    """Users and items of the training window are known."""
+    train = splits(spark, d)[1]
+    users, items = (checkpointed(train.select(c).distinct(), c) for c in ("user_id", "item_id"))
     out = _run(spark, d, lambda e: S.accept(e, users, items).select("event_id", "reason"), mode="append")
     return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,16 +78,22 @@ def write_json_row(df: DataFrame, path: str) -> str:
     return text
 
 
-def checkpointed(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written to the shared folder and read back, which ends its lineage."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; where none is set, in a temporary one in local mode alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "/tmp/wayfare-shared"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="wayfare-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/wayfare/{name}-{uuid.uuid4().hex}"
+    return f"{where}/wayfare/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written to the shared folder and read back, which ends its lineage."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, item_id INT, event_type INT, price_at_event DOUBLE"
-STATE = "events BIGINT, purchases BIGINT, first_us BIGINT, last_us BIGINT"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -24,18 +22,8 @@ def accept(events: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
 
 def running_user_state(events: DataFrame) -> DataFrame:
     """(user_id, events, purchases, first_us, last_us) after each batch, kept per user; late events never move last_us back."""
-    def fold(key, frames, state):
-        n, buys, first, last = state.get if state.exists else (0, 0, None, None)
-        for pdf in frames:
-            us = pdf["us"]
-            n, buys = n + len(pdf), buys + int(pdf["event_type"].isin([9, 10]).sum())
-            first = int(us.min()) if first is None else min(first, int(us.min()))
-            last = int(us.max()) if last is None else max(last, int(us.max()))
-        state.update((n, buys, first, last))
-        yield pd.DataFrame({"user_id": [key[0]], "events": [n], "purchases": [buys], "first_us": [first], "last_us": [last]})
-
-    rows = events.select("user_id", "event_type", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(fold, f"user_id BIGINT, {STATE}", STATE, "update", "NoTimeout")
+    us = F.unix_micros("ts")
+    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type").isin(9, 10)).alias("purchases"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
 
 
 def closed_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
