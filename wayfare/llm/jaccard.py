@@ -154,18 +154,14 @@ def links_in_blocks(rows: DataFrame, least: float = LEAST) -> DataFrame:
 def near_texts(prints: DataFrame, least: float = LEAST) -> DataFrame:
     """(text_hash, root): the texts that have near copies, and one name for each group; prints: what sketches() gives."""
     own = staged(prints.groupBy("text_hash").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")), "distinct-texts")
-    # Within 4 bits: a text for each fingerprint, and the links between fingerprints.
-    named = staged(own.groupBy("fp").agg(F.min("text_hash").alias("node")), "fingerprints")
-    alike = own.join(named, "fp").where("text_hash <> node").select(F.col("node").alias("u"), F.col("text_hash").alias("v"))
-    node = lambda fp, to: named.select(F.col("fp").alias(fp), F.col("node").alias(to))
-    linked = simhash.candidate_links(named.select("fp")).toDF("a", "b").join(node("a", "x"), "a").join(node("b", "y"), "b")
-    linked = linked.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    # Within 4 bits:
+    linked = simhash.candidate_links(own.select("fp", F.col("text_hash").alias("node")))
     # Beyond: texts that share a band.
     buckets = own.select("text_hash", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("u")).where("n > 1")
     buckets = staged(buckets.join(shared, "key"), "buckets")
     stars = buckets.where("text_hash > u").select("u", F.col("text_hash").alias("v"))
-    proposed = staged(alike.unionByName(linked).unionByName(stars).distinct(), "proposed-pairs")
+    proposed = staged(linked.unionByName(stars).distinct(), "proposed-pairs")
 
     members = staged(proposed.select(F.explode(F.array("u", "v")).alias("text_hash")).distinct(), "members")
     near = F.broadcast if members.count() <= BROADCAST_KEYS else lambda x: x  # so that only the sets of members are shuffled
@@ -180,7 +176,7 @@ def near_texts(prints: DataFrame, least: float = LEAST) -> DataFrame:
     blocks = open_rows.join(sets.select("text_hash", "size"), "text_hash").groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
     rest = staged(links_in_blocks(open_rows.join(blocks, "key").join(sets, "text_hash"), least), "links-in-blocks")
     out = staged(components(links.unionByName(rest)).select(F.col("node").alias("text_hash"), "root"), "near-texts")
-    unstaged(own, named, buckets, proposed, members, sets, links, group, open_rows, rest)
+    unstaged(own, buckets, proposed, members, sets, links, group, open_rows, rest)
     return out
 
 

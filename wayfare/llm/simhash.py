@@ -142,78 +142,82 @@ def _near(a: np.ndarray, b, bits: int) -> np.ndarray:
 
 
 def walk(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links of a forest that spans all links among fps: from each found fingerprint to the not yet found ones near it.
+    """Places of the links of a forest that spans all links among fps: from each found fingerprint to the not yet found ones near it.
 
     A tight group is nearly all found from its first members, so this costs far less than all pairs.
     """
     edges = []
-    left = np.unique(fps)
+    left = np.arange(len(fps))
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            hit = _near(left, at, bits)
+            hit = _near(fps[left], fps[at], bits)
             new, left = left[hit], left[~hit]
             edges += [(int(at), int(x)) for x in new]
-            todo += list(new)
+            todo += new.tolist()
     return edges
 
 
 def links_of(key: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
-    """(n, 2) edges among fingerprints that share a key; they connect whatever the links connect."""
+    """(n, 2) places of links among fingerprints that share a key; they connect whatever all links connect."""
     order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(first, len(key)))
+    k, f = key[order], fp[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    size = np.diff(np.append(first, len(k)))
     edges = []
-    small = np.repeat(size <= SMALL, size)
-    k, f = key[small], fp[small]
+    small = np.flatnonzero(np.repeat(size <= SMALL, size))
     for d in range(1, SMALL):
-        if len(k) <= d:
+        if len(small) <= d:
             break
-        hit = np.flatnonzero((k[d:] == k[:-d]) & _near(f[d:], f[:-d], bits))
-        edges.append(np.stack([f[:-d][hit], f[d:][hit]], 1))
+        a, b = small[:-d], small[d:]
+        hit = np.flatnonzero((k[a] == k[b]) & _near(f[a], f[b], bits))
+        edges.append(np.stack([a[hit], b[hit]], 1))
     for a, n in zip(first[size > SMALL], size[size > SMALL], strict=True):
-        found = walk(fp[a : a + n], bits)
+        found = walk(f[a : a + n], bits)
         if found:
-            edges.append(np.array(found, np.uint64))
-    if not edges:
-        return np.zeros((0, 2), np.uint64)
-    both = np.concatenate(edges)
-    return np.unique(np.sort(both, 1), axis=0)
+            edges.append(np.array(found) + a)
+    return order[np.concatenate(edges)] if edges else np.zeros((0, 2), np.int64)
 
 
 def candidate_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(u, v): distinct edges, u < v as signed longs, whose components are those of all links; fps: distinct fp."""
+    """(u, v): distinct edges, u < v as signed longs, whose components are those of all links.
+
+    fps: distinct (fp), or (fp, node) where edges are to join nodes.
+    """
+    names = ["fp", *[c for c in fps.columns if c == "node"]]
+
     def expand(batches):
         errors = golay_table()
         for batch in batches:
             x = batch.column(0).to_numpy().view(np.uint64)
             for i in range(0, len(x), 1000):
                 place, key = keys(x[i : i + 1000], errors)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x[i : i + 1000][place].view(np.int64))], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[c.slice(i, 1000).take(pa.array(place)) for c in batch.columns]], ["key", *names])
 
     def match(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
         if got:
-            key, fp = (np.concatenate(c).view(np.uint64) for c in zip(*got, strict=True))
-            e = np.sort(links_of(key, fp, bits).view(np.int64), 1)
+            key, fp, *_ = cols = [np.concatenate(c) for c in zip(*got, strict=True)]
+            e = cols[-1][links_of(key.view(np.uint64), fp.view(np.uint64), bits)]
+            e = np.unique(np.sort(e, 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
 
     n = fps.count()
     tasks = max(partitions(fps.sparkSession), n * KEYS // TASK_ROWS)
-    spread = fps.repartition(max(4, min(tasks, n // 2000)))  # expand small inputs in parallel
-    rows = spread.mapInArrow(expand, "key long, fp long").repartition(tasks, "key")
+    spread = fps.select(*names).repartition(max(4, min(tasks, n // 2000)))  # expand small inputs in parallel
+    rows = spread.mapInArrow(expand, ", ".join(f"{c} long" for c in ["key", *names])).repartition(tasks, "key")
     return rows.mapInArrow(match, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, for all nodes that have an edge.
 
-    Large stars and small stars in turn: each round hangs nodes under the least neighbour they know, until nothing
-    changes.  Neighbourhoods are only ever reduced to their minimum, so a centre of many edges is no problem.
+    Large stars and small stars in turn: each round hangs nodes under the least neighbour they know, until every edge
+    leads from a node of one edge to a root.  Neighbourhoods are only ever reduced to their minimum, so a centre of
+    many edges is no problem.
     """
-    edges = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+    edges = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
@@ -225,14 +229,14 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
         return out.where("u > v").distinct()
 
-    state = None
-    while True:
+    def done(e: DataFrame) -> bool:
+        sides = e.select(F.col("u").alias("n"), F.lit(1).alias("child")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("child")))
+        per = sides.groupBy("n").agg(F.sum("child").alias("c"), F.count(F.lit(1)).alias("all"))
+        return per.where("c > 1 OR c > 0 AND all > c").isEmpty()
+
+    while not done(edges):
         before, edges = edges, staged(star(star(edges, True), False), "stars")
         unstaged(before)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if now[0] == now[3] and now == state or now[0] == 0:
-            break
-        state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
