@@ -1,11 +1,13 @@
-"""Katz backoff language models: fitted and applied in three shuffles.
+"""Katz backoff language models: counted order by order, in hash buckets, and applied block by block.
 
-Texts are laid out as blocks of numbered words.  1. Every block asks for the counts of its distinct n-grams, by
-64-bit hash: the n-grams meet in hash buckets, training counts are added up, stored as a table partitioned by
-bucket, and sent back.  2. With counts of counts (a few numbers) discounts are known, so a block knows the
-probability of each n-gram seen in training.  Each seen n-gram is one block's to report, for the backoff weight
-of its context: what discounting leaves over, by what the lower order gives to unseen words.  3. Reports and the
-contexts that unseen n-grams need meet in buckets by context; weights are stored and added to their texts.
+Texts are laid out as blocks of numbered words.  1. Order by order, every block asks for the counts of its distinct
+n-grams, by 64-bit hash: the n-grams meet in hash buckets, training counts are added up, stored as a table partitioned
+by kind, and sent back, with a mark where no other block has the n-gram.  An n-gram that contains such a one is in this
+block alone, so the block counts it by itself and asks nobody; of longer n-grams few are left to ask for.  2. With
+counts of counts (a few numbers) discounts are known, so a block knows the probability of each n-gram seen in
+training.  Each seen n-gram is one block's to report, for the backoff weight of its context: what discounting leaves
+over, by what the lower order gives to unseen words.  3. Reports and the contexts that unseen n-grams need meet in
+buckets by context; weights are stored and added to their texts.  Contexts of one block are weighed in it.
 
 A token's probability is looked up recursively: seen n-gram, or weight of its context times the probability with
 the first word of the context dropped; unseen contexts weigh 1.  Unigrams end the recursion: what discounting
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, staged, table
 
-ORDER = 2
+ORDER = 3
 #: Counts up to this are discounted by Good-Turing; of larger ones SLIVER of an occurrence is taken, so that every
 #: context has something left for unseen words.
 GOOD_TURING, SLIVER = 5, 0.01
@@ -153,25 +155,74 @@ def _rows(batches):
             yield {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
 
 
-def requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(bucket, block, ord, n, keys, counts): each block's n-grams with its own training counts, by hash bucket."""
+def lower_grams(grams: Grams, o: int) -> np.ndarray:
+    """Of each n-gram, the one with its first word dropped."""
+    low = np.zeros(len(grams.hash[o]), np.int64)
+    low[grams.at[o]] = grams.at[o - 1]
+    return low
+
+
+def asked_for(grams: Grams, o: int, sole: list[np.ndarray]) -> np.ndarray:
+    """Places, by hash, of the n-grams that other blocks may have: neither context nor lower n-gram is this block's alone."""
+    if not o:
+        return grams.sort[0]
+    above = np.append(sole[o - 1], False)
+    shared = ~(above[grams.context[o]] | sole[o - 1][lower_grams(grams, o)])
+    return grams.sort[o][shared[grams.sort[o]]]
+
+
+def local_counts(grams: Grams, o: int, train: np.ndarray) -> np.ndarray:
+    """Training counts within the block; train: of each token."""
+    return np.bincount(grams.at[o], train, len(grams.hash[o])).astype(np.uint64)
+
+
+def known_counts(grams: Grams, train: np.ndarray, got: list[dict], upto: int) -> tuple[list, list, list]:
+    """(count, sole, mine) of the n-grams of each order below upto; got: the replies to this block."""
+    count, sole, mine = [], [], []
+    for o in range(upto):
+        places = asked_for(grams, o, sole)
+        parts = sorted((x for x in got if x["ord"] == o), key=lambda x: x["bucket"])
+        reply = np.concatenate([_unpack(x["counts"], x["n"], np.uint64) for x in parts]) if parts else np.zeros(0, np.uint64)
+        c, alone, own = local_counts(grams, o, train), np.ones(len(grams.hash[o]), bool), np.ones(len(grams.hash[o]), bool)
+        c[places], alone[places], own[places] = reply >> np.uint64(2), (reply & np.uint64(2)) > 0, (reply & np.uint64(1)) > 0
+        for to, x in ((count, c), (sole, alone), (mine, own)):
+            to.append(x)
+    return count, sole, mine
+
+
+def statistics(counts: np.ndarray) -> list[int]:
+    """(distinct, total, n1, n2, ...) of the counts above 0."""
+    return [int((counts > 0).sum()), int(counts.sum()), *[int((counts == c).sum()) for c in range(1, GOOD_TURING + 2)]]
+
+
+ASKS = "bucket int, block long, ord int, n long, keys binary, counts binary, stats array<long>"
+
+
+def requests(blocks: DataFrame, o: int, buckets: int) -> DataFrame:
+    """ASKS: each block's n-grams of order o + 1 with its own training counts, by hash bucket; blocks: with got, replies to lower orders.
+
+    Statistics of the n-grams that a block counts by itself go with them.
+    """
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    names = [f.split()[0] for f in ASKS.split(", ")]
 
     def run(batches):
         for r in _rows(batches):
-            grams, _, doc, train = _block(r, order)
+            grams, _, doc, train = _block(r, o + 1)
+            _, sole, _ = known_counts(grams, train[doc], r.get("got") or [], o)
+            places, counts = asked_for(grams, o, sole), local_counts(grams, o, train[doc])
+            hashes, asked = grams.hash[o][places], counts[places].astype(np.uint32)
+            edges = _edges(hashes, buckets)
             out = []
-            for o in range(order):
-                counts = np.bincount(grams.at[o], train[doc], len(grams.hash[o])).astype(np.uint32)[grams.sort[o]]
-                hashes = grams.hash[o][grams.sort[o]]
-                edges = _edges(hashes, buckets)
-                for b in np.flatnonzero(np.diff(edges)):
-                    h = hashes[edges[b] : edges[b + 1]]
-                    out.append((int(b), r["block"], o, len(h), _pack(np.diff(h, prepend=np.uint64(0))), _pack(counts[edges[b] : edges[b + 1]])))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                part = slice(edges[b], edges[b + 1])
+                out.append((b, r["block"], o, part.stop - part.start, _pack(np.diff(hashes[part], prepend=np.uint64(0))), _pack(asked[part]), None))
+            counts[places] = 0
+            out.append((int(r["block"] % buckets), r["block"], o, 0, b"", b"", statistics(counts)))
             for i in range(0, len(out), 256):
-                cols = list(zip(*out[i : i + 256], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "ord", "n", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 256], strict=True), types, strict=True)], names)
 
-    return blocks.select("block", "train", "sizes", "tokens", "words").mapInArrow(run, "bucket int, block long, ord int, n long, keys binary, counts binary")
+    return blocks.select("block", "train", "sizes", "tokens", "words", *[c for c in blocks.columns if c == "got"]).mapInArrow(run, ASKS)
 
 
 COUNTED = "kind string, bucket int, block long, ord int, n long, keys binary, counts binary, stats array<long>"
@@ -180,22 +231,21 @@ COUNTED = "kind string, bucket int, block long, ord int, n long, keys binary, co
 def count_bucket(got: pa.Table) -> pa.Table:
     """Counts of one bucket: rows of the model (distinct n-grams seen in training), replies to blocks, statistics."""
     rows = got.to_pylist()
+    own = [r for r in rows if r["n"]]
     out = []
-    for o in sorted({r["ord"] for r in rows}):
-        own = [r for r in rows if r["ord"] == o]
-        keys = np.concatenate([np.cumsum(_unpack(r["keys"], r["n"], np.uint64)) for r in own])
-        counts = np.concatenate([_unpack(r["counts"], r["n"], np.uint32) for r in own])
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, counts).astype(np.uint64)
-        seen = total > 0
-        reply = total[inverse] * np.uint64(2)
-        reply[first] += np.uint64(1)  # this block reports the n-gram to its context
-        at = 0
-        for r in own:
-            out.append(("reply", r["bucket"], r["block"], o, r["n"], None, _pack(reply[at : at + r["n"]]), None))
-            at += r["n"]
-        stats = [int(seen.sum()), int(total.sum()), *[int((total == c).sum()) for c in range(1, GOOD_TURING + 2)]]
-        out.append(("counts", own[0]["bucket"], None, o, int(seen.sum()), _pack(np.diff(distinct[seen], prepend=np.uint64(0))), _pack(total[seen]), stats))
+    keys = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(_unpack(r["keys"], r["n"], np.uint64)) for r in own]])
+    counts = np.concatenate([np.zeros(0, np.uint32), *[_unpack(r["counts"], r["n"], np.uint32) for r in own]])
+    distinct, first, inverse, blocks = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    total = np.bincount(inverse, counts, len(distinct)).astype(np.uint64)
+    reply = (total * np.uint64(4) + np.uint64(2) * (blocks == 1))[inverse]
+    reply[first] += np.uint64(1)  # this block reports the n-gram to its context
+    at = 0
+    for r in own:
+        out.append(("reply", r["bucket"], r["block"], r["ord"], r["n"], None, _pack(reply[at : at + r["n"]]), None))
+        at += r["n"]
+    seen = total > 0
+    stats = np.array([statistics(total), *[r["stats"] for r in rows if r["stats"]]]).sum(0).tolist()
+    out.append(("counts", rows[0]["bucket"], None, rows[0]["ord"], int(seen.sum()), _pack(np.diff(distinct[seen], prepend=np.uint64(0))), _pack(total[seen]), stats))
     cols = list(zip(*out, strict=True))
     types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
     return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in COUNTED.split(", ")])
@@ -234,50 +284,43 @@ class Probabilities:
         return np.where(counts > 0, self.kept(counts, 0) / max(self.total, 1), self.unknown)
 
 
+def contexts(count: list[np.ndarray], o: int) -> np.ndarray:
+    """How often the contexts of order o occur in training; the last is the beginning of a text."""
+    above = count[o - 1].copy()
+    if o == 1:
+        above[BEGIN] = count[0][END]  # each text begins and ends once
+    return np.append(above, count[0][END])
+
+
 ASKED = "bucket int, block long, n long, keys binary, left binary, low binary, m long, ask binary, ask_doc binary, docs array<struct<idx:int,doc_id:{kind},held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>>"
 
 
-def evaluate(blocks: DataFrame, replies: DataFrame, p: Probabilities, order: int, buckets: int, kind: str) -> DataFrame:
-    """What each block can say by itself: its texts' scores but for backoff weights, its reports, and weights to ask for."""
-    replies = replies.groupBy("block").agg(F.collect_list(F.struct("ord", "bucket", "n", "counts")).alias("got"))
-    both = blocks.select("block", "ids", "train", "sizes", "tokens", "words").join(replies, "block")
+def evaluate(blocks: DataFrame, p: Probabilities, order: int, buckets: int, kind: str) -> DataFrame:
+    """What each block can say by itself: its texts' scores but for others' backoff weights, its reports, and weights to ask for."""
 
     def run(batches):
         schema = None
         for r in _rows(batches):
             grams, sizes, doc, train = _block(r, order)
-            count, mine = [], []
-            for o in range(order):
-                parts = sorted((x for x in r["got"] if x["ord"] == o), key=lambda x: x["bucket"])
-                got = np.concatenate([_unpack(x["counts"], x["n"], np.uint64) for x in parts])
-                c, m = np.empty_like(got), np.empty(len(got), bool)
-                c[grams.sort[o]], m[grams.sort[o]] = got >> np.uint64(1), (got & np.uint64(1)).astype(bool)
-                count.append(c)
-                mine.append(m)
+            count, sole, mine = known_counts(grams, train[doc], r["got"], order)
             known = count[0][grams.at[0]]
             base = np.bincount(doc, np.log10((known + 1.0) / (p.total + p.known + 1)), len(sizes))
             n_known = np.bincount(doc, known > 0, len(sizes)).astype(np.int64)
 
             prob = [p.unigram(count[0])]
-            lower = [None]  # of each n-gram, the one with the first word dropped
-            reports = []
+            reports, weights = [], [None]
             for o in range(1, order):
-                context, word = grams.context[o], grams.word[o]
-                above = count[o - 1].copy()
-                if o == 1:
-                    above[BEGIN] = count[0][END]  # each text begins and ends once
-                above = np.append(above, count[0][END])
-                times = above[context].astype(float)
-                c = count[o]
-                low = np.zeros(len(c), np.int64)
-                low[grams.at[o]] = grams.at[o - 1]
-                lower.append(low)
+                context = grams.context[o]
+                times = contexts(count, o)[context].astype(float)
+                c, low = count[o], lower_grams(grams, o)
                 prob.append(np.where(c > 0, p.kept(c, o) / np.maximum(times, 1), 0.0))
                 own = np.flatnonzero(mine[o] & (c > 0))
-                n = len(above)
+                n = len(count[o - 1]) + 1
                 left = np.bincount(context[own], (c[own] - p.kept(c[own], o)) / times[own], n)
                 down = np.bincount(context[own], prob[o - 1][low[own]], n)
-                some = np.flatnonzero(np.bincount(context[own], minlength=n))
+                alone = np.append(sole[o - 1], False)  # all that follows these contexts is here
+                weights.append(np.where(alone, left / np.maximum(1 - down, 1e-12), np.nan))
+                some = np.flatnonzero((np.bincount(context[own], minlength=n) > 0) & ~alone)
                 hashes = np.append(grams.hash[o - 1], grams.start[o - 1])
                 reports.append((hashes[some], left[some], down[some]))
             score = np.zeros(len(doc))
@@ -286,17 +329,16 @@ def evaluate(blocks: DataFrame, replies: DataFrame, p: Probabilities, order: int
             for o in range(order - 1, 0, -1):
                 gram = grams.at[o][todo]
                 seen = count[o][gram] > 0
-                score[todo[seen]] = np.log10(prob[o][gram[seen]])
+                score[todo[seen]] += np.log10(prob[o][gram[seen]])
                 todo, gram = todo[~seen], gram[~seen]
                 context = grams.context[o][gram]
-                above = count[o - 1].copy()
-                if o == 1:
-                    above[BEGIN] = count[0][END]
-                above = np.append(above, count[0][END])
                 hashes = np.append(grams.hash[o - 1], grams.start[o - 1])
-                need = above[context] > 0
+                need, weight = contexts(count, o)[context] > 0, weights[o][context]
+                here = need & ~np.isnan(weight)
+                score[todo[here]] += np.log10(weight[here])
+                need &= ~here
                 asked.append((hashes[context[need]], doc[todo[need]]))
-            score[todo] = np.log10(prob[0][grams.at[0][todo]])
+            score[todo] += np.log10(prob[0][grams.at[0][todo]])
             score = np.bincount(doc, score, len(sizes))
 
             key, left, down = (np.concatenate([x[i] for x in reports]) if reports else np.zeros(0, t) for i, t in enumerate((np.uint64, float, float)))
@@ -304,12 +346,10 @@ def evaluate(blocks: DataFrame, replies: DataFrame, p: Probabilities, order: int
             a, b = np.argsort(key, kind="stable"), np.lexsort((ask_doc, ask))
             key, left, down, ask, ask_doc = key[a], left[a], down[a], ask[b], ask_doc[b].astype(np.uint32)
             ea, eb = _edges(key, buckets), _edges(ask, buckets)
-            home = r["block"] % buckets
+            home = int(r["block"] % buckets)
             out = []
-            for t in range(buckets):
+            for t in sorted({home, *np.flatnonzero(np.diff(ea) + np.diff(eb)).tolist()}):
                 x, y = slice(ea[t], ea[t + 1]), slice(eb[t], eb[t + 1])
-                if ea[t] == ea[t + 1] and eb[t] == eb[t + 1] and t != home:
-                    continue
                 docs = None
                 if t == home:
                     docs = [
@@ -323,7 +363,7 @@ def evaluate(blocks: DataFrame, replies: DataFrame, p: Probabilities, order: int
                                     ("docs", pa.list_(pa.struct([("idx", pa.int32()), ("doc_id", _arrow(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])))])
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return both.mapInArrow(run, ASKED.format(kind=kind))
+    return blocks.select("block", "ids", "train", "sizes", "tokens", "words", "got").mapInArrow(run, ASKED.format(kind=kind))
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -369,14 +409,20 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int =
     blocks = staged(layout(docs, train, block_bytes), "katz-blocks")
     size = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(partitions(spark), order * size // BUCKET_KEYS)
-    counted = requests(blocks, order, buckets).groupBy("bucket").applyInArrow(count_bucket, COUNTED)
-    counted = staged(counted, "katz-counts", "kind")
-    sums = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(GOOD_TURING + 3)]
-    stats = {r["ord"]: [int(x) for x in list(r)[1:]] for r in counted.where("kind = 'counts'").groupBy("ord").agg(*sums).collect()}
-    p = Probabilities([stats.get(o, [0] * (GOOD_TURING + 3)) for o in range(order)])
-    replies = counted.where("kind = 'reply'").select("block", "ord", "bucket", "n", "counts")
+    n = max(1, blocks.count())
+    replies, stats, with_replies = None, [], blocks
+    sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(GOOD_TURING + 3)]
+    for o in range(order):
+        counted = requests(with_replies, o, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count_bucket, COUNTED)
+        counted = staged(counted, f"katz-counts-{o + 1}", "kind")
+        stats.append([int(x) for x in counted.where("kind = 'counts'").agg(*sums).first()])
+        more = counted.where("kind = 'reply'").select("block", F.struct("ord", "bucket", "n", "counts").alias("reply"))
+        replies = more if replies is None else replies.unionByName(more)
+        got = replies.repartition(n, "block").groupBy("block").agg(F.collect_list("reply").alias("got"))
+        with_replies = blocks.join(got, "block")
+    p = Probabilities(stats)
     run, schema = weigh_bucket(kind)
-    weighed = evaluate(blocks, replies, p, order, buckets, kind).groupBy("bucket").applyInArrow(run, schema)
+    weighed = evaluate(with_replies, p, order, buckets, kind).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, schema)
     weighed = staged(weighed, "katz-weights", "kind").where("kind = 'text'")
     cols = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
     out = weighed.groupBy("block", "idx").agg(*cols, F.max("base").alias("base_score"), F.sum("score").alias("score"))
