@@ -56,6 +56,21 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     """
     docs = docs.drop("n_lines", "n_dropped")
     p = free_prefix(docs)
+    rows = _dedup(docs, p, host, ratio, min_pages, broadcast_lines)
+    return rows.select(*docs.columns, F.col(f"{p}lines").alias("n_lines"), F.col(f"{p}dropped").alias("n_dropped"))
+
+
+def without_lines(docs: DataFrame) -> DataFrame:
+    """docs with the text that dedup_lines() leaves and, where lines went, its length as n_chars; other columns as they are."""
+    p = free_prefix(docs)
+    rows = _dedup(docs, p)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col(f"{p}dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
+
+
+def _dedup(docs: DataFrame, p: str, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """docs with the text that is left, and lines and dropped, named with the prefix p."""
     lines = staged(boilerplate(docs.select(F.col(host).alias("host"), "text"), ratio, min_pages), "boilerplate")
     lists = line_lists(lines).toDF(f"{p}host", f"{p}slots")
     same = docs[host].eqNullSafe(lists[f"{p}host"])
@@ -69,17 +84,16 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     split = F.split("text", "\n", -1)
     slots = F.col(f"{p}slots")
 
-    def known(x):
-        line = F.struct(F.xxhash64(_trimmed(x)).alias("a"), F.xxhash64(F.lit(1), _trimmed(x)).alias("b"))
-        return F.array_contains(F.get(slots, F.pmod(line["a"], F.size(slots)).cast("int")), line)
-
-    kept = F.when(slots.isNull(), split).otherwise(F.filter(split, lambda x: (_trimmed(x) == "") | ~known(x)))
+    trimmed = F.transform(split, lambda x: F.struct(x.alias("line"), _trimmed(x).alias("t")))
+    hashed = F.transform(trimmed, lambda x: F.struct(x["line"].alias("line"), F.when(x["t"] != "", F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(1), x["t"]).alias("b"))).alias("key")))
+    own = lambda x: x["key"].isNull() | ~F.array_contains(F.get(slots, F.pmod(x["key"]["a"], F.size(slots)).cast("int")), x["key"])
+    kept = F.when(slots.isNull(), split).otherwise(F.transform(F.filter(hashed, own), lambda x: x["line"]))
     rows = rows.withColumn(f"{p}kept", kept)
     n_lines, left = F.coalesce(F.size(split), F.lit(0)), F.coalesce(F.size(f"{p}kept"), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long")
     left = F.when(F.col("text").isNull(), 0).otherwise(left).cast("long")
     text = F.when(F.col("text").isNotNull(), F.array_join(f"{p}kept", "\n"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), (n_lines - left).alias("n_dropped"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.alias(f"{p}lines"), (n_lines - left).alias(f"{p}dropped"))
 
 
 def op9_line_dedup(spark, sf_dir):
