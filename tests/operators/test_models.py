@@ -233,6 +233,37 @@ def test_similarity_of_heavy_users(spark, monkeypatch):
     assert whole == pytest.approx(want, abs=2e-9)
 
 
+def test_trees_rank_and_explain(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(u, i, float(rng.random()), float(rng.random()), rng.choice([None, 1.0, 2.0])) for u in range(60) for i in range(10)]
+    rows = [(u, i, a, b, c, int(a > 0.7 and c is not None)) for u, i, a, b, c in rows]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, a double, b double, c double, label int")
+    model = ranking.fit_trees(df, ["a", "b", "c"], trees=8, depth=3)
+    gains = dict(ranking.gain_importance(model, ["a", "b", "c"]))
+    assert gains["a"] > gains["c"] > gains["b"] and sum(gains.values()) == pytest.approx(1)
+    top = ranking.tree_rank(df, model, ["a", "b", "c"], 3)
+    first = top.where("rank = 1").agg(F.avg("label")).first()[0]
+    assert first > 0.8
+    why = {(r.user_id, r.item_id): r for r in ranking.explain_trees(top, model, ["a", "b", "c"], 3, str(tmp_path / "trees")).collect()}
+    for r in top.collect():
+        w = why[r.user_id, r.item_id]
+        assert w.base + sum(x.value for x in w.reasons) == pytest.approx(r.score)
+        assert [abs(x.value) for x in w.reasons] == sorted((abs(x.value) for x in w.reasons), reverse=True)
+
+
+def test_saved_state_of_another_version_is_refused(spark, tmp_path):
+    rows = [(1, 5, T0, 9, 2.0), (1, 5, T0 + dt.timedelta(days=1), 3, 0.0), (1, 6, T0, 3, 4.0), (2, 5, T0, 9, 0.0)]
+    e = spark.createDataFrame(rows, "user_id long, item_id long, ts timestamp, event_type int, price_at_event double")
+    asof.save_state(asof.pair_state(e.limit(2)), str(tmp_path / "s"))
+    both = asof.merge_pairs(asof.load_state(spark, str(tmp_path / "s")), asof.pair_state(e.subtract(e.limit(2))))
+    want = {r.user_id: r for r in asof.user_state(e).collect()}
+    for r in asof.state_of_users(both).collect():
+        assert r == want[r.user_id]
+    asof.load_state(spark, str(tmp_path / "s")).withColumn("version", F.lit("0")).write.parquet(str(tmp_path / "old"))
+    with pytest.raises(ValueError, match="version"):
+        asof.load_state(spark, str(tmp_path / "old"))
+
+
 def test_late_events_do_not_move_state_back(spark, tmp_path):
     for n, (user, minute) in enumerate([(1, 50), (1, 10), (2, 5)]):
         df = spark.createDataFrame([(n, T0 + dt.timedelta(minutes=minute), user, 1, 9, 1.0)], S.EVENT_SCHEMA)

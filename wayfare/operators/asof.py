@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.expr import DAY, converts
@@ -81,3 +81,42 @@ def user_state(events: DataFrame) -> DataFrame:
 def item_state(events: DataFrame) -> DataFrame:
     c = converts().cast("int")
     return events.groupBy("item_id").agg(F.count(F.lit(1)).alias("events"), F.sum(c).alias("purchases"), F.countDistinct("user_id").alias("distinct_users"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+STATE_VERSION = "1"
+
+
+def pair_state(events: DataFrame) -> DataFrame:
+    """(user_id, item_id, events, purchases, first_ts, last_ts, priced, price, bought, paid): what adds up to every other state."""
+    price, c = F.when(F.col("price_at_event") > 0, F.col("price_at_event")), converts().cast("int")
+    paid = F.when(c == 1, price)
+    return events.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("events"), F.sum(c).alias("purchases"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(price).alias("priced"), F.sum(price).alias("price"), F.count(paid).alias("bought"), F.sum(paid).alias("paid"))
+
+
+def merge_pairs(*states: DataFrame) -> DataFrame:
+    """Pair states of separate stretches of events as one."""
+    both = states[0]
+    for more in states[1:]:
+        both = both.unionByName(more)
+    sums = [F.sum(c).alias(c) for c in ("events", "purchases", "priced", "price", "bought", "paid")]
+    return both.groupBy("user_id", "item_id").agg(*sums, F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
+def state_of_users(pairs: DataFrame) -> DataFrame:
+    """user_state() from pair states."""
+    return pairs.groupBy("user_id").agg(
+        F.sum("events").alias("events"), F.sum("purchases").alias("purchases"), F.count(F.lit(1)).alias("distinct_items"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        (F.sum("price") / F.nullif(F.sum("priced"), F.lit(0))).alias("avg_price"), (F.sum("paid") / F.nullif(F.sum("bought"), F.lit(0))).alias("avg_order_value"),
+    )
+
+
+def save_state(pairs: DataFrame, path: str) -> None:
+    pairs.select(F.lit(STATE_VERSION).alias("version"), "*").write.mode("overwrite").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """A saved pair state; another version is refused."""
+    rows = spark.read.parquet(path)
+    if found := {r.version for r in rows.select("version").distinct().collect()} - {STATE_VERSION}:
+        raise ValueError(f"state of version {sorted(found)}, this reads {STATE_VERSION}")
+    return rows.drop("version")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MERCHANT_CAP, CATEGORY_CAP = 2, 3
@@ -53,6 +53,76 @@ def linear_rank(dataset: DataFrame, coefficients: dict[str, float], k: int) -> D
     return dataset.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _filled(rows: DataFrame, features: list[str]) -> DataFrame:
+    """rows with x, the vector of their features; undefined ones are -1, which trees can part from all others."""
+    from pyspark.ml.functions import array_to_vector
+
+    return rows.withColumn("x", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in features])))
+
+
+def fit_trees(dataset: DataFrame, features: list[str], trees: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42):
+    """Gradient-boosted regression trees of the labels, a pointwise ranker: Spark's model."""
+    from pyspark.ml.regression import GBTRegressor
+
+    data = _filled(dataset, features).select("x", F.col("label").cast("double").alias("label"))
+    return GBTRegressor(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, minInstancesPerNode=10, subsamplingRate=0.8).fit(data)
+
+
+def tree_rank(dataset: DataFrame, model, features: list[str], k: int) -> DataFrame:
+    """The k best candidates of each user, ties to smaller ids."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))
+    scored = model.setPredictionCol("score").transform(_filled(dataset, features)).drop("x")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def gain_importance(model, features: list[str]) -> list[tuple[str, float]]:
+    """(feature, share of all splits' gain), largest first."""
+    return sorted(zip(features, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def tree_nodes(model, path: str) -> dict[int, dict[int, tuple]]:
+    """tree -> node -> (feature, threshold, left, right, prediction) of a boosted model, read from its saved form; leaves have feature -1."""
+    model.write().overwrite().save(path)
+    rows = SparkSession.active().read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()  # trees of bounded depth
+    out: dict[int, dict[int, tuple]] = {}
+    for r in rows:
+        threshold = r.split.leftCategoriesOrThreshold[0] if r.leftChild >= 0 else 0.0
+        out.setdefault(r.treeID, {})[r.id] = (r.split.featureIndex if r.leftChild >= 0 else -1, threshold, r.leftChild, r.rightChild, r.prediction)
+    return out
+
+
+def explain_trees(ranked: DataFrame, model, features: list[str], top: int, path: str) -> DataFrame:
+    """(user_id, item_id, base, reasons): the `top` features by what they add to a row's score.
+
+    Along a row's path through each tree, the change of the mean prediction at a split is its feature's.  All
+    contributions and the base, the trees' mean, add up to the score.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    nodes, weights, n = tree_nodes(model, path), [float(w) for w in model.treeWeights], len(features)
+    base = float(sum(w * nodes[t][0][4] for t, w in enumerate(weights)))
+    kinds = {c: ranked.schema[c].dataType.simpleString() for c in ("user_id", "item_id")}
+
+    def run(batches):
+        for batch in batches:
+            rows = np.array(batch.column(2).to_pylist(), float).reshape(batch.num_rows, n)
+            parts = np.zeros((len(rows), n))
+            for t, w in enumerate(weights):
+                for i, row in enumerate(rows):  # a few dozen steps
+                    feature, threshold, left, right, value = nodes[t][0]
+                    while feature >= 0:
+                        node = nodes[t][left if row[feature] <= threshold else right]
+                        parts[i, feature] += w * (node[4] - value)
+                        feature, threshold, left, right, value = node
+            best = np.argsort(-np.abs(parts), axis=1, kind="stable")[:, :top]
+            reasons = [[{"feature": features[j], "value": float(parts[i, j])} for j in row] for i, row in enumerate(best)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([base] * len(rows)), pa.array(reasons, pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64())])))], ["user_id", "item_id", "base", "reasons"])
+
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in features])
+    return ranked.select("user_id", "item_id", x.alias("x")).mapInArrow(run, f"user_id {kinds['user_id']}, item_id {kinds['item_id']}, base double, reasons array<struct<feature:string,value:double>>")
+
+
 def rank_candidates(candidates: DataFrame, coefficients: dict[str, float] | None, k: int) -> DataFrame:
     """The k best candidates of each user by a linear ranker, or by their fused score while there is none."""
     return linear_rank(candidates, coefficients or {"fused": 1.0}, k)

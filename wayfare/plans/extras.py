@@ -82,3 +82,16 @@ def production(spark, d):
     """Model types with more than one production model; sizes stand in for statuses."""
     g = table(spark, d, "part").groupBy(F.col("p_brand").alias("model_type")).agg(F.count_if(F.col("p_size") == 1).alias("in_production"))
     return g.where("in_production > 1")
+
+
+@query("snk6_vector_transport")
+def transport(spark, d):
+    """Embeddings as base64 of little-endian 32-bit floats."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if v.as_py() is None else v.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes() for v in b.column(1)], pa.binary())], ["id", "data"])
+
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding").mapInArrow(run, "id long, data binary")
+    return rows.select("id", F.regexp_replace(F.base64("data"), r"\s", "").alias("data"))  # no line breaks

@@ -10,7 +10,7 @@ from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
 from wayfare.plans.registry import query
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
 from wayfare.sources.tables import ORDERS_SQL as B
-from wayfare.sources.tables import behaviour, orders_as_events
+from wayfare.sources.tables import behaviour, orders_as_events, scratch
 
 
 def splits(spark, d):
@@ -146,3 +146,15 @@ def ladder(spark, d):
     r = r.join(F.broadcast(h.agg(F.count(F.lit(1)).alias("n"))))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / 8))
     return r.where((F.col("rank") % step == 0) & (F.floor(F.col("rank") / step) < 8)).select("user_id", "history_items", F.round(100.0 * (1 - F.col("rank") / F.greatest(F.col("n") - 1, F.lit(1))), 1).alias("percentile"))
+
+
+@query("snk4_saved_state", f"""WITH {SPLIT} SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 9) AS purchases, count(DISTINCT item_id) AS distinct_items, min(ts) AS first_ts, max(ts) AS last_ts,
+  round(avg(price_at_event) FILTER (price_at_event > 0) + 1e-9::double, 6) AS avg_price, round(avg(price_at_event) FILTER (price_at_event > 0 AND event_type = 9) + 1e-9::double, 6) AS avg_order_value FROM s GROUP BY user_id""")
+def saved_state(spark, d):
+    """The training window's state, written, read back, and brought up to the end by the later events."""
+    every, train, _ = splits(spark, d)
+    path = scratch(spark, "state")
+    asof.save_state(asof.pair_state(train), path)
+    later = asof.pair_state(every.where("split <> 'train'"))
+    s = asof.state_of_users(asof.merge_pairs(asof.load_state(spark, path), later))
+    return s.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("avg_price", "avg_order_value")})

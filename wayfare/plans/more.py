@@ -14,7 +14,7 @@ from wayfare.plans.quality import DRIFT_FEATURES, RECS_SQL, drift_features, drif
 from wayfare.plans.registry import ORACLES, query
 from wayfare.plans.retrieval import _FEATURES, CF_SQL, FUSED_SQL, RANKED_SQL, SOURCES, _shelf, cf, dataset, fused, ranked_sources
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
-from wayfare.sources.tables import behaviour, code_map, read_category_tree, read_events, read_features, read_item_properties, scratch, table, write_features
+from wayfare.sources.tables import behaviour, checkpointed, code_map, read_category_tree, read_events, read_features, read_item_properties, scratch, table, write_features
 
 
 @query("src1_csv_events", f"WITH {A} SELECT date_trunc('millisecond', ts) AS ts, user_id, item_id::bigint AS item_id, event_type, CASE WHEN event_type = 9 THEN event_id END AS transaction_id FROM a WHERE event_type IN (3, 6, 9)")
@@ -144,6 +144,30 @@ def importance(spark, d):
     return ranking.importance(dataset(spark, d).select("user_id", *_FEATURES), _WEIGHTS).withColumn("importance", F.round("importance", 5))
 
 
+def _trees(spark, d):
+    data = checkpointed(dataset(spark, d), "ranking")
+    return data, ranking.fit_trees(data, _FEATURES)
+
+
+@query("rk3_tree_ranker")
+def tree_ranker(spark, d):
+    data, model = _trees(spark, d)
+    return ranking.tree_rank(data, model, _FEATURES, 10).select("user_id", "item_id", "label", "score", "rank")
+
+
+@query("rk4_tree_explanations")
+def tree_explanations(spark, d):
+    data, model = _trees(spark, d)
+    out = ranking.explain_trees(ranking.tree_rank(data, model, _FEATURES, 5), model, _FEATURES, 2, scratch(spark, "trees"))
+    return out.select("user_id", "item_id", "base", F.posexplode("reasons").alias("place", "r")).select("user_id", "item_id", "base", "place", "r.feature", "r.value")
+
+
+@query("rk5_gain_importance")
+def gain_importance(spark, d):
+    _, model = _trees(spark, d)
+    return spark.createDataFrame(ranking.gain_importance(model, _FEATURES), "feature string, importance double")
+
+
 def _job_sql(rounds: int = 8) -> str:
     cores = ", ".join(
         f"k{i + 1} AS (SELECT * FROM k{i} WHERE user_id IN (SELECT user_id FROM k{i} GROUP BY 1 HAVING sum(n) >= 5) AND item_id IN (SELECT item_id FROM k{i} GROUP BY 1 HAVING sum(n) >= 5))" for i in range(rounds)
