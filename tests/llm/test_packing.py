@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from wayfare.llm.encode import Encoder
 from wayfare.llm.packing import pack, plan
-from wayfare.llm.token_counts import at_limits, length_histogram, suffix_table
+from wayfare.llm.token_counts import at_limits, length_histogram, quantiles, suffix_table
 
 SCHEMA = "doc_id long, text string, piece int"
 ODD = [
@@ -87,4 +87,21 @@ def test_token_counts(spark, reference):
         assert abs(r.share - sum(x <= n for x in lengths) / len(lengths)) < 1e-12
     limits = spark.createDataFrame([(x,) for x in (0, 1, 5, 100, 10**6)], "limit long")
     assert {r.limit: r.truncated for r in at_limits(table, limits).collect()} == {x: sum(min(y, x) for y in lengths) for x in (0, 1, 5, 100, 10**6)}
-    assert suffix_table(length_histogram(docs.limit(0))).count() == 0
+    at = np.sort(lengths)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    assert {r.share: r.length for r in quantiles(table, shares).collect()} == {q: int(at[max(0, int(np.ceil(q * len(at))) - 1)]) for q in shares}
+    empty = suffix_table(length_histogram(docs.limit(0)))
+    assert empty.count() == 0 and quantiles(empty, [0.5]).first().length is None and at_limits(empty, limits).agg({"truncated": "max"}).first()[0] == 0
+    far = spark.createDataFrame([(n, 2) for n in (3, 1000, 1024, 5000, 9000)], "length long, docs long")
+    asked = spark.createDataFrame([(x,) for x in (0, 3, 4, 1001, 1024, 1025, 3000, 5000, 5001, 9000, 9001, 50_000)], "limit long")
+    assert {r.limit: r.truncated for r in at_limits(suffix_table(far), asked).collect()} == {r.limit: sum(2 * min(n, r.limit) for n in (3, 1000, 1024, 5000, 9000)) for r in asked.collect()}
+
+
+def test_a_very_long_text(spark, reference):
+    text = "long words that go on and on, " * 40_000
+    n = len(reference(text))
+    docs = spark.createDataFrame([(1, text, 0), (2, "short", 0)], SCHEMA)
+    rows = {r.length: r.truncated for r in suffix_table(length_histogram(docs)).collect()}
+    assert n in rows and rows[n] == n + 1
+    pieces = pack(docs).where("doc_id = 1").collect()
+    assert len(pieces) == -(-(n + 1) // 1024) and sum(r.length for r in pieces) == n + 1

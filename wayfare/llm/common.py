@@ -31,12 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: With it Spark removes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, columns stay prunable."""
+    """Write df to the shared folder and read it back: lineage ends, columns stay prunable, shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wayfare/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     fields = [f for f in df.schema.fields if f.name not in by] + [df.schema[c] for c in by]
     return spark.read.schema(type(df.schema)(fields)).parquet(path)
 

@@ -71,7 +71,7 @@ def layout(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Da
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 24) + nr]), pa.array([n]), pa.array([ids], pa.list_(whose)), pa.array([np.array(trained, np.uint8).tobytes()]), pa.array([np.array(sizes, np.uint32).tobytes()]),
-                    pa.array([(np.concatenate(tokens) if tokens else np.zeros(0, np.uint32)).tobytes()]), pa.array([np.array(words, np.uint64).tobytes()]),
+                    pa.array([_pack(np.concatenate(tokens) if tokens else np.zeros(0, np.uint32))], pa.binary()), pa.array([np.array(words, np.uint64).tobytes()]),
                 ],
                 ["block", "n_tokens", "ids", "train", "sizes", "tokens", "words"],
             )
@@ -138,7 +138,7 @@ class Grams:
 
 
 def _block(r: dict, order: int) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
-    tokens, sizes, words = np.frombuffer(r["tokens"], np.uint32), np.frombuffer(r["sizes"], np.uint32).astype(np.int64), np.frombuffer(r["words"], np.uint64)
+    tokens, sizes, words = _unpack(r["tokens"], r["n_tokens"], np.uint32), np.frombuffer(r["sizes"], np.uint32).astype(np.int64), np.frombuffer(r["words"], np.uint64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     return Grams(tokens, sizes, words, order), sizes, doc, np.frombuffer(r["train"], np.uint8).astype(bool)
 
@@ -222,7 +222,7 @@ def requests(blocks: DataFrame, o: int, buckets: int) -> DataFrame:
             for i in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 256], strict=True), types, strict=True)], names)
 
-    return blocks.select("block", "train", "sizes", "tokens", "words", *[c for c in blocks.columns if c == "got"]).mapInArrow(run, ASKS)
+    return blocks.select("block", "n_tokens", "train", "sizes", "tokens", "words", *[c for c in blocks.columns if c == "got"]).mapInArrow(run, ASKS)
 
 
 COUNTED = "kind string, bucket int, block long, ord int, n long, keys binary, counts binary, stats array<long>"
@@ -363,7 +363,7 @@ def evaluate(blocks: DataFrame, p: Probabilities, order: int, buckets: int, kind
                                     ("docs", pa.list_(pa.struct([("idx", pa.int32()), ("doc_id", _arrow(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])))])
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return blocks.select("block", "ids", "train", "sizes", "tokens", "words", "got").mapInArrow(run, ASKED.format(kind=kind))
+    return blocks.select("block", "n_tokens", "ids", "train", "sizes", "tokens", "words", "got").mapInArrow(run, ASKED.format(kind=kind))
 
 
 def _arrow(kind: str) -> pa.DataType:

@@ -50,12 +50,26 @@ def suffix_table(histogram: DataFrame) -> DataFrame:
 
 
 def at_limits(suffixes: DataFrame, limits: DataFrame) -> DataFrame:
-    """(limit, truncated): all tokens if documents end at `limit` tokens, for any limits, whether a length or not."""
-    pairs = limits.join(suffixes, F.col("length") >= F.col("limit"), "left")
-    least = pairs.groupBy("limit").agg(F.min_by(F.struct("docs_from", "tokens_from", "total"), "length").alias("x"))
-    total = suffixes.agg(F.max("total").alias("all"))
-    cut = F.col("x.total") - F.col("x.tokens_from") + F.col("limit") * F.col("x.docs_from")
-    return least.join(F.broadcast(total)).select("limit", F.coalesce(cut, F.col("all"), F.lit(0)).cast("long").alias("truncated"))
+    """(limit, truncated): all tokens if documents end at `limit` tokens, for any limits, whether a length or not.
+
+    What counts for a limit is the least length that reaches it: looked up in the limit's own span, or else at the
+    beginning of the next span that has lengths; spans are few (a row for each SPAN lengths).
+    """
+    h = suffixes.select(F.floor(F.col("length") / SPAN).alias("span"), F.struct("length", "docs_from", "tokens_from").alias("x"), "total")
+    spans = h.groupBy("span").agg(F.array_sort(F.collect_list("x")).alias("rows"), F.max("total").alias("all"))  # SPAN entries at most
+    asked = limits.select("limit", F.floor(F.col("limit") / SPAN).alias("span"))
+    every = spans.withColumn("there", F.lit(True)).unionByName(asked.select("span").distinct().join(spans, "span", "left_anti"), allowMissingColumns=True)
+    after = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select("span", "rows", F.last(F.get("rows", F.lit(0)), ignorenulls=True).over(after).alias("next"), F.max("all").over(Window.partitionBy(F.lit(1))).alias("all"))
+    at = asked.join(every, "span").withColumn("x", F.coalesce(F.get(F.filter("rows", lambda r: r["length"] >= F.col("limit")), F.lit(0)), "next"))
+    cut = F.when(F.col("x").isNull(), F.col("all")).otherwise(F.col("all") - F.col("x.tokens_from") + F.col("limit") * F.col("x.docs_from"))
+    return at.select("limit", F.coalesce(cut, F.lit(0)).cast("long").alias("truncated"))
+
+
+def quantiles(suffixes: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, length): the least length that at least that share of all documents does not exceed; null for an empty histogram."""
+    one = suffixes.agg(*[F.min(F.when(F.col("share") >= q, F.col("length"))).alias(f"q{i}") for i, q in enumerate(shares)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(float(q)).alias("share"), F.col(f"q{i}").alias("length")) for i, q in enumerate(shares)])))
 
 
 def op6_token_counts(spark, sf_dir):

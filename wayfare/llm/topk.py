@@ -159,8 +159,9 @@ def _matrix(r: dict, p: str = "") -> np.ndarray:
 def search(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(block, row, query_id, vec_id, score): the k best of each shard for each query, unless they can't win; queries: few blocks, with thetas."""
     cols = ["n", "d", "small", "ids", "rows", "matrix", "block", "thetas"]
-    q = queries.select(F.lit(1).alias("lane"), *[F.col(c).alias(f"q_{c}") for c in cols])
-    cells = shards.withColumn("lane", F.lit(1)).join(F.broadcast(q), "lane").drop("lane")  # ROUND blocks of BLOCK_BYTES at most
+    lane = F.pmod("block", F.lit(1))  # the same for all: each shard meets each block of the round
+    q = queries.select(lane.alias("lane"), *[F.col(c).alias(f"q_{c}") for c in cols])
+    cells = shards.withColumn("lane", lane).join(F.broadcast(q), "lane").drop("lane")  # ROUND blocks of BLOCK_BYTES at most
 
     def run(batches):
         held, last = None, None
