@@ -108,4 +108,6 @@ def test_feature_sink_checks_version_and_columns(spark, tmp_path):
         T.read_features(spark, path, "v2", ["a"])
     with pytest.raises(ValueError, match="lack"):
         T.read_features(spark, path, "v1", ["a", "b"])
+    with pytest.raises(ValueError, match="at most"):
+        T.write_json_row(spark.range(T.REPORT_ROWS + 1), str(tmp_path / "long"))
     assert '"split"' in T.write_json_row(T.read_features(spark, path, "v1", ["a"]), str(tmp_path / "report"))

@@ -46,9 +46,10 @@ def test_command_line_from_csv_to_reports(spark, tmp_path, capsys):
     assert first <= 1 and e.where("event_type = 10").count() > 0
     s = read("splits")
     assert sessions.leakage_report(s).where("NOT ok").count() == 0 and read("sessions").agg(F.sum("n_events")).first()[0] == len(seconds)
-    for job in ("features", "baselines", "experiment", "drift"):
+    for job in ("features", "baselines", "ranker", "experiment", "drift"):
         cli.main([job, "--out", out])
-    assert "item_cf" in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert "item_cf" in shown and ("tree_ranker" in shown or "fused" in shown)
     with pytest.raises(ValueError, match="version"):
         T.read_features(spark, f"{out}/features", "2", ["event_id"])
     with pytest.raises(SystemExit):

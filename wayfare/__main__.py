@@ -7,7 +7,7 @@ import argparse
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="wayfare")
-    parser.add_argument("job", choices=["build", "features", "baselines", "experiment", "drift"])
+    parser.add_argument("job", choices=["build", "features", "baselines", "ranker", "experiment", "drift"])
     parser.add_argument("--out", required=True, help="folder of the tables; shared by driver and executors")
     parser.add_argument("--events", help="build: CSV of raw events")
     parser.add_argument("--properties", nargs="+", help="build: CSV parts of the property log")
@@ -32,6 +32,8 @@ def main(argv: list[str] | None = None) -> None:
         out = jobs.build_features(spark, a.out).groupBy("split").count()
     elif a.job == "baselines":
         out = jobs.train_baselines(spark, a.out)
+    elif a.job == "ranker":
+        out = jobs.train_ranker(spark, a.out)
     elif a.job == "experiment":
         out = jobs.run_experiment(spark, a.out, a.control, a.treatment)
     else:

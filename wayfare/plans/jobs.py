@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions.distributed import row_numbers
-from wayfare.operators import asof, augment, drift, evaluate, ingest, popularity, sessions
+from wayfare.operators import asof, augment, drift, evaluate, ingest, popularity, ranking, sessions
 from wayfare.operators import retrieval as R
 from wayfare.sources.tables import checkpointed, read_features, write_features, write_json_row, write_table
 
@@ -109,7 +109,7 @@ def baseline_lists(train: DataFrame, k: int = 20) -> dict[str, DataFrame]:
     out = {}
     for name, scores in (("popularity", popularity.decayed(train)), ("trending", popularity.trending(train))):
         places = row_numbers(scores.withColumn("score", F.round("score", 6)), [F.desc("score"), F.asc("item_id")], "place")
-        near = seen.join(places, F.col("place") <= F.col("n") + k).drop("n", "place")
+        near = seen.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + k)).alias("place")).join(places, "place").drop("place")
         out[name] = R.top_k(R.without_seen(near, train), k)
     m = R.user_item(train)
     out["item_cf"] = R.top_k(R.without_seen(R.cf_scores(m, R.item_similarity(m)).withColumn("score", F.round("score", 6)), train), k)
@@ -134,6 +134,38 @@ def train_baselines(spark: SparkSession, out: str, k: int = 20) -> DataFrame:
     return table
 
 
+RANKER_SOURCES = ["item_cf", "popularity", "trending"]
+RANKER_FEATURES = ["fused", "n_sources", *RANKER_SOURCES, "item_events", "user_events"]
+
+
+def train_ranker(spark: SparkSession, out: str, k: int = 20) -> DataFrame:
+    """(model, users, metrics): the baselines' lists fused, and ranked by trees fitted on what the validation window did anew.
+
+    The model's lists and its gains are written.  Without a positive to learn from the fused score ranks.
+    """
+    split = spark.read.parquet(f"{out}/splits")
+    train, validation, test = (split.where(F.col("split") == s) for s in ("train", "validation", "test"))
+    lists = None
+    for name in RANKER_SOURCES:
+        one = spark.read.parquet(f"{out}/lists/{name}").withColumn("source", F.lit(name))
+        lists = one if lists is None else lists.unionByName(one)
+    cand = R.fuse(lists, RANKER_SOURCES).join(R.source_scores(lists, RANKER_SOURCES), ["user_id", "item_id"])
+    cand = cand.join(asof.item_state(train).select("item_id", F.col("events").alias("item_events")), "item_id", "left")
+    cand = checkpointed(cand.join(asof.user_state(train).select("user_id", F.col("events").alias("user_events")), "user_id", "left"), "candidates")
+    fit = checkpointed(ranking.ranking_dataset(cand, evaluate.novel_truth(validation, train), RANKER_FEATURES), "ranking")
+    name = "fused"
+    if fit.isEmpty():
+        top = ranking.rank_candidates(cand, None, k)
+    else:
+        name, model = "tree_ranker", ranking.fit_trees(fit, RANKER_FEATURES)
+        top = ranking.tree_rank(cand, model, RANKER_FEATURES, k)
+        write_json_row(spark.createDataFrame(ranking.gain_importance(model, RANKER_FEATURES), "feature string, importance double"), f"{out}/importance")
+    write_table(top.select("user_id", "item_id", "score", "rank"), f"{out}/lists/{name}")
+    per = checkpointed(evaluate.user_metrics(spark.read.parquet(f"{out}/lists/{name}"), evaluate.novel_truth(test, train)), "ranker-metrics")
+    names = [c for c in per.columns if c != "user_id"]
+    return per.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("users"), *[F.round(F.avg(c), 6).alias(c) for c in names])
+
+
 def run_experiment(spark: SparkSession, out: str, control: str, treatment: str, metric: str = "ndcg_10", samples: int = 2000) -> DataFrame:
     """One row: lift of treatment over control on their shared users, its interval and p-value, and whether it is significant."""
     per = spark.read.parquet(f"{out}/user_metrics")

@@ -39,12 +39,14 @@ def cf(train):
 
 
 def ranked_sources(train):
-    """(user_id, source, item_id, score, rank): per-user lists; the two global lists are short and cross all users."""
+    """(user_id, source, item_id, score, rank): per-user lists, and the TOP of each global list for every user."""
     users = train.select("user_id").distinct()
-    out = R.top_k(cf(train), TOP).withColumn("source", F.lit("item_cf"))
+    cols = ["user_id", "source", "item_id", "score", "rank"]
+    out = R.top_k(cf(train), TOP).withColumn("source", F.lit("item_cf")).select(*cols)
     for name, scores in (("popularity", pop_scores(train)), ("trending", trend_scores(train))):
-        best = popularity.top_items(scores, TOP)
-        out = out.unionByName(R.top_k(users.join(best), TOP).withColumn("source", F.lit(name)))
+        best = popularity.top_items(scores, TOP).collect()  # TOP rows
+        rows = F.array(*[F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.score).alias("score"), F.lit(i + 1).alias("rank")) for i, r in enumerate(best)])
+        out = out.unionByName(users.select("user_id", F.lit(name).alias("source"), F.inline(rows)) if best else out.limit(0))
     return out
 
 

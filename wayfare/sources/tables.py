@@ -21,6 +21,7 @@ EVENT_TYPES = {"impression": 0, "skip": 1, "click": 2, "view": 3, "search": 4, "
 EVENT_WEIGHTS = {0: 0.1, 1: 0.05, 2: 1.0, 3: 1.5, 4: 2.0, 5: 2.5, 6: 4.0, 7: 1.5, 8: 3.0, 9: 8.0, 10: 12.0}
 RAW_EVENT_CODES = {"view": 3, "addtocart": 6, "transaction": 9}
 CONVERSIONS = (9, 10)
+REPORT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +73,11 @@ def read_features(spark: SparkSession, path: str, version: str, columns: list[st
 
 
 def write_json_row(df: DataFrame, path: str) -> str:
-    """A report of a few rows as one JSON document; returns the text."""
-    text = json.dumps([json.loads(r) for r in df.toJSON().take(1000)])
+    """A report of REPORT_ROWS rows at most as one JSON document; returns the text."""
+    rows = df.toJSON().take(REPORT_ROWS + 1)
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows; write a table")
+    text = json.dumps([json.loads(r) for r in rows])
     df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return text
 
