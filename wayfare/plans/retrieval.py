@@ -16,7 +16,7 @@ SIM_SQL = f"""{MATRIX_SQL}, nm AS (SELECT item_id, sqrt(sum(w * w)) AS norm, cou
 sm AS (SELECT item_i, item_j, round(dot / (a.norm * b.norm) / pow(b.degree::double, 0.5::double), 9) AS sim FROM
   (SELECT x.item_id AS item_i, y.item_id AS item_j, sum(x.w * y.w) AS dot FROM mx x JOIN mx y ON x.user_id = y.user_id AND x.item_id <> y.item_id GROUP BY 1, 2) d JOIN nm a ON a.item_id = item_i JOIN nm b ON b.item_id = item_j),
 sim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_i ORDER BY sim DESC, item_j) AS rank FROM sm WHERE sim >= 0.0001) WHERE rank <= 200)"""
-CF_SQL = f"{SIM_SQL}, cf AS (SELECT user_id, item_j AS item_id, round(sum(w * sim), 6) AS score FROM mx JOIN sim ON item_i = item_id GROUP BY 1, 2)"
+CF_SQL = f"{SIM_SQL}, cf AS (SELECT user_id, item_j AS item_id, round(sum(w * sim) + 1e-10::double, 6) AS score FROM mx JOIN sim ON item_i = item_id GROUP BY 1, 2)"
 TOP = 30
 SOURCES = ["item_cf", "popularity", "trending"]
 RANKED_SQL = f"""{CF_SQL}, {POP_SQL}, {TREND_SQL}, us AS (SELECT DISTINCT user_id FROM tr),
@@ -33,9 +33,14 @@ def similarity(train):
     return m, R.item_similarity(m)
 
 
+def _even(score):
+    """Rounded to 6 places; sums of numbers of 9 places end in exact halves, which a nudge rounds alike in any order."""
+    return F.round(score + 1e-10, 6)
+
+
 def cf(train):
     m, s = similarity(train)
-    return R.cf_scores(m, s).withColumn("score", F.round("score", 6))
+    return R.cf_scores(m, s).withColumn("score", _even(F.col("score")))
 
 
 def ranked_sources(train):
@@ -101,13 +106,13 @@ _SESSIONS = [(0, 3), (0, 17), (1, 42), (1, 43), (1, 44), (2, 99)]
 _SESSION_VALUES = ", ".join(map(str, _SESSIONS))
 
 
-@query("sv5_session_affinity", f"""WITH {SPLIT}, {SIM_SQL}, ss(session, item_id) AS (VALUES {_SESSION_VALUES}) SELECT session::int AS session, item_j AS item_id, round(sum(sim), 6) AS score FROM ss JOIN sim ON item_i = ss.item_id GROUP BY 1, 2""")
+@query("sv5_session_affinity", f"""WITH {SPLIT}, {SIM_SQL}, ss(session, item_id) AS (VALUES {_SESSION_VALUES}) SELECT session::int AS session, item_j AS item_id, round(sum(sim) + 1e-10::double, 6) AS score FROM ss JOIN sim ON item_i = ss.item_id GROUP BY 1, 2""")
 def affinity(spark, d):
     s = similarity(splits(spark, d)[1])[1]
-    return R.session_affinity(spark.createDataFrame(_SESSIONS, "session int, item_id int"), s).withColumn("score", F.round("score", 6))
+    return R.session_affinity(spark.createDataFrame(_SESSIONS, "session int, item_id int"), s).withColumn("score", _even(F.col("score")))
 
 
-@query("sv4_cold_start", f"""WITH {SPLIT}, {SIM_SQL}, {POP_SQL}, ss(session, item_id) AS (VALUES {_SESSION_VALUES}), af AS (SELECT session, item_j AS item_id, round(sum(sim), 6) AS score FROM ss JOIN sim ON item_i = ss.item_id GROUP BY 1, 2),
+@query("sv4_cold_start", f"""WITH {SPLIT}, {SIM_SQL}, {POP_SQL}, ss(session, item_id) AS (VALUES {_SESSION_VALUES}), af AS (SELECT session, item_j AS item_id, round(sum(sim) + 1e-10::double, 6) AS score FROM ss JOIN sim ON item_i = ss.item_id GROUP BY 1, 2),
 pp AS (SELECT item_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS pop FROM pop),
 z AS (SELECT s.session, pp.item_id, pop, coalesce(af.score, 0) AS a FROM (SELECT DISTINCT session FROM ss) s CROSS JOIN pp LEFT JOIN af ON af.session = s.session AND af.item_id = pp.item_id),
 y AS (SELECT session, item_id, round(0.7::double * CASE WHEN max(a) OVER w > min(a) OVER w THEN (a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w) ELSE 0 END + 0.3::double * pop, 9) AS score FROM z WINDOW w AS (PARTITION BY session)),
@@ -116,7 +121,7 @@ SELECT session::int AS session, item_id, round(score, 6) AS score, rank FROM r W
 def cold(spark, d):
     train = splits(spark, d)[1]
     items = spark.createDataFrame(_SESSIONS, "session int, item_id int")
-    aff = R.session_affinity(items, similarity(train)[1]).withColumn("score", F.round("score", 6))
+    aff = R.session_affinity(items, similarity(train)[1]).withColumn("score", _even(F.col("score")))
     out = R.cold_start(aff, pop_scores(train), items, 10)
     return out.select("session", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
