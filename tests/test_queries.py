@@ -32,6 +32,15 @@ def test_twin(spark, con, name):
     assert rows((r.asDict() for r in got.collect()), cols) == rows(want, cols)
 
 
+def test_core_twin_where_a_core_is_left(spark):
+    d, con = "/root/testdata/sf0.01", duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"create view {name} as select * from '{d}/{name}.parquet'")
+    cols = ["user_id", "n", "items"]
+    want = [dict(zip(cols, r, strict=True)) for r in con.execute(f"SELECT user_id, n, items FROM ({ORACLES['fil2_k_core']})").fetchall()]
+    assert want and rows((r.asDict() for r in QUERIES["fil2_k_core"](spark, d).collect()), cols) == rows(want, cols)
+
+
 @pytest.mark.parametrize("name", ["aug6_merchants", "rk3_pairwise_ranker", "md6_bpr_topk", "tk6_index_topk", "vx3_index_benchmark", "ab3_bootstrap", "job_experiment", "rk4_tree_explanations", "sv2_four_sources", "snk6_vector_transport"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

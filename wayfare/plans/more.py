@@ -12,7 +12,7 @@ from wayfare.plans.cleaning import HISTORY_SQL, SPLIT
 from wayfare.plans.features import _ASOF, _rounded, splits
 from wayfare.plans.quality import DRIFT_FEATURES, RECS_SQL, drift_features, drift_sql, recommendations
 from wayfare.plans.registry import ORACLES, query
-from wayfare.plans.retrieval import _FEATURES, CF_SQL, FUSED_SQL, RANKED_SQL, SOURCES, _shelf, cf, dataset, fused, ranked_sources
+from wayfare.plans.retrieval import _FEATURES, _LINEAR, CF_SQL, FUSED_SQL, RANKED_SQL, SOURCES, _shelf, cf, dataset, fused, ranked_sources
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
 from wayfare.sources.tables import behaviour, checkpointed, code_map, read_category_tree, read_events, read_features, read_item_properties, scratch, table, write_features
 
@@ -135,13 +135,10 @@ def shared_users(spark, d):
     return evaluate.shared_users(p, c, evaluate.novel_truth(test, train))
 
 
-_WEIGHTS = {"fused": 30.0, "item_cf": 0.2, "popularity": 0.001}
-
-
-@query("rk5_importance", f"""WITH x AS ({ORACLES['rk2_ranking_dataset']}), v AS (SELECT unnest({list(_WEIGHTS)}) AS feature, unnest([{', '.join(f'abs({w})::double * stddev_pop(coalesce({c}, 0)::double)' for c, w in _WEIGHTS.items())}]) AS v FROM x)
+@query("rk5_importance", f"""WITH x AS ({ORACLES['rk2_ranking_dataset']}), v AS (SELECT unnest({list(_LINEAR)}) AS feature, unnest([{', '.join(f'abs({w})::double * stddev_pop(coalesce({c}, 0)::double)' for c, w in _LINEAR.items())}]) AS v FROM x)
 SELECT feature, round(v / sum(v) OVER (), 5) AS importance FROM v""")
 def importance(spark, d):
-    return ranking.importance(dataset(spark, d).select("user_id", *_FEATURES), _WEIGHTS).withColumn("importance", F.round("importance", 5))
+    return ranking.importance(dataset(spark, d).select("user_id", *_FEATURES), _LINEAR).withColumn("importance", F.round("importance", 5))
 
 
 def _trees(spark, d):

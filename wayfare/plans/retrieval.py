@@ -8,7 +8,7 @@ from wayfare.operators import asof, evaluate, ingest, neural, popularity, rankin
 from wayfare.operators import retrieval as R
 from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
 from wayfare.plans.features import POP_SQL, TREND_SQL, pop_scores, splits, trend_scores
-from wayfare.plans.registry import query
+from wayfare.plans.registry import ORACLES, query
 from wayfare.sources.tables import behaviour, checkpointed, scratch, table
 
 MATRIX_SQL = f"mx AS (SELECT user_id, item_id, sum({WEIGHT_SQL}) AS w FROM tr WHERE {WEIGHT_SQL} >= 1 GROUP BY 1, 2)"
@@ -161,10 +161,17 @@ def rk3(spark, d):
     return ranking.linear_rank(data, ranking.fit_pairwise(ranking.pairwise(data, _FEATURES, "fused"), _FEATURES), 10).select("user_id", "item_id", "label", "score", "rank")
 
 
-@query("rk4_explanations")
+_LINEAR = {"fused": 30.0, "item_cf": 0.2, "popularity": 0.001}
+_LINEAR_SCORE = " + ".join(f"coalesce({c}, 0)::double * {w}::double" for c, w in _LINEAR.items())
+
+
+@query("rk4_explanations", f"""WITH x AS ({ORACLES['rk2_ranking_dataset']}), t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_LINEAR_SCORE} DESC, item_id) AS rank FROM x),
+m AS (SELECT {', '.join(f'avg(coalesce({c}, 0)::double) AS m_{c}' for c in _LINEAR)} FROM x),
+v AS (SELECT user_id, item_id, unnest({list(_LINEAR)}) AS feature, unnest([{', '.join(f'{w}::double * (coalesce({c}, 0)::double - m_{c})' for c, w in _LINEAR.items())}]) AS value FROM t, m WHERE rank <= 5),
+q AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY abs(value) DESC, feature) - 1 AS place FROM v)
+SELECT user_id, item_id, place::int AS place, feature, round(value, 6) AS value FROM q WHERE place < 2""")
 def rk4(spark, d):
-    data = dataset(spark, d)
-    w = {"fused": 30.0, "item_cf": 0.2, "popularity": 0.001}
+    data, w = dataset(spark, d), _LINEAR
     reasons = ranking.explain_linear(ranking.linear_rank(data, w, 5), data, w, 2)
     return reasons.select("user_id", "item_id", F.posexplode("reasons").alias("place", "r")).select("user_id", "item_id", "place", "r.feature", F.round("r.value", 6).alias("value"))
 
