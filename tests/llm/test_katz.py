@@ -89,7 +89,7 @@ def test_query_and_edges(spark):
     d = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     held = {i for i in docs if zlib.crc32(str(i).encode()) % 7 == 2}
-    model = Brute([t for i, t in docs.items() if i not in held], 3)
+    model = Brute([t for i, t in docs.items() if i not in held], K.ORDER)
     got = K.op1_katz_backoff(spark, d).collect()
     assert {r.doc_id for r in got if r.held_out} == held and len(got) == len(docs)
     for r in sorted(got, key=lambda r: r.doc_id)[:25]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, staged, table
 
-ORDER = 3
+ORDER = 2
 #: Counts up to this are discounted by Good-Turing; of larger ones SLIVER of an occurrence is taken, so that every
 #: context has something left for unseen words.
 GOOD_TURING, SLIVER = 5, 0.01
