@@ -275,3 +275,15 @@ def test_max_score_with_a_score_to_beat():
     walked = shard.postings(3, 10.0, True)
     assert sorted(walked.tolist()) == np.flatnonzero(x[:, 3] >= 10).tolist()
     assert sorted(shard.postings(3, 10.0, False).tolist()) == np.flatnonzero(x[:, 3] <= 10).tolist()
+
+
+def test_very_long_texts_and_inner_names(spark):
+    long = "wörd 😀 " * 150_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "end"), (2, 0, "user", long), (2, 1, "assistant", "short")]
+    names = "conv_id long, turn long, role string, text string, opening string, key string, pair string, turns string, m string, c string, r string, _at long, _n long"
+    got = chat.preferences(spark.createDataFrame([(*r, *"abcdefg", 1, 2) for r in rows], names)).collect()
+    assert len(got) == 1 and got[0].chosen_id == 1 and got[0].n_prefix == 1 and got[0].prompt == f"<|im_start|>user\n{long}<|im_end|>\n"
+    mask = got[0].chosen_mask[0]
+    assert got[0].chosen[mask.start : mask.end] == long + "end<|im_end|>\n"
+    mixed = mixing.mix(docs(spark, [(1, "w " * 300_000, "a"), (2, "x y z", "b"), (3, "w", "a")])).collect()
+    assert {r.doc_id: r.size for r in mixed} == {1: 300_000, 2: 3, 3: 1} and all(r.taken <= 2 * r.size for r in mixed)

@@ -67,7 +67,8 @@ def preferences(turns: DataFrame) -> DataFrame:
 
     Of a pair the conversation with more assistant text is chosen (ties: smaller conv_id).  With an odd number of
     conversations one is left: its rejected columns are null and it has no prefix.  Equal conversations give a
-    prompt and two empty completions.  Every conversation is in exactly one row.
+    prompt and two empty completions.  Every conversation is in exactly one row.  Texts of any length are rendered
+    whole; an empty table gives no rows; other columns are not read, whatever their names.
     """
     convs = conversations(turns)
     said = F.aggregate(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(0).cast("long"), lambda a, t: a + F.length(t["text"]))

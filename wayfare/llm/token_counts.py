@@ -17,6 +17,9 @@ SPAN = 1024
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
     """(length, docs): documents by encoded length; null texts count as empty, with length 0.
 
+    Repeated rows count each; texts of any length are encoded whole; an empty table gives no rows; other columns are
+    not read, whatever their names.
+
     It is written once: what follows reads it several times, and texts are encoded once.
     """
 
