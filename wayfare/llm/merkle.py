@@ -107,7 +107,7 @@ class Levels:
         self.con.execute("ALTER TABLE p2 RENAME TO p")
 
     def _arrow(self, sql: str) -> pa.Table:
-        return self.con.execute(sql).to_arrow_table()
+        return self.con.sql(sql).to_arrow_table()
 
 
 @cache
