@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.llm import chat, line_dedup, mixing, quality, topk
+from wayfare.llm import chat, jaccard, katz, line_dedup, mixing, quality, secrets, simhash, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, n_lines long, kept boolean"
 
@@ -287,3 +287,64 @@ def test_very_long_texts_and_inner_names(spark):
     assert got[0].chosen[mask.start : mask.end] == long + "end<|im_end|>\n"
     mixed = mixing.mix(docs(spark, [(1, "w " * 300_000, "a"), (2, "x y z", "b"), (3, "w", "a")])).collect()
     assert {r.doc_id: r.size for r in mixed} == {1: 300_000, 2: 3, 3: 1} and all(r.taken <= 2 * r.size for r in mixed)
+
+
+NAMES = ["_k1", "_k2", "_stays", "_n", "_row", "a.b", "c`d", "_lines", "_host", "_size"]
+
+
+def test_inner_names_and_dots_in_every_stage(spark):
+    import corpus_pipeline
+
+    words = lambda i: " ".join(f"w{(j * 7919 + i) * 40503 % 1_000_003}" for j in range(40))
+    rows = [(i, words(i), "en", "ab"[i % 2], 9) for i in range(20)] + [(3, words(3), "en", "b", 9), (30, words(4), "en", "a", 9), (None, words(77), "en", None, 1)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = plain
+    for c in NAMES:
+        more = more.withColumn(c, F.lit(c))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, more, "/root/testdata/sf0.001")
+        assert out.columns == more.columns, name
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == tuple(NAMES) for r in got), name
+        want = stage(spark, plain, "/root/testdata/sf0.001").collect()
+        if name != "mix sources":
+            assert Counter(tuple(r)[:5] for r in got) == Counter(map(tuple, want)), name
+    assert len(simhash.keep_one(more).collect()) == len(simhash.keep_one(plain).collect())
+
+
+def test_components_beyond_a_double_s_range(spark):
+    vecs = [(0, [1e307, 1.0]), (1, [1e307, 3.0]), (2, [-1e307, 3.0]), (3, [0.0, 2.0]), (4, [1.7e308, -1.7e308]), (50, [1.0, -1.0]), (100, [0.0, 1.5])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = {i: [int(x) * 256 if abs(x) > 2**53 else int(np.floor(x * 256)) for x in v] for i, v in vecs}
+    hold = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for q in (0, 50, 100):
+        best = sorted((-hold(sum(a * b for a, b in zip(whole[q], whole[i], strict=True))), i) for i in whole if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
+def test_many_lines_of_one_host(spark):
+    rows = spark.range(60_000).select(F.lit("hot").alias("host"), F.struct(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(1), "id").alias("b")).alias("line"))
+    few = rows.limit(3).withColumn("host", F.lit(None).cast("string"))
+    got = {r.host: r for r in line_dedup.line_lists(rows.unionByName(few)).select("host", F.size("slots").alias("n"), F.aggregate("slots", F.lit(0), lambda s, x: s + F.size(x)).alias("lines")).collect()}
+    assert (got["hot"].n, got["hot"].lines, got[None].n, got[None].lines) == (60_000, 60_000, 3, 3)
+    placed = line_dedup.line_lists(rows.limit(500)).select(F.posexplode("slots").alias("slot", "lines")).select("slot", F.explode("lines").alias("line"))
+    assert placed.count() == 500 and placed.where(F.pmod("line.a", F.lit(500)) != F.col("slot")).isEmpty()
+
+
+def test_scores_for_any_kind_of_id(spark):
+    for kind in ("smallint", "decimal(10,0)", "string"):
+        docs = spark.createDataFrame([(1, "a b a"), (2, "a c"), (3, None)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = katz.score(docs, F.lit(True))
+        assert got.schema["doc_id"].dataType.simpleString() == kind and got.count() == 3
+
+
+def test_very_long_texts_and_clashing_names_through_spark(spark):
+    long = " ".join(f"t{i * 40503 % 999_983}" for i in range(200_000))
+    rows = [(1, long, "a"), (2, long + " end", "a"), (3, "short text of five words", "b"), (4, None, None)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("fp", F.lit("x")).withColumn("_text", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("spans", F.lit(3))
+    assert {r.doc_id: r.component_id for r in jaccard.near_groups(some).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert len(simhash.near_groups(some).collect()) == 4
+    found = secrets.scan_secrets(some.withColumn("text", F.concat("text", F.lit(" password = hunter22"))))
+    assert {r.doc_id: r.n_assign for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 0}

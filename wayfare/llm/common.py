@@ -73,7 +73,7 @@ def word_count(text: Column) -> Column:
 
 def row_key(df: DataFrame) -> tuple[Column, Column]:
     """A 128-bit hash of all columns of a row, nulls told apart; columns of maps are not hashed."""
-    cols = [df[f"`{f.name}`"] for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    cols = [df[quoted(f.name)] for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     cols += [c.isNull() for c in cols]
     return F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)
 
@@ -90,21 +90,31 @@ def chosen_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
     The row with the smallest (doc_id, k1, k2) stays.  The keys of what goes are counted: up to BROADCAST_KEYS of them
     are broadcast, so that texts are not shuffled.
     """
+    p = free_prefix(docs)
     best = groups.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("best"))
-    stays = F.max(F.struct("doc_id", "k1", "k2") == F.col("best")).alias("_stays")
-    rows = groups.join(best, "root").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n"), stays)
-    gone = staged(rows.where("NOT _stays OR _n > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_stays"), "gone")
-    n, again = gone.agg(F.count(F.lit(1)), F.count(F.when(F.col("_stays"), 1))).first()
+    stays = F.max(F.struct("doc_id", "k1", "k2") == F.col("best")).alias(f"{p}stays")
+    rows = groups.join(best, "root").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias(f"{p}n"), stays)
+    gone = staged(rows.where(~F.col(f"{p}stays") | (F.col(f"{p}n") > 1)).select(F.col("k1").alias(f"{p}k1"), F.col("k2").alias(f"{p}k2"), f"{p}stays"), "gone")
+    n, again = gone.agg(F.count(F.lit(1)), F.count(F.when(F.col(f"{p}stays"), 1))).first()
     near = F.broadcast if n <= BROADCAST_KEYS else lambda x: x
     k1, k2 = row_key(docs)
-    same = docs["doc_id"].isNotNull() & (k1 == F.col("_k1")) & (k2 == F.col("_k2"))
+    same = docs["doc_id"].isNotNull() & (k1 == F.col(f"{p}k1")) & (k2 == F.col(f"{p}k2"))
     out = docs.join(near(gone), same, "left_anti")
     if again:  # equal rows: one of them stays
-        few = docs.join(near(gone.where("_stays")), same, "left_semi")
-        out = out.unionByName(few.groupBy(*row_key(few)).agg(F.first(F.struct(*few.columns)).alias("_row")).select("_row.*"))
+        few = docs.join(near(gone.where(F.col(f"{p}stays"))), same, "left_semi")
+        out = out.unionByName(few.groupBy(*row_key(few)).agg(F.first(F.struct(*own_columns(few))).alias(f"{p}row")).select(f"{p}row.*"))
     return out
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names: dots and backticks mean nothing in them."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def free_prefix(df: DataFrame) -> str:
     """Underscores that no column of df begins with: helper columns with it clash with none."""
     prefix = "_"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_prefix, table
+from .common import free_prefix, own_columns, quoted, table
 
 # The sentinels before prefix, suffix and middle, and the six white-space characters.
 SENTINELS = ("<P>", "<S>", "<M>")
@@ -81,8 +81,8 @@ def fill_in_middle(docs: DataFrame, rate: int = RATE, spm: int = SPM, seed: int
     added = ("n", "form", "prefix_chars", "middle_chars", "output")
     docs = docs.drop(*added)
     p = free_prefix(docs)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    draws = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), 256)
+    names = own_columns(docs)
+    draws = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(quoted(key)).cast("string"), F.lit(""))), 256)
     h = [F.conv(F.substring(draws, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
     rows = docs.select(*names, F.coalesce("text", F.lit("")).alias(f"{p}text"), *[x.alias(f"{p}h{k}") for k, x in enumerate(h)])
     rows = rows.withColumn(f"{p}cut", cuts(F.col(f"{p}text"), F.col(f"{p}h0"), F.col(f"{p}h1"), sentinels))

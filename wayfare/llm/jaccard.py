@@ -184,7 +184,8 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> D
     """(doc_id, component_id): component_id is the smallest doc_id reachable over pairs of at least that similarity.
 
     Texts without words, null ones included, are copies of each other; null doc_ids take no part; repeated rows and
-    ids are kept; an empty table gives no rows.  Words are told apart by 64-bit digests of the whole text.
+    ids are kept; texts of any length are compared whole; an empty table gives no rows; other columns are not read,
+    whatever their names.  Words are told apart by 64-bit digests of the whole text.
     """
     prints = staged(sketches(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), size), "sketches")
     group = near_texts(prints, least)
@@ -197,7 +198,8 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> Data
     """One row of docs for each group of near copies: the one with the smallest doc_id, then the smallest hash.
 
     Rows are known by hashes of all their columns, so different texts under one doc_id are decided each for itself.
-    Rows without doc_id stay as they are.  Other columns are kept, whatever their names.
+    Rows without doc_id stay as they are; null, empty and blank texts are copies of each other; an empty table stays
+    empty; texts of any length are compared whole.  Other columns are kept, whatever their names.
     """
     rows = keyed(docs.where("doc_id IS NOT NULL"))
     prints = staged(sketches(rows.select("doc_id", "k1", "k2", "text"), size), "sketches")

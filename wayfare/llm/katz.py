@@ -22,6 +22,8 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import partitions, staged, table
 
@@ -298,6 +300,8 @@ ASKED = "bucket int, block long, n long, keys binary, left binary, low binary, m
 def evaluate(blocks: DataFrame, p: Probabilities, order: int, buckets: int, kind: str) -> DataFrame:
     """What each block can say by itself: its texts' scores but for others' backoff weights, its reports, and weights to ask for."""
 
+    id_type = _arrow(kind)
+
     def run(batches):
         schema = None
         for r in _rows(batches):
@@ -360,14 +364,14 @@ def evaluate(blocks: DataFrame, p: Probabilities, order: int, buckets: int, kind
                 out.append({"bucket": t, "block": r["block"], "n": len(key[x]), "keys": _pack(np.diff(key[x], prepend=zero)), "left": _pack(left[x]), "low": _pack(down[x]), "m": len(ask[y]), "ask": _pack(np.diff(ask[y], prepend=zero)), "ask_doc": _pack(ask_doc[y]), "docs": docs})
             if schema is None:
                 schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("left", pa.binary()), ("low", pa.binary()), ("m", pa.int64()), ("ask", pa.binary()), ("ask_doc", pa.binary()),
-                                    ("docs", pa.list_(pa.struct([("idx", pa.int32()), ("doc_id", _arrow(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])))])
+                                    ("docs", pa.list_(pa.struct([("idx", pa.int32()), ("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])))])
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return blocks.select("block", "n_tokens", "ids", "train", "sizes", "tokens", "words", "got").mapInArrow(run, ASKED.format(kind=kind))
 
 
 def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return to_arrow_type(DataType.fromDDL(kind))
 
 
 def weigh_bucket(kind: str):
@@ -401,8 +405,8 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; rows where train is true are learnt from.
 
     Null texts count as empty: one end token.  Null ids stay null; repeated rows are scored, and learnt, each for
-    itself.  Without training rows every token is the one unknown word.  An empty table gives no rows.  doc_id may
-    be a long, an int or a string; other columns are not read.
+    itself; texts of any length are scored whole.  Without training rows every token is the one unknown word.  An empty table gives no rows.  doc_id may
+    be of any type; other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()

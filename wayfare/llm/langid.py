@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_prefix, staged, table
+from .common import free_prefix, own_columns, staged, table
 
 ORDER, BITS = 4, 17
 #: The sample to fit on: distinct rows in all, shared evenly by the languages, and feature counts in all; each CALIBRATE-th row calibrates.
@@ -249,7 +249,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     at = f"{free_prefix(docs)}found"
     rows = docs.withColumn(at, predicted(F.col("text"), model))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{at}.lang").alias("lang_pred"), F.col(f"{at}.score").alias("score"))
+    return rows.select(*own_columns(docs), F.col(f"{at}.lang").alias("lang_pred"), F.col(f"{at}.score").alias("score"))
 
 
 def op13_language_id(spark, sf_dir):

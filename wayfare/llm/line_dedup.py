@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_prefix, partitions, staged, table
+from .common import free_prefix, own_columns, partitions, quoted, staged, table
 
 RATIO = 0.05
 MIN_PAGES = 3
@@ -37,11 +37,12 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 
 def line_lists(lines: DataFrame) -> DataFrame:
     """(host, slots): each host's lines as an array of short arrays; a line is in the slot that its hash names."""
-    lists = lines.groupBy("host").agg(F.collect_list("line").alias("all"))
-    n = F.size("all")
-    placed = F.transform("all", lambda x: F.struct(F.pmod(x["a"], n).alias("slot"), x.alias("line")))
-    own = lambda slot: F.transform(F.filter("placed", lambda x: x["slot"] == slot), lambda x: x["line"])
-    return lists.withColumn("placed", placed).select("host", F.transform(F.sequence(F.lit(0), n - 1), own).alias("slots"))
+    sizes = lines.groupBy("host").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("host", "h")
+    held = lines.join(sizes, F.col("host").eqNullSafe(F.col("h"))).withColumn("slot", F.pmod(F.col("line.a"), F.col("n")))
+    every = sizes.select(F.col("h").alias("host"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"), F.lit(None).cast(lines.schema["line"].dataType).alias("line"))
+    slots = held.select("host", "slot", "line").unionByName(every).groupBy("host", "slot").agg(F.collect_list("line").alias("lines"))  # nulls are not collected
+    lists = slots.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("slot", "lines"))).alias("all"))
+    return lists.select("host", F.transform("all", lambda x: x["lines"]).alias("slots"))
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
@@ -50,14 +51,14 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     Blank lines are never boilerplate and stay.  Null texts stay null with 0 lines; null hosts form one host; a
     document whose lines are all boilerplate keeps an empty text.  Repeated rows count as one page and are
     treated alike.  Columns of docs with the names of the added ones are replaced, others are kept whatever their
-    names.  A host has at most (lines per page / ratio) boilerplate lines, which bounds the list that
+    names.  Texts of any length are split whole.  An empty table gives no rows.  A host has at most (lines per page / ratio) boilerplate lines, which bounds the list that
     is joined to its pages.  All lists together are counted: few lines are broadcast, so no text is shuffled; many
     are joined by host and salt, so that the pages of a large host meet copies of its list in several tasks.
     """
     docs = docs.drop("n_lines", "n_dropped")
     p = free_prefix(docs)
     rows = _dedup(docs, p, host, ratio, min_pages, broadcast_lines)
-    return rows.select(*docs.columns, F.col(f"{p}lines").alias("n_lines"), F.col(f"{p}dropped").alias("n_dropped"))
+    return rows.select(*own_columns(docs), F.col(f"{p}lines").alias("n_lines"), F.col(f"{p}dropped").alias("n_dropped"))
 
 
 def without_lines(docs: DataFrame) -> DataFrame:
@@ -66,14 +67,14 @@ def without_lines(docs: DataFrame) -> DataFrame:
     rows = _dedup(docs, p)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col(f"{p}dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    return rows.select(*own_columns(docs))
 
 
 def _dedup(docs: DataFrame, p: str, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """docs with the text that is left, and lines and dropped, named with the prefix p."""
-    lines = staged(boilerplate(docs.select(F.col(host).alias("host"), "text"), ratio, min_pages), "boilerplate")
+    lines = staged(boilerplate(docs.select(F.col(quoted(host)).alias("host"), "text"), ratio, min_pages), "boilerplate")
     lists = line_lists(lines).toDF(f"{p}host", f"{p}slots")
-    same = docs[host].eqNullSafe(lists[f"{p}host"])
+    same = docs[quoted(host)].eqNullSafe(lists[f"{p}host"])
     if lines.count() <= broadcast_lines:
         rows = docs.join(F.broadcast(lists), same, "left")
     else:
@@ -93,7 +94,7 @@ def _dedup(docs: DataFrame, p: str, host: str = "source", ratio: float = RATIO,
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long")
     left = F.when(F.col("text").isNull(), 0).otherwise(left).cast("long")
     text = F.when(F.col("text").isNotNull(), F.array_join(f"{p}kept", "\n"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.alias(f"{p}lines"), (n_lines - left).alias(f"{p}dropped"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(quoted(c)) for c in docs.columns], n_lines.alias(f"{p}lines"), (n_lines - left).alias(f"{p}dropped"))
 
 
 def op9_line_dedup(spark, sf_dir):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, table, unstaged
+from .common import partitions, quoted, staged, table, unstaged
 
 #: A bucket holds 2^BITS nodes; tasks compute the levels of buckets of about CHUNK nodes together.
 BITS, CHUNK = 12, 16_384
@@ -242,7 +242,7 @@ def leaf_rows(docs: DataFrame, changed: Column, fields: tuple[str, ...] = FIELDS
     Nulls enter digests as -, empty texts as 0:, texts of any length whole; columns that are not fields are not read,
     whatever their names.
     """
-    col = lambda c: F.col(f"`{c}`")
+    col = lambda c: F.col(quoted(c))
     more = [(col(c).cast("decimal(20,0)") + 1).cast("decimal(21,0)") if c == counter else col(c) for c in fields]
     return docs.select(col(group).alias("grp"), col(order).alias("id"), digest(*[col(c) for c in fields]).alias("leaf"), F.when(changed, digest(*more)).alias("claim"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_prefix, staged, table, word_count
+from .common import free_prefix, own_columns, quoted, staged, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -78,20 +78,20 @@ def _mixed(docs: DataFrame, prefix: str, weights=WEIGHTS, share: float = SHARE,
     last = F.when(own("cut").isNull() | (own("key") > own("cut")), F.lit(0)).when(own("key") < own("cut"), own("size"))
     last = last.otherwise(F.least(own("part"), own("size")))
     rows = rows.withColumn(f"{prefix}taken", (own("epochs") * own("size") + last).cast("long"))
-    return rows.select(*docs.columns, *[f"{prefix}{c}" for c in ADDED])
+    return rows.select(*own_columns(docs), *[f"{prefix}{c}" for c in ADDED])
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
     """docs with size, source_size, target and taken (words of the row that the mix takes, repeats counted).
 
     Null and blank texts have size 0 and take 0; null sources form one source.  Rows that are equal in doc_id and
-    text share a key; at the cut they share what is left evenly.  An empty table gives an empty result.
+    text share a key; at the cut they share what is left evenly.  Texts of any length are counted whole.  An empty table gives an empty result.
     Columns of docs with the names of the added ones are replaced, others are kept whatever their names.
     """
     docs = docs.drop(*ADDED)
     prefix = free_prefix(docs)
     rows = _mixed(docs, prefix, weights, share, max_epochs, seed)
-    return rows.select(*docs.columns, *[F.col(prefix + c).alias(c) for c in ADDED])
+    return rows.select(*own_columns(docs), *[F.col(prefix + c).alias(c) for c in ADDED])
 
 
 def repeat_whole(mixed: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
@@ -99,7 +99,7 @@ def repeat_whole(mixed: DataFrame, columns: list[str], prefix: str = "") -> Data
     size, taken = F.col(f"{prefix}size"), F.col(f"{prefix}taken")
     times = F.when(size > 0, F.round(taken / size)).otherwise(0).cast("int")
     n = f"{free_prefix(mixed)}n"
-    return mixed.withColumn(n, F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
+    return mixed.withColumn(n, F.explode(F.array_repeat(F.lit(1), times))).select(*[quoted(c) for c in columns])
 
 
 def repeat_mixed(docs: DataFrame) -> DataFrame:

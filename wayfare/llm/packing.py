@@ -124,8 +124,8 @@ def _places(groups: list) -> dict[int, np.ndarray]:
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
-    Repeated rows and equal ids are packed each for itself; null ids stay null; an empty table gives no pieces.
-    Columns of docs other than doc_id and text are not read.
+    Repeated rows and equal ids are packed each for itself; null ids stay null; null and empty texts are an end id alone;
+    texts of any length are cut whole; an empty table gives no pieces.  Columns of docs other than doc_id and text are not read.
     """
     pieces = staged(cut(docs, capacity, end, vocabulary, added), "pieces")
     counts = staged(pieces.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")

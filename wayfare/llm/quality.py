@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_prefix, staged, table
+from .common import BROADCAST_KEYS, free_prefix, own_columns, quoted, staged, table
 
 #: The forest is fitted on at most this many rows; trees see SUBSAMPLE of them each.
 FIT_ROWS, TREES, SUBSAMPLE, SEED = 4096, 100, 256, 7
@@ -160,7 +160,9 @@ def smallest_hashes(rows: DataFrame, n: int) -> np.ndarray:
 def scored(docs: DataFrame, forest: IsolationForest | None, prefix: str = "", text: bool = False) -> DataFrame:
     """docs (with or without text) with the base counts and anomaly, named with the prefix; anomaly is 0 without a forest."""
     names = [c for c in docs.columns if text or c != "text"]
+    numbered = [f"c{i}" for i in range(len(names))]  # tasks know columns by number, whatever their names
     at = names.index("text") if text else len(names)
+    rows = docs.select(*[F.col(quoted(c)).alias(n) for c, n in zip(names, numbered, strict=True)], *([] if text else ["text"]))
 
     def run(batches):
         for batch in batches:
@@ -168,12 +170,11 @@ def scored(docs: DataFrame, forest: IsolationForest | None, prefix: str = "", te
             counts = np.array([x[0] for x in both], np.int64).reshape(-1, len(BASE))
             features = excess(np.array([x[1] for x in both], np.float64))
             anomaly = np.zeros(len(both)) if forest is None else forest.score(features)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(counts[:, i]) for i in range(len(BASE))], pa.array(anomaly)], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(numbered)], *[pa.array(counts[:, i]) for i in range(len(BASE))], pa.array(anomaly)], [*numbered, *BASE, "anomaly"])
 
-    added = [prefix + c for c in (*BASE, "anomaly")]
-    kept = docs.select(*[f"`{c}`" for c in names]).schema
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields], *[f"{c} long" for c in added[:-1]], f"{added[-1]} double"])
-    return docs.select(*[f"`{c}`" for c in names], *([] if text else ["text"])).mapInArrow(run, schema)
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(numbered)]], *[f"{c} long" for c in BASE], "anomaly double"])
+    kept = [F.col(n).alias(c) for c, n in zip(names, numbered, strict=True)]
+    return rows.mapInArrow(run, schema).select(*kept, *[F.col(c).alias(prefix + c) for c in (*BASE, "anomaly")])
 
 
 def calibrate(rated: DataFrame, labels: DataFrame | None, prefix: str = "", loss: float = LOSS) -> float:
@@ -204,7 +205,7 @@ def rate(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """docs without text, with the base counts, anomaly, base_failed and kept, one row for each row.
 
     Null texts have no words and so fail the base; null ids are rated but never labelled; repeated rows are rated
-    alike; a doc_id with several labels counts as its worst.  An empty table gives an empty result; an empty or
+    alike; a doc_id with several labels counts as its worst; texts of any length are read whole.  An empty table gives an empty result; an empty or
     missing table of labels leaves the base rules alone.  Columns of docs with the names of the added ones are
     replaced, others are kept whatever their names.
     """
@@ -217,12 +218,20 @@ def rate(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The rows of docs that rate() keeps, unchanged, whatever the names of their columns.
 
-    Rows are written once with their scores, so each text is rated once; what is kept is then a filter without a shuffle.
+    Labelled rows alone are rated first, for the threshold; then each row is rated on its way out, so that no text is
+    shuffled or written a second time.
     """
     prefix = free_prefix(docs)
-    rated = staged(scored(docs, fit_forest(docs, labels), prefix, text=True), "quality-scores")
-    threshold = calibrate(rated, labels, prefix)
-    return rated.where(~base_failed(prefix) & (F.col(f"{prefix}anomaly") < threshold)).select(*docs.columns)
+    forest = fit_forest(docs, labels)
+    threshold = calibrate(scored(labelled(docs, labels), forest, prefix), labels, prefix) if forest else float("inf")
+    rated = scored(docs, forest, prefix, text=True)
+    return rated.where(~base_failed(prefix) & (F.col(f"{prefix}anomaly") < threshold)).select(*own_columns(docs))
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and text of the rows of docs whose id has a label; up to BROADCAST_KEYS ids are broadcast."""
+    ids = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "doc_id", "left_semi")
 
 
 def op10_quality_rules(spark, sf_dir):

@@ -58,7 +58,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", example_owners: int = E
 
     spans: array of (start, nr, kind, end, owners, repositories, example), by start, then kind.  Null texts count
     as empty; null owners are one owner, null ids one repository; repeated rows are each scanned and count as one
-    repository.  Other columns of docs are not read.
+    repository.  Texts of any length are scanned whole; an empty table gives no rows.  Other columns of docs are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     cols = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias(kind) for kind, pattern, *_ in KINDS]

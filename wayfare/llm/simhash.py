@@ -251,7 +251,8 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataF
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, its own included.
 
     Texts without words have fingerprint 0 and link like any other; rows without doc_id link others but cannot
-    name a component (null if none can); repeated rows and ids are kept.  An empty table gives no rows.
+    name a component (null if none can); repeated rows and ids are kept.  Texts of any length are read whole.  An empty
+    table gives no rows; other columns are not read, whatever their names.
     """
     prints = staged(fingerprints(docs.select("doc_id", "text"), size), "fingerprints")
     own = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
@@ -265,7 +266,8 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFram
     """One row of docs for each group of op4's links: the one with the smallest doc_id, then the smallest hash.
 
     Rows are known by hashes of all their columns, so different texts under one doc_id are decided each for itself.
-    Rows without doc_id stay as they are.
+    Rows without doc_id stay as they are; null, empty and blank texts are copies of each other; an empty table stays
+    empty.  Other columns are kept, whatever their names.
     """
     prints = staged(fingerprints(keyed(docs.where("doc_id IS NOT NULL")), size), "fingerprints")
     roots = staged(near_prints(staged(prints.select("fp").distinct(), "distinct-fingerprints"), bits), "fingerprint-groups")

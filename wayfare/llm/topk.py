@@ -11,6 +11,8 @@ Each shard sends its k best at most, and those are merged.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,11 +34,11 @@ def layout(vectors: DataFrame, every: int = EVERY, scale: int = SCALE) -> DataFr
     """(kind, block, n, d, small, ids, none, rows, matrix): integer vectors in shards, and those of the queries again in blocks.
 
     Vectors that are null or hold null or non-finite components are left out; shorter ones are filled with 0.  ids are
-    vec_ids (none marks null ones), rows number the table's rows.
+    vec_ids (none marks null ones), rows number the table's rows; matrix holds 32-bit integers where they fit, else
+    the components as they came.
     """
     ok = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    scaled = F.transform("embedding", lambda x: x.cast("double") * scale)  # floor() of a column would end at a long's range
-    rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
+    rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
     def run(batches):
         part, seen, number = TaskContext.get().partitionId(), 0, 0
@@ -50,19 +52,21 @@ def layout(vectors: DataFrame, every: int = EVERY, scale: int = SCALE) -> DataFr
             m = np.zeros((len(got), d))
             for i, (_, _, v) in enumerate(got):
                 m[i, : len(v)] = v
-            small = bool(np.abs(m).max(initial=0) < 2**31)
+            with np.errstate(over="ignore"):
+                whole = np.floor(m * scale)
+            small = bool(np.abs(whole).max(initial=0) < 2**31)
             number += 1
             ids = np.array([i or 0 for i, _, _ in got], np.int64)
             none = np.array([i is None for i, _, _ in got], np.uint8)
             at = np.array([r for _, r, _ in got], np.int64)
-            values = ([name], [(part << 24) + number], [len(got)], [d], [small], [ids.tobytes()], [none.tobytes()], [at.tobytes()], [m.astype(np.int32 if small else np.float64).tobytes()])
+            values = ([name], [(part << 24) + number], [len(got)], [d], [small], [ids.tobytes()], [none.tobytes()], [at.tobytes()], [(whole.astype(np.int32) if small else m).tobytes()])
             types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], COLUMNS)
 
         size, first = {"shard": 0, "query": 0}, True
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                row = (i, (part << 32) + seen, np.floor(v.values.to_numpy(zero_copy_only=False).astype(float)))
+                row = (i, (part << 32) + seen, v.values.to_numpy(zero_copy_only=False).astype(float))
                 seen += 1
                 for kind in ("shard", "query") if i is not None and i % every == 0 else ("shard",):
                     held[kind].append(row)
@@ -146,29 +150,41 @@ def max_score(shard, q: np.ndarray, k: int, own: np.ndarray, least: float = -np.
 
 
 def all_scores(x: np.ndarray, q: np.ndarray) -> list[int]:
-    """Exact scores where they may exceed 2^53, held within a long's range."""
-    whole = np.vectorize(int, otypes=[object])
-    scores = whole(x).dot(whole(q)) if x.size else [0] * len(x)
+    """Exact scores of integers of any size, held within a long's range."""
+    scores = x.dot(q) if x.size else [0] * len(x)
     return [max(-LONG - 1, min(LONG, int(s))) for s in scores]
 
 
-def _matrix(r: dict, p: str = "") -> np.ndarray:
-    return np.frombuffer(r[f"{p}matrix"], np.int32 if r[f"{p}small"] else np.float64).reshape(r[f"{p}n"], r[f"{p}d"]).astype(np.float64)
+def _matrix(r: dict, scale: int, p: str = "") -> np.ndarray:
+    """The integers as floats; infinite beyond their range."""
+    m = np.frombuffer(r[f"{p}matrix"], np.int32 if r[f"{p}small"] else np.float64).reshape(r[f"{p}n"], r[f"{p}d"]).astype(np.float64)
+    with np.errstate(over="ignore"):
+        return m if r[f"{p}small"] else np.floor(m * scale)
+
+
+def _integers(r: dict, scale: int, width: int, p: str = "") -> np.ndarray:
+    """The integers as Python's, which have no range; components from 2^53 on are integers themselves."""
+    m = np.frombuffer(r[f"{p}matrix"], np.int32 if r[f"{p}small"] else np.float64).reshape(r[f"{p}n"], r[f"{p}d"])
+    one = int if r[f"{p}small"] else lambda x: int(x) * scale if abs(x) >= EXACT else math.floor(x * scale)
+    out = np.full((len(m), width), 0, dtype=object)
+    out[:, : m.shape[1]] = [[one(x) for x in row] for row in m.tolist()]
+    return out
+
 
+def search(shards: DataFrame, queries: DataFrame, k: int, scale: int = SCALE) -> DataFrame:
+    """(block, row, query_id, vec_id, score): the k best of each shard for each query, unless they can't win; queries: few blocks, with thetas.
 
-def search(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(block, row, query_id, vec_id, score): the k best of each shard for each query, unless they can't win; queries: few blocks, with thetas."""
+    Each shard meets each block of the round: a stated query set in ROUND blocks of BLOCK_BYTES at most, against all rows.
+    """
     cols = ["n", "d", "small", "ids", "rows", "matrix", "block", "thetas"]
-    lane = F.pmod("block", F.lit(1))  # the same for all: each shard meets each block of the round
-    q = queries.select(lane.alias("lane"), *[F.col(c).alias(f"q_{c}") for c in cols])
-    cells = shards.withColumn("lane", lane).join(F.broadcast(q), "lane").drop("lane")  # ROUND blocks of BLOCK_BYTES at most
+    cells = shards.crossJoin(F.broadcast(queries.select(*[F.col(c).alias(f"q_{c}") for c in cols])))
 
     def run(batches):
         held, last = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                x, qs = _matrix(r), _matrix(r, "q_")
+                x, qs = _matrix(r, scale), _matrix(r, scale, "q_")
                 d = max(x.shape[1], qs.shape[1])
                 x, qs = (np.pad(m, ((0, 0), (0, d - m.shape[1]))) for m in (x, qs))
                 if last != (r["block"], d):
@@ -178,18 +194,19 @@ def search(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 where = {n: j for j, n in enumerate(number.tolist())}
                 theta = dict(zip(r["q_thetas"]["rows"], r["q_thetas"]["scores"], strict=True)) if r["q_thetas"] else {}
                 most = np.abs(x).max(initial=0)
-                out = []
-                for row, query, v in zip(q_rows.tolist(), q_ids.tolist(), qs, strict=True):
+                out, exact = [], None
+                for j, (row, query, v) in enumerate(zip(q_rows.tolist(), q_ids.tolist(), qs, strict=True)):
                     own = where.get(row)
-                    if most * np.abs(v).sum() < EXACT:
+                    if max(most, 1) * np.abs(v).sum() < EXACT and most < np.inf:
                         alive, score = max_score(held, v, k, np.array([] if own is None else [own], int), theta.get(row, -np.inf))
                         score = score.astype(np.int64)
                         best = np.lexsort((ids[alive], none[alive], -score))[:k]
                         found = zip(alive[best].tolist(), score[best].tolist(), strict=True)
                     else:
-                        score = all_scores(x, v)
-                        found = [(j, score[j]) for j in sorted((j for j in range(len(score)) if j != own), key=lambda j: (-score[j], none[j], ids[j]))[:k]]
-                    out += [(r["q_block"], row, query, None if none[j] else int(ids[j]), s) for j, s in found]
+                        exact = exact or (_integers(r, scale, d), _integers(r, scale, d, "q_"))
+                        score = all_scores(exact[0], exact[1][j])
+                        found = [(i, score[i]) for i in sorted((i for i in range(len(score)) if i != own), key=lambda i: (-score[i], none[i], ids[i]))[:k]]
+                    out += [(r["q_block"], row, query, None if none[i] else int(ids[i]), s) for i, s in found]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["block", "row", "query_id", "vec_id", "score"])
 
     return cells.mapInArrow(run, "block long, row long, query_id long, vec_id long, score long")
@@ -213,10 +230,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     for i in range(0, len(blocks), ROUND):
         queries = laid.where(F.col("kind") == "query").where(F.col("block").between(blocks[i], blocks[min(i + ROUND, len(blocks)) - 1]))
         none = F.lit(None).cast("struct<rows:array<bigint>,scores:array<bigint>>")
-        seeds = staged(best(search(laid.where("kind = 'seed'"), queries.withColumn("thetas", none), k), k), "seed-scores")
+        seeds = staged(best(search(laid.where("kind = 'seed'"), queries.withColumn("thetas", none), k, scale), k), "seed-scores")
         least = seeds.where(F.col("rank") == k).groupBy("block").agg(F.struct(F.collect_list("row").alias("rows"), F.collect_list("score").alias("scores")).alias("thetas"))
         with_least = queries.join(least, "block", "left")
-        found = search(laid.where("kind = 'shard'"), with_least, k).unionByName(seeds.drop("rank"))
+        found = search(laid.where("kind = 'shard'"), with_least, k, scale).unionByName(seeds.drop("rank"))
         parts.append(staged(best(found, k).select("query_id", "rank", "vec_id", "score"), "best-scores"))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
