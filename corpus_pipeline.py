@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm import jaccard, line_dedup, mixing, packing, quality
-from wayfare.llm.common import staged, table
+from wayfare.llm.common import staged, table, unstaged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +65,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for n, (name, stage) in enumerate(STAGES):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if n:
+            unstaged(before)  # a stage's table goes once the next one is written
     return docs
