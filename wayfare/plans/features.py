@@ -26,7 +26,7 @@ def splits(spark, d):
     return s, s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
 
 
-def _rounded(df, keys):
+def rounded_features(df, keys):
     return df.select(*keys, *[F.round(F.col(c) + 1e-9, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in df.select(*asof.FEATURES).dtypes])
 
 
@@ -47,10 +47,14 @@ SELECT event_id, user_event_count, user_purchase_count, round(user_purchase_coun
 FROM e JOIN u USING (event_id) JOIN i USING (event_id)"""
 
 
-# Means of prices in cents end in exact halves; a nudge makes both sides round them alike.
-@query("wn4_asof_features", _ASOF.replace(", 6) AS", " + 1e-9::double, 6) AS"))
+def asof_sql() -> str:
+    """Means of prices in cents end in exact halves; a nudge makes both sides round them alike."""
+    return _ASOF.replace(", 6) AS", " + 1e-9::double, 6) AS")
+
+
+@query("wn4_asof_features", asof_sql())
 def asof_events(spark, d):
-    return _rounded(asof.asof_features(splits(spark, d)[0]), ["event_id"])
+    return rounded_features(asof.asof_features(splits(spark, d)[0]), ["event_id"])
 
 
 @query("wn4_asof_ties", f"""WITH {B}, u AS (SELECT user_id, ts, count(*) AS n, count(*) FILTER (event_type = 9) AS c FROM b GROUP BY 1, 2)

@@ -9,7 +9,7 @@ from wayfare.operators import asof, drift, evaluate, ranking
 from wayfare.operators import retrieval as R
 from wayfare.plans import jobs
 from wayfare.plans.cleaning import HISTORY_SQL, SPLIT
-from wayfare.plans.features import _ASOF, _rounded, splits
+from wayfare.plans.features import asof_sql, rounded_features, splits
 from wayfare.plans.quality import DRIFT_FEATURES, RECS_SQL, drift_features, drift_sql, recommendations
 from wayfare.plans.registry import ORACLES, query
 from wayfare.plans.retrieval import _FEATURES, _LINEAR, CF_SQL, FUSED_SQL, RANKED_SQL, SOURCES, _shelf, cf, dataset, fused, ranked_sources
@@ -71,12 +71,12 @@ def item_attributes(spark, d):
 
 
 @query("jn14_latest_features", f"""WITH {SPLIT}, l AS (SELECT last(event_id ORDER BY ts, event_id) AS event_id FROM tr GROUP BY user_id)
-SELECT f.* FROM ({_ASOF.replace(', 6) AS', ' + 1e-9::double, 6) AS')}) f JOIN l USING (event_id)""")
+SELECT f.* FROM ({asof_sql()}) f JOIN l USING (event_id)""")
 def latest_features(spark, d):
     """The features at each user's last training event."""
     f = asof.asof_features(splits(spark, d)[0]).where("split = 'train'")
     last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return _rounded(f.withColumn("_n", last).where("_n = 1"), ["event_id"])
+    return rounded_features(f.withColumn("_n", last).where("_n = 1"), ["event_id"])
 
 
 @query("dr7_drift_windows", drift_sql("rw", "cw", ", rw AS (SELECT * FROM tr ORDER BY ts DESC, event_id DESC LIMIT 90), cw AS (SELECT * FROM te ORDER BY ts, event_id LIMIT 90)"))

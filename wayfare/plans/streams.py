@@ -4,38 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wayfare.plans.cleaning import SPLIT
-from wayfare.plans.features import splits
+from wayfare.operators import asof
+from wayfare.plans.features import asof_sql, rounded_features, splits
 from wayfare.plans.registry import query
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
 from wayfare.sources.tables import behaviour, checkpointed, scratch
+from wayfare.streaming import asof as live
 from wayfare.streaming import events as S
+from wayfare.streaming import sink
 
 
 #: Files of a time range, which make a batch.
 EACH = 4
+COLUMNS = ("event_id", "ts", "user_id", "item_id", "event_type", "price_at_event", "vertical", "merchant_id")
+#: The provider of keyed state that lies on disk.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _run(spark: SparkSession, d: str, build, files: int = 4, mode: str = "update") -> DataFrame:
-    """Write the events as a few files, one time range after the other, stream them through build(), append each batch to a table."""
-    df = behaviour(spark, d).select("event_id", "ts", "user_id", "item_id", "event_type", "price_at_event")
-    where = scratch(spark, "stream")
+def _files(spark: SparkSession, df: DataFrame, where: str, files: int, nrs: range) -> None:
+    """Write the time ranges nrs of `files`, one after the other; files are read in the order of their age."""
     us = F.unix_micros("ts")
     first, last = df.agg(F.min(us), F.max(us)).first()
-    part = F.least(F.floor((us - first) * files / max(1, last - first)), F.lit(files - 1))
-    for nr in range(files):  # files are read in the order of their age
-        df.where(part == nr).repartition(EACH).write.mode("append").parquet(f"{where}/in")
-    out = build(S.read_stream(spark, f"{where}/in", EACH))
-    schema = out.schema
+    part = F.least(F.floor((us - first) * files / max(1, (last or 0) - (first or 0))), F.lit(files - 1))
+    for nr in nrs:
+        df.where(part == nr).select(*COLUMNS).repartition(EACH).write.mode("append").parquet(f"{where}/in")
 
-    def write(batch: DataFrame, nr: int) -> None:
-        batch.withColumn("batch", F.lit(nr)).write.mode("append").parquet(f"{where}/out")
 
-    q = out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+def _drain(out: DataFrame, where: str, name: str, mode: str) -> DataFrame:
+    """Run a stream until all files are read, from its checkpoint where there is one; returns what its sink holds."""
+    q = out.writeStream.outputMode(mode).foreachBatch(sink.exactly_once(f"{where}/{name}")).option("checkpointLocation", f"{where}/{name}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{where}/out")
+    return sink.committed(out.sparkSession, f"{where}/{name}", out.schema)
+
+
+def _run(spark: SparkSession, d: str, build, files: int = 4, mode: str = "update") -> DataFrame:
+    """Write the events as a few files, one time range after the other, stream them through build() into a table."""
+    where = scratch(spark, "stream")
+    _files(spark, behaviour(spark, d), where, files, range(files))
+    return _drain(build(S.read_stream(spark, f"{where}/in", EACH)), where, "out", mode)
 
 
 @query("st1_running_state", f"WITH {A} SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 9) AS purchases, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM a GROUP BY 1")
@@ -72,3 +80,22 @@ def history(spark, d):
     e = behaviour(spark, d)
     old = checkpointed(e.where("event_id % 2 = 0"), "history")
     return S.merge_history(e.where("event_id % 2 = 1"), old)
+
+
+def live_features(spark: SparkSession, events: DataFrame, files: int = 4, stop: int = 2) -> DataFrame:
+    """events' point-in-time features from two streams, users' and items', both stopped after `stop` time ranges and started again."""
+    where, before = scratch(spark, "stream"), spark.conf.get(*PROVIDER)
+    spark.conf.set(*PROVIDER)
+    try:
+        for nrs in (range(stop), range(stop, files)):
+            _files(spark, events, where, files, nrs)
+            sides = [_drain(f(S.read_stream(spark, f"{where}/in", EACH)), where, f.__name__, "append").drop("batch") for f in (live.user_features, live.item_features)]
+    finally:
+        spark.conf.set(PROVIDER[0], before)
+    return sides[0].join(sides[1], "event_id").select("event_id", *asof.FEATURES)
+
+
+@query("st6_live_features", asof_sql())
+def live_asof(spark, d):
+    """The features of wn4 from keyed state that is read before it is changed, across a restart."""
+    return rounded_features(live_features(spark, splits(spark, d)[0]), ["event_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, item_id INT, event_type INT, price_at_event DOUBLE"
+EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, item_id INT, event_type INT, price_at_event DOUBLE, vertical INT, merchant_id INT"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
