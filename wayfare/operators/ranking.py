@@ -102,19 +102,21 @@ def explain_trees(ranked: DataFrame, model, features: list[str], top: int, path:
 
     nodes, weights, n = tree_nodes(model, path), [float(w) for w in model.treeWeights], len(features)
     base = float(sum(w * nodes[t][0][4] for t, w in enumerate(weights)))
+    tables = [[np.array([nodes[t][k][c] if k in nodes[t] else kind(0) for k in range(max(nodes[t]) + 1)]) for c, kind in enumerate((int, float, int, int, float))] for t in range(len(weights))]
     kinds = {c: ranked.schema[c].dataType.simpleString() for c in ("user_id", "item_id")}
 
     def run(batches):
         for batch in batches:
             rows = np.array(batch.column(2).to_pylist(), float).reshape(batch.num_rows, n)
             parts = np.zeros((len(rows), n))
-            for t, w in enumerate(weights):
-                for i, row in enumerate(rows):  # a few dozen steps
-                    feature, threshold, left, right, value = nodes[t][0]
-                    while feature >= 0:
-                        node = nodes[t][left if row[feature] <= threshold else right]
-                        parts[i, feature] += w * (node[4] - value)
-                        feature, threshold, left, right, value = node
+            every = np.arange(len(rows))
+            for w, (feature, threshold, left, right, value) in zip(weights, tables, strict=True):
+                at = np.zeros(len(rows), np.int64)
+                while (inner := feature[at] >= 0).any():  # a level at a time, all rows together
+                    f = np.maximum(feature[at], 0)
+                    to = np.where(inner, np.where(rows[every, f] <= threshold[at], left[at], right[at]), at)
+                    parts[every, f] += np.where(inner, w * (value[to] - value[at]), 0.0)
+                    at = to
             best = np.argsort(-np.abs(parts), axis=1, kind="stable")[:, :top]
             reasons = [[{"feature": features[j], "value": float(parts[i, j])} for j in row] for i, row in enumerate(best)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([base] * len(rows)), pa.array(reasons, pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64())])))], ["user_id", "item_id", "base", "reasons"])

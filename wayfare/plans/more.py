@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wayfare.operators import asof, drift, evaluate, ranking
+from wayfare.operators import asof, drift, evaluate, ranking, trees
 from wayfare.operators import retrieval as R
 from wayfare.plans import jobs
 from wayfare.plans.cleaning import HISTORY_SQL, SPLIT
@@ -165,6 +165,40 @@ def gain_importance(spark, d):
     return spark.createDataFrame(ranking.gain_importance(model, _FEATURES), "feature string, importance double")
 
 
+def listwise(spark, d):
+    """(held-out rows, model): fitted on the validation window's labels, held out is the test window."""
+    fit = checkpointed(dataset(spark, d, "validation"), "ranking")
+    return checkpointed(dataset(spark, d), "held-out"), trees.fit_listwise(fit, _FEATURES)
+
+
+def _best(rows, model, k):
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))
+    return rows.withColumn("score", trees.scores(model)).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+@query("rk3_listwise_ranker")
+def listwise_ranker(spark, d):
+    """The held-out window's candidates in the order of listwise boosted trees."""
+    held, model = listwise(spark, d)
+    return _best(held, model, 10).select("user_id", "item_id", "label", "score", "rank")
+
+
+@query("rk4_shapley_values")
+def shapley_values(spark, d):
+    """The three largest exact Shapley values of each user's five best candidates; with base and rest they add up to the score."""
+    held, model = listwise(spark, d)
+    out = trees.explain(_best(held, model, 5), model, 3)
+    return out.select("user_id", "item_id", "base", "rest", F.posexplode("reasons").alias("place", "r")).select("user_id", "item_id", "base", "rest", "place", "r.feature", "r.value")
+
+
+@query("rk5_listwise_gains")
+def listwise_gains(spark, d):
+    """Shares of all splits' gain, of the saved and loaded model."""
+    path = scratch(spark, "forest")
+    trees.save_forest(spark, listwise(spark, d)[1], path)
+    return spark.createDataFrame(trees.gains(trees.load_forest(spark, path)), "feature string, importance double")
+
+
 def _job_sql(rounds: int = 8) -> str:
     cores = ", ".join(
         f"k{i + 1} AS (SELECT * FROM k{i} WHERE user_id IN (SELECT user_id FROM k{i} GROUP BY 1 HAVING sum(n) >= 5) AND item_id IN (SELECT item_id FROM k{i} GROUP BY 1 HAVING sum(n) >= 5))" for i in range(rounds)

@@ -138,9 +138,12 @@ def recommend_all(spark, d):
 _FEATURES = ["fused", "n_sources", "item_cf", "popularity", "trending", "item_event_count", "user_event_count"]
 
 
-def dataset(spark, d):
-    _, train, test = splits(spark, d)
-    cand = fused(train).join(R.source_scores(ranked_sources(train), SOURCES), ["user_id", "item_id"])
+def dataset(spark, d, window="test"):
+    """Candidates from the training window with the labels of a later one; lists are made once, for fusion and scores."""
+    every, train, _ = splits(spark, d)
+    test = every.where(F.col("split") == window).drop("split")
+    lists_ = checkpointed(ranked_sources(train), "source-lists")
+    cand = R.fuse(lists_, SOURCES, train.select("user_id", "item_id").distinct(), 25).join(R.source_scores(lists_, SOURCES), ["user_id", "item_id"])
     cand = cand.join(asof.item_state(train).select("item_id", F.col("events").alias("item_event_count")), "item_id", "left")
     cand = cand.join(asof.user_state(train).select("user_id", F.col("events").alias("user_event_count")), "user_id", "left")
     return ranking.ranking_dataset(cand, evaluate.novel_truth(test, train), _FEATURES)
