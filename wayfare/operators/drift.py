@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.expr import digitize, finite
+from wayfare.functions.quantiles import exact_quantiles, running_counts
+from wayfare.sources.tables import checkpointed
 
 # Severity limits of PSI, and the least share a bin counts as.
 MINOR, MAJOR, FLOOR = 0.10, 0.25, 1e-6
@@ -18,13 +20,12 @@ def detect_drift(reference: DataFrame, current: DataFrame, features: list[str],
     merged and the outer bins are open.  Values that are not finite are left out; features empty on a side are dropped.
     """
     long = lambda df, side: df.select([F.col(f).cast("double").alias(f) for f in features]).unpivot([], features, "feature", "x").where(finite(F.col("x"))).withColumn("side", F.lit(side))
-    rows = long(reference, 0).unionByName(long(current, 1))
-    steps = [i / bins for i in range(bins + 1)]
+    rows = checkpointed(long(reference, 0).unionByName(long(current, 1)), "drift-values")
+    q = exact_quantiles(rows.where("side = 0"), F.col("x"), [i / bins for i in range(bins + 1)], ("feature",))
     stats = rows.groupBy("feature").agg(
-        F.percentile(F.when(F.col("side") == 0, F.col("x")), F.array(*map(F.lit, steps))).alias("q"),
         *[F.avg(F.when(F.col("side") == s, F.col("x"))).alias(f"{n}_mean") for s, n in ((0, "reference"), (1, "current"))],
         *[F.count_if(F.col("side") == s).alias(f"{n}_n") for s, n in ((0, "reference"), (1, "current"))],
-    ).where("reference_n > 0 AND current_n > 0")
+    ).where("reference_n > 0 AND current_n > 0").join(F.broadcast(q), "feature")
     edges = F.array_sort(F.array_distinct("q"))
     inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
     stats = stats.select("feature", inner.alias("inner"), "reference_mean", "current_mean", "reference_n", "current_n")  # a constant has one open bin
@@ -37,9 +38,8 @@ def detect_drift(reference: DataFrame, current: DataFrame, features: list[str],
     psi = p.groupBy("feature").agg(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi"), (F.sum(F.col("e") * F.log2(F.col("e") / half)) / 2 + F.sum(F.col("a") * F.log2(F.col("a") / half)) / 2).alias("js"))
 
     at = rows.groupBy("feature", "x").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
-    upto = Window.partitionBy("feature").orderBy("x")
-    ks = at.withColumn("cr", F.sum("r").over(upto)).withColumn("cc", F.sum("c").over(upto)).join(stats.select("feature", "reference_n", "current_n"), "feature")
-    ks = ks.groupBy("feature").agg(F.max(F.abs(F.col("cr") / F.col("reference_n") - F.col("cc") / F.col("current_n"))).alias("ks"))
+    ks = running_counts(at, ["feature"], "x", ["r", "c"]).join(F.broadcast(stats.select("feature", "reference_n", "current_n")), "feature")
+    ks = ks.groupBy("feature").agg(F.max(F.abs(F.col("upto_r") / F.col("reference_n") - F.col("upto_c") / F.col("current_n"))).alias("ks"))
     severity = F.when(F.col("psi") >= MAJOR, "major").when(F.col("psi") >= MINOR, "minor").otherwise("stable")
     out = stats.drop("inner").join(psi, "feature").join(ks, "feature").withColumn("severity", severity)
     return out.select("feature", *[F.round(c, 6).alias(c) for c in ("psi", "ks", "js", "reference_mean", "current_mean")], "reference_n", "current_n", "severity").orderBy(F.desc("psi"), "feature")

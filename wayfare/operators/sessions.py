@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.distributed import running_sum
+from wayfare.functions.quantiles import exact_quantiles
 
 GAP_MINUTES, MAX_EVENTS = 30, 500
 TRAIN, VALIDATION = 0.70, 0.15
@@ -42,9 +43,9 @@ def repeat_purchases(events: DataFrame) -> DataFrame:
 
 
 def split_bounds(events: DataFrame, train: float = TRAIN, validation: float = VALIDATION) -> DataFrame:
-    """One row (t1, t2): interpolated quantiles of time, in microseconds."""
-    at = F.unix_micros("ts")
-    return events.agg(F.percentile(at, F.lit(train)).cast("long").alias("t1"), F.percentile(at, F.lit(train + validation)).cast("long").alias("t2"))
+    """One row (t1, t2): interpolated quantiles of time, in microseconds; null without events."""
+    q = exact_quantiles(events, F.unix_micros("ts"), [train, train + validation])
+    return q.select(F.get("q", F.lit(0)).cast("long").alias("t1"), F.get("q", F.lit(1)).cast("long").alias("t2"))
 
 
 def temporal_split(events: DataFrame, train: float = TRAIN, validation: float = VALIDATION) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import expr as X
+from wayfare.functions.quantiles import exact_quantiles
 from wayfare.operators import augment, ingest, sessions
 from wayfare.plans.registry import query
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
@@ -47,7 +48,7 @@ def hour_buckets(spark, d):
 SELECT (len(list_filter(q, lambda x: x <= price_at_event)) + 1)::int AS bin, count(*) AS n FROM a, e GROUP BY 1""")
 def price_bins(spark, d):
     e = behaviour(spark, d)
-    edges = e.agg(F.percentile("price_at_event", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("q"))
+    edges = exact_quantiles(e, F.col("price_at_event"), [0.2, 0.4, 0.6, 0.8])
     return e.join(F.broadcast(edges)).groupBy((X.digitize(F.col("price_at_event"), F.col("q")) + 1).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

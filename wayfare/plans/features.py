@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.distributed import row_numbers
@@ -11,18 +10,12 @@ from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
 from wayfare.plans.registry import query
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
 from wayfare.sources.tables import ORDERS_SQL as B
-from wayfare.sources.tables import behaviour, checkpointed, orders_as_events, scratch
-
-
-_SPLITS: dict[tuple[str, int, str], DataFrame] = {}
+from wayfare.sources.tables import behaviour, kept, orders_as_events, scratch
 
 
 def splits(spark, d):
-    """(all, train, test) of a folder's events; a session splits a folder once, and its queries share the written rows."""
-    key = (spark.sparkContext.applicationId, id(spark), d)
-    if key not in _SPLITS:
-        _SPLITS[key] = checkpointed(sessions.temporal_split(behaviour(spark, d)), "split-events")
-    s = _SPLITS[key]
+    """(all, train, test) of a folder's events; the split rows lie in the shared folder under the state of the events' files."""
+    s = kept(spark, f"{d}/events.parquet", "split-events", lambda: sessions.temporal_split(behaviour(spark, d)))
     return s, s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
 
 

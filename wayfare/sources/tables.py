@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +102,27 @@ def checkpointed(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() gives, written once for each state of the files at source (their paths, sizes and times), and read back.
+
+    Rows are written aside and then renamed, so readers find all of them or none; a changed source is another name.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(source)
+    fs = at.getFileSystem(conf)
+    files = fs.listStatus(at)
+    state = sorted(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}" for f in files)
+    made = scratch(spark, name)
+    where = f"{made.rpartition('/')[0]}/{name}-{hashlib.sha256(chr(10).join(state).encode()).hexdigest()[:32]}"
+    to = jvm.org.apache.hadoop.fs.Path(where)
+    own = to.getFileSystem(conf)
+    if not own.exists(to):
+        build().write.parquet(made)
+        if not own.rename(jvm.org.apache.hadoop.fs.Path(made), to) and not own.exists(to):
+            raise OSError(f"can't rename {made}")
+    return spark.read.parquet(where)
+
+
 def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `events` table as interactions; item from props, synthetic vertical, merchant and region by remainder."""
     codes = code_map({"error": 1, "click": 2, "view": 3, "signup": 6, "purchase": 9})
