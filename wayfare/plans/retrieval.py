@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfare.operators import asof, evaluate, ingest, neural, popularity, ranking, vectors
+from wayfare.operators import asof, evaluate, graph, ingest, neural, popularity, ranking, vectors
 from wayfare.operators import retrieval as R
 from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
 from wayfare.plans.features import POP_SQL, TREND_SQL, pop_scores, splits, trend_scores
@@ -262,6 +262,43 @@ def index_benchmark(spark, d):
     return vectors.benchmark(v, _asked(v), scratch(spark, "index"))
 
 
+def _graph(spark, v):
+    path = scratch(spark, "graph")
+    graph.build_graph(v, path)
+    return graph.load_graph(spark, path)
+
+
+@query("tk6_graph_topk")
+def graph_topk(spark, d):
+    """Answers of the layered proximity graph, with how many rows each query was compared with."""
+    v = _vectors(spark, d)
+    return graph.search_graph(_graph(spark, v), _asked(v), 10)
+
+
+@query("ev13_graph_recall")
+def graph_recall(spark, d):
+    v = _vectors(spark, d)
+    return evaluate.overlap_at_k(graph.search_graph(_graph(spark, v), _asked(v), 10), vectors.cosine_topk(_asked(v), v, 10), 10)
+
+
+@query("vx3_index_comparison")
+def index_comparison(spark, d):
+    """Recall of the graph and of the inverted file, and the shares of all rows that a query is compared with."""
+    v = _vectors(spark, d)
+    return graph.compare(v, _asked(v), scratch(spark, "indexes"), checkpointed(vectors.cosine_topk(_asked(v), v, 10), "exact"), 10)
+
+
+@query("fu3_index_source")
+def index_source(spark, d):
+    """Fusion with a source that the graph index answers: the items whose ALS vectors lie nearest to a user's."""
+    train = splits(spark, d)[1]
+    model = R.als(R.user_item(train))
+    near = graph.search_graph(_graph(spark, model.itemFactors.withColumnRenamed("features", "embedding")), model.userFactors.withColumnRenamed("features", "embedding"), TOP, others=False)
+    found = near.select(F.col("query").alias("user_id"), F.lit("als_index").alias("source"), F.col("id").cast("int").alias("item_id"), "score", "rank")
+    ranked = ranked_sources(train).select("user_id", "source", "item_id", "score", "rank").unionByName(found)
+    return R.fuse(ranked, [*SOURCES, "als_index"], train.select("user_id", "item_id").distinct(), 25).select("user_id", "item_id", "fused", "n_sources", "position")
+
+
 @query("vx1_vector_checks", "SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS wrong_size, count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS not_finite FROM embeddings")
 def vx1(spark, d):
     return R.bad_vectors(_vectors(spark, d), 64)
