@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfare.operators import asof, evaluate, graph, ingest, neural, popularity, ranking, vectors
+from wayfare.operators import asof, evaluate, graph, ingest, neural, popularity, projection, ranking, vectors
 from wayfare.operators import retrieval as R
 from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
 from wayfare.plans.features import POP_SQL, TREND_SQL, pop_scores, splits, trend_scores
@@ -316,6 +316,15 @@ def vx5(spark, d):
     return p.select("id", *[F.round(F.abs(F.col("u")[i]), 6).alias(f"u{i}") for i in range(3)])
 
 
+@query("vx7_kept_projection")
+def kept_projection(spark, d):
+    """All vectors in the components of the even ids, by a basis that was saved and loaded."""
+    v, path = _vectors(spark, d), scratch(spark, "basis")
+    projection.save_projection(spark, projection.fit_projection(v.where("id % 2 = 0")), path)
+    p = projection.project(v, projection.load_projection(spark, path))
+    return p.select("id", *[F.round(F.col("u")[i], 6).alias(f"u{i}") for i in range(3)])
+
+
 @query("vx8_barycentre", f"""WITH {_COS_SQL}, p AS (SELECT *, exp((score - max(score) OVER (PARTITION BY query)) / 0.05::double) AS w FROM tk)
 SELECT query, round(sum(w * (id % 7)) / sum(w), 5) AS x, round(sum(w * (id % 11)) / sum(w), 5) AS y, round(sum(w * (id % 13)) / sum(w), 5) AS z FROM p GROUP BY 1""")
 def vx8(spark, d):
