@@ -27,7 +27,7 @@ def unit(vectors: DataFrame) -> DataFrame:
     size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"), size.alias("_n"))
     rows = rows.where((F.col("_n") > 0) & (F.col("_n") < float("inf")))
-    return rows.select("id", F.transform("embedding", lambda x: x / F.col("_n")).alias("embedding"))
+    return rows.select("id", F.transform("embedding", lambda x: x / F.nullif(F.col("_n"), F.lit(0.0))).alias("embedding"))
 
 
 def _matrix(column) -> np.ndarray:

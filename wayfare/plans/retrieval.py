@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfare.operators import asof, evaluate, graph, ingest, neural, popularity, projection, ranking, vectors
+from wayfare.operators import asof, evaluate, graph, ingest, neighbours, neural, popularity, projection, ranking, vectors
 from wayfare.operators import retrieval as R
 from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
 from wayfare.plans.features import POP_SQL, TREND_SQL, pop_scores, splits, trend_scores
@@ -316,6 +316,18 @@ def vx5(spark, d):
     return p.select("id", *[F.round(F.abs(F.col("u")[i]), 6).alias(f"u{i}") for i in range(3)])
 
 
+@query("vx6_neighbour_graph")
+def neighbour_graph(spark, d):
+    """The neighbours of every vector by NN-descent."""
+    return neighbours.neighbour_graph(_vectors(spark, d)).select("id", "near", F.round("score", 6).alias("score"))
+
+
+@query("vx6_neighbour_map")
+def neighbour_map(spark, d):
+    """All vectors in three dimensions that keep neighbourhoods."""
+    return neighbours.map_vectors(_vectors(spark, d)).select("id", *[F.col("p")[i].alias(c) for i, c in enumerate("xyz")])
+
+
 @query("vx7_kept_projection")
 def kept_projection(spark, d):
     """All vectors in the components of the even ids, by a basis that was saved and loaded."""
