@@ -39,7 +39,7 @@ def test_ties_within_and_across_batches(spark):
         cut = cut[len(cut) // 2]
         for nr, part in enumerate((F.col("ts") < cut, (F.col("ts") == cut) & (F.col("event_id") % 2 == 0), (F.col("ts") == cut) & (F.col("event_id") % 2 != 0), F.col("ts") > cut)):
             events.where(part).select(*streams.COLUMNS).coalesce(1).write.mode("append").parquet(f"{where}/in")
-        sides = [streams._drain(f(S.read_stream(spark, f"{where}/in", 1)), where, f.__name__, "append").drop("batch") for f in (live.user_features, live.item_features)]
+        sides = [streams._drain(f(S.read_stream(spark, f"{where}/in", 1, S.LIVE_SCHEMA)), where, f.__name__, "append").drop("batch") for f in (live.user_features, live.item_features)]
     finally:
         spark.conf.set(streams.PROVIDER[0], before)
     got = rows(sides[0].join(sides[1], "event_id").select("event_id", *asof.FEATURES))

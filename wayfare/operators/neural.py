@@ -1,9 +1,10 @@
-"""BPR factorisation and a two-tower encoder, trained by distributed stochastic gradient descent over blocks.
+"""Distributed stochastic gradient descent over blocks, BPR factorisation by it, and top-k lists of factors.
 
 Users and items are hashed into equally many blocks.  In each of as many rounds, user block u meets item block
 (u + round) mod blocks in one task, with the pairs between the two: no two tasks touch the same row, so steps need no
-locks, and an epoch has seen every pair.  Rows and pairs travel as tables; the driver holds the towers' dense weights
-only, whose size does not depend on the data.
+locks, and an epoch has seen every pair.  Pairs are written once by round, and a round reads its own.  Category
+vectors that several tasks need travel with each, and their copies are averaged by use.  Rows carry their optimiser's
+state with their factors, so it outlives rounds.  The driver holds dense weights only, whose size does not depend on the data.
 """
 
 from __future__ import annotations
@@ -17,59 +18,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators.vectors import inner_topk
-from wayfare.sources.tables import checkpointed
+from wayfare.sources.tables import checkpointed, scratch
 
 #: Pairs that meet in a task, on average.
 GROUP_PAIRS = 200_000
-USER, ITEM, PAIR, WEIGHTS = range(4)
-ROW = "kind int, id long, other long, f array<double>, x array<double>"
+USER, ITEM, PAIR, WEIGHTS, CATEGORY = range(5)
+ROW = "kind int, id long, other long, f array<double>, x array<double>, c array<long>"
 
 
-def start_rows(rows: DataFrame, kind: int, size: int, seed: int) -> DataFrame:
-    """(kind, id, other, f, x) of rows (id[, x]) with hashed small factors."""
+def empty(kind: str):
+    return F.array().cast(f"array<{kind}>")
+
+
+def start_rows(rows: DataFrame, kind: int, size: int, seed: int, state: float | None = None) -> DataFrame:
+    """(kind, id, other, f, x, c) of rows (id[, x][, c]) with hashed small factors, and as many places of optimiser state where it is given."""
     draw = lambda j: (F.pmod(F.xxhash64(F.lit(seed + kind), F.col("id"), j), F.lit(2**31)) / float(2**31) - 0.5) * 0.35
-    x = F.col("x") if "x" in rows.columns else F.array().cast("array<double>")
-    return rows.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("other"), F.transform(F.sequence(F.lit(1), F.lit(size)), draw).alias("f"), x.alias("x"))
+    f = F.transform(F.sequence(F.lit(1), F.lit(size)), draw)
+    if state is not None:
+        f = F.concat(f, F.array_repeat(F.lit(state), size))
+    x, c = (F.col(n) if n in rows.columns else empty(t) for n, t in (("x", "double"), ("c", "long")))
+    return rows.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("other"), f.alias("f"), x.alias("x"), c.alias("c"))
+
+
+def _stack(t: pa.Table, column: str) -> np.ndarray:
+    """A list column of one length as a matrix."""
+    if not t.num_rows:
+        return np.zeros((0, 0))
+    flat = t.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(t.num_rows, -1)
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.reshape(-1).astype(float)))
 
 
 def _trainer(step: Callable, weights: np.ndarray | None, seed: int):
     """One task's share of a round, as a function of the rows that meet."""
+
     def run(got: pa.Table) -> pa.Table:
         kind = got.column("kind").to_numpy()
-        part = {k: got.filter(pa.array(kind == k)).sort_by([("id", "ascending"), ("other", "ascending")]) for k in (USER, ITEM, PAIR)}
-        stack = lambda t, c: np.array(t.column(c).to_pylist(), float).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0))
-        side = {k: {"ids": part[k].column("id").to_numpy(), "f": stack(part[k], "f"), "x": stack(part[k], "x")} for k in (USER, ITEM)}
+        part = {k: got.filter(pa.array(kind == k)).sort_by([("id", "ascending"), ("other", "ascending")]) for k in (USER, ITEM, PAIR, CATEGORY)}
+        side = {k: {"ids": part[k].column("id").to_numpy(), "f": _stack(part[k], "f"), "x": _stack(part[k], "x")} for k in (USER, ITEM, CATEGORY)}
+        for k in (USER, ITEM):
+            side[k]["c"] = np.searchsorted(side[CATEGORY]["ids"], _stack(part[k], "c").astype(np.int64))
         p = part[PAIR]
-        both = {"u": np.searchsorted(side[USER]["ids"], p.column("id").to_numpy()), "i": np.searchsorted(side[ITEM]["ids"], p.column("other").to_numpy()), "x": stack(p, "x")}
-        new = weights
+        both = {"u": np.searchsorted(side[USER]["ids"], p.column("id").to_numpy()), "i": np.searchsorted(side[ITEM]["ids"], p.column("other").to_numpy()), "x": _stack(p, "x")}
+        new, used = weights, np.zeros(len(side[CATEGORY]["ids"]))
         if p.num_rows:
-            side[USER]["f"], side[ITEM]["f"], new = step(side[USER], side[ITEM], both, weights, seed)
-        out = [pa.table({"kind": pa.array([k] * part[k].num_rows, pa.int32()), "id": part[k].column("id"), "other": part[k].column("other"), "f": pa.array(list(side[k]["f"]), pa.list_(pa.float64())), "x": part[k].column("x")}) for k in (USER, ITEM)]
+            side[USER]["f"], side[ITEM]["f"], side[CATEGORY]["f"], new = step(side[USER], side[ITEM], side[CATEGORY], both, weights, seed)
+            for k, at in ((USER, both["u"]), (ITEM, both["i"])):
+                np.add.at(used, side[k]["c"][at].reshape(-1).astype(np.int64), 1.0)
+        out = [pa.table({"kind": pa.array([k] * part[k].num_rows, pa.int32()), "id": part[k].column("id"), "other": part[k].column("other"), "f": _lists(side[k]["f"]), "x": part[k].column("x") if k != CATEGORY else _lists(used[:, None]), "c": part[k].column("c")}) for k in (USER, ITEM, CATEGORY) if part[k].num_rows]
         if new is not None and p.num_rows:
-            out.append(pa.table({"kind": pa.array([WEIGHTS], pa.int32()), "id": pa.array([p.num_rows], pa.int64()), "other": pa.array([0], pa.int64()), "f": pa.array([new], pa.list_(pa.float64())), "x": pa.array([[]], pa.list_(pa.float64()))}))
-        return pa.concat_tables(out)
+            out.append(pa.table({"kind": pa.array([WEIGHTS], pa.int32()), "id": pa.array([p.num_rows], pa.int64()), "other": pa.array([0], pa.int64()), "f": pa.array([new], pa.list_(pa.float64())), "x": pa.array([[]], pa.list_(pa.float64())), "c": pa.array([[]], pa.list_(pa.int64()))}))
+        return pa.concat_tables(out) if out else got.select(["kind", "id", "other", "f", "x", "c"]).slice(0, 0)
 
     return run
 
 
+def _averaged(copies: DataFrame) -> DataFrame:
+    """Category rows: the mean of their copies, by how many pairs used each; x holds that number."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    mean = vector_to_array(Summarizer.mean(array_to_vector("f"), F.col("x")[0] + 1e-6))
+    return copies.groupBy("id").agg(mean.alias("f")).select(F.lit(CATEGORY).alias("kind"), "id", F.lit(0).cast("long").alias("other"), "f", empty("double").alias("x"), empty("long").alias("c"))
+
+
 def train_blocks(state: DataFrame, pairs: DataFrame, step: Callable, epochs: int, weights: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray | None]:
-    """The state, and the dense weights, after so many epochs; state: ROW of users and items, pairs: (id, other[, x]).
+    """The state, and the dense weights, after so many epochs; state: ROW of users, items and categories, pairs: (id, other[, x]).
 
-    step(users, items, pairs, weights, seed) trains one task's share, with tables of columns ids, f, x, and returns
-    the new factors of both and the new weights; the tasks' weights are averaged after each round.
+    step(users, items, categories, pairs, weights, seed) trains one task's share, with tables of columns ids, f, x and c (places
+    of a row's categories), and returns the new factors of all three and the new weights; the tasks' weights are averaged after each round.
     """
-    x = F.col("x") if "x" in pairs.columns else F.array().cast("array<double>")
-    rows = checkpointed(pairs.select(F.lit(PAIR).alias("kind"), F.col("id").cast("long").alias("id"), F.col("other").cast("long").alias("other"), F.array().cast("array<double>").alias("f"), x.alias("x")), "pairs")
+    x = F.col("x") if "x" in pairs.columns else empty("double")
+    spark = pairs.sparkSession
+    rows = checkpointed(pairs.select(F.lit(PAIR).alias("kind"), F.col("id").cast("long").alias("id"), F.col("other").cast("long").alias("other"), empty("double").alias("f"), x.alias("x"), empty("long").alias("c")), "pairs")
     n = max(1, math.ceil(math.sqrt(rows.count() / GROUP_PAIRS)))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    where = scratch(spark, "pairs-by-round")
+    rows.withColumn("g", block("id")).withColumn("round", F.pmod(block("other") - block("id"), F.lit(n))).write.partitionBy("round").parquet(where)
+    meeting = spark.read.parquet(where)
     state = checkpointed(state, "factors")
+    with_categories = not state.where(F.col("kind") == CATEGORY).isEmpty()
+    cols = ["kind", "id", "other", "f", "x", "c", "g"]
     for turn in range(epochs * n):
         shift = turn % n
-        own = state.withColumn("g", F.when(F.col("kind") == USER, block("id")).otherwise(F.pmod(block("id") - F.lit(shift), F.lit(n))))
-        meet = rows.withColumn("g", block("id")).where(block("other") == F.pmod(F.col("g") + F.lit(shift), F.lit(n)))
-
-        out = checkpointed(own.unionByName(meet).groupBy("g").applyInArrow(_trainer(step, weights, turn), ROW), "factors")
+        own = state.where(F.col("kind") != CATEGORY).withColumn("g", F.when(F.col("kind") == USER, block("id")).otherwise(F.pmod(block("id") - F.lit(shift), F.lit(n))))
+        meet = own.unionByName(meeting.where(F.col("round") == shift).select(*cols))
+        if with_categories:
+            needed = own.select("g", F.explode("c").alias("id")).distinct()
+            meet = meet.unionByName(state.where(F.col("kind") == CATEGORY).join(needed, "id").select(*cols))
+        out = checkpointed(meet.groupBy("g").applyInArrow(_trainer(step, weights, turn), ROW), "factors")
         state = out.where(F.col("kind").isin(USER, ITEM))
+        if with_categories:
+            state = checkpointed(state.unionByName(_averaged(out.where(F.col("kind") == CATEGORY))), "factors")
         if weights is not None and (found := out.where(F.col("kind") == WEIGHTS).select("id", "f").collect()):  # a row for each task
             weights = np.average([r.f for r in found], axis=0, weights=[r.id for r in found])
     return state, weights
@@ -80,7 +123,7 @@ def factors(state: DataFrame, kind: int) -> DataFrame:
 
 
 def bpr_step(rate: float, decay: float, negatives: int, passes: int) -> Callable:
-    def step(users, items, pairs, weights, seed):
+    def step(users, items, categories, pairs, weights, seed):
         rng = np.random.default_rng(seed)
         f, g, n = users["f"].copy(), items["f"].copy(), len(items["ids"])
         known = np.unique(pairs["u"] * n + pairs["i"])
@@ -97,7 +140,7 @@ def bpr_step(rate: float, decay: float, negatives: int, passes: int) -> Callable
                 np.add.at(f, u, rate * du)
                 np.add.at(g, i, rate * di)
                 np.add.at(g, j, rate * dj)
-        return f, g, weights
+        return f, g, categories["f"], weights
 
     return step
 
@@ -115,113 +158,6 @@ def fit_bpr(pairs: DataFrame, dim: int = 32, epochs: int = 5, passes: int = 4, r
     return factors(state, USER).drop("x"), factors(state, ITEM).drop("x")
 
 
-def in_batch_loss(q: np.ndarray, c: np.ndarray, items: np.ndarray, logq: np.ndarray, temperature: float = 0.05, known: np.ndarray | None = None):
-    """Softmax loss over a batch's own items, corrected by sampling odds; repeats and known positives are masked out.
-
-    Returns (mean loss, probabilities).
-    """
-    logits = q @ c.T / temperature - logq[None, :]
-    mask = items[None, :] == items[:, None]
-    if known is not None:
-        mask |= known
-    np.fill_diagonal(mask, False)
-    logits = np.where(mask, -1e9, logits)
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(1, keepdims=True)
-    return float(-np.log(np.maximum(np.diag(p), 1e-12)).mean()), p
-
-
-class Tower:
-    """An id embedding and features (numbers, and one place for each category) through one hidden layer, to length 1."""
-
-    def __init__(self, inputs: int, hidden: int, dim: int):
-        self.shapes = [(inputs, hidden), (hidden,), (hidden, dim), (dim,)]
-        self.size = sum(int(np.prod(s)) for s in self.shapes)
-
-    def start(self, rng) -> np.ndarray:
-        return np.concatenate([(rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 else np.zeros(s)).reshape(-1) for s in self.shapes])
-
-    def parts(self, flat: np.ndarray) -> list[np.ndarray]:
-        ends = np.cumsum([0] + [int(np.prod(s)) for s in self.shapes])
-        return [flat[a:b].reshape(s) for a, b, s in zip(ends[:-1], ends[1:], self.shapes, strict=True)]
-
-    def encode(self, flat: np.ndarray, f: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-        w1, b1, w2, b2 = self.parts(flat)
-        inputs = np.hstack([f, x])
-        hidden = np.maximum(inputs @ w1 + b1, 0)
-        raw = hidden @ w2 + b2
-        norm = np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
-        return raw / norm, (inputs, hidden, raw / norm, norm)
-
-    def gradient(self, flat: np.ndarray, seen: tuple, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the weights and of the inputs, for the gradient d of the outputs."""
-        inputs, hidden, out, norm = seen
-        w1, _, w2, _ = self.parts(flat)
-        d = (d - out * (d * out).sum(1, keepdims=True)) / norm
-        back = (d @ w2.T) * (hidden > 0)
-        return np.concatenate([(inputs.T @ back).reshape(-1), back.sum(0), (hidden.T @ d).reshape(-1), d.sum(0)]), back @ w1.T
-
-
-def tower_step(towers: tuple[Tower, Tower], rate: float, temperature: float, batch: int, passes: int, clip: float = 5.0) -> Callable:
-    """Adagrad on the in-batch softmax; an item's x ends with the log of its sampling odds."""
-
-    def step(users, items, pairs, weights, seed):
-        rng = np.random.default_rng(seed)
-        f, g, w = users["f"].copy(), items["f"].copy(), weights.copy()
-        cut, n = towers[0].size, len(items["ids"])
-        known = np.unique(pairs["u"] * n + pairs["i"])
-        seen_w, seen_f, seen_g = np.full(len(w), 1e-2), np.full(f.shape, 1e-2), np.full(g.shape, 1e-2)
-        for _ in range(passes):
-            for part in np.array_split(rng.permutation(len(pairs["u"])), max(1, len(pairs["u"]) // batch)):
-                u, i = pairs["u"][part], pairs["i"][part]
-                q, back_q = towers[0].encode(w[:cut], f[u], pairs["x"][part])
-                c, back_c = towers[1].encode(w[cut:], g[i], items["x"][i, :-1])
-                _, p = in_batch_loss(q, c, i, items["x"][i, -1], temperature, np.isin(u[:, None] * n + i[None, :], known))
-                d = (p - np.eye(len(part))) / temperature / len(part)
-                (dw_u, di_u), (dw_i, di_i) = towers[0].gradient(w[:cut], back_q, d @ c), towers[1].gradient(w[cut:], back_c, d.T @ q)
-                dw, df, dg = np.concatenate([dw_u, dw_i]), np.zeros_like(f), np.zeros_like(g)
-                np.add.at(df, u, di_u[:, : f.shape[1]])
-                np.add.at(dg, i, di_i[:, : g.shape[1]])
-                scale = min(1.0, clip / max(1e-12, float(np.sqrt((dw**2).sum() + (df**2).sum() + (dg**2).sum()))))
-                for x, dx, seen in ((w, dw, seen_w), (f, df, seen_f), (g, dg, seen_g)):
-                    dx *= scale
-                    seen += dx**2
-                    x -= rate * dx / np.sqrt(seen)
-        return f, g, w
-
-    return step
-
-
-def fit_two_tower(pairs: DataFrame, items: DataFrame, dim: int = 16, hidden: int = 32, epochs: int = 4, passes: int = 3, rate: float = 0.05, temperature: float = 0.1, batch: int = 256, seed: int = 42):
-    """(user embeddings, item embeddings, towers, weights) from pairs (user_id, item_id, x) and items (item_id, x).
-
-    A pair's x is what was known of the user before it; an item's x are its features, then the log of its sampling
-    odds.  Known positives of a user count as no negatives.
-    """
-    pairs = pairs.select(F.col("user_id").alias("id"), F.col("item_id").alias("other"), "x")
-    sizes = [int(df.agg(F.max(F.size("x"))).first()[0] or 0) for df in (pairs, items)]
-    towers = (Tower(dim + sizes[0], hidden, dim), Tower(dim + max(0, sizes[1] - 1), hidden, dim))
-    rng = np.random.default_rng(seed)
-    weights = np.concatenate([t.start(rng) for t in towers])
-    users = start_rows(pairs.select("id").distinct(), USER, dim, seed)
-    state = users.unionByName(start_rows(items.select(F.col("item_id").alias("id"), "x"), ITEM, dim, seed))
-    state, weights = train_blocks(state, pairs, tower_step(towers, rate, temperature, batch, passes), epochs, weights)
-    return factors(state, USER).drop("x"), factors(state, ITEM), towers, weights
-
-
-def encode(rows: DataFrame, tower: Tower, weights: np.ndarray) -> DataFrame:
-    """(id, embedding) of rows (id, embedding, x): what a tower makes of them."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                f, x = (np.array(b.column(i).to_pylist(), float).reshape(b.num_rows, -1) for i in (1, 2))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(tower.encode(weights, f, x)[0]), pa.list_(pa.float64()))], ["id", "embedding"])
-
-    return rows.select("id", "embedding", "x").mapInArrow(run, "id long, embedding array<double>")
-
-
 def factor_topk(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(user_id, item_id, score, rank): each user's k best items; both sides (id, embedding).  Users without a vector get no rows."""
     found = inner_topk(users, items, k, digits=9, others=False)

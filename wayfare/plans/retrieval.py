@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfare.operators import asof, evaluate, graph, ingest, neighbours, neural, popularity, projection, ranking, vectors
+from wayfare.operators import asof, evaluate, graph, ingest, neighbours, neural, popularity, projection, ranking, towers, vectors
 from wayfare.operators import retrieval as R
 from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
 from wayfare.plans.features import POP_SQL, TREND_SQL, pop_scores, splits, trend_scores
@@ -399,33 +399,37 @@ def _stats(df, columns):
     return {k: v or 0.0 for k, v in one.asDict().items()}
 
 
-def _one_hot(column, n):
-    return [(F.col(column) == i).cast("double") for i in range(n)]
+def tower_data(train):
+    """(pairs, items, users) for the towers: numbers as x, categories as keys; users and items as the window leaves them.
 
-
-def two_towers(train):
-    """(users, items): encoded vectors of everybody and everything seen in training.
-
-    Pairs carry what was known of their user before them; users and items are encoded as the window leaves them.
+    Pairs carry what was known of their user before them; items' x ends with the log of their sampling odds.
     """
     before = asof.asof_features(train).where(F.col("event_type").isin(6, 9))
     stats = _stats(before, _USER_FEATURES)
-    regions, verticals, merchants = train.agg(*[F.max(c) + 1 for c in ("region_id", "vertical", "merchant_id")]).first()
-    user_x = lambda df: F.array(*_scaled(df, _USER_FEATURES, stats), *_one_hot("region_id", regions))
-    pairs = checkpointed(before.select("user_id", "item_id", user_x(before).alias("x")), "tower-pairs")
+    user_x = lambda df: F.array(*_scaled(df, _USER_FEATURES, stats))
+    user_c = F.array(towers.category("region_id", "region_id"))
+    pairs = checkpointed(before.select("user_id", "item_id", user_x(before).alias("x"), user_c.alias("c")), "tower-pairs")
     kinds = train.groupBy("item_id").agg(F.max("vertical").alias("vertical"), F.max("merchant_id").alias("merchant_id"))
     seen = asof.item_state(train).join(kinds, "item_id").select("item_id", "vertical", "merchant_id", *[F.log1p(c).alias(c) for c in ("events", "purchases", "distinct_users")])
     counts = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     seen = checkpointed(seen.join(R.log_sampling(counts, seen), "item_id"), "tower-items")
     numbers = ("events", "purchases", "distinct_users")
     item_stats = _stats(seen, numbers)
-    items = seen.select("item_id", F.array(*_scaled(seen, numbers, item_stats), *_one_hot("vertical", verticals), *_one_hot("merchant_id", merchants), F.col("logq")).alias("x"))
-    user_f, item_f, towers, weights = neural.fit_two_tower(pairs, items)
-    cut = towers[0].size
+    item_c = F.array(*[towers.category(c, c) for c in ("vertical", "merchant_id")])
+    items = checkpointed(seen.select("item_id", F.array(*_scaled(seen, numbers, item_stats), F.col("logq")).alias("x"), item_c.alias("c")), "tower-items")
     last = asof.user_state(train).join(train.groupBy("user_id").agg(F.max("region_id").alias("region_id")), "user_id")
     last = last.select(F.col("user_id").alias("id"), "region_id", F.col("events").alias("user_event_count"), F.col("purchases").alias("user_purchase_count"), (F.col("purchases") / F.col("events")).alias("user_conversion_rate"), F.col("avg_price").alias("user_avg_interaction_price"))
-    users = neural.encode(user_f.join(last.select("id", user_x(last).alias("x")), "id"), towers[0], weights[:cut])
-    return users, neural.encode(item_f.withColumn("x", F.slice("x", F.lit(1), F.size("x") - 1)), towers[1], weights[cut:])
+    return pairs, items, last.select("id", user_x(last).alias("x"), user_c.alias("c"))
+
+
+def two_towers(train):
+    """(users, items): encoded vectors of everybody and everything seen in training, by towers that were saved and loaded."""
+    pairs, items, users = tower_data(train)
+    path = scratch(train.sparkSession, "towers")
+    towers.save_towers(towers.fit_two_tower(pairs, items), path)
+    model = towers.load_towers(train.sparkSession, path)
+    things = items.select(F.col("item_id").alias("id"), F.slice("x", F.lit(1), F.size("x") - 1).alias("x"), "c")
+    return model.encode(users, 0), model.encode(things, 1)
 
 
 @query("md8_two_tower_topk")

@@ -89,7 +89,7 @@ def live_features(spark: SparkSession, events: DataFrame, files: int = 4, stop:
     try:
         for nrs in (range(stop), range(stop, files)):
             _files(spark, events, where, files, nrs)
-            sides = [_drain(f(S.read_stream(spark, f"{where}/in", EACH)), where, f.__name__, "append").drop("batch") for f in (live.user_features, live.item_features)]
+            sides = [_drain(f(S.read_stream(spark, f"{where}/in", EACH, S.LIVE_SCHEMA)), where, f.__name__, "append").drop("batch") for f in (live.user_features, live.item_features)]
     finally:
         spark.conf.set(PROVIDER[0], before)
     return sides[0].join(sides[1], "event_id").select("event_id", *asof.FEATURES)

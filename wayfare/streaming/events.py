@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, item_id INT, event_type INT, price_at_event DOUBLE, vertical INT, merchant_id INT"
+EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, item_id INT, event_type INT, price_at_event DOUBLE"
+#: With what live features read besides.
+LIVE_SCHEMA = f"{EVENT_SCHEMA}, vertical INT, merchant_id INT"
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1, schema: str = EVENT_SCHEMA) -> DataFrame:
     """A folder of Parquet files as a stream."""
-    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def accept(events: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
