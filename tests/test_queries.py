@@ -41,7 +41,7 @@ def test_core_twin_where_a_core_is_left(spark):
     assert want and rows((r.asDict() for r in QUERIES["fil2_k_core"](spark, d).collect()), cols) == rows(want, cols)
 
 
-@pytest.mark.parametrize("name", ["aug6_merchants", "rk3_pairwise_ranker", "md6_bpr_topk", "tk6_index_topk", "vx3_index_benchmark", "ab3_bootstrap", "job_experiment", "rk4_tree_explanations", "sv2_four_sources", "snk6_vector_transport"])
+@pytest.mark.parametrize("name", ["rk3_pairwise_ranker", "md6_bpr_topk", "tk6_index_topk", "vx3_index_benchmark", "ab3_bootstrap", "job_experiment", "rk4_tree_explanations", "sv2_four_sources", "snk6_vector_transport"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

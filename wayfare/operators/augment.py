@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.expr import inverse_cdf, with_uniform, zipf
 
 # Salts, category weights, price parameters.
-SALTS = {"vertical": 0x5EED_0001, "region": 0x5EED_0002, "merchant": 0x5EED_0003, "price": 0x5EED_0004, "device": 0x5EED_0005, "rating": 0x5EED_0006}
+SALTS = {"vertical": 0x5EED_0001, "region": 0x5EED_0002, "merchant": 0x5EED_0003, "price": 0x5EED_0004, "device": 0x5EED_0005, "rating": 0x5EED_0006, "merchant_region": 0x5EED_0011, "merchant_rating": 0x5EED_0012, "merchant_radius": 0x5EED_0013, "merchant_minutes": 0x5EED_0014}
 VERTICAL_WEIGHTS = {"food_delivery": 0.22, "restaurant": 0.18, "grocery": 0.25, "pharmacy": 0.10, "commerce": 0.15, "lifestyle": 0.10}
 PRICES = {"food_delivery": (2.5, 0.5), "restaurant": (3.0, 0.6), "grocery": (1.6, 0.7), "pharmacy": (2.2, 0.6), "commerce": (3.4, 0.9), "lifestyle": (3.1, 1.0)}
 DEVICE_WEIGHTS = [0.58, 0.18, 0.17, 0.07]
@@ -43,13 +41,21 @@ def root_verticals(sizes: DataFrame, weights: list[float] | None = None) -> Data
 
 
 def merchants(spark: SparkSession, seed: int = SEED, per_vertical: int = PER_VERTICAL) -> DataFrame:
-    """A fixed-size table of merchants: ids in sequence per vertical, drawn regions, ratings, radii and delivery times."""
-    rng = np.random.default_rng(seed)
-    n = per_vertical * len(VERTICAL_WEIGHTS)
-    return spark.createDataFrame(pd.DataFrame({
-        "merchant_id": np.arange(n), "vertical": np.repeat(np.arange(len(VERTICAL_WEIGHTS)), per_vertical), "region_id": rng.choice(REGIONS, n, p=zipf(REGIONS, ZIPF)), "rating": (rng.beta(8, 2, n) * 5).round(2),
-        "delivery_radius_km": rng.uniform(2, 15, n).round(1), "avg_delivery_minutes": rng.integers(15, 75, n),
-    }))
+    """A table of merchants with ids in sequence, per_vertical in each vertical."""
+    rows = spark.range(per_vertical * len(VERTICAL_WEIGHTS)).select(F.col("id").alias("merchant_id"), F.floor(F.col("id") / per_vertical).cast("int").alias("vertical"))
+    return merchant_attributes(rows, seed)
+
+
+def merchant_attributes(merchants_: DataFrame, seed: int = SEED) -> DataFrame:
+    """merchants (merchant_id, vertical) with Zipf-sized regions, Beta(8, 2) ratings, radii of 2 to 15 km and 15 to 74 minutes, from hashed uniforms."""
+    df = merchants_.select("merchant_id", "vertical")
+    for c in ("region", "rating", "radius", "minutes"):
+        df = with_uniform(df, "merchant_id", seed, SALTS[f"merchant_{c}"], f"_{c}")
+    inside = F.greatest(F.least(F.col("_rating"), F.lit(1 - LEAST_UNIFORM)), F.lit(LEAST_UNIFORM))
+    return df.select(
+        "merchant_id", "vertical", inverse_cdf(F.col("_region"), zipf(REGIONS, ZIPF)).alias("region_id"), F.round(beta_quantile(inside, 8) * 5, 2).alias("rating"),
+        F.round(2 + 13 * F.col("_radius"), 1).alias("delivery_radius_km"), (15 + F.floor(60 * F.col("_minutes"))).cast("int").alias("avg_delivery_minutes"),
+    )
 
 
 def item_merchants(items: DataFrame, merchant_table: DataFrame) -> DataFrame:
@@ -91,10 +97,10 @@ def normal_quantile(u: Column) -> Column:
     return F.when(F.abs(q) <= 0.425, q * ratio("a", "b", F.lit(0.180625) - q * q)).otherwise(F.signum(q) * tail)
 
 
-def beta72_quantile(u: Column) -> Column:
-    """Beta(7, 2) has the distribution function 8x^7 - 7x^8; inverted binary digit by digit."""
+def beta_quantile(u: Column, a: int) -> Column:
+    """Beta(a, 2) has the distribution function (a + 1)x^a - a x^(a + 1); inverted binary digit by digit."""
     steps = F.array(*[F.lit(2.0**-i) for i in range(1, HALVINGS + 1)])
-    below = lambda x: 8 * F.pow(x, F.lit(7.0)) - 7 * F.pow(x, F.lit(8.0)) < u
+    below = lambda x: (a + 1) * F.pow(x, F.lit(float(a))) - a * F.pow(x, F.lit(float(a + 1))) < u
     return F.aggregate(steps, F.lit(0.0), lambda x, s: F.when(below(x + s), x + s).otherwise(x))
 
 
@@ -105,4 +111,4 @@ def item_prices(items: DataFrame, seed: int = SEED) -> DataFrame:
     inside = lambda c: F.greatest(F.least(F.col(c), F.lit(1 - LEAST_UNIFORM)), F.lit(LEAST_UNIFORM))
     mu, sigma = (F.element_at(F.array(*[F.lit(p[i]) for p in PRICES.values()]), F.col("vertical") + 1) for i in (0, 1))
     price = F.round(F.greatest(F.exp(mu + sigma * normal_quantile(inside("_p"))), F.lit(MIN_PRICE)), 2)
-    return df.select("item_id", "vertical", price.alias("price"), F.round(beta72_quantile(inside("_r")) * 5, 2).alias("base_rating"))
+    return df.select("item_id", "vertical", price.alias("price"), F.round(beta_quantile(inside("_r"), 7) * 5, 2).alias("base_rating"))

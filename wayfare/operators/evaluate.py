@@ -166,7 +166,7 @@ def promotion_gate(metrics: DataFrame, limits: dict = GATE) -> DataFrame:
     def check(name, metric, value, threshold, ok, required=True):
         got = F.col(f"{metric}_candidate")
         verdict = F.when(got.isNull(), "inconclusive" if required else "skipped").when(ok, "pass").otherwise("fail")
-        return F.struct(F.lit(name).alias("check_name"), verdict.alias("verdict"), value.cast("double").alias("value"), F.lit(float(threshold)).alias("threshold"))
+        return F.struct(F.lit(name).alias("check_name"), verdict.alias("verdict"), F.when(got.isNotNull(), value.cast("double")).alias("value"), F.lit(float(threshold)).alias("threshold"))
 
     change = lambda m: relative_change(F.col(f"{m}_candidate"), F.col(f"{m}_incumbent"))
     new = lambda m: F.col(f"{m}_incumbent").isNull()

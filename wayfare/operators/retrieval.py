@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.functions.expr import dot, unit_scale, weight
+from wayfare.functions.distributed import row_numbers
+from wayfare.functions.expr import dot, weight
 
 NEIGHBOURS, LEAST_SIMILARITY, POPULARITY_POWER, MIN_WEIGHT = 200, 1e-4, 0.5, 1.0
 RRF_K, CANDIDATES = 60, 600
@@ -61,6 +64,18 @@ def top_k(scores: DataFrame, k: int, by: str = "user_id") -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def global_unseen(scores: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """(user_id, item_id, score, rank): the k best unseen items of one global list (item_id, score) for each user of train.
+
+    They lie within the list's first k + (items the user has seen) places, so that is all a user meets: rows grow with
+    users and their histories, not with users times items.
+    """
+    seen = train.groupBy("user_id").agg(F.countDistinct("item_id").alias("n"))
+    places = row_numbers(scores.select("item_id", "score"), [F.desc("score"), F.asc("item_id")], "place")
+    near = seen.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + k)).alias("place")).join(places, "place").drop("place")
+    return top_k(without_seen(near, train), k)
+
+
 def recommend(scores: DataFrame, k: int, exclude: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """Each user's k best items: of the candidates only, if given, and without excluded (user_id, item_id) pairs."""
     rows = scores if candidates is None else scores.join(candidates.select("item_id"), "item_id", "left_semi")
@@ -101,14 +116,22 @@ def source_overlap(fused: DataFrame) -> DataFrame:
 def cold_start(affinity: DataFrame, popularity: DataFrame, session_items: DataFrame, k: int, share: float = 0.7) -> DataFrame:
     """Sessions without a known user: share * scaled affinity + (1 - share) * scaled popularity, session items left out.
 
-    affinity: (session, item_id, score); popularity: (item_id, score), joined as a broadcast only under Spark's size limit.
+    affinity: (session, item_id, score); popularity: (item_id, score).  An item without affinity can only win from the
+    first k + (items of the session) places by popularity, so a session meets those and the items it has an affinity to,
+    not the whole list.  Affinity is scaled over the whole list, where items without any count 0.
     """
-    own = Window.partitionBy("session")
-    ends = popularity.agg(F.min("score").alias("_l"), F.max("score").alias("_h"))
+    ends = popularity.agg(F.min("score").alias("_l"), F.max("score").alias("_h"), F.count(F.lit(1)).alias("_items"))
     scaled = F.when(F.col("_h") > F.col("_l"), (F.col("score") - F.col("_l")) / (F.col("_h") - F.col("_l"))).otherwise(F.lit(0.0))
-    pop = popularity.join(F.broadcast(ends)).select("item_id", scaled.alias("pop"))
-    every = session_items.select("session").distinct().join(pop)
-    both = every.join(affinity.withColumnRenamed("score", "aff"), ["session", "item_id"], "left").fillna(0.0, ["aff"]).withColumn("_a", unit_scale("aff", own))
+    pop = popularity.join(F.broadcast(ends)).select("item_id", scaled.alias("pop"), "_items")
+    pop = row_numbers(pop.withColumn("_worth", F.round((1 - share) * F.col("pop"), 9)), [F.desc("_worth"), F.asc("item_id")], "place").drop("_worth")
+    sizes = session_items.groupBy("session").agg(F.countDistinct("item_id").alias("n"))
+    near = sizes.select("session", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + k)).alias("place")).join(pop, "place").select("session", "item_id", "pop", F.lit(None).cast("double").alias("aff"))
+    liked = affinity.join(sizes.select("session"), "session").join(pop, "item_id")
+    low, high = F.min("score").over(Window.partitionBy("session")), F.max("score").over(Window.partitionBy("session"))
+    whole = F.count(F.lit(1)).over(Window.partitionBy("session")) >= F.col("_items")  # else some item counts 0
+    low, high = F.when(whole, low).otherwise(F.least(low, F.lit(0.0))), F.when(whole, high).otherwise(F.greatest(high, F.lit(0.0)))
+    liked = liked.withColumn("aff", F.when(high > low, (F.col("score") - low) / F.nullif(high - low, F.lit(0.0))).otherwise(F.lit(0.0))).select("session", "item_id", "pop", "aff")
+    both = near.unionByName(liked).groupBy("session", "item_id").agg(F.max("pop").alias("pop"), F.coalesce(F.max("aff"), F.lit(0.0)).alias("_a"))
     scored = both.select("session", "item_id", F.round(share * F.col("_a") + (1 - share) * F.col("pop"), 9).alias("score"))
     return top_k(scored.join(session_items, ["session", "item_id"], "left_anti"), k, "session")
 
@@ -186,3 +209,23 @@ def softmax_loss(logits: Column, target: Column) -> Column:
     """Cross entropy of one row of logits."""
     top = F.array_max(logits)
     return F.log(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))) + top - F.element_at(logits, target)
+
+
+def vector_text(embedding: Column) -> Column:
+    """A vector as base64 of little-endian 32-bit floats, without line breaks; null for null."""
+
+    @F.arrow_udf("binary")
+    def pack(vectors: pa.Array) -> pa.Array:
+        return pa.array([v.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes() if v.is_valid else None for v in vectors], pa.binary())
+
+    return F.regexp_replace(F.base64(pack(embedding)), r"\s", "")
+
+
+def text_vector(data: Column) -> Column:
+    """The vector that vector_text() made a text of; null for null, an error for what is no such text."""
+
+    @F.arrow_udf("array<float>")
+    def unpack(texts: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(t.as_py(), "<f4") if t.is_valid else None for t in texts], pa.list_(pa.float32()))
+
+    return unpack(F.unbase64(data))

@@ -106,13 +106,14 @@ def inner_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int | Non
                     row, col = _best(scores, ids, k)
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[i + row]), pa.array(ids[col]), pa.array(scores[row, col])], ["query", "id", "score"])
 
-    parts, lane = None, F.pmod("block", F.lit(1))  # the same for all: each block meets each of the round
+    parts = None
     for i in range(0, len(names[few]), ROUND):
         now = sent.where(F.col("block").between(names[few][i], names[few][min(i + ROUND, len(names[few])) - 1]))
-        now = now.select(lane.alias("lane"), *[F.col(c).alias(f"s_{c}") for c in ("n", "ids", "matrix")])
-        cells = stay.withColumn("lane", lane).join(F.broadcast(now), "lane")
+        cells = stay.crossJoin(F.broadcast(now.select(*[F.col(c).alias(f"s_{c}") for c in ("n", "ids", "matrix")])))  # each block meets each of the round
         found = _ranked(cells.mapInArrow(run, "query long, id long, score double"), k)
-        parts = found if parts is None else parts.drop("rank").unionByName(found.drop("rank"))
+        if len(names[few]) > ROUND:  # each round by itself, and only its best go on
+            found = checkpointed(found.drop("rank"), "round-best")
+        parts = found if parts is None else parts.unionByName(found)
     if parts is None:
         return queries.sparkSession.createDataFrame([], "query long, id long, score double, rank int")
     return parts if "rank" in parts.columns else _ranked(parts, k)

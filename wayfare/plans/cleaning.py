@@ -71,11 +71,11 @@ def unit_scaled(spark, d):
     return c.select("vertical", "item_id", F.round(X.unit_scale("n", Window.partitionBy("vertical")), 6).alias("scaled"))
 
 
-@query("prj9_cold_flags", f"""WITH {A}, f AS (SELECT item_id, min(ts) AS first_interaction FROM a GROUP BY item_id), i AS (SELECT range::int AS item_id FROM range(110))
+@query("prj9_cold_flags", f"""WITH {A}, f AS (SELECT item_id, min(ts) AS first_interaction FROM a GROUP BY item_id), i AS (SELECT p_partkey::int AS item_id FROM part)
 SELECT i.item_id, first_interaction, coalesce(epoch_us(first_interaction) >= (SELECT max(epoch_us(ts)) FROM a) - 14 * 86400000000, true) AS is_cold FROM i LEFT JOIN f USING (item_id)""")
 def cold_items(spark, d):
     e = behaviour(spark, d)
-    items = spark.range(110).select(F.col("id").cast("int").alias("item_id"))
+    items = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("item_id"))  # the catalogue
     firsts = items.join(e.groupBy("item_id").agg(F.min("ts").alias("first_interaction")), "item_id", "left")
     return ingest.cold_flags(firsts, e.agg(F.max("ts").alias("last")))
 
@@ -282,6 +282,16 @@ def prices(spark, d):
     return augment.item_prices(table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % 6).cast("int").alias("vertical")))
 
 
-@query("aug6_merchants")
+_BETA82 = "[0.0::double, " + ", ".join(f"{2.0**-i!r}::double" for i in range(1, augment.HALVINGS + 1)) + "]"
+
+
+@query("aug6_merchants", f"""WITH m AS (SELECT s_suppkey AS merchant_id, (s_suppkey % 6)::int AS vertical FROM supplier),
+u AS (SELECT *, {_u('merchant_id', 42, str(augment.SALTS['merchant_region']))} AS r, greatest(least({_u('merchant_id', 42, str(augment.SALTS['merchant_rating']))}, {1 - 1e-9!r}::double), 1e-9::double) AS w,
+  {_u('merchant_id', 42, str(augment.SALTS['merchant_radius']))} AS k, {_u('merchant_id', 42, str(augment.SALTS['merchant_minutes']))} AS t FROM m)
+SELECT merchant_id, vertical, least(len(list_filter({_edges(X.zipf(12, 1.1))}, lambda x: x <= r)), 11)::int AS region_id,
+  round(list_reduce({_BETA82}, lambda x, s: CASE WHEN 9 * pow(x + s, 8) - 8 * pow(x + s, 9) < w THEN x + s ELSE x END) * 5, 2) AS rating,
+  round(2 + 13 * k, 1) AS delivery_radius_km, (15 + floor(60 * t))::int AS avg_delivery_minutes FROM u""")
 def merchant_table(spark, d):
-    return augment.merchants(spark)
+    """Attributes of every supplier as a merchant."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("merchant_id"), (F.col("s_suppkey") % 6).cast("int").alias("vertical"))
+    return augment.merchant_attributes(s)

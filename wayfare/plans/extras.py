@@ -12,7 +12,7 @@ from wayfare.plans.features import splits
 from wayfare.plans.registry import query
 from wayfare.plans.retrieval import MATRIX_SQL
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
-from wayfare.sources.tables import behaviour, table
+from wayfare.sources.tables import behaviour, scratch, table
 
 
 @query("prj8_null_fill", f"""WITH {HISTORY_SQL}, l AS (SELECT item_id, try_cast(last(value ORDER BY ts, value) AS int) AS category, min(ts) FILTER (value = '1') AS available, min(ts) AS seen FROM h GROUP BY item_id)
@@ -87,11 +87,13 @@ def production(spark, d):
 @query("snk6_vector_transport")
 def transport(spark, d):
     """Embeddings as base64 of little-endian 32-bit floats."""
-    import pyarrow as pa
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), R.vector_text(F.col("embedding")).alias("data"))
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if v.as_py() is None else v.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes() for v in b.column(1)], pa.binary())], ["id", "data"])
 
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding").mapInArrow(run, "id long, data binary")
-    return rows.select("id", F.regexp_replace(F.base64("data"), r"\s", "").alias("data"))  # no line breaks
+@query("snk6_vector_round_trip", "SELECT vec_id AS id, len(embedding) AS size, round(list_sum([x::double FOR x IN embedding]), 5) AS total, round(embedding[1]::double, 6) AS first FROM embeddings")
+def round_trip(spark, d):
+    """Embeddings written as text, read back and decoded."""
+    path = scratch(spark, "vector-text")
+    transport(spark, d).write.parquet(path)
+    v = spark.read.parquet(path).select("id", R.text_vector(F.col("data")).alias("v"))
+    return v.select("id", F.size("v").cast("long").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"), F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first"))

@@ -100,17 +100,10 @@ def build_features(spark: SparkSession, out: str, version: str = FEATURE_VERSION
 
 
 def baseline_lists(train: DataFrame, k: int = 20) -> dict[str, DataFrame]:
-    """(user_id, item_id, score, rank) of unseen items for each baseline; global lists are cut before they meet the users.
-
-    A user's unseen top k of a global list lies within its first k + (items the user has seen) places, so that is all
-    a user meets: rows grow with users and their histories, not with users times items.
-    """
-    seen = train.groupBy("user_id").agg(F.countDistinct("item_id").alias("n"))
+    """(user_id, item_id, score, rank) of unseen items for each baseline; global lists are cut before they meet the users."""
     out = {}
     for name, scores in (("popularity", popularity.decayed(train)), ("trending", popularity.trending(train))):
-        places = row_numbers(scores.withColumn("score", F.round("score", 6)), [F.desc("score"), F.asc("item_id")], "place")
-        near = seen.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + k)).alias("place")).join(places, "place").drop("place")
-        out[name] = R.top_k(R.without_seen(near, train), k)
+        out[name] = R.global_unseen(scores.withColumn("score", F.round("score", 6)), train, k)
     m = R.user_item(train)
     out["item_cf"] = R.top_k(R.without_seen(R.cf_scores(m, R.item_similarity(m)).withColumn("score", F.round("score", 6)), train), k)
     return out

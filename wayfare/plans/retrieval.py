@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfare.operators import asof, evaluate, graph, ingest, neighbours, neural, popularity, projection, ranking, towers, vectors
+from wayfare.operators import asof, evaluate, graph, ingest, neighbours, neural, popularity, projection, ranking, sessions, towers, vectors
 from wayfare.operators import retrieval as R
-from wayfare.plans.cleaning import SPLIT, WEIGHT_SQL
+from wayfare.plans.cleaning import SESSION_SQL, SPLIT, WEIGHT_SQL
 from wayfare.plans.features import POP_SQL, TREND_SQL, pop_scores, splits, trend_scores
 from wayfare.plans.registry import ORACLES, query
+from wayfare.sources.tables import BEHAVIOUR_SQL as A
 from wayfare.sources.tables import behaviour, checkpointed, scratch, table
 
 MATRIX_SQL = f"mx AS (SELECT user_id, item_id, sum({WEIGHT_SQL}) AS w FROM tr WHERE {WEIGHT_SQL} >= 1 GROUP BY 1, 2)"
@@ -102,25 +103,30 @@ def overlap(spark, d):
     return R.source_overlap(fused(splits(spark, d)[1]))
 
 
-_SESSIONS = [(0, 3), (0, 17), (1, 42), (1, 43), (1, 44), (2, 99)]
-_SESSION_VALUES = ", ".join(map(str, _SESSIONS))
+#: Sessions of the test window, of three events at most, and their items.
+_TEST_SESSIONS = f"{SESSION_SQL.removeprefix(A + ',').strip().replace(', z AS', ', zz AS').replace(chr(10) + 'z AS', chr(10) + 'zz AS')}, ss AS (SELECT DISTINCT session_id AS session, item_id FROM zz WHERE event_id IN (SELECT event_id FROM te))"
 
 
-@query("sv5_session_affinity", f"""WITH {SPLIT}, {SIM_SQL}, ss(session, item_id) AS (VALUES {_SESSION_VALUES}) SELECT session::int AS session, item_j AS item_id, round(sum(sim) + 1e-10::double, 6) AS score FROM ss JOIN sim ON item_i = ss.item_id GROUP BY 1, 2""")
+def _session_items(spark, d):
+    later = splits(spark, d)[2].select("event_id")
+    return sessions.sessionize(behaviour(spark, d), 30, 3).join(later, "event_id", "left_semi").select(F.col("session_id").alias("session"), "item_id").distinct()
+
+
+@query("sv5_session_affinity", f"""WITH {SPLIT}, {SIM_SQL}, {_TEST_SESSIONS} SELECT session, item_j AS item_id, round(sum(sim) + 1e-10::double, 6) AS score FROM ss JOIN sim ON item_i = ss.item_id GROUP BY 1, 2""")
 def affinity(spark, d):
     s = similarity(splits(spark, d)[1])[1]
-    return R.session_affinity(spark.createDataFrame(_SESSIONS, "session int, item_id int"), s).withColumn("score", _even(F.col("score")))
+    return R.session_affinity(_session_items(spark, d), s).withColumn("score", _even(F.col("score")))
 
 
-@query("sv4_cold_start", f"""WITH {SPLIT}, {SIM_SQL}, {POP_SQL}, ss(session, item_id) AS (VALUES {_SESSION_VALUES}), af AS (SELECT session, item_j AS item_id, round(sum(sim) + 1e-10::double, 6) AS score FROM ss JOIN sim ON item_i = ss.item_id GROUP BY 1, 2),
+@query("sv4_cold_start", f"""WITH {SPLIT}, {SIM_SQL}, {POP_SQL}, {_TEST_SESSIONS}, af AS (SELECT session, item_j AS item_id, round(sum(sim) + 1e-10::double, 6) AS score FROM ss JOIN sim ON item_i = ss.item_id GROUP BY 1, 2),
 pp AS (SELECT item_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS pop FROM pop),
 z AS (SELECT s.session, pp.item_id, pop, coalesce(af.score, 0) AS a FROM (SELECT DISTINCT session FROM ss) s CROSS JOIN pp LEFT JOIN af ON af.session = s.session AND af.item_id = pp.item_id),
 y AS (SELECT session, item_id, round(0.7::double * CASE WHEN max(a) OVER w > min(a) OVER w THEN (a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w) ELSE 0 END + 0.3::double * pop, 9) AS score FROM z WINDOW w AS (PARTITION BY session)),
 r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, item_id) AS rank FROM y WHERE (session, item_id) NOT IN (SELECT session, item_id FROM ss))
-SELECT session::int AS session, item_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+SELECT session, item_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
 def cold(spark, d):
     train = splits(spark, d)[1]
-    items = spark.createDataFrame(_SESSIONS, "session int, item_id int")
+    items = _session_items(spark, d)
     aff = R.session_affinity(items, similarity(train)[1]).withColumn("score", _even(F.col("score")))
     out = R.cold_start(aff, pop_scores(train), items, 10)
     return out.select("session", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
