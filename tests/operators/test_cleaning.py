@@ -111,3 +111,14 @@ def test_feature_sink_checks_version_and_columns(spark, tmp_path):
     with pytest.raises(ValueError, match="at most"):
         T.write_json_row(spark.range(T.REPORT_ROWS + 1), str(tmp_path / "long"))
     assert '"split"' in T.write_json_row(T.read_features(spark, path, "v1", ["a"]), str(tmp_path / "report"))
+
+
+def test_merchants_are_drawn_from_their_ids(spark):
+    m = augment.merchants(spark, per_vertical=2000).collect()
+    assert [r.merchant_id for r in sorted(m, key=lambda r: r.merchant_id)] == list(range(12000)) and {r.vertical for r in m} == set(range(6))
+    assert abs(np.mean([r.rating for r in m]) / 5 - 0.8) < 0.01 and 0 <= min(r.rating for r in m) and max(r.rating for r in m) <= 5  # Beta(8, 2) has the mean 0.8
+    assert 2 <= min(r.delivery_radius_km for r in m) and max(r.delivery_radius_km for r in m) <= 15 and abs(np.mean([r.delivery_radius_km for r in m]) - 8.5) < 0.2
+    assert {r.avg_delivery_minutes for r in m} == set(range(15, 75))
+    assert {r.region_id for r in m} == set(range(12)) and sum(r.region_id == 0 for r in m) > 2 * sum(r.region_id == 5 for r in m)
+    few = augment.merchant_attributes(spark.createDataFrame([(7, 0)], "merchant_id long, vertical int")).first()
+    assert tuple(few)[2:] == tuple(next(r for r in m if r.merchant_id == 7))[2:]  # the id alone decides

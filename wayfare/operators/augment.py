@@ -104,6 +104,10 @@ def beta_quantile(u: Column, a: int) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda x, s: F.when(below(x + s), x + s).otherwise(x))
 
 
+def beta72_quantile(u: Column) -> Column:
+    return beta_quantile(u, 7)
+
+
 def item_prices(items: DataFrame, seed: int = SEED) -> DataFrame:
     """(item_id, vertical, price, base_rating): log-normal prices by vertical and Beta(7, 2) ratings, from hashed uniforms."""
     df = with_uniform(items.select("item_id", "vertical"), "item_id", seed, F.lit(SALTS["price"]) + F.col("vertical"), "_p")
@@ -111,4 +115,4 @@ def item_prices(items: DataFrame, seed: int = SEED) -> DataFrame:
     inside = lambda c: F.greatest(F.least(F.col(c), F.lit(1 - LEAST_UNIFORM)), F.lit(LEAST_UNIFORM))
     mu, sigma = (F.element_at(F.array(*[F.lit(p[i]) for p in PRICES.values()]), F.col("vertical") + 1) for i in (0, 1))
     price = F.round(F.greatest(F.exp(mu + sigma * normal_quantile(inside("_p"))), F.lit(MIN_PRICE)), 2)
-    return df.select("item_id", "vertical", price.alias("price"), F.round(beta_quantile(inside("_r"), 7) * 5, 2).alias("base_rating"))
+    return df.select("item_id", "vertical", price.alias("price"), F.round(beta72_quantile(inside("_r")) * 5, 2).alias("base_rating"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.distributed import row_numbers
 from wayfare.functions.expr import DAY
-from wayfare.sources.tables import checkpointed
+from wayfare.sources.tables import counted
 
 
 def dedup_seconds(events: DataFrame, tie: str = "event_id") -> DataFrame:
@@ -22,13 +22,12 @@ def k_core(events: DataFrame, min_user: int, min_item: int, rounds: int = 30) ->
     Rows are first reduced to weighted edges, so the rounds move one row per (user, item); each round is written to
     the shared folder.  An empty core, or one that takes more rounds, raises.
     """
-    edges = checkpointed(events.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")), "kcore")
-    size = edges.count()
+    edges, size = counted(events.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")), "kcore")
     for _ in range(rounds):
         users = edges.groupBy("user_id").agg(F.sum("n").alias("c")).where(F.col("c") >= min_user).select("user_id")
         items = edges.groupBy("item_id").agg(F.sum("n").alias("c")).where(F.col("c") >= min_item).select("item_id")
-        edges = checkpointed(edges.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi"), "kcore")
-        before, size = size, edges.count()
+        before = size
+        edges, size = counted(edges.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi"), "kcore")
         if not size:
             raise ValueError(f"the ({min_user}, {min_item})-core is empty")
         if size == before:

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RAW_EVENTS = "timestamp BIGINT, visitorid BIGINT, event STRING, itemid BIGINT, transactionid DOUBLE"
@@ -102,6 +102,13 @@ def checkpointed(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
+    """checkpointed(), and the number of its rows, which the write itself counts."""
+    rows = Observation()
+    out = checkpointed(df.observe(rows, F.count(F.lit(1)).alias("n")), name)
+    return out, rows.get["n"]
+
+
 def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """What build() gives, written once for each state of the files at source (their paths, sizes and times), and read back.
 
