@@ -32,7 +32,7 @@ ORDER = 2
 #: context has something left for unseen words.
 GOOD_TURING, SLIVER = 5, 0.01
 #: Bytes of text in a block; n-grams in a bucket, on average.
-BLOCK_BYTES, BUCKET_KEYS = 12_000_000, 2_000_000
+BLOCK_BYTES, BUCKET_KEYS = 10_000_000, 1_500_000
 END, BEGIN = 0, 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ZSTD = {"codec": "zstd", "asbytes": True}
@@ -121,27 +121,29 @@ class Grams:
         first[np.cumsum(sizes)[:-1]] = True
         if len(first):
             first[0] = True
-        self.at, self.context, self.word, self.hash, self.start = [tokens.astype(np.int64)], [None], [np.arange(len(words))], [words], [words[BEGIN]]
+        self.at, self.context, self.word, self.hash, self.start = [tokens.astype(np.int32)], [None], [np.arange(len(words), dtype=np.int32)], [words], [words[BEGIN]]
         for o in range(1, order):
             below = self.at[-1]
             before = np.empty_like(below)
             before[1:] = below[:-1]
             begin = len(self.hash[-1]) if o > 1 else BEGIN
             before[first] = begin
-            code, inverse = np.unique(before * len(words) + self.at[0], return_inverse=True)
-            context, word = code // len(words), code % len(words)
+            code, inverse = np.unique(before.astype(np.int64) * len(words) + self.at[0], return_inverse=True)
+            inverse = inverse.astype(np.int32)  # places of a block fit 32 bits; blocks are held whole, so their arrays are kept small
+            context, word = (x.astype(np.int32) for x in np.divmod(code, len(words)))
+            del code
             above = np.append(self.hash[-1], self.start[-1])
             self.at.append(inverse.reshape(-1))
             self.context.append(context)
             self.word.append(word)
             self.hash.append(_mix(above[context], words[word], o + 1))
             self.start.append(_mix(np.array([self.start[-1]]), words[BEGIN : BEGIN + 1], o + 1)[0])
-        self.sort = [np.argsort(h, kind="stable") for h in self.hash]
+        self.sort = [np.argsort(h, kind="stable").astype(np.int32) for h in self.hash]
 
 
 def _block(r: dict, order: int) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
     tokens, sizes, words = _unpack(r["tokens"], r["n_tokens"], np.uint32), np.frombuffer(r["sizes"], np.uint32).astype(np.int64), np.frombuffer(r["words"], np.uint64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     return Grams(tokens, sizes, words, order), sizes, doc, np.frombuffer(r["train"], np.uint8).astype(bool)
 
 
@@ -159,7 +161,7 @@ def _rows(batches):
 
 def lower_grams(grams: Grams, o: int) -> np.ndarray:
     """Of each n-gram, the one with its first word dropped."""
-    low = np.zeros(len(grams.hash[o]), np.int64)
+    low = np.zeros(len(grams.hash[o]), np.int32)
     low[grams.at[o]] = grams.at[o - 1]
     return low
 
