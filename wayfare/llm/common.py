@@ -91,10 +91,11 @@ def chosen_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
     are broadcast, so that texts are not shuffled.
     """
     p = free_prefix(docs)
-    best = groups.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("best"))
+    best = staged(groups.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("best")), "best-rows")  # written, so that the join splits large groups
     stays = F.max(F.struct("doc_id", "k1", "k2") == F.col("best")).alias(f"{p}stays")
     rows = groups.join(best, "root").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias(f"{p}n"), stays)
     gone = staged(rows.where(~F.col(f"{p}stays") | (F.col(f"{p}n") > 1)).select(F.col("k1").alias(f"{p}k1"), F.col("k2").alias(f"{p}k2"), f"{p}stays"), "gone")
+    unstaged(best)
     n, again = gone.agg(F.count(F.lit(1)), F.count(F.when(F.col(f"{p}stays"), 1))).first()
     near = F.broadcast if n <= BROADCAST_KEYS else lambda x: x
     k1, k2 = row_key(docs)

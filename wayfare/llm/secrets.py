@@ -72,7 +72,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", example_owners: int = E
 
     found = candidates(scanned).withColumn("hash", F.struct(F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b")))
     found = found.drop("value")
-    classes = ownership(found.where("fits"), example_owners)
+    classes = staged(ownership(found.where("fits"), example_owners), "secret-classes")  # written, so that the join splits widely copied values
     found = found.join(classes, "hash", "left")
     span = F.struct("start", "nr", "kind", "end", "base", "owners", "repositories", "example")
     keep = F.col("fits") & (F.col("base") | ~F.col("example"))
