@@ -134,6 +134,15 @@ def test_bpr_learns_in_blocks(spark, monkeypatch, group):
     assert np.mean([(r.item_id >= 20) == (r.user_id % 2 == 1) for r in top]) > 0.9
 
 
+def test_factors_come_back_under_their_version(spark, tmp_path):
+    users, items = (spark.createDataFrame([(i, [float(i + n), 1.0]) for i in range(3)], "id long, embedding array<double>") for n in (0, 10))
+    neural.save_factors(users, items, f"{tmp_path}/f")
+    assert [sorted((r.id, r.embedding) for r in df.collect()) for df in neural.load_factors(spark, f"{tmp_path}/f")] == [[(i, [float(i + n), 1.0]) for i in range(3)] for n in (0, 10)]
+    spark.read.parquet(f"{tmp_path}/f").withColumn("version", F.lit("0")).write.parquet(f"{tmp_path}/old")
+    with pytest.raises(ValueError, match="version"):
+        neural.load_factors(spark, f"{tmp_path}/old")
+
+
 @pytest.mark.parametrize("group", [200_000, 80])
 def test_two_towers_learn(spark, monkeypatch, group):
     monkeypatch.setattr(neural, "GROUP_PAIRS", group)

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators.vectors import inner_topk
@@ -158,6 +158,23 @@ def fit_bpr(pairs: DataFrame, dim: int = 32, epochs: int = 5, passes: int = 4, r
     return factors(state, USER).drop("x"), factors(state, ITEM).drop("x")
 
 
+FACTORS_VERSION = "1"
+
+
+def save_factors(users: DataFrame, items: DataFrame, path: str) -> None:
+    """The vectors (id, embedding) of both sides, under a version."""
+    for side, rows in (("user", users), ("item", items)):
+        rows.select(F.lit(FACTORS_VERSION).alias("version"), F.lit(side).alias("side"), "id", "embedding").write.mode("overwrite" if side == "user" else "append").parquet(path)
+
+
+def load_factors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Saved vectors of users and of items; another version is refused."""
+    rows = spark.read.parquet(path)
+    if found := {r.version for r in rows.select("version").distinct().collect()} - {FACTORS_VERSION}:
+        raise ValueError(f"factors of version {sorted(found)}, this reads {FACTORS_VERSION}")
+    return rows.where("side = 'user'").select("id", "embedding"), rows.where("side = 'item'").select("id", "embedding")
+
+
 def factor_topk(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(user_id, item_id, score, rank): each user's k best items; both sides (id, embedding).  Users without a vector get no rows."""
     found = inner_topk(users, items, k, digits=9, others=False)

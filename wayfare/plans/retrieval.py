@@ -388,8 +388,9 @@ def md7(spark, d):
 
 @query("md6_bpr_topk")
 def bpr(spark, d):
-    users, items = neural.fit_bpr(R.user_item(splits(spark, d)[1]))
-    return neural.factor_topk(users, items, 10)
+    path = scratch(spark, "factors")
+    neural.save_factors(*neural.fit_bpr(R.user_item(splits(spark, d)[1])), path)
+    return neural.factor_topk(*neural.load_factors(spark, path), 10)
 
 
 _USER_FEATURES = ("user_event_count", "user_purchase_count", "user_conversion_rate", "user_avg_interaction_price")
