@@ -40,8 +40,7 @@ def exact_quantiles(df: DataFrame, value: Column, shares: list[float], by: tuple
     ranged, totals = ranges(counts, keys, "_x", ["n"])
     asked = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_n_all") - 1) * F.lit(float(p))).alias("at")) for i, p in enumerate(shares)])
     asked = totals.select(*keys, "_p", "_n", "_n_before", F.explode(asked).alias("a")).select(*keys, "_p", "_n", "_n_before", "a.i", "a.at")
-    asked = asked.withColumn("rank", F.explode(F.array(F.floor("at"), F.ceil("at")))).where("rank >= _n_before AND rank < _n_before + _n").distinct()
-    asked = checkpointed(asked, "ranks")  # two rows for each share and key
+    asked = asked.withColumn("rank", F.explode(F.array(F.floor("at"), F.ceil("at")))).where("rank >= _n_before AND rank < _n_before + _n").distinct()  # two rows for each share and key
     held = ranged.join(F.broadcast(asked.select(*keys, "_p").distinct()), [*keys, "_p"], "left_semi")
     held = held.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "_p").orderBy("_x")))
     hit = held.join(F.broadcast(asked), [*keys, "_p"]).where("_n_before + upto > rank AND _n_before + upto - n <= rank")
