@@ -54,3 +54,13 @@ def test_small_and_odd_tables(spark):
     assert sorted((r.id, r.near) for r in neighbours.neighbour_graph(v, 1).collect()) in ([(1, 6), (4, 6), (6, 1)], [(1, 6), (4, 6), (6, 4)])
     assert neighbours.map_vectors(v, 2, 2).count() == 3
     assert neighbours.neighbour_graph(v.limit(0)).count() == 0
+
+
+def test_returned_scores_are_exact_though_rounds_carry_16_bits(spark):
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    packed = vectors.unit(v).repartition(1).sortWithinPartitions("id").mapInArrow(neighbours._packed, "u long, packed binary").toArrow()
+    assert np.abs(neighbours._unpacked(packed.column("packed")) - unit[packed.column("u").to_numpy()]).max() < 2e-5
+    got = neighbours.neighbour_graph(v, 5, 100).collect()
+    assert len(got) == 1500 and max(abs(r.score - float(unit[r.id] @ unit[r.near])) for r in got) < 1e-12

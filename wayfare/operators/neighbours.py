@@ -1,8 +1,9 @@
 """Nearest-neighbour graphs by NN-descent, and maps that keep neighbourhoods.
 
 A graph starts from exact neighbours within hashed blocks.  In each round the neighbours of a node, its own and those
-it is one of, are introduced to each other; pairs that beat what a node has replace it.  The map moves nodes along weighted edges
-and away from drawn others, block against block, so a task holds two blocks of positions whatever the table's size.
+it is one of, are introduced to each other; pairs that beat what a node has replace it.  Introductions carry vectors as 16-bit
+numbers, so scores within the rounds are off by some 1e-5; those that are returned are exact.  The map moves nodes along weighted
+edges and away from drawn others, block against block, so a task holds two blocks of positions whatever the table's size.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.functions.expr import dot
 from wayfare.operators.graph import nearest
 from wayfare.operators.projection import fit_projection, project
 from wayfare.operators.vectors import _matrix, unit
@@ -22,13 +24,14 @@ from wayfare.sources.tables import checkpointed
 
 #: Neighbours kept at the end, and how many times as many until then; rows of a starting block, and ways of dealing them; links of each kind that a node introduces in a round; partners that a member gets from an introduction; rounds at most, and the share of changed links that ends them.
 NEAR, WIDE, START_ROWS, STARTS, SAMPLE, PARTNERS, ROUNDS, SETTLED = 15, 2, 1000, 2, 30, 10, 6, 0.01
-#: Rows of introductions that a task takes together.
-CHUNK = 8192
+#: Rows of introductions that a task takes together; bytes of a task's share of a round, which is sorted in memory.
+CHUNK, PART_BYTES = 8192, 16_000_000
 #: Nodes of a block of the map; epochs, passes over a round's edges, negatives for each edge, the first step's size.
 BLOCK_NODES, EPOCHS, PASSES, NEGATIVES, STEP = 20_000, 5, 40, 5, 1.0
 # The curve 1 / (1 + A d^2B) of edges in the map, which fits a least distance of 0.1.
 A, B = 1.577, 0.895
 GRAPH = "id long, near long, score double"
+SCALE = 32767
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -36,6 +39,25 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
+def _parts(rows: int, size: int) -> int:
+    return max(1, -(-rows * size // PART_BYTES))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, packed): each vector as its largest size, of 32 bits, and 16-bit shares of it."""
+    for batch in batches:
+        x = _matrix(batch.column(1))
+        if len(x):
+            most = np.abs(x).max(1, keepdims=True).astype("<f4")
+            codes = np.rint(x / most * SCALE).clip(-SCALE, SCALE).astype("<i2")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() + c.tobytes() for m, c in zip(most, codes, strict=True)], pa.binary())], ["u", "packed"])
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.ascontiguousarray(raw[:, 4:]).view("<i2").astype(np.float32) * (np.ascontiguousarray(raw[:, :4]).view("<f4") / np.float32(SCALE))
+
+
 def _start(rows: DataFrame, k: int, start_rows: int, total: int) -> DataFrame:
     """Exact neighbours within hashed blocks, of STARTS ways of hashing, so that blocks of one way are linked by another."""
     n = max(1, -(-total // start_rows))
@@ -49,7 +71,8 @@ def _start(rows: DataFrame, k: int, start_rows: int, total: int) -> DataFrame:
 
     ways = F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1 if n > 1 else 0)))
     dealt = rows.withColumn("way", ways).withColumn("g", F.pmod(F.xxhash64("id", "way", F.lit(11)), F.lit(n)))
-    return _top(dealt.groupBy("way", "g").applyInArrow(run, GRAPH).distinct(), k)
+    found = dealt.groupBy("way", "g").applyInArrow(run, GRAPH).repartition(_parts(total * STARTS * k, 32), "id")
+    return _top(found.groupBy("id", "near").agg(F.max("score").alias("score")), k)
 
 
 def _sampled(links: DataFrame, turn: int, sample: int) -> DataFrame:
@@ -61,18 +84,18 @@ def _sampled(links: DataFrame, turn: int, sample: int) -> DataFrame:
 
 
 def _introductions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, near, score) of members of one v that beat id's worst neighbour; rows (v, u, worst, embedding) come sorted by v."""
+    """(id, near, score) of members of one v that beat id's worst neighbour; rows (v, u, worst, packed) come sorted by v."""
     held: list[pa.RecordBatch] = []
 
     def meet(rows: pa.Table) -> pa.RecordBatch:
         v, u, worst = (rows.column(c).to_numpy() for c in ("v", "u", "worst"))
-        x = _matrix(rows.column("embedding"))
+        x = _unpacked(rows.column("packed"))
         starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         sizes = np.diff(np.append(starts, len(v)))
         out = []
         for m in np.unique(sizes[sizes > 1]):  # groups of one size together
             at = starts[sizes == m][:, None] + np.arange(m)
-            s = np.einsum("gid,gjd->gij", x[at], x[at])
+            s = np.matmul(x[at], x[at].transpose(0, 2, 1)).astype(float)
             s[u[at][:, :, None] == u[at][:, None, :]] = -np.inf
             top = np.argsort(-s, axis=2, kind="stable")[:, :, :PARTNERS]
             best = np.take_along_axis(s, top, 2)
@@ -105,20 +128,34 @@ def neighbour_graph(vectors: DataFrame, k: int = NEAR, start_rows: int = START_R
     total = rows.count()
     few, k = k, WIDE * k if total > start_rows else k
     graph = checkpointed(_start(rows, k, start_rows, total), "neighbours")
-    for turn in range(rounds if total > start_rows else 0):
-        worst = graph.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("worst"))
+    if total <= start_rows:
+        return graph
+    packed = checkpointed(rows.mapInArrow(_packed, "u long, packed binary"), "packed-vectors")
+    size = 48 + (packed.agg(F.max(F.length("packed"))).first()[0] or 0)
+    for turn in range(rounds):
+        worst = graph.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("worst")).withColumnRenamed("id", "u")
         own = graph.select(F.col("id").alias("v"), F.col("near").alias("u"))
-        links = _sampled(own, turn, SAMPLE).unionByName(_sampled(own.select(F.col("u").alias("v"), F.col("v").alias("u")), turn, SAMPLE)).distinct()
-        members = links.join(worst.withColumnRenamed("id", "u"), "u").join(rows.withColumnRenamed("id", "u"), "u").select("v", "u", "worst", "embedding")
-        met = members.repartition("v").sortWithinPartitions("v", "u").mapInArrow(_introductions, GRAPH)
+        links = own if k <= SAMPLE else _sampled(own, turn, SAMPLE)
+        links = links.unionByName(_sampled(own.select(F.col("u").alias("v"), F.col("v").alias("u")), turn, SAMPLE)).repartition("u").distinct()
+        members = links.join(worst, "u").join(packed, "u").select("v", "u", "worst", "packed")
+        met = members.repartition(_parts(2 * SAMPLE * total, size), "v").sortWithinPartitions("v", "u").mapInArrow(_introductions, GRAPH)
         both = graph.withColumn("new", F.lit(0)).unionByName(met.withColumn("new", F.lit(1)))
+        both = both.repartition(_parts(2 * SAMPLE * PARTNERS * total, 32), "id")  # once, for the pairs and for their order
         both = both.groupBy("id", "near").agg(F.max("score").alias("score"), F.min("new").alias("new"))
         better = checkpointed(_top(both, k), "neighbours")
         changed = better.agg(F.sum("new")).first()[0] or 0
         graph = better.drop("new")
         if changed <= SETTLED * k * total:
             break
-    return _top(graph, few)
+    return _exact(checkpointed(_top(graph, few).select("id", "near"), "neighbours"), rows, total * few)
+
+
+def _exact(pairs: DataFrame, rows: DataFrame, number: int) -> DataFrame:
+    """(id, near, score) of about so many pairs (id, near), by the vectors themselves."""
+    there = pairs.join(rows.select(F.col("id").alias("near"), F.col("embedding").alias("b")), "near")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    both = there.repartition(_parts(number, 48 + 8 * width), "id").join(rows, "id")
+    return both.select("id", "near", dot(F.col("embedding"), F.col("b")).alias("score"))
 
 
 def fuzzy_edges(graph: DataFrame) -> DataFrame:
