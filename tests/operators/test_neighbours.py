@@ -64,3 +64,13 @@ def test_returned_scores_are_exact_though_rounds_carry_16_bits(spark):
     assert np.abs(neighbours._unpacked(packed.column("packed")) - unit[packed.column("u").to_numpy()]).max() < 2e-5
     got = neighbours.neighbour_graph(v, 5, 100).collect()
     assert len(got) == 1500 and max(abs(r.score - float(unit[r.id] @ unit[r.near])) for r in got) < 1e-12
+
+
+def test_epochs_of_the_map_do_not_grow_with_blocks(spark, monkeypatch):
+    edges = [(a, b, 0.5) for a in range(40) for b in (a - 1, a + 1) if 0 <= b < 40]
+    start = [(i, [float(i % 7), float(i % 5)]) for i in range(41)]  # the last node has no edge
+    moves, move = [], neighbours._move
+    monkeypatch.setattr(neighbours, "_move", lambda *how: moves.append(how) or move(*how))
+    places = neighbours.neighbour_map(spark.createDataFrame(edges, "id long, near long, weight double"), spark.createDataFrame(start, "id long, p array<double>"), epochs=2, passes=3, block_nodes=5)
+    got = {r.id: r.p for r in places.collect()}
+    assert len(moves) == 2 and set(got) == set(range(41)) and got[40] == [5.0, 0.0]

@@ -3,7 +3,7 @@
 A graph starts from exact neighbours within hashed blocks.  In each round the neighbours of a node, its own and those
 it is one of, are introduced to each other; pairs that beat what a node has replace it.  Introductions carry vectors as 16-bit
 numbers, so scores within the rounds are off by some 1e-5; those that are returned are exact.  The map moves nodes along weighted
-edges and away from drawn others, block against block, so a task holds two blocks of positions whatever the table's size.
+edges and away from drawn others; a task holds a block of them and the other ends of its edges, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -192,7 +192,7 @@ def fuzzy_edges(graph: DataFrame) -> DataFrame:
 
 
 def _move(step: float, passes: int, negatives: int, most: float, seed: int):
-    """One task's share of a round: new positions of the heads; kinds 0, 1, 2 are heads, tails and edges."""
+    """One block's share of an epoch: new positions of the heads; kinds 0, 1, 2 are heads, tails and edges."""
 
     def run(got: pa.Table) -> pa.Table:
         kind = got.column("kind").to_numpy()
@@ -229,21 +229,23 @@ def _move(step: float, passes: int, negatives: int, most: float, seed: int):
 def neighbour_map(edges: DataFrame, start: DataFrame, epochs: int = EPOCHS, passes: int = PASSES, negatives: int = NEGATIVES, step: float = STEP, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(id, p): positions in which neighbours lie together; edges: (id, near, weight) both ways, start: (id, p).
 
-    Nodes are hashed into blocks; in each round the heads of one block meet the tails of another with the edges between
-    them, and only heads move, so rounds need no locks.  Negatives are drawn from the tails' block.
+    Nodes are hashed into blocks; in each epoch the heads of a block meet all their edges and those edges' other ends
+    in one task, and only heads move, so epochs need no locks, and their number does not grow with the blocks'.
+    Negatives are drawn from the other ends of the block.
     """
     n = max(1, -(-start.count() // block_nodes))
-    block = lambda c: F.pmod(F.xxhash64(c, F.lit(13)), F.lit(n)).cast("int")
-    links = checkpointed(edges.select("id", "near", "weight", block("id").alias("from"), block("near").alias("to")), "map-edges")
+    block = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(n)).cast("int").alias("g")
+    links = checkpointed(edges.select(block, "id", "near", "weight"), "map-edges")
+    ends = checkpointed(links.select("g", F.col("near").alias("id")).distinct(), "map-ends")
     most = links.agg(F.max("weight")).first()[0] or 1.0
     places = checkpointed(start.select("id", "p"), "map")
-    none = F.array().cast("array<double>")
-    for turn in range(epochs * n):
-        shift, size = turn % n, step * (1 - (turn // n) / epochs)
-        heads = places.select(block("id").alias("g"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("near"), F.lit(0.0).alias("weight"), "p")
-        tails = places.select(F.pmod(block("id") - F.lit(shift), F.lit(n)).alias("g"), F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("near"), F.lit(0.0).alias("weight"), "p")
-        between = links.where(F.col("to") == F.pmod(F.col("from") + F.lit(shift), F.lit(n))).select(F.col("from").alias("g"), F.lit(2).alias("kind"), "id", "near", "weight", none.alias("p"))
-        places = checkpointed(heads.unionByName(tails).unionByName(between).groupBy("g").applyInArrow(_move(size, passes, negatives, most, turn), "id long, p array<double>"), "map")
+    row = lambda kind, near=F.lit(0).cast("long"), weight=F.lit(0.0), p=F.col("p"): (F.lit(kind).alias("kind"), "id", near.alias("near"), weight.alias("weight"), p.alias("p"))
+    for turn in range(epochs):
+        heads = places.select(block, *row(0))
+        tails = ends.join(places, "id").select("g", *row(1))
+        between = links.select("g", *row(2, F.col("near"), F.col("weight"), F.array().cast("array<double>")))
+        move = _move(step * (1 - turn / epochs), passes, negatives, most, turn)
+        places = checkpointed(heads.unionByName(tails).unionByName(between).groupBy("g").applyInArrow(move, "id long, p array<double>"), "map")
     return places
 
 
