@@ -104,3 +104,45 @@ def test_streams_keep_batch_numbers(spark, name):
     from wayfare.plans.registry import QUERIES
 
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_a_batch_exchanges_its_state_as_a_whole():
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            self.calls += 1
+            return self.rows
+
+        def put(self, rows):
+            self.rows, self.calls = list(rows), self.calls + 1
+
+        def appendList(self, rows):
+            self.rows, self.calls = self.rows + list(rows), self.calls + 1
+
+        def update(self, row):
+            self.rows, self.calls = row, self.calls + 1
+
+    class Handle:
+        states = {}
+
+        def getListState(self, name, schema):
+            return self.states.setdefault(name, State())
+
+        getValueState = getListState
+
+    for side, own, count in ((live.UserSide(), "item_id", "user_distinct_items"), (live.ItemSide(), "user_id", "item_distinct_users")):
+        handle = Handle()
+        handle.states = {}
+        side.init(handle)
+        for batch in range(2):
+            e = pd.DataFrame({"event_id": range(50), "user_id": 1, "item_id": 1, "t": range(batch * 50 + 1, batch * 50 + 51), "converts": 0, "price": 1.0, "vertical": 2.0, "merchant_id": 3.0})
+            e[own] = range(50)
+            out = next(side.handleInputRows((1,), iter([e]), None))
+        assert list(out[count]) == [50] * 50 and sum(s.calls for s in handle.states.values()) <= 6

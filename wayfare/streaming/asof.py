@@ -43,27 +43,6 @@ def added(record: tuple | None, t: int, change: tuple) -> tuple:
     return at, plus(before) if t < at else tuple(before), plus(upto)
 
 
-class Cached:
-    """A batch's part of a map state: entries are read once, and written back once."""
-
-    def __init__(self, state):
-        self.state, self.own, self.new = state, {}, set()
-
-    def get(self, key):
-        if key not in self.own:
-            self.own[key] = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
-        return self.own[key]
-
-    def put(self, key, record):
-        self.own[key] = record
-        self.new.add(key)
-
-    def flush(self):
-        for key in self.new:
-            t, before, upto = self.own[key]
-            self.state.updateValue((key,), (t, list(before), list(upto)))
-
-
 def _days(t: int, seen: tuple, place: int) -> float | None:
     return (t - seen[place]) / DAY if seen[0] else None
 
@@ -80,34 +59,40 @@ class AsOf(StatefulProcessor):
     """One side of the features; `partner` is the column that pairs are made with."""
 
     partner = "item_id"
-    maps: tuple[str, ...] = ("pair",)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", RECORD)
-        self.states = {m: handle.getMapState(m, "key BIGINT", RECORD) for m in self.maps}
+        raise NotImplementedError
+
+    def load(self) -> tuple[tuple | None, dict]:
+        """The key's sums, and what else the side knows of it."""
+        raise NotImplementedError
+
+    def save(self, totals: tuple, maps: dict) -> None:
+        raise NotImplementedError
 
     def features(self, seen: tuple, t: int, row, maps: dict) -> tuple:
         raise NotImplementedError
 
+    def met(self, partner: int | None, maps: dict) -> bool:
+        raise NotImplementedError
+
     def changes(self, row, maps: dict, t: int, change: tuple) -> None:
-        """Record the event under what it pairs with besides the partner."""
+        """Record the event under what it pairs with."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["t", "event_id"], kind="stable")  # one key's rows of one batch
-        totals = self.totals.get() if self.totals.exists() else None
-        maps = {m: Cached(s) for m, s in self.states.items()}
+        totals, maps = self.load()  # one exchange with the store, and one to write: not some for each pair
         out, waiting, now = [], [], None
 
         def apply():
             nonlocal totals
             for row in waiting:
                 price = row.price if row.price == row.price and row.price > 0 else None
-                pair, partner = maps["pair"], _whole(getattr(row, self.partner))
-                old = pair.get(partner)
+                new = not self.met(_whole(getattr(row, self.partner)), maps)
                 # A pair counts as a partner from its earliest event on.
-                change = (1.0, float(row.converts), float(old is None), float(price is not None), price or 0.0, float(row.converts and price is not None), (price or 0.0) * row.converts)
+                change = (1.0, float(row.converts), float(new), float(price is not None), price or 0.0, float(row.converts and price is not None), (price or 0.0) * row.converts)
                 totals = added(totals, row.t, change)
-                pair.put(partner, added(old, row.t, change))
                 self.changes(row, maps, row.t, change)
             waiting.clear()
 
@@ -118,9 +103,7 @@ class AsOf(StatefulProcessor):
             out.append((row.event_id, *self.features(known(totals, row.t), row.t, row, maps)))
             waiting.append(row)
         apply()
-        self.totals.update((totals[0], list(totals[1]), list(totals[2])))
-        for m in maps.values():
-            m.flush()
+        self.save(totals, maps)
         yield pd.DataFrame(out, columns=["event_id", *self.names]).astype({c: "Int64" for c in self.longs})
 
     def close(self) -> None:
@@ -132,24 +115,47 @@ def _fields(ddl: str) -> list[list[str]]:
 
 
 class UserSide(AsOf):
-    maps = ("pair", "vertical", "merchant_id")
+    """A user's records are one list: themselves (map -1), and those with each item, vertical and merchant."""
+
+    maps = ("item_id", "vertical", "merchant_id")
     names, longs = [n for n, _ in _fields(USER_FEATURES)], [n for n, t in _fields(USER_FEATURES) if t == "long"]
 
     def features(self, seen, t, row, maps):
         n, conv, partners, priced, price, bought, paid = seen[:SUMS]
-        pair = known(maps["pair"].get(_whole(row.item_id)), t)
+        pair = known(maps["item_id"].get(_whole(row.item_id)), t)
         share = lambda m: _over(known(maps[m].get(k), t)[0], n) if (k := _whole(getattr(row, m))) is not None else None
         average = _over(price, priced)
         own = row.price if row.price == row.price else 0.0
         return (int(n), int(conv), _over(conv, n), int(partners), _days(t, seen, -1), _days(t, seen, -2), average, _over(paid, bought), int(pair[0]), int(pair[1]), _days(t, pair, -1), share("vertical"), share("merchant_id"), own / average if average else None)
 
+    def init(self, handle):
+        self.records = handle.getListState("records", f"map INT, key BIGINT, {RECORD}")
+
+    def load(self):
+        totals, maps = None, {m: {} for m in self.maps}
+        for m, key, *record in self.records.get() if self.records.exists() else ():
+            if m < 0:
+                totals = tuple(record)
+            else:
+                maps[self.maps[m]][_whole(key)] = tuple(record)
+        return totals, maps
+
+    def save(self, totals, maps):
+        rows = [(-1, None, totals), *((i, key, record) for i, m in enumerate(self.maps) for key, record in maps[m].items())]
+        self.records.put([(i, key, t, list(before), list(upto)) for i, key, (t, before, upto) in rows])
+
+    def met(self, partner, maps):
+        return partner in maps["item_id"]
+
     def changes(self, row, maps, t, change):
-        for m in ("vertical", "merchant_id"):
-            if (k := _whole(getattr(row, m))) is not None:
-                maps[m].put(k, added(maps[m].get(k), t, change))
+        for m in self.maps:
+            if (k := _whole(getattr(row, m))) is not None or m == self.partner:
+                maps[m][k] = added(maps[m].get(k), t, change)
 
 
 class ItemSide(AsOf):
+    """An item's users are a list that is only added to."""
+
     partner = "user_id"
     names, longs = [n for n, _ in _fields(ITEM_FEATURES)], [n for n, t in _fields(ITEM_FEATURES) if t == "long"]
 
@@ -157,6 +163,27 @@ class ItemSide(AsOf):
         n, conv, partners = seen[:3]
         return int(n), int(conv), _over(conv, n), int(partners), _days(t, seen, -1), _days(t, seen, -2)
 
+    def init(self, handle):
+        self.totals = handle.getValueState("totals", RECORD)
+        self.users = handle.getListState("users", "key BIGINT")
+
+    def load(self):
+        users = {_whole(key) for (key,) in self.users.get()} if self.users.exists() else set()
+        return self.totals.get() if self.totals.exists() else None, {"users": users, "new": []}
+
+    def save(self, totals, maps):
+        self.totals.update((totals[0], list(totals[1]), list(totals[2])))
+        if maps["new"]:
+            self.users.appendList([(key,) for key in maps["new"]])
+
+    def met(self, partner, maps):
+        return partner in maps["users"]
+
+    def changes(self, row, maps, t, change):
+        if (key := _whole(row.user_id)) not in maps["users"]:
+            maps["users"].add(key)
+            maps["new"].append(key)
+
 
 def _prepared(events: DataFrame) -> DataFrame:
     return events.select("event_id", "user_id", "item_id", F.unix_micros("ts").alias("t"), converts().cast("int").alias("converts"), F.col("price_at_event").cast("double").alias("price"), F.col("vertical").cast("double").alias("vertical"), F.col("merchant_id").cast("double").alias("merchant_id"))
