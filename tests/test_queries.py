@@ -127,3 +127,11 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["item_id", "score"] and e.entry(spark).count() == 20
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_cf_lists_are_made_once(spark):
+    from wayfare.plans.quality import recommendations
+
+    lists = recommendations(spark, SF)[3]
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and lists.groupBy("user_id").count().where("count > 20").isEmpty()

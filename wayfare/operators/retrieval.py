@@ -45,7 +45,8 @@ def item_similarity(matrix: DataFrame, neighbours: int = NEIGHBOURS, least: floa
 
 def cf_scores(matrix: DataFrame, similarity: DataFrame) -> DataFrame:
     """(user_id, item_id, score): history weights times similarities; users without history get no rows."""
-    hit = matrix.join(similarity.select(F.col("item_i").alias("item_id"), "item_j", "sim"), "item_id")
+    rows = matrix.repartition("user_id")  # a task has a user's whole history, so it sends each of the user's items once
+    hit = rows.join(similarity.select(F.col("item_i").alias("item_id"), "item_j", "sim"), "item_id")
     return hit.groupBy("user_id", F.col("item_j").alias("item_id")).agg(F.sum(F.col("w") * F.col("sim")).alias("score"))
 
 

@@ -38,9 +38,10 @@ _ROUNDED = ", ".join(f"round({c} + 1e-9::double, 6) AS {c}" for c in _NAMES)
 
 
 def recommendations(spark, d):
-    """(train, test, popularity lists, CF lists) of unseen items."""
+    """(train, test, popularity lists, CF lists) of unseen items; the CF lists are written, 20 rows a user."""
     _, train, test = splits(spark, d)
-    return train, test, R.global_unseen(pop_scores(train), train, 20), R.top_k(R.without_seen(cf(train), train), 20)
+    found = checkpointed(R.top_k(R.without_seen(cf(train), train), 20), "lists")  # read several times, so made once
+    return train, test, R.global_unseen(pop_scores(train), train, 20), found
 
 
 def _nudge(df):
@@ -126,9 +127,9 @@ SELECT check_name, CASE WHEN check_name = 'latency' THEN 'inconclusive' WHEN che
 def gate(spark, d):
     """Item-to-item lists as candidate against popularity as incumbent.  No latency is measured here, so the gate can't promote."""
     train, test, p, c = recommendations(spark, d)
-    t, catalogue = evaluate.novel_truth(test, train), behaviour(spark, d).select("item_id").distinct()
+    t, catalogue = checkpointed(evaluate.novel_truth(test, train), "truth"), behaviour(spark, d).select("item_id").distinct()
     sides = None
-    for name, lists in (("candidate", c), ("incumbent", p)):
+    for name, lists in (("candidate", c), ("incumbent", checkpointed(p, "lists"))):
         ndcg = evaluate.user_metrics(lists, t).agg(F.avg("ndcg_10").alias("ndcg"))
         shape = evaluate.beyond_accuracy(lists, catalogue, catalogue.withColumn("category_id", F.lit(0)), train.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
         one = ndcg.join(shape.select("coverage", "gini")).select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name)) for m in ("ndcg", "coverage", "gini")])))
