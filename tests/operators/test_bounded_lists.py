@@ -38,3 +38,22 @@ def test_cold_start_equals_all_sessions_times_all_items(spark, whole):
         score = {i: round(0.7 * ((a[i] - l) / (h - l) if h > l else 0.0) + 0.3 * (pop[i] - low) / (high - low), 9) for i in pop if i not in own}
         want = sorted(score, key=lambda i: (-score[i], i))[:6]
         assert [x[1] for x in sorted(got[s])] == want and all(abs(x[2] - score[x[1]]) < 1e-8 for x in got[s])
+
+
+def test_blocks_are_put_together(spark):
+    import numpy as np
+
+    from wayfare.operators import vectors
+
+    x = np.random.default_rng(5).integers(-3, 4, (300, 4)).astype(float)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>").repartition(12)
+    found = vectors.checkpointed(vectors.blocks(v), "many")
+    one = vectors.full(found).collect()
+    assert found.count() > 1 and len(one) == 1 and one[0].n == 300
+    ids, rows = np.frombuffer(one[0].ids, np.int64), np.frombuffer(one[0].matrix).reshape(300, 4)
+    assert sorted(ids) == list(range(300)) and (rows == x[ids]).all()
+    assert vectors.full(found.limit(0)).count() == 0
+    got = [(r.query, r.id) for r in vectors.inner_topk(v.where("id < 40"), v, 3, None).orderBy("query", "rank").collect()]
+    s = x[:40] @ x.T
+    s[np.arange(40), np.arange(40)] = -np.inf
+    assert got == [(q, int(i)) for q in range(40) for i in sorted(range(300), key=lambda i: (-s[q, i], i))[:3]]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.operators.vectors import BLOCK_BYTES, ROUND, _best, _matrix, _ranked, blocks, load_index, search_index, unit
+from wayfare.operators.vectors import BLOCK_BYTES, ROUND, _best, _matrix, _ranked, blocks, full, load_index, search_index, unit
 from wayfare.sources.tables import checkpointed
 
 #: Rows of a shard, on average; neighbours looked at and links kept from each node; the share of a layer that is in the next, as 1 / THIN.
@@ -183,12 +183,12 @@ def search_graph(graph: DataFrame, queries: DataFrame, k: int, others: bool = Tr
     Queries come to the shards in rounds of ROUND blocks of BLOCK_BYTES, and each shard's best are merged.  With
     `others` a row is no answer to itself.
     """
-    asked = checkpointed(blocks(unit(queries)), "query-blocks")
+    asked = checkpointed(full(checkpointed(blocks(unit(queries)), "query-blocks")), "query-blocks")
     names = [r.block for r in asked.select("block").orderBy("block").collect()]  # one for each BLOCK_BYTES
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # copies one shard at a time
                 ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["matrix"]).reshape(r["n"], r["width"])
                 layers = [(np.frombuffer(a["nodes"], np.int32), np.frombuffer(a["links"], np.int32).reshape(-1, a["degree"])) for a in r["layers"]]
                 q_ids, qs = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_matrix"]).reshape(r["q_n"], -1)

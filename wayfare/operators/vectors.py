@@ -17,6 +17,8 @@ from wayfare.sources.tables import checkpointed
 BLOCK_BYTES, ROUND = 8_000_000, 8
 #: The index is fitted on at most so many rows, and has at most so many lists of about LIST_ROWS rows; larger ones are dealt over shards.
 FIT_ROWS, MOST_LISTS, LIST_ROWS, SHARD_ROWS = 50_000, 4096, 64, 20_000
+#: Rows that a task of the fit takes, on average.
+PART_ROWS = 1000
 #: How many lists a query probes is set when an index is built: as many as give so much recall of PROBE_K to PROBE_QUERIES rows.
 RECALL, PROBE_K, PROBE_QUERIES = 0.95, 10, 256
 INDEX_VERSION = "1"
@@ -60,6 +62,30 @@ def blocks(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "embedding").mapInArrow(run, "block long, n int, ids binary, matrix binary")
 
 
+def full(found: DataFrame) -> DataFrame:
+    """blocks() put together to about BLOCK_BYTES: each part of a table leaves a block of its own, however small, and rounds count blocks."""
+    total = found.agg(F.sum(F.length("matrix"))).first()[0] or 0
+
+    def run(batches):
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            columns = [[(part << 24) + number], [sum(r["n"] for r in held)], [b"".join(r["ids"] for r in held)], [b"".join(r["matrix"] for r in held)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "n", "ids", "matrix"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held += batch.slice(i, 1).to_pylist()
+                size += len(held[-1]["matrix"])
+                if size >= BLOCK_BYTES:
+                    yield flush()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield flush()
+
+    return found.repartition(max(1, -(-total // BLOCK_BYTES)), "block").mapInArrow(run, "block long, n int, ids binary, matrix binary")
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's k best, ties to smaller ids."""
     n = min(k, scores.shape[1])
@@ -91,10 +117,13 @@ def inner_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int | Non
     names = {side: [r.block for r in df.select("block").orderBy("block").collect()] for side, df in (("q", q), ("v", v))}  # one for each BLOCK_BYTES
     few = "q" if len(names["q"]) <= len(names["v"]) else "v"
     sent, stay = (q, v) if few == "q" else (v, q)
+    if len(names[few]) > 1:
+        sent = checkpointed(full(sent), "sent-blocks")
+        names[few] = [r.block for r in sent.select("block").orderBy("block").collect()]
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # copies one cell at a time
                 side = {p: (np.frombuffer(r[f"{p}ids"], np.int64), np.frombuffer(r[f"{p}matrix"]).reshape(r[f"{p}n"], -1)) for p in ("", "s_")}
                 (q_ids, qs), (ids, x) = (side["s_"], side[""]) if few == "q" else (side[""], side["s_"])
                 for i in range(0, len(q_ids), 1024):
@@ -152,7 +181,9 @@ def build_index(vectors: DataFrame, path: str, lists: int | None = None, recall:
     rows = checkpointed(unit(vectors), "unit-vectors")
     n = rows.count()
     lists = lists or int(min(MOST_LISTS, max(1, n // LIST_ROWS)))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select(array_to_vector("embedding").alias("features"))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+    # A limit leaves one part, in which one task would compare all these rows with all centres.
+    sample = checkpointed(sample.repartition(max(1, min(n, FIT_ROWS) // PART_ROWS), "id"), "fit-vectors").select(array_to_vector("embedding").alias("features"))
     centres = np.array(KMeans(k=lists, seed=seed, maxIter=20).fit(sample).clusterCenters()) if n else np.zeros((0, 0))
     kind = "version string, list int, id long, embedding array<double>"
 
