@@ -220,6 +220,16 @@ def test_index_recall_and_version(spark, monkeypatch, tmp_path):
         vectors.load_index(spark, str(tmp_path / "old"))
 
 
+def test_lists_are_fitted_without_comparing_all_centres(spark, monkeypatch, tmp_path):
+    from pyspark.ml.clustering import KMeans
+
+    made, real = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: made.append(self.getSolver()) or real(self, rows))
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(clustered())], "id long, embedding array<double>")
+    vectors.build_index(df, str(tmp_path / "index"))
+    assert made == ["block"]
+
+
 def test_recall_on_the_embeddings(spark, tmp_path):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     row = vectors.benchmark(df, df.where("id % 100 = 0"), str(tmp_path / "index")).first()

@@ -184,13 +184,15 @@ def build_index(vectors: DataFrame, path: str, lists: int | None = None, recall:
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
     # A limit leaves one part, in which one task would compare all these rows with all centres.
     sample = checkpointed(sample.repartition(max(1, min(n, FIT_ROWS) // PART_ROWS), "id"), "fit-vectors").select(array_to_vector("embedding").alias("features"))
-    centres = np.array(KMeans(k=lists, seed=seed, maxIter=20).fit(sample).clusterCenters()) if n else np.zeros((0, 0))
-    kind = "version string, list int, id long, embedding array<double>"
+    # In blocks: the row solver compares all centres with each other in every iteration, which grows with the square of the lists.
+    centres = np.array(KMeans(k=lists, seed=seed, maxIter=20, solver="block").fit(sample).clusterCenters()) if n else np.zeros((0, 0))
+    kind, half = "version string, list int, id long, embedding array<double>", (centres**2).sum(1) / 2
 
     def place(batches):
         for batch in batches:
             x = _matrix(batch.column("embedding"))
-            near = (x @ centres.T - (centres**2).sum(1) / 2).argmax(1) if len(x) else np.zeros(0, int)
+            parts = [(x[i : i + 1024] @ centres.T - half).argmax(1) for i in range(0, len(x), 1024)]
+            near = np.concatenate(parts) if parts else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([pa.array([INDEX_VERSION] * len(x)), pa.array(near.astype(np.int32)), batch.column("id").cast(pa.int64()), batch.column("embedding")], ["version", "list", "id", "embedding"])
 
     placed = checkpointed(rows.mapInArrow(place, kind), "placed-vectors")
