@@ -31,6 +31,32 @@ def test_k_core(spark):
         ingest.k_core(events(spark, ring), 4, 4)
 
 
+def test_core_rounds_move_each_edge_once(spark, monkeypatch):
+    rng, moved, real = np.random.default_rng(3), [], ingest.counted
+
+    def counted(df, name="cut"):
+        out = real(df, name)
+        moved.append((name, out[1]))
+        return out
+
+    monkeypatch.setattr(ingest, "counted", counted)
+    pairs = [(int(u), int(m)) for u, m in zip(rng.integers(0, 12, 90), rng.integers(0, 12, 90), strict=True)]
+    pairs += [(100 + i, 100 + i) for i in range(6)] + [(100 + i, 101 + i) for i in range(6)]  # a chain, which falls from its ends
+    rows = [(i, 0, u, m, 3) for i, (u, m) in enumerate(pairs)] + [(1000 + i, 0, 0, None, 3) for i in range(3)]
+    want = [r for r in rows if r[3] is not None]
+    while (kept := [r for r in want if sum(x[2] == r[2] for x in want) >= 2 and sum(x[3] == r[3] for x in want) >= 2]) != want:
+        want = kept
+    for most in (ingest.SENT_NODES, 0):
+        monkeypatch.setattr(ingest, "SENT_NODES", most)
+        moved.clear()
+        assert sorted(r.event_id for r in ingest.k_core(events(spark, rows), 2, 2).collect()) == [r[0] for r in want]
+        assert len([n for name, n in moved if name == "kcore-lost"]) > 3
+        edges = len(set(pairs))
+        assert sum(n for name, n in moved if name in ("kcore", "kcore-lost")) < 2 * edges
+        got, _ = ingest.core_edges(events(spark, rows), 2, 2)
+        assert got.agg(F.sum("n")).first()[0] == len(want)
+
+
 def test_roots_with_cycle_and_missing_parent(spark):
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5), (7, 5), (8, 8)], "category_id int, parent_id int")
     roots = {r.category_id: r.root for r in ingest.category_roots(tree).collect()}

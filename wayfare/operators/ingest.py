@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.distributed import row_numbers
 from wayfare.functions.expr import DAY
-from wayfare.sources.tables import counted
+from wayfare.sources.tables import checkpointed, counted
+
+#: So many nodes that leave a core are broadcast at most.
+SENT_NODES = 2_000_000
 
 
 def dedup_seconds(events: DataFrame, tie: str = "event_id") -> DataFrame:
@@ -16,25 +19,66 @@ def dedup_seconds(events: DataFrame, tie: str = "event_id") -> DataFrame:
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def k_core(events: DataFrame, min_user: int, min_item: int, rounds: int = 30) -> DataFrame:
-    """Rows of users with min_user and items with min_item rows, both counted on the same rows, until nothing changes.
+def core_edges(events: DataFrame, min_user: int, min_item: int, rounds: int = 30) -> tuple[DataFrame, dict[str, tuple[DataFrame, int]]]:
+    """((user_id, item_id, n) of the core, {column: (nodes outside it, how many)}); n counts an edge's rows.
 
-    Rows are first reduced to weighted edges, so the rounds move one row per (user, item); each round is written to
-    the shared folder.  An empty core, or one that takes more rounds, raises.
+    Edges are written once, and nodes' counts are taken from them once.  A round takes out the nodes that have fallen
+    below their least count and subtracts only the edges that leave with them, so the rounds together move each edge
+    once.  Nodes that leave are broadcast; beyond SENT_NODES of them the edges that are left are written anew.
+    An empty core, or one that takes more rounds, raises.
     """
-    edges, size = counted(events.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")), "kcore")
+    least = {"user_id": min_user, "item_id": min_item}
+    known = events.where("user_id IS NOT NULL AND item_id IS NOT NULL")
+    edges, size = counted(known.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")), "kcore")
+    counts = {c: checkpointed(edges.groupBy(c).agg(F.sum("n").alias("c")), "kcore-counts") for c in least}
+    out = {c: (counts[c].select(c).limit(0), 0) for c in least}
+    waiting = dict.fromkeys(least, 0)  # of the nodes outside, those whose edges still lie in the table
     for _ in range(rounds):
-        users = edges.groupBy("user_id").agg(F.sum("n").alias("c")).where(F.col("c") >= min_user).select("user_id")
-        items = edges.groupBy("item_id").agg(F.sum("n").alias("c")).where(F.col("c") >= min_item).select("item_id")
-        before = size
-        edges, size = counted(edges.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi"), "kcore")
+        fallen = {c: counted(counts[c].where(F.col("c") < least[c]).select(c), "kcore-out") for c in least}
+        if not any(n for _, n in fallen.values()):
+            return (without(edges, out) if any(waiting.values()) else edges), out
+        rest = without(edges, out) if any(waiting.values()) else edges
+        marked = rest
+        for c, (nodes, n) in fallen.items():
+            marked = marked.join(sent(nodes.withColumn(f"_{c}", F.lit(True)), n), c, "left")
+        leaves = F.col("_user_id").isNotNull() | F.col("_item_id").isNotNull()
+        lost, n = counted(marked.where(leaves).select("user_id", "item_id", "n"), "kcore-lost")
+        size -= n
         if not size:
             raise ValueError(f"the ({min_user}, {min_item})-core is empty")
-        if size == before:
-            return events.join(edges.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
+        for c, (nodes, m) in fallen.items():
+            less = lost.groupBy(c).agg(F.sum("n").alias("_less"))
+            stay = counts[c].where(F.col("c") >= least[c]).join(less, c, "left")
+            counts[c] = checkpointed(stay.select(c, (F.col("c") - F.coalesce("_less", F.lit(0))).alias("c")), "kcore-counts")
+            out[c] = (checkpointed(out[c][0].unionByName(nodes), "kcore-out"), out[c][1] + m)
+            waiting[c] += m
+        if max(waiting.values()) > SENT_NODES:
+            edges, waiting = checkpointed(marked.where(~leaves).select("user_id", "item_id", "n"), "kcore"), dict.fromkeys(least, 0)
     raise ValueError(f"no ({min_user}, {min_item})-core within {rounds} rounds")
 
 
+def sent(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes, broadcast unless there are more than SENT_NODES."""
+    return F.broadcast(nodes) if n <= SENT_NODES else nodes
+
+
+def without(rows: DataFrame, out: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """The rows whose keys are known and not among the nodes left out."""
+    for c, (nodes, n) in out.items():
+        rows = rows.where(F.col(c).isNotNull())
+        if n:
+            rows = rows.join(sent(nodes, n), c, "left_anti")
+    return rows
+
+
+def k_core(events: DataFrame, min_user: int, min_item: int, rounds: int = 30) -> DataFrame:
+    """Rows of users with min_user and items with min_item rows, both counted on the same rows, until nothing changes.
+
+    A row is in the core if both its nodes are; see core_edges().
+    """
+    return without(events, core_edges(events, min_user, min_item, rounds)[1])
+
+
 def cap_presets(events: DataFrame, users: int, items: int) -> DataFrame:
     """The most active users, then the most frequent items among their rows; cores are not taken again."""
     top = lambda df, c, n: df.groupBy(c).count().orderBy(F.desc("count"), c).limit(n).select(c)
