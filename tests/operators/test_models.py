@@ -236,6 +236,28 @@ def test_recall_on_the_embeddings(spark, tmp_path):
     assert row.recall >= 0.9 and row.vectors == 500 and row.queries == 5 and row.build_s > 0
 
 
+def test_scores_are_added_up_where_the_history_lies(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(u, int(i), float(rng.integers(1, 9))) for u in range(15) for i in rng.choice(30, 6, replace=False)]
+    m = spark.createDataFrame(rows, "user_id long, item_id int, w double")
+    similar = R.item_similarity(m).localCheckpoint()
+    scores = R.cf_scores(m, similar)
+    plan = R.top_k(scores, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") == 1  # histories by user
+    whole = {(r.user_id, r.item_id): r.score for r in scores.collect()}
+    want = {}
+    near = {}
+    for r in similar.collect():
+        near.setdefault(r.item_i, []).append((r.item_j, r.sim))
+    for u, i, w in rows:
+        for j, x in near.get(i, []):
+            want[u, j] = want.get((u, j), 0) + w * x
+    assert whole == pytest.approx(want) and whole.keys() == want.keys()
+    monkeypatch.setattr(R, "SENT_PAIRS", 50)
+    dealt = {(r.user_id, r.item_id): r.score for r in R.cf_scores(m, similar).collect()}
+    assert dealt == pytest.approx(want) and dealt.keys() == want.keys()
+
+
 def test_similarity_of_heavy_users(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(u, int(i), float(rng.integers(1, 9))) for u in range(12) for i in rng.choice(60, 50 if u == 0 else 8, replace=False)]

@@ -31,6 +31,19 @@ def test_gradients_are_finite_differences():
         assert h[i] == pytest.approx((loss(up) - 2 * loss(score) + loss(down)) / e / e, abs=1e-4)
 
 
+def test_pairs_grow_with_the_positives(monkeypatch):
+    rng, met, real = np.random.default_rng(5), [], trees.higher_weights
+    monkeypatch.setattr(trees, "higher_weights", lambda s, y: met.append(real(s, y)) or met[-1], raising=False)
+    monkeypatch.setattr(trees, "PAIR_ENTRIES", 100)
+    ends = np.array([25, 50, 51, 76, 100])
+    label = np.zeros(100)
+    label[[3, 30, 31, 80]] = 1
+    g, h = trees.listwise_gradients(rng.normal(size=100), label, ends)
+    assert sum(w.size for *_, w in met) == 3 * 25 + 24
+    assert g[50] == 0 and not g[51:76].any() and (g[[3, 30, 31, 80]] < 0).all() and (h[:50] > 0).all()
+    assert [g[a:b].sum() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == pytest.approx([0] * 5)
+
+
 def test_swap_weights_are_changes_in_ndcg():
     rng = np.random.default_rng(1)
     s, y = rng.normal(size=6), np.array([0, 2, 1, 0, 1, 0.0])

@@ -104,35 +104,51 @@ def lay_out(rows: DataFrame, features: list[str], edges: list[np.ndarray], group
 def listwise_gradients(score: np.ndarray, label: np.ndarray, ends: np.ndarray, sigma: float = SIGMA) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivatives of each group's pair losses, weighted by what a swap would change in NDCG.
 
-    Groups of one size are taken together; ties in score keep their order; groups without two labels give zeros.
+    Groups of one size are taken together; ties in score keep their order; groups without two labels give zeros.  Only
+    rows that are labelled higher than another of their group meet the group's rows, so few positives make few pairs.
     """
     g, h = np.zeros(len(score)), np.zeros(len(score))
     starts = np.append(0, ends[:-1])
     sizes = ends - starts
     for m in np.unique(sizes[sizes > 1]):
         own = starts[sizes == m]
-        step = max(1, PAIR_ENTRIES // int(m * m))
-        for k in range(0, len(own), step):
-            at = own[k : k + step, None] + np.arange(m)
+        above = label[own[:, None] + np.arange(m)]
+        high = (above > above.min(1, keepdims=True)).sum(1)
+        own, high = own[high > 0], high[high > 0]
+        part = np.cumsum(high * m) // PAIR_ENTRIES
+        for cut in np.split(own, np.flatnonzero(np.diff(part)) + 1) if len(own) else []:
+            at = cut[:, None] + np.arange(m)
             s, y = score[at], label[at]
-            weight = swap_weights(s, y)
-            rho = 1 / (1 + np.exp(np.clip(sigma * (s[:, :, None] - s[:, None, :]), -500, 500)))
+            row, col, weight = higher_weights(s, y)
+            rho = 1 / (1 + np.exp(np.clip(sigma * (s[row, col][:, None] - s[row]), -500, 500)))
             push = sigma * rho * weight
             bend = sigma * sigma * rho * (1 - rho) * weight
-            g[at] = push.sum(1) - push.sum(2)
-            h[at] = bend.sum(1) + bend.sum(2)
+            first = np.flatnonzero(np.diff(row, prepend=-1))  # each group has a row at least
+            gg, hh = np.add.reduceat(push, first, 0), np.add.reduceat(bend, first, 0)
+            gg[row, col] -= push.sum(1)
+            hh[row, col] += bend.sum(1)
+            g[at], h[at] = gg, hh
     return g, h
 
 
 def swap_weights(s: np.ndarray, y: np.ndarray) -> np.ndarray:
     """(groups, i, j): the change in NDCG if i and j swapped places, where i is labelled higher; else 0."""
+    row, col, weight = higher_weights(s, y)
+    out = np.zeros((*s.shape, s.shape[1]))
+    out[row, col] = weight
+    return out
+
+
+def higher_weights(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(groups, rows i, (rows, j)): swap_weights() of the rows that are labelled higher than another of their group."""
     m = s.shape[1]
     place = np.empty(s.shape, np.int64)
     np.put_along_axis(place, np.argsort(-s, axis=1, kind="stable"), np.arange(m)[None, :], axis=1)
     discount, gain = 1 / np.log2(place + 2), 2.0**y - 1
     ideal = (-np.sort(-gain, axis=1) / np.log2(np.arange(m) + 2)).sum(1)
-    change = np.abs((gain[:, :, None] - gain[:, None, :]) * (discount[:, :, None] - discount[:, None, :])) / np.maximum(ideal, 1e-12)[:, None, None]
-    return np.where(y[:, :, None] > y[:, None, :], change, 0.0)
+    row, col = np.nonzero(y > y.min(1, keepdims=True))
+    change = np.abs((gain[row, col][:, None] - gain[row]) * (discount[row, col][:, None] - discount[row])) / np.maximum(ideal[row], 1e-12)[:, None]
+    return row, col, np.where(y[row, col][:, None] > y[row], change, 0.0)
 
 
 def _read(r: dict, width: int) -> tuple[np.ndarray, ...]:

@@ -12,7 +12,7 @@ from wayfare.plans.cleaning import HISTORY_SQL, SPLIT
 from wayfare.plans.features import asof_sql, rounded_features, splits
 from wayfare.plans.quality import DRIFT_FEATURES, RECS_SQL, drift_features, drift_sql, recommendations
 from wayfare.plans.registry import ORACLES, query
-from wayfare.plans.retrieval import _FEATURES, _LINEAR, CF_SQL, FUSED_SQL, RANKED_SQL, SOURCES, _shelf, cf, dataset, fused, ranked_sources
+from wayfare.plans.retrieval import _FEATURES, _LINEAR, CF_SQL, FUSED_SQL, RANKED_SQL, SOURCES, _shelf, candidates, cf, dataset, fused, labelled, ranked_sources
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
 from wayfare.sources.tables import behaviour, checkpointed, code_map, read_category_tree, read_events, read_features, read_item_properties, scratch, table, write_features
 
@@ -166,9 +166,11 @@ def gain_importance(spark, d):
 
 
 def listwise(spark, d):
-    """(held-out rows, model): fitted on the validation window's labels, held out is the test window."""
-    fit = checkpointed(dataset(spark, d, "validation"), "ranking")
-    return checkpointed(dataset(spark, d), "held-out"), trees.fit_listwise(fit, _FEATURES)
+    """(held-out rows, model): fitted on the validation window's labels, held out is the test window; both label the same candidates, made once."""
+    every, train, cand = candidates(spark, d)
+    cand = checkpointed(cand, "candidates")
+    fit = checkpointed(labelled(every, train, cand, "validation"), "ranking")
+    return labelled(every, train, cand, "test"), trees.fit_listwise(fit, _FEATURES)
 
 
 def _best(rows, model, k):

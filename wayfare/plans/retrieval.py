@@ -30,7 +30,7 @@ fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY
 
 
 def similarity(train):
-    m = R.user_item(train)
+    m = checkpointed(R.user_item(train), "matrix")  # read several times
     return m, R.item_similarity(m)
 
 
@@ -144,15 +144,23 @@ def recommend_all(spark, d):
 _FEATURES = ["fused", "n_sources", "item_cf", "popularity", "trending", "item_event_count", "user_event_count"]
 
 
-def dataset(spark, d, window="test"):
-    """Candidates from the training window with the labels of a later one; lists are made once, for fusion and scores."""
+def candidates(spark, d):
+    """(all events, train, candidates from the training window with their features, without labels)."""
     every, train, _ = splits(spark, d)
-    test = every.where(F.col("split") == window).drop("split")
-    lists_ = checkpointed(ranked_sources(train), "source-lists")
-    cand = R.fuse(lists_, SOURCES, train.select("user_id", "item_id").distinct(), 25).join(R.source_scores(lists_, SOURCES), ["user_id", "item_id"])
-    cand = cand.join(asof.item_state(train).select("item_id", F.col("events").alias("item_event_count")), "item_id", "left")
+    cand = R.fuse(ranked_sources(train), SOURCES, train.select("user_id", "item_id"), 25, scores=True)
+    items = checkpointed(asof.item_state(train).select("item_id", F.col("events").alias("item_event_count")), "item-counts")
     cand = cand.join(asof.user_state(train).select("user_id", F.col("events").alias("user_event_count")), "user_id", "left")
-    return ranking.ranking_dataset(cand, evaluate.novel_truth(test, train), _FEATURES)
+    return every, train, cand.join(items, "item_id", "left").select("user_id", "item_id", *_FEATURES)
+
+
+def labelled(every, train, cand, window):
+    """The candidates with the labels of a later window."""
+    return ranking.ranking_dataset(cand, evaluate.novel_truth(every.where(F.col("split") == window), train), _FEATURES)
+
+
+def dataset(spark, d, window="test"):
+    """Candidates from the training window with the labels of a later one."""
+    return labelled(*candidates(spark, d), window)
 
 
 @query("rk2_ranking_dataset", f"""WITH {SPLIT}, {FUSED_SQL}, tt AS (SELECT DISTINCT user_id, item_id FROM te EXCEPT SELECT user_id, item_id FROM hist),
