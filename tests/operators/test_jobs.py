@@ -103,3 +103,18 @@ def test_roots_and_ratings(spark):
     prices = augment.item_prices(spark.range(300).select(F.col("id").alias("item_id"), (F.col("id") % 6).cast("int").alias("vertical")))
     low, high, mean = prices.agg(F.min("base_rating"), F.max("base_rating"), F.avg("base_rating")).first()
     assert 0 < low and high <= 5 and 3.6 < mean < 4.2 and prices.agg(F.min("price")).first()[0] >= augment.MIN_PRICE
+
+
+def test_drift_windows_sort_only_the_seconds_they_need(spark):
+    rng = random.Random(9)
+    e = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=rng.randrange(300))) for i in range(2000)], "event_id long, ts timestamp").repartition(8)
+    e = e.unionByName(spark.createDataFrame([(5000, None), (5001, None)], "event_id long, ts timestamp"))
+    for rows in (1, 40, 1999, 3000):
+        last, first = jobs.drift_windows(e, e, rows)
+        assert last.collect() == e.orderBy(F.desc("ts"), F.desc("event_id")).limit(rows).collect()
+        assert first.collect() == e.orderBy("ts", "event_id").limit(rows).collect()
+        if rows == 40:
+            for window in (last, first):
+                at = window._jdf.queryExecution().optimizedPlan().toString()
+                assert "Filter" in at and at.index("Sort") < at.index("Filter")
+    assert jobs.drift_windows(e.limit(0), e, 5)[0].count() == 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.functions.distributed import row_numbers
+from wayfare.functions.distributed import row_numbers, running_sum
 from wayfare.operators import asof, augment, drift, evaluate, ingest, popularity, ranking, sessions
 from wayfare.operators import retrieval as R
 from wayfare.sources.tables import checkpointed, read_features, write_features, write_json_row, write_table
@@ -170,8 +170,23 @@ def run_experiment(spark: SparkSession, out: str, control: str, treatment: str,
 
 
 def drift_windows(reference: DataFrame, current: DataFrame, rows: int = DRIFT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The last rows of the reference and the first of the current window, by (ts, event_id)."""
-    return reference.orderBy(F.desc("ts"), F.desc("event_id")).limit(rows), current.orderBy("ts", "event_id").limit(rows)
+    """The last rows of the reference and the first of the current window, by (ts, event_id).
+
+    Rows of each second are counted first, so that only the seconds that hold these rows are sorted: each part of a
+    table would send up to `rows` of its own to one task.
+    """
+    return last_rows(reference, rows, True), last_rows(current, rows, False)
+
+
+def last_rows(df: DataFrame, rows: int, last: bool) -> DataFrame:
+    """The last or first `rows` rows by (ts, event_id); rows without a ts come first."""
+    second = F.coalesce(F.unix_seconds("ts"), F.lit(-(2**62)))
+    place = -second if last else second
+    counts = df.groupBy(place.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    upto = running_sum(counts, ["at"], F.col("n"), "upto").where(F.col("upto") - F.col("n") < rows).agg(F.max("at")).first()[0]
+    near = df.where(place <= upto) if upto is not None else df
+    order = [F.desc("ts"), F.desc("event_id")] if last else ["ts", "event_id"]
+    return near.orderBy(*order).limit(rows)
 
 
 def monitor_drift(spark: SparkSession, out: str, rows: int = DRIFT_ROWS, version: str = FEATURE_VERSION) -> DataFrame:
