@@ -180,7 +180,7 @@ def drift_windows(reference: DataFrame, current: DataFrame, rows: int = DRIFT_RO
 
 def last_rows(df: DataFrame, rows: int, last: bool) -> DataFrame:
     """The last or first `rows` rows by (ts, event_id); rows without a ts come first."""
-    second = F.coalesce(F.unix_seconds("ts"), F.lit(-(2**62)))
+    second = F.coalesce(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(-(2**62)))
     place = -second if last else second
     counts = df.groupBy(place.alias("at")).agg(F.count(F.lit(1)).alias("n"))
     upto = running_sum(counts, ["at"], F.col("n"), "upto").where(F.col("upto") - F.col("n") < rows).agg(F.max("at")).first()[0]
