@@ -1,5 +1,7 @@
 import datetime as dt
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -258,6 +260,26 @@ def test_scores_are_added_up_where_the_history_lies(spark, monkeypatch):
     assert dealt == pytest.approx(want) and dealt.keys() == want.keys()
 
 
+def test_tasks_by_user_are_as_many_as_the_work_needs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    m = spark.createDataFrame([(u, int(i), 1.0) for u in range(40) for i in rng.choice(20, 6, replace=False)], "user_id long, item_id int, w double")
+    similar = R.item_similarity(m).localCheckpoint()
+    hits = m.join(similar, m.item_id == similar.item_i).count()
+    parts = lambda df: int(re.search(r"hashpartitioning\(user_id#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())[1])
+    few = {(r.user_id, r.item_id): r.score for r in R.cf_scores(m, similar).collect()}
+    assert parts(R.cf_scores(m, similar)) == 4  # the session's
+    monkeypatch.setattr(R, "TASK_HITS", 50, raising=False)
+    scores = R.cf_scores(m, similar)
+    assert parts(scores) == math.ceil(hits / 50)
+    assert {(r.user_id, r.item_id): r.score for r in scores.collect()} == pytest.approx(few)
+    ranked = R.top_k(scores, 5).withColumn("source", F.lit("a")).localCheckpoint()
+    one = {tuple(r) for r in R.fuse(ranked, ["a"], m).select("user_id", "item_id", "fused", "position").collect()}
+    monkeypatch.setattr(R, "TASK_ROWS", 50, raising=False)
+    fused = R.fuse(ranked, ["a"], m, expected=440)
+    assert parts(fused) == 9
+    assert {tuple(r) for r in fused.select("user_id", "item_id", "fused", "position").collect()} == one
+
+
 def test_similarity_of_heavy_users(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(u, int(i), float(rng.integers(1, 9))) for u in range(12) for i in rng.choice(60, 50 if u == 0 else 8, replace=False)]

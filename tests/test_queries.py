@@ -8,6 +8,7 @@ import pytest
 
 from tests.conftest import SF
 from wayfare.plans.registry import ORACLES, QUERIES
+from wayfare.plans.retrieval import listed
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +74,11 @@ def test_fused_lists_with_learnt_sources(spark):
         assert max(r.n_sources for r in got) == 4 and max(r.position for r in got) <= 25 and all(r.fused <= 4 / 61 + 1e-9 for r in got)
 
 
+def test_expected_rows_of_lists(spark):
+    train = spark.createDataFrame([(u, i) for u in range(9) for i in range(u + 1)], "user_id long, item_id int")
+    assert 45 + 8 * 4 * 30 <= listed(train, 4) <= 45 + 10 * 4 * 30
+
+
 def test_bootstrap_holds_the_lift(spark):
     lift, (one,) = QUERIES["ab4_lift"](spark, SF).first(), QUERIES["ab3_bootstrap"](spark, SF).collect()
     named = one.asDict()

@@ -15,6 +15,8 @@ NEIGHBOURS, LEAST_SIMILARITY, POPULARITY_POWER, MIN_WEIGHT = 200, 1e-4, 0.5, 1.0
 RRF_K, CANDIDATES = 60, 600
 #: Items of a user that are paired in one task; similarities that are broadcast in one round.
 HEAVY, SENT_PAIRS = 1000, 1_000_000
+#: What a task takes of users' work, on average: similarities added to scores, rows of lists to fuse.
+TASK_HITS, TASK_ROWS = 2_000_000, 500_000
 
 
 def user_item(train: DataFrame, min_weight: float = MIN_WEIGHT) -> DataFrame:
@@ -44,19 +46,26 @@ def item_similarity(matrix: DataFrame, neighbours: int = NEIGHBOURS, least: floa
     return rows.withColumn("rank", rank).where(F.col("rank") <= neighbours)
 
 
-def by_user(rows: DataFrame) -> DataFrame:
-    """rows hashed by user over all shuffle partitions; small ones are not put together, as a few rows may grow a hundredfold."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
+def by_user(rows: DataFrame, work: int = 0, most: int = 1) -> DataFrame:
+    """rows hashed by user over all shuffle partitions, or more, so that one has about `most` of the work.
+
+    Small ones are not put together, as a few rows may grow a hundredfold.
+    """
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-work // most)), "user_id")
 
 
 def cf_scores(matrix: DataFrame, similarity: DataFrame) -> DataFrame:
     """(user_id, item_id, score): history weights times similarities; users without history get no rows.
 
     A user's history lies in one task, and the similarities come to it in rounds of about SENT_PAIRS, each with all that
-    leads to its own items: so users times similar items are added up where they arise and never shuffled.
+    leads to its own items: so users times similar items are added up where they arise and never shuffled.  They are
+    counted before, and a task takes about TASK_HITS of them in a round.
     """
     sent, n = counted(similarity.select(F.col("item_i").alias("item_id"), "item_j", "sim"), "similarity")
-    rounds, rows = max(1, -(-n // SENT_PAIRS)), by_user(matrix)
+    rounds = max(1, -(-n // SENT_PAIRS))
+    held, near = matrix.groupBy("item_id").agg(F.count(F.lit(1)).alias("_u")), sent.groupBy("item_id").agg(F.count(F.lit(1)).alias("_s"))
+    hits = held.join(near, "item_id").agg(F.sum(F.col("_u") * F.col("_s"))).first()[0] or 0
+    rows = by_user(matrix, -(-hits // rounds), TASK_HITS)
     out = None
     for r in range(rounds):
         now = sent.where(F.pmod(F.xxhash64("item_j"), F.lit(rounds)) == r) if rounds > 1 else sent
@@ -98,11 +107,11 @@ def recommend(scores: DataFrame, k: int, exclude: DataFrame | None = None, candi
     return top_k(rows if exclude is None else without_seen(rows, exclude), k)
 
 
-def fuse(ranked: DataFrame, sources: list[str], exclude: DataFrame | None = None, cap: int = CANDIDATES, k: int = RRF_K, scores: bool = False) -> DataFrame:
+def fuse(ranked: DataFrame, sources: list[str], exclude: DataFrame | None = None, cap: int = CANDIDATES, k: int = RRF_K, scores: bool = False, expected: int = 0) -> DataFrame:
     """Reciprocal-rank fusion of (user_id, source, item_id, rank, score): (user_id, item_id, fused, n_sources, sources, position[, a score for each source]).
 
     Excluded items keep their rank places; ties go to the source listed first, then to the better rank.  Lists and
-    excluded items meet by user in one shuffle.
+    excluded items meet by user in one shuffle; with about how many rows are `expected`, a task takes about TASK_ROWS.
     """
     at = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
     rows = ranked.where("item_id >= 0").select("user_id", "item_id", "source", "rank", *(["score"] if scores else []), at.alias("_s"), F.lit(False).alias("_out"))
@@ -110,16 +119,16 @@ def fuse(ranked: DataFrame, sources: list[str], exclude: DataFrame | None = None
         left_out = exclude.where("user_id IS NOT NULL").select("user_id", "item_id", F.lit(True).alias("_out"))
         rows = rows.unionByName(left_out, allowMissingColumns=True)
     own = [F.max(F.when(F.col("source") == s, F.col("score"))).alias(s) for s in sources] if scores else []
-    fused = by_user(rows).groupBy("user_id", "item_id").agg(F.sum(F.lit(1.0) / (F.col("rank") + k)).alias("fused"), F.count("source").alias("n_sources"), F.min(F.struct("_s", "rank")).alias("_first"), F.array_sort(F.collect_set("source")).alias("sources"), F.max("_out").alias("_out"), *own)
+    fused = by_user(rows, expected, TASK_ROWS).groupBy("user_id", "item_id").agg(F.sum(F.lit(1.0) / (F.col("rank") + k)).alias("fused"), F.count("source").alias("n_sources"), F.min(F.struct("_s", "rank")).alias("_first"), F.array_sort(F.collect_set("source")).alias("sources"), F.max("_out").alias("_out"), *own)
     fused = fused.where("NOT _out").drop("_out").withColumn("fused", F.round("fused", 9))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("fused"), "_first", "item_id"))
     return fused.withColumn("position", place).where(F.col("position") <= cap).drop("_first")
 
 
-def fuse_scores(scored: DataFrame, sources: list[str], k: int = RRF_K) -> DataFrame:
+def fuse_scores(scored: DataFrame, sources: list[str], k: int = RRF_K, expected: int = 0) -> DataFrame:
     """Rank fusion of (user_id, source, item_id, score): ranks follow from the scores, nothing is excluded or cut."""
     rank = F.row_number().over(Window.partitionBy("user_id", "source").orderBy(F.desc("score"), "item_id"))
-    return fuse(scored.withColumn("rank", rank), sources, None, 2**31 - 1, k)
+    return fuse(scored.withColumn("rank", rank), sources, None, 2**31 - 1, k, expected=expected)
 
 
 def source_scores(ranked: DataFrame, sources: list[str]) -> DataFrame:

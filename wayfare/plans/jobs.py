@@ -104,7 +104,7 @@ def baseline_lists(train: DataFrame, k: int = 20) -> dict[str, DataFrame]:
     out = {}
     for name, scores in (("popularity", popularity.decayed(train)), ("trending", popularity.trending(train))):
         out[name] = R.global_unseen(scores.withColumn("score", F.round("score", 6)), train, k)
-    m = R.user_item(train)
+    m = checkpointed(R.user_item(train), "matrix")  # read several times
     out["item_cf"] = R.top_k(R.without_seen(R.cf_scores(m, R.item_similarity(m)).withColumn("score", F.round("score", 6)), train), k)
     return out
 
@@ -142,7 +142,7 @@ def train_ranker(spark: SparkSession, out: str, k: int = 20) -> DataFrame:
     for name in RANKER_SOURCES:
         one = spark.read.parquet(f"{out}/lists/{name}").withColumn("source", F.lit(name))
         lists = one if lists is None else lists.unionByName(one)
-    cand = R.fuse(lists, RANKER_SOURCES).join(R.source_scores(lists, RANKER_SOURCES), ["user_id", "item_id"])
+    cand = R.fuse(lists, RANKER_SOURCES, expected=lists.count()).join(R.source_scores(lists, RANKER_SOURCES), ["user_id", "item_id"])
     cand = cand.join(asof.item_state(train).select("item_id", F.col("events").alias("item_events")), "item_id", "left")
     cand = checkpointed(cand.join(asof.user_state(train).select("user_id", F.col("events").alias("user_events")), "user_id", "left"), "candidates")
     fit = checkpointed(ranking.ranking_dataset(cand, evaluate.novel_truth(validation, train), RANKER_FEATURES), "ranking")

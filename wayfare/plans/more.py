@@ -12,7 +12,7 @@ from wayfare.plans.cleaning import HISTORY_SQL, SPLIT
 from wayfare.plans.features import asof_sql, rounded_features, splits
 from wayfare.plans.quality import DRIFT_FEATURES, RECS_SQL, drift_features, drift_sql, recommendations
 from wayfare.plans.registry import ORACLES, query
-from wayfare.plans.retrieval import _FEATURES, _LINEAR, CF_SQL, FUSED_SQL, RANKED_SQL, SOURCES, _shelf, candidates, cf, dataset, fused, labelled, ranked_sources
+from wayfare.plans.retrieval import _FEATURES, _LINEAR, CF_SQL, FUSED_SQL, RANKED_SQL, SOURCES, _shelf, candidates, cf, dataset, fused, labelled, listed, ranked_sources
 from wayfare.sources.tables import BEHAVIOUR_SQL as A
 from wayfare.sources.tables import behaviour, checkpointed, code_map, read_category_tree, read_events, read_features, read_item_properties, scratch, table, write_features
 
@@ -95,8 +95,8 @@ def rerank(spark, d):
 SELECT user_id, item_id, fused, n_sources, row_number() OVER (PARTITION BY user_id ORDER BY fused DESC, f, item_id) AS position FROM y""")
 def fuse_scores(spark, d):
     """Fusion from scores alone: nothing is excluded, nothing is cut."""
-    ranked = ranked_sources(splits(spark, d)[1])
-    out = R.fuse_scores(ranked.drop("rank"), SOURCES)
+    train = splits(spark, d)[1]
+    out = R.fuse_scores(ranked_sources(train).drop("rank"), SOURCES, expected=listed(train, len(SOURCES)))
     return out.select("user_id", "item_id", "fused", "n_sources", F.col("position").cast("long").alias("position"))
 
 

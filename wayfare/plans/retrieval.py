@@ -56,8 +56,14 @@ def ranked_sources(train):
     return out
 
 
+def listed(train, sources):
+    """About how many rows the lists of so many sources and the histories have at most."""
+    n = train.agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("user_id").alias("users")).first()
+    return n.events + n.users * TOP * sources
+
+
 def fused(train):
-    return R.fuse(ranked_sources(train), SOURCES, train.select("user_id", "item_id").distinct(), 25)
+    return R.fuse(ranked_sources(train), SOURCES, train.select("user_id", "item_id").distinct(), 25, expected=listed(train, len(SOURCES)))
 
 
 @query("ag8_user_item_matrix", f"WITH {SPLIT}, {MATRIX_SQL} SELECT user_id, item_id, round(w, 6) AS w FROM mx")
@@ -147,7 +153,7 @@ _FEATURES = ["fused", "n_sources", "item_cf", "popularity", "trending", "item_ev
 def candidates(spark, d):
     """(all events, train, candidates from the training window with their features, without labels)."""
     every, train, _ = splits(spark, d)
-    cand = R.fuse(ranked_sources(train), SOURCES, train.select("user_id", "item_id"), 25, scores=True)
+    cand = R.fuse(ranked_sources(train), SOURCES, train.select("user_id", "item_id"), 25, scores=True, expected=listed(train, len(SOURCES)))
     items = checkpointed(asof.item_state(train).select("item_id", F.col("events").alias("item_event_count")), "item-counts")
     cand = cand.join(asof.user_state(train).select("user_id", F.col("events").alias("user_event_count")), "user_id", "left")
     return every, train, cand.join(items, "item_id", "left").select("user_id", "item_id", *_FEATURES)
@@ -310,7 +316,7 @@ def index_source(spark, d):
     near = graph.search_graph(_graph(spark, model.itemFactors.withColumnRenamed("features", "embedding")), model.userFactors.withColumnRenamed("features", "embedding"), TOP, others=False)
     found = near.select(F.col("query").alias("user_id"), F.lit("als_index").alias("source"), F.col("id").cast("int").alias("item_id"), "score", "rank")
     ranked = ranked_sources(train).select("user_id", "source", "item_id", "score", "rank").unionByName(found)
-    return R.fuse(ranked, [*SOURCES, "als_index"], train.select("user_id", "item_id").distinct(), 25).select("user_id", "item_id", "fused", "n_sources", "position")
+    return R.fuse(ranked, [*SOURCES, "als_index"], train.select("user_id", "item_id").distinct(), 25, expected=listed(train, len(SOURCES) + 1)).select("user_id", "item_id", "fused", "n_sources", "position")
 
 
 @query("vx1_vector_checks", "SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS wrong_size, count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS not_finite FROM embeddings")
@@ -458,4 +464,4 @@ def four_sources(spark, d):
     train = splits(spark, d)[1]
     lists = neural.factor_topk(*two_towers(train), TOP).select("user_id", F.lit("two_tower").alias("source"), F.col("item_id").cast("int").alias("item_id"), "score", "rank")
     ranked = ranked_sources(train).select("user_id", "source", "item_id", "score", "rank").unionByName(lists)
-    return R.fuse(ranked, [*SOURCES, "two_tower"], train.select("user_id", "item_id").distinct(), 25).select("user_id", "item_id", "fused", "n_sources", "position")
+    return R.fuse(ranked, [*SOURCES, "two_tower"], train.select("user_id", "item_id").distinct(), 25, expected=listed(train, len(SOURCES) + 1)).select("user_id", "item_id", "fused", "n_sources", "position")
