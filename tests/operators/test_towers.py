@@ -90,3 +90,15 @@ def test_saved_towers_encode_alike_and_unknown_categories_are_null_vectors(spark
     spark.read.parquet(f"{path}/weights").withColumn("version", F.lit("1")).write.parquet(f"{path}-old/weights")
     with pytest.raises(ValueError, match="version"):
         towers.load_towers(spark, f"{path}-old")
+
+
+def test_rows_are_encoded_in_tasks_of_bounded_size(spark, monkeypatch):
+    pairs, items = data(spark)
+    model = towers.fit_two_tower(pairs, items, dim=8, hidden=16, epochs=0)
+    rows = items.select(F.col("item_id").alias("id"), F.slice("x", 1, 1).alias("x"), "c").localCheckpoint()
+    whole = {r.id: r.embedding for r in model.encode(rows, 1).collect()}
+    monkeypatch.setattr(towers, "ENCODE_ROWS", 4, raising=False)
+    dealt = model.encode(rows, 1)
+    assert dealt.groupBy(F.spark_partition_id().alias("p")).count().count() > 5
+    got = {r.id: r.embedding for r in dealt.collect()}
+    assert got.keys() == whole.keys() and all(got[i] == pytest.approx(whole[i]) for i in whole)

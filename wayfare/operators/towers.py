@@ -20,6 +20,8 @@ from wayfare.sources.tables import checkpointed
 
 #: Adagrad's state at the start; what keeps a constant layer from dividing by zero.
 FRESH, EPS = 1e-2, 1e-5
+#: Rows that a task encodes, on average.
+ENCODE_ROWS = 10_000
 TOWERS_VERSION = "2"
 
 
@@ -156,7 +158,9 @@ class TwoTower:
     def encode(self, rows: DataFrame, side: int) -> DataFrame:
         """(id, embedding) of rows (id, x[, c]): what tower `side` makes of them and their id vectors; ids without one get no rows."""
         c = F.col("c") if "c" in rows.columns else F.array().cast("array<long>")
-        ids = (self.users, self.items)[side].join(rows.select("id", "x", c.alias("c")), "id")
+        known = (self.users, self.items)[side]
+        n = max(1, -(-known.count() // ENCODE_ROWS))
+        ids = known.repartition(n, "id").join(rows.select("id", "x", c.alias("c")).repartition(n, "id"), "id")
         some = ids.select("id", F.posexplode("c").alias("place", "key")).join(self.categories.select(F.col("id").alias("key"), F.col("embedding").alias("e")), "key", "left")
         none = F.array_repeat(F.lit(0.0), self.dims[2])  # values that training has not met
         joined = some.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("e", none).alias("e")))).alias("all"))
