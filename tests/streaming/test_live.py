@@ -1,5 +1,7 @@
 """Live features against the batch operator, late and tied events, restarts, and a sink that holds no row twice."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +148,101 @@ def test_a_batch_exchanges_its_state_as_a_whole():
             e[own] = range(50)
             out = next(side.handleInputRows((1,), iter([e]), None))
         assert list(out[count]) == [50] * 50 and sum(s.calls for s in handle.states.values()) <= 6
+
+
+def one_by_one(events, own, partners):
+    """Each event's sums by known() and added(), a record at a time: {event_id: (own sums, [the partners' rows and conversions])}."""
+    records, met, out = {}, set(), {}
+    for _, batch in events.groupby("batch"):
+        for _, tied in batch.sort_values(["t", "event_id"]).groupby("t", sort=True):
+            names = lambda e: [(p, e[own], e[p]) for p in partners if e[p] != live.MISSING or p == partners[0]]
+            for e in tied.to_dict("records"):
+                out[e["event_id"]] = (live.known(records.get(e[own]), e["t"]), {x[0]: live.known(records.get(x), e["t"]) for x in names(e)})
+            for e in tied.to_dict("records"):
+                price = e["price"] if e["price"] > 0 else 0.0
+                pair = (e[own], e[partners[0]])
+                change = (1.0, float(e["converts"]), float(pair not in met), float(price > 0), price, float(e["converts"] and price > 0), price * e["converts"])
+                met.add(pair)
+                for x in (e[own], *names(e)):
+                    records[x] = live.added(records.get(x), e["t"], change)
+    return out
+
+
+class Kept:
+    """A list of the state store, with the number of exchanges."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return list(self.rows)
+
+    def put(self, rows):
+        self.rows, self.calls = list(rows), self.calls + 1
+
+    def appendList(self, rows):
+        self.rows, self.calls = self.rows + list(rows), self.calls + 1
+
+
+class Store(dict):
+    def getListState(self, name, schema):
+        return self.setdefault(name, Kept())
+
+
+@pytest.mark.parametrize("own", ["user_id", "item_id"])
+def test_a_bucket_of_keys_in_one_call_equals_one_record_at_a_time(own):
+    """Many keys come in one call, with ties, late events, null ids and times before 1970; batches of few keys leave the other records as they are."""
+    rng, n = np.random.default_rng(5), 3000
+    batch = np.sort(rng.integers(0, 20, n))
+    e = pd.DataFrame({"event_id": rng.permutation(n), "batch": batch, "t": (batch * 8 - 60 + rng.integers(-20, 20, n)) * 3_600_000_000, "user_id": rng.integers(0, 40, n) * 2**40, "item_id": rng.integers(0, 12, n)})
+    e["vertical"], e["merchant_id"], e["converts"], e["price"] = e.item_id % 3, e.item_id % 4, rng.integers(0, 2, n), np.round(rng.random(n) * 50 - 5, 2)
+    for c in ("user_id", "item_id", "vertical", "merchant_id"):
+        e.loc[rng.random(n) < 0.05, c] = live.MISSING
+    e.loc[rng.random(n) < 0.05, "price"] = np.nan
+    e = e[(e.batch < 4) | (e[own] % 5 == 0)]  # later batches meet few of the keys
+    side, store = {"user_id": live.UserSide, "item_id": live.ItemSide}[own](), Store()
+    side.init(store)
+    got, want = {}, one_by_one(e, own, side.partners)
+    for _, b in e.groupby("batch"):
+        calls = sum(s.calls for s in store.values())
+        out = next(side.handleInputRows((0,), iter([b.iloc[:50].drop(columns="batch"), b.iloc[50:].drop(columns="batch")]), None))
+        assert sum(s.calls for s in store.values()) - calls <= 4  # for all of the bucket's keys
+        got |= {r.event_id: r for r in out.itertuples(index=False)}
+    assert len(store["pairs"].rows) <= live.BLOBS and set(got) == set(want) == set(e.event_id)
+    over = lambda a, b: a / b if b else None
+    days = lambda t, x, i: (t - x[i]) / live.DAY if x[0] else None
+    for r in e.to_dict("records"):
+        (x, pairs), t, g = want[r["event_id"]], r["t"], got[r["event_id"]]
+        rows = [x[0], x[1], over(x[1], x[0]), x[2], days(t, x, -1), days(t, x, -2)]
+        if own == "user_id":
+            pair, average = pairs["item_id"], over(x[4], x[3])
+            rows += [average, over(x[6], x[5]), pair[0], pair[1], days(t, pair, -1)]
+            rows += [over(pairs[p][0], x[0]) if p in pairs else None for p in ("vertical", "merchant_id")]
+            rows += [over(0.0 if np.isnan(r["price"]) else r["price"], average) if average else None]
+        assert [None if v != v else round(v, 9) for v in g[1:]] == [None if v is None else round(v, 9) for v in rows], r
+
+
+def test_many_users_are_few_keys(spark):
+    """A batch's keys of the state are as many as the buckets, however many users come."""
+    where = scratch(spark, "many")
+    for nr in range(2):
+        e = spark.range(nr * 5000, nr * 5000 + 5000, 1, 1).select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * 1000).alias("ts"), (F.col("id") % 2500).alias("user_id"), (F.col("id") % 7).cast("int").alias("item_id"))
+        e.select("*", F.lit(9).alias("event_type"), F.lit(2.0).alias("price_at_event"), F.lit(1).alias("vertical"), F.lit(None).cast("int").alias("merchant_id")).write.mode("append").parquet(f"{where}/in")
+    before = spark.conf.get(*streams.PROVIDER)
+    spark.conf.set(*streams.PROVIDER)
+    try:
+        out = streams._drain(live.user_features(S.read_stream(spark, f"{where}/in", 1, S.LIVE_SCHEMA), 16), where, "out", "append")
+        state = spark.read.format("statestore").option("stateVarName", "totals").load(f"{where}/out-state")
+        assert state.select("key").distinct().count() == 16
+    finally:
+        spark.conf.set(streams.PROVIDER[0], before)
+    got = out.orderBy("event_id").collect()
+    assert [r.event_id for r in got] == list(range(10000)) and all(r.user_event_count == r.event_id // 2500 for r in got) and all(r.user_merchant_affinity is None for r in got)
+
+
+def test_buckets_grow_with_events():
+    assert live.buckets_for(0) == live.buckets_for(1000) == live.LEAST_BUCKETS and 36_000_000 / live.buckets_for(36_000_000) <= live.BUCKET_ROWS

@@ -85,11 +85,12 @@ def history(spark, d):
 def live_features(spark: SparkSession, events: DataFrame, files: int = 4, stop: int = 2) -> DataFrame:
     """events' point-in-time features from two streams, users' and items', both stopped after `stop` time ranges and started again."""
     where, before = scratch(spark, "stream"), spark.conf.get(*PROVIDER)
+    buckets = live.buckets_for(events.count())
     spark.conf.set(*PROVIDER)
     try:
         for nrs in (range(stop), range(stop, files)):
             _files(spark, events, where, files, nrs)
-            sides = [_drain(f(S.read_stream(spark, f"{where}/in", EACH, S.LIVE_SCHEMA)), where, f.__name__, "append").drop("batch") for f in (live.user_features, live.item_features)]
+            sides = [_drain(f(S.read_stream(spark, f"{where}/in", EACH, S.LIVE_SCHEMA), buckets), where, f.__name__, "append").drop("batch") for f in (live.user_features, live.item_features)]
     finally:
         spark.conf.set(PROVIDER[0], before)
     return sides[0].join(sides[1], "event_id").select("event_id", *asof.FEATURES)

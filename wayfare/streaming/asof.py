@@ -3,28 +3,42 @@
 Users and items are two keyed states.  Each record holds its sums twice: up to its last time, and strictly before it,
 so that events of one time don't see each other, in whichever batches they come.  Late events read what was known
 before the record's last time, are added to both sums, and never move a time back.
+
+known() and added() say so for one record and one event; fold() does the same for many records and a batch's events as
+arrays.  State is dealt over buckets of users or items, and a bucket's records are a list of column blobs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wayfare.functions.expr import DAY, converts
 
-RECORD = "t BIGINT, before ARRAY<DOUBLE>, upto ARRAY<DOUBLE>"
 #: What a record sums: rows, conversions, distinct partners, priced rows, prices, priced conversions, their prices; then its first and last time, 0 while there are no rows.
 SUMS = 7
+#: What records of pairs sum: rows and conversions.
+PAIR_SUMS = 2
 USER_FEATURES = (
     "user_event_count long, user_purchase_count long, user_conversion_rate double, user_distinct_items long, user_days_since_last double, user_tenure_days double, user_avg_interaction_price double, user_avg_order_value double, "
     "ui_prior_events long, ui_prior_purchases long, ui_days_since_last double, user_category_affinity double, user_merchant_affinity double, price_ratio_to_user_avg double"
 )
 ITEM_FEATURES = "item_event_count long, item_purchase_count long, item_conversion_rate double, item_distinct_users long, item_days_since_last double, item_age_days double"
 NONE = (0.0,) * (SUMS + 2)
+#: Keys of the state, where events can't be counted before; a checkpoint holds for one number of them.
+BUCKETS = 1024
+#: Events of a bucket in all batches, and the buckets of few events.
+BUCKET_ROWS, LEAST_BUCKETS = 32_768, 64
+#: Blobs of a list before it is written as one.
+BLOBS = 8
+#: Stands for a null id.
+MISSING = -(2**63)
 
 
 def known(record: tuple | None, t: int) -> tuple:
@@ -34,7 +48,7 @@ def known(record: tuple | None, t: int) -> tuple:
 
 def added(record: tuple | None, t: int, change: tuple) -> tuple:
     """The record with an event of time t."""
-    plus = lambda x: (*(a + b for a, b in zip(x[:SUMS], change, strict=True)), float(min(x[-2], t) if x[0] else t), float(max(x[-1], t)))
+    plus = lambda x: (*(a + b for a, b in zip(x[:SUMS], change, strict=True)), float(min(x[-2], t) if x[0] else t), float(max(x[-1], t) if x[0] else t))
     if record is None:
         return t, NONE, plus(NONE)
     at, before, upto = record
@@ -43,68 +57,157 @@ def added(record: tuple | None, t: int, change: tuple) -> tuple:
     return at, plus(before) if t < at else tuple(before), plus(upto)
 
 
-def _days(t: int, seen: tuple, place: int) -> float | None:
-    return (t - seen[place]) / DAY if seen[0] else None
+def _plus(sums: np.ndarray, change: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """sums with what rows from `first` to `last` add; a change without rows adds nothing."""
+    k, some, any_ = change.shape[1], sums[:, 0] > 0, change[:, 0] > 0
+    low = np.where(some & any_, np.minimum(sums[:, k], first), np.where(any_, first, sums[:, k]))
+    high = np.where(some & any_, np.maximum(sums[:, k + 1], last), np.where(any_, last, sums[:, k + 1]))
+    return np.column_stack([sums[:, :k] + change, low, high])
+
 
+class Folded:
+    """Records after a batch: what its rows saw, which of them are the first of their group, and the records that changed.
 
-def _over(a: float, b: float) -> float | None:
-    return a / b if b else None
+    `rows` are groups' numbers of rows in the order of their times t, `held` those of records, the latest of a group last.
+    """
 
+    def __init__(self, held: np.ndarray, at: np.ndarray, before: np.ndarray, upto: np.ndarray, rows: np.ndarray, t: np.ndarray, change: np.ndarray) -> None:
+        n, blank = len(held), np.zeros((1, change.shape[1] + 2))
+        at, before, upto = np.append(at, MISSING), np.vstack([before, blank]), np.vstack([upto, blank])  # record -1 is none
+        groups = np.concatenate([held, rows])
+        order = np.argsort(groups, kind="stable")
+        group = np.cumsum(np.diff(groups[order], prepend=groups[order[0]]) != 0)
+        old = order < n
+        record = np.full(group[-1] + 1, -1)
+        record[group[old]] = order[old]
+        row, group = order[~old] - n, group[~old]
+        when, place = t[row], np.arange(len(row))
+        opens = np.append(True, group[1:] != group[:-1])
+        begin = np.maximum.accumulate(np.where(opens, place, 0))
+        run = np.maximum.accumulate(np.where(opens | np.append(True, when[1:] != when[:-1]), place, 0))  # first of its time
+        r = record[group]
+        sums = pd.DataFrame(change[row]).groupby(group, sort=False).cumsum().to_numpy()  # compensated, group by group
+        earlier = np.where((run > begin)[:, None], sums[run - 1], 0.0)
+        seen = _plus(np.where((when > at[r])[:, None], upto[r], before[r]), earlier, when[begin], when[run - 1])
+        self.seen, self.fresh = np.empty_like(seen), np.empty(len(row), bool)
+        self.seen[row], self.fresh[row] = seen, opens & (r < 0)
+
+        end = np.flatnonzero(np.append(opens[1:], True))
+        r, first, last, total = r[end], when[begin[end]], when[end], sums[end]
+        self.last, self.had = row[end], r >= 0  # a row of each changed group, and whether it had a record
+        self.at, self.upto = np.maximum(at[r], last), _plus(upto[r], total, first, last)
+        self.before = np.where((last < at[r])[:, None], _plus(before[r], total, first, last), seen[end])
+        others = np.ones(len(record), bool)
+        others[group] = False
+        self.kept = record[others]
+
+
+def _numbers(*columns: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the groups of (records' values, rows' values) of some columns."""
+    code = 0
+    for held, rows in columns:
+        one, values = pd.factorize(np.concatenate([held, rows]))
+        code = code * len(values) + one
+    return code[: len(columns[0][0])], code[len(columns[0][0]) :]
+
+
+def _packed(columns: dict[str, np.ndarray]) -> bytes:
+    table, out = pa.table(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+class Records:
+    """A bucket's records in a list of blobs: each has the records that a batch changed, and the latest of a key holds.
+
+    `ids` name a record; without sums only new ones are written.
+    """
 
-def _whole(x) -> int | None:
-    return None if x is None or x != x else int(x)
+    def __init__(self, handle: StatefulProcessorHandle, name: str, ids: dict[str, str], sums: int) -> None:
+        self.state, self.ids, self.sums = handle.getListState(name, "columns BINARY"), ids, sums
+        self.names = [f"{x}{i}" for x in ("before", "upto") for i in range(sums + 2)] if sums else []
+
+    def load(self) -> None:
+        blobs = [b for (b,) in self.state.get()] if self.state.exists() else []
+        tables = [pa.ipc.open_stream(pa.py_buffer(bytes(b))).read_all() for b in blobs]
+        kinds = self.ids | ({"at": "int64"} | dict.fromkeys(self.names, "float64") if self.sums else {})
+        self.columns = {c: np.concatenate([np.empty(0, k), *(x[c].to_numpy() for x in tables)]) for c, k in kinds.items()}
+        self.sizes = [x.num_rows for x in tables]
+
+    def fold(self, ids: dict[str, np.ndarray], t: np.ndarray, change: np.ndarray) -> Folded:
+        """Rows with these ids at t meet their records; what changes is written."""
+        held, rows = _numbers(*((self.columns[c], ids[c]) for c in self.ids))
+        n, width = len(held), change.shape[1] + 2
+        if self.sums:
+            both = np.column_stack([self.columns[c] for c in self.names])
+            f = Folded(held, self.columns["at"], both[:, :width], both[:, width:], rows, t, change)
+        else:
+            f = Folded(held, np.full(n, MISSING), np.zeros((n, width)), np.zeros((n, width)), rows, t, change)
+        use = slice(None) if self.sums else ~f.had
+        new = {c: ids[c][f.last[use]] for c in self.ids} | ({"at": f.at} | dict(zip(self.names, np.hstack([f.before, f.upto]).T, strict=True)) if self.sums else {})
+        size = len(new[next(iter(self.ids))])
+        if not self.sizes or len(self.sizes) >= BLOBS or sum(self.sizes[1:]) + size > self.sizes[0]:
+            left = f.kept if self.sums else slice(None)
+            self.state.put([(_packed({c: np.concatenate([self.columns[c][left], x]) for c, x in new.items()}),)])
+        elif size:
+            self.state.appendList([(_packed(new),)])
+        return f
+
+
+def _days(t: np.ndarray, seen: np.ndarray, place: int) -> np.ndarray:
+    return np.where(seen[:, 0] > 0, (t - seen[:, place]) / DAY, np.nan)
+
+
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.full(len(a), np.nan), where=b > 0)
 
 
 class AsOf(StatefulProcessor):
-    """One side of the features; `partner` is the column that pairs are made with."""
+    """One side of the features, of `own` ids; records of pairs are made with `partners`, of which the first are counted."""
 
-    partner = "item_id"
+    own: str
+    partners: tuple[str, ...]
+    pair_sums: int
+    fields: list[list[str]]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        raise NotImplementedError
-
-    def load(self) -> tuple[tuple | None, dict]:
-        """The key's sums, and what else the side knows of it."""
-        raise NotImplementedError
-
-    def save(self, totals: tuple, maps: dict) -> None:
-        raise NotImplementedError
-
-    def features(self, seen: tuple, t: int, row, maps: dict) -> tuple:
-        raise NotImplementedError
+        self.totals = Records(handle, "totals", {"own": "int64"}, SUMS)
+        self.pairs = Records(handle, "pairs", {"own": "int64", "key": "int64", "map": "int8"}, self.pair_sums)
 
-    def met(self, partner: int | None, maps: dict) -> bool:
-        raise NotImplementedError
-
-    def changes(self, row, maps: dict, t: int, change: tuple) -> None:
-        """Record the event under what it pairs with."""
+    def features(self, t: np.ndarray, seen: np.ndarray, price: np.ndarray, pairs: list) -> list[np.ndarray]:
+        """What rows saw of their own record, and (whether there is one, what they saw) of each partner's."""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "event_id"], kind="stable")  # one key's rows of one batch
-        totals, maps = self.load()  # one exchange with the store, and one to write: not some for each pair
-        out, waiting, now = [], [], None
-
-        def apply():
-            nonlocal totals
-            for row in waiting:
-                price = row.price if row.price == row.price and row.price > 0 else None
-                new = not self.met(_whole(getattr(row, self.partner)), maps)
-                # A pair counts as a partner from its earliest event on.
-                change = (1.0, float(row.converts), float(new), float(price is not None), price or 0.0, float(row.converts and price is not None), (price or 0.0) * row.converts)
-                totals = added(totals, row.t, change)
-                self.changes(row, maps, row.t, change)
-            waiting.clear()
-
-        for row in batch.itertuples(index=False):
-            if row.t != now:
-                apply()
-                now = row.t
-            out.append((row.event_id, *self.features(known(totals, row.t), row.t, row, maps)))
-            waiting.append(row)
-        apply()
-        self.save(totals, maps)
-        yield pd.DataFrame(out, columns=["event_id", *self.names]).astype({c: "Int64" for c in self.longs})
+        batch = pd.concat(list(rows)).sort_values(["t", "event_id"], kind="stable")  # one bucket's rows of one batch
+        whole = lambda c: batch[c].to_numpy("int64")
+        t, own, size = whole("t"), whole(self.own), len(batch)
+        price, bought = batch["price"].to_numpy("float64"), batch["converts"].to_numpy("float64")
+        paid = np.where(price > 0, price, 0.0)
+        self.totals.load()  # a list is read once and written once
+        self.pairs.load()
+
+        # A null partner counts as one; of others, nothing is recorded.
+        keys = [whole(c) for c in self.partners]
+        there = [np.arange(size) if i == 0 else np.flatnonzero(k != MISSING) for i, k in enumerate(keys)]
+        row = np.concatenate(there)
+        ids = {"own": own[row], "key": np.concatenate([k[i] for k, i in zip(keys, there, strict=True)]), "map": np.repeat(np.arange(len(keys), dtype="int8"), [len(i) for i in there])}
+        pairs = self.pairs.fold(ids, t[row], np.column_stack([np.ones(len(row)), bought[row]]))
+        # A pair counts as a partner from its earliest event on.
+        change = np.column_stack([np.ones(size), bought, pairs.fresh[:size], price > 0, paid, bought * (price > 0), paid * bought])
+        seen = self.totals.fold({"own": own}, t, change).seen
+
+        found, at = [], 0
+        for i in there:
+            of, sums = np.zeros(size, bool), np.zeros((size, PAIR_SUMS + 2))
+            of[i], sums[i] = True, pairs.seen[at : at + len(i)]
+            found.append((of, sums))
+            at += len(i)
+        out = {"event_id": batch["event_id"].to_numpy()}
+        for (name, kind), x in zip(self.fields, self.features(t, seen, np.where(np.isnan(price), 0.0, price), found), strict=True):
+            out[name] = x.astype("int64") if kind == "long" else x
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
@@ -115,88 +218,47 @@ def _fields(ddl: str) -> list[list[str]]:
 
 
 class UserSide(AsOf):
-    """A user's records are one list: themselves (map -1), and those with each item, vertical and merchant."""
-
-    maps = ("item_id", "vertical", "merchant_id")
-    names, longs = [n for n, _ in _fields(USER_FEATURES)], [n for n, t in _fields(USER_FEATURES) if t == "long"]
-
-    def features(self, seen, t, row, maps):
-        n, conv, partners, priced, price, bought, paid = seen[:SUMS]
-        pair = known(maps["item_id"].get(_whole(row.item_id)), t)
-        share = lambda m: _over(known(maps[m].get(k), t)[0], n) if (k := _whole(getattr(row, m))) is not None else None
-        average = _over(price, priced)
-        own = row.price if row.price == row.price else 0.0
-        return (int(n), int(conv), _over(conv, n), int(partners), _days(t, seen, -1), _days(t, seen, -2), average, _over(paid, bought), int(pair[0]), int(pair[1]), _days(t, pair, -1), share("vertical"), share("merchant_id"), own / average if average else None)
-
-    def init(self, handle):
-        self.records = handle.getListState("records", f"map INT, key BIGINT, {RECORD}")
+    """A user's records: themselves, and those with each item, vertical and merchant."""
 
-    def load(self):
-        totals, maps = None, {m: {} for m in self.maps}
-        for m, key, *record in self.records.get() if self.records.exists() else ():
-            if m < 0:
-                totals = tuple(record)
-            else:
-                maps[self.maps[m]][_whole(key)] = tuple(record)
-        return totals, maps
+    own, partners, pair_sums, fields = "user_id", ("item_id", "vertical", "merchant_id"), PAIR_SUMS, _fields(USER_FEATURES)
 
-    def save(self, totals, maps):
-        rows = [(-1, None, totals), *((i, key, record) for i, m in enumerate(self.maps) for key, record in maps[m].items())]
-        self.records.put([(i, key, t, list(before), list(upto)) for i, key, (t, before, upto) in rows])
-
-    def met(self, partner, maps):
-        return partner in maps["item_id"]
-
-    def changes(self, row, maps, t, change):
-        for m in self.maps:
-            if (k := _whole(getattr(row, m))) is not None or m == self.partner:
-                maps[m][k] = added(maps[m].get(k), t, change)
+    def features(self, t, seen, price, pairs):
+        n, conv, items, priced, prices, bought, paid = seen.T[:SUMS]
+        (_, pair), *others = pairs
+        average = _over(prices, priced)
+        return [n, conv, _over(conv, n), items, _days(t, seen, -1), _days(t, seen, -2), average, _over(paid, bought), pair[:, 0], pair[:, 1], _days(t, pair, -1), *(np.where(of, _over(x[:, 0], n), np.nan) for of, x in others), _over(price, average)]
 
 
 class ItemSide(AsOf):
-    """An item's users are a list that is only added to."""
-
-    partner = "user_id"
-    names, longs = [n for n, _ in _fields(ITEM_FEATURES)], [n for n, t in _fields(ITEM_FEATURES) if t == "long"]
-
-    def features(self, seen, t, row, maps):
-        n, conv, partners = seen[:3]
-        return int(n), int(conv), _over(conv, n), int(partners), _days(t, seen, -1), _days(t, seen, -2)
-
-    def init(self, handle):
-        self.totals = handle.getValueState("totals", RECORD)
-        self.users = handle.getListState("users", "key BIGINT")
+    """An item's records: itself, and which users it has met."""
 
-    def load(self):
-        users = {_whole(key) for (key,) in self.users.get()} if self.users.exists() else set()
-        return self.totals.get() if self.totals.exists() else None, {"users": users, "new": []}
+    own, partners, pair_sums, fields = "item_id", ("user_id",), 0, _fields(ITEM_FEATURES)
 
-    def save(self, totals, maps):
-        self.totals.update((totals[0], list(totals[1]), list(totals[2])))
-        if maps["new"]:
-            self.users.appendList([(key,) for key in maps["new"]])
+    def features(self, t, seen, price, pairs):
+        n, conv, users = seen.T[:3]
+        return [n, conv, _over(conv, n), users, _days(t, seen, -1), _days(t, seen, -2)]
 
-    def met(self, partner, maps):
-        return partner in maps["users"]
 
-    def changes(self, row, maps, t, change):
-        if (key := _whole(row.user_id)) not in maps["users"]:
-            maps["users"].add(key)
-            maps["new"].append(key)
+def buckets_for(rows: int) -> int:
+    """As many buckets as so many events need; what a task holds doesn't grow with the events."""
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
-def _prepared(events: DataFrame) -> DataFrame:
-    return events.select("event_id", "user_id", "item_id", F.unix_micros("ts").alias("t"), converts().cast("int").alias("converts"), F.col("price_at_event").cast("double").alias("price"), F.col("vertical").cast("double").alias("vertical"), F.col("merchant_id").cast("double").alias("merchant_id"))
+def _prepared(events: DataFrame, own: str, buckets: int) -> DataFrame:
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(MISSING)).alias(c)
+    bucket = F.pmod(F.xxhash64(own), F.lit(buckets)).cast("int").alias("bucket")
+    bought = F.coalesce(converts().cast("int"), F.lit(0)).alias("converts")
+    return events.select(bucket, "event_id", F.unix_micros("ts").alias("t"), *map(whole, ("user_id", "item_id", "vertical", "merchant_id")), bought, F.col("price_at_event").cast("double").alias("price"))
 
 
-def user_features(events: DataFrame) -> DataFrame:
+def user_features(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(event_id, what was known of its user, and of the user with its item, before the event) of a stream of events.
 
-    Undefined values are null; a task holds one user's rows of one batch; state lies in the state store.
+    Undefined values are null; a task holds one bucket's rows of one batch and its records; state lies in the state store.
     """
-    return _prepared(events).groupBy("user_id").transformWithStateInPandas(UserSide(), f"event_id long, {USER_FEATURES}", "Append", "None")
+    return _prepared(events, "user_id", buckets).groupBy("bucket").transformWithStateInPandas(UserSide(), f"event_id long, {USER_FEATURES}", "Append", "None")
 
 
-def item_features(events: DataFrame) -> DataFrame:
+def item_features(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(event_id, what was known of its item before the event); a popular item's rows of one batch meet in a task, so batches bound them."""
-    return _prepared(events).groupBy("item_id").transformWithStateInPandas(ItemSide(), f"event_id long, {ITEM_FEATURES}", "Append", "None")
+    return _prepared(events, "item_id", buckets).groupBy("bucket").transformWithStateInPandas(ItemSide(), f"event_id long, {ITEM_FEATURES}", "Append", "None")
