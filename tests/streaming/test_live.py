@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,7 +232,7 @@ def test_many_users_are_few_keys(spark):
     where = scratch(spark, "many")
     for nr in range(2):
         e = spark.range(nr * 5000, nr * 5000 + 5000, 1, 1).select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * 1000).alias("ts"), (F.col("id") % 2500).alias("user_id"), (F.col("id") % 7).cast("int").alias("item_id"))
-        e.select("*", F.lit(9).alias("event_type"), F.lit(2.0).alias("price_at_event"), F.lit(1).alias("vertical"), F.lit(None).cast("int").alias("merchant_id")).write.mode("append").parquet(f"{where}/in")
+        e.select("*", F.when(F.col("event_id") % 2 == 0, 9).alias("event_type"), F.lit(2.0).alias("price_at_event"), F.lit(1).alias("vertical"), F.lit(None).cast("int").alias("merchant_id")).write.mode("append").parquet(f"{where}/in")
     before = spark.conf.get(*streams.PROVIDER)
     spark.conf.set(*streams.PROVIDER)
     try:
@@ -241,8 +242,29 @@ def test_many_users_are_few_keys(spark):
     finally:
         spark.conf.set(streams.PROVIDER[0], before)
     got = out.orderBy("event_id").collect()
-    assert [r.event_id for r in got] == list(range(10000)) and all(r.user_event_count == r.event_id // 2500 for r in got) and all(r.user_merchant_affinity is None for r in got)
+    assert [r.event_id for r in got] == list(range(10000)) and all(r.user_event_count == r.event_id // 2500 for r in got)
+    assert all(r.user_purchase_count == (r.user_event_count if r.event_id % 2 == 0 else 0) for r in got) and all(r.user_merchant_affinity is None for r in got)
 
 
 def test_buckets_grow_with_events():
     assert live.buckets_for(0) == live.buckets_for(1000) == live.LEAST_BUCKETS and 36_000_000 / live.buckets_for(36_000_000) <= live.BUCKET_ROWS
+
+
+def test_dealt_events_are_whole_and_few(monkeypatch):
+    rng, n = np.random.default_rng(2), 5000
+    e = {c: rng.integers(-9, 10**15, n) for c in live.ROW.names[:-1]}
+    price = np.where(rng.random(n) < 0.1, np.nan, rng.random(n))
+    table = pa.table({"bucket": pa.array(rng.integers(0, 5, n), pa.int32()), **e, "price": pa.array(price, from_pandas=True)})
+    monkeypatch.setattr(live, "DEAL_ROWS", 2000)
+    got = list(live.dealt(iter([*table.to_batches(700), pa.RecordBatch.from_pylist([], table.schema)])))
+    assert [b.schema.names for b in got] == [["bucket", "rows"]] * len(got) and sum(b.num_rows for b in got) == 5 * len(got) == 15
+    frames = [live._events(b.to_pandas()).assign(bucket=np.repeat(b["bucket"].to_numpy(), [len(x.as_py()) // live.ROW.itemsize for x in b["rows"]])) for b in got]
+    pd.testing.assert_frame_equal(*(x[table.column_names].sort_values(["event_id", "t"]).reset_index(drop=True).astype({"bucket": "int64"}) for x in (pd.concat(frames), table.to_pandas())))
+    assert list(live.dealt(iter([]))) == []
+
+
+def test_more_events_come_in_more_files(spark):
+    where = scratch(spark, "files")
+    streams._files(spark, splits(spark, SF)[0], where, 2, range(2), 6)
+    found = spark.read.parquet(f"{where}/in")
+    assert len(found.inputFiles()) == 12 and found.count() == splits(spark, SF)[0].count()

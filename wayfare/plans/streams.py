@@ -16,20 +16,20 @@ from wayfare.streaming import events as S
 from wayfare.streaming import sink
 
 
-#: Files of a time range, which make a batch.
-EACH = 4
+#: Files of a time range, which make a batch; live features take more for more events.
+EACH, FILE_ROWS = 4, 524_288
 COLUMNS = ("event_id", "ts", "user_id", "item_id", "event_type", "price_at_event", "vertical", "merchant_id")
 #: The provider of keyed state that lies on disk.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _files(spark: SparkSession, df: DataFrame, where: str, files: int, nrs: range) -> None:
+def _files(spark: SparkSession, df: DataFrame, where: str, files: int, nrs: range, each: int = EACH) -> None:
     """Write the time ranges nrs of `files`, one after the other; files are read in the order of their age."""
     us = F.unix_micros("ts")
     first, last = df.agg(F.min(us), F.max(us)).first()
     part = F.least(F.floor((us - first) * files / max(1, (last or 0) - (first or 0))), F.lit(files - 1))
     for nr in nrs:
-        df.where(part == nr).select(*COLUMNS).repartition(EACH).write.mode("append").parquet(f"{where}/in")
+        df.where(part == nr).select(*COLUMNS).repartition(each).write.mode("append").parquet(f"{where}/in")
 
 
 def _drain(out: DataFrame, where: str, name: str, mode: str) -> DataFrame:
@@ -85,12 +85,13 @@ def history(spark, d):
 def live_features(spark: SparkSession, events: DataFrame, files: int = 4, stop: int = 2) -> DataFrame:
     """events' point-in-time features from two streams, users' and items', both stopped after `stop` time ranges and started again."""
     where, before = scratch(spark, "stream"), spark.conf.get(*PROVIDER)
-    buckets = live.buckets_for(events.count())
+    rows = events.count()
+    buckets, each = live.buckets_for(rows), max(EACH, -(-rows // (files * FILE_ROWS)))
     spark.conf.set(*PROVIDER)
     try:
         for nrs in (range(stop), range(stop, files)):
-            _files(spark, events, where, files, nrs)
-            sides = [_drain(f(S.read_stream(spark, f"{where}/in", EACH, S.LIVE_SCHEMA), buckets), where, f.__name__, "append").drop("batch") for f in (live.user_features, live.item_features)]
+            _files(spark, events, where, files, nrs, each)
+            sides = [_drain(f(S.read_stream(spark, f"{where}/in", each, S.LIVE_SCHEMA), buckets), where, f.__name__, "append").drop("batch") for f in (live.user_features, live.item_features)]
     finally:
         spark.conf.set(PROVIDER[0], before)
     return sides[0].join(sides[1], "event_id").select("event_id", *asof.FEATURES)

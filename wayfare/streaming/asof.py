@@ -39,6 +39,9 @@ BUCKET_ROWS, LEAST_BUCKETS = 32_768, 64
 BLOBS = 8
 #: Stands for a null id.
 MISSING = -(2**63)
+#: An event as bytes, and how many are dealt to buckets at a time.
+ROW = np.dtype([(c, "int64") for c in ("event_id", "t", "user_id", "item_id", "vertical", "merchant_id", "converts")] + [("price", "float64")])
+DEAL_ROWS = 131_072
 
 
 def known(record: tuple | None, t: int) -> tuple:
@@ -155,6 +158,36 @@ class Records:
         return f
 
 
+def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events as (bucket, the bytes of some of its events), so that the shuffle and the processor take few rows."""
+
+    def one() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        bucket = table["bucket"].to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = np.empty(len(order), ROW), bucket[order]
+        for c in ROW.names:
+            rows[c] = table[c].to_numpy()[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return pa.record_batch({"bucket": bucket[cuts], "rows": pa.array([x.tobytes() for x in np.split(rows, cuts[1:])], pa.binary())})
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= DEAL_ROWS:
+            yield one()
+            held, size = [], 0
+    if held:
+        yield one()
+
+
+def _events(frame: pd.DataFrame) -> pd.DataFrame:
+    """The events of a processor's frame, as they are or dealt."""
+    return pd.DataFrame(np.frombuffer(b"".join(frame["rows"]), ROW)) if "rows" in frame else frame
+
+
 def _days(t: np.ndarray, seen: np.ndarray, place: int) -> np.ndarray:
     return np.where(seen[:, 0] > 0, (t - seen[:, place]) / DAY, np.nan)
 
@@ -180,7 +213,7 @@ class AsOf(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "event_id"], kind="stable")  # one bucket's rows of one batch
+        batch = pd.concat([_events(x) for x in rows]).sort_values(["t", "event_id"], kind="stable")  # one bucket's rows of one batch
         whole = lambda c: batch[c].to_numpy("int64")
         t, own, size = whole("t"), whole(self.own), len(batch)
         price, bought = batch["price"].to_numpy("float64"), batch["converts"].to_numpy("float64")
@@ -204,7 +237,8 @@ class AsOf(StatefulProcessor):
             of[i], sums[i] = True, pairs.seen[at : at + len(i)]
             found.append((of, sums))
             at += len(i)
-        out = {"event_id": batch["event_id"].to_numpy()}
+        ids = whole("event_id")
+        out = {"event_id": pd.arrays.IntegerArray(ids, ids == MISSING)}
         for (name, kind), x in zip(self.fields, self.features(t, seen, np.where(np.isnan(price), 0.0, price), found), strict=True):
             out[name] = x.astype("int64") if kind == "long" else x
         yield pd.DataFrame(out)
@@ -244,11 +278,12 @@ def buckets_for(rows: int) -> int:
     return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
-def _prepared(events: DataFrame, own: str, buckets: int) -> DataFrame:
+def _dealt(events: DataFrame, own: str, buckets: int) -> DataFrame:
     whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(MISSING)).alias(c)
     bucket = F.pmod(F.xxhash64(own), F.lit(buckets)).cast("int").alias("bucket")
     bought = F.coalesce(converts().cast("int"), F.lit(0)).alias("converts")
-    return events.select(bucket, "event_id", F.unix_micros("ts").alias("t"), *map(whole, ("user_id", "item_id", "vertical", "merchant_id")), bought, F.col("price_at_event").cast("double").alias("price"))
+    rows = events.select(bucket, *map(whole, ("event_id", "user_id", "item_id", "vertical", "merchant_id")), F.unix_micros("ts").alias("t"), bought, F.col("price_at_event").cast("double").alias("price"))
+    return rows.mapInArrow(dealt, "bucket int, rows binary")
 
 
 def user_features(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -256,9 +291,9 @@ def user_features(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     Undefined values are null; a task holds one bucket's rows of one batch and its records; state lies in the state store.
     """
-    return _prepared(events, "user_id", buckets).groupBy("bucket").transformWithStateInPandas(UserSide(), f"event_id long, {USER_FEATURES}", "Append", "None")
+    return _dealt(events, "user_id", buckets).groupBy("bucket").transformWithStateInPandas(UserSide(), f"event_id long, {USER_FEATURES}", "Append", "None")
 
 
 def item_features(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(event_id, what was known of its item before the event); a popular item's rows of one batch meet in a task, so batches bound them."""
-    return _prepared(events, "item_id", buckets).groupBy("bucket").transformWithStateInPandas(ItemSide(), f"event_id long, {ITEM_FEATURES}", "Append", "None")
+    return _dealt(events, "item_id", buckets).groupBy("bucket").transformWithStateInPandas(ItemSide(), f"event_id long, {ITEM_FEATURES}", "Append", "None")
